@@ -1,8 +1,62 @@
-"""A training corpus from ``documents``: stages that each read what the stage before has written."""
+"""A training corpus from ``documents``: stages that each read what the stage before has written.
 
-STAGES = []
+Every stage but the last returns the columns of ``documents``; the last returns the token ids.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filigree.llm import bpe, decontaminate, line_dedup, quality, simhash
+from filigree.llm.common import ensure_checkpoint_dir
+from filigree.llm.queries import table, word_tokenizer
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the rules with risk-controlled cutoffs."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that many documents hold; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded of each document."""
+    return bpe.encode_decode(docs, word_tokenizer())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", encode),
+]
+
+#: The tokenizer and the hashes have no counterpart in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder before the next reads it."""
+    docs, to = table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{to}/{k}")
+        docs = spark.read.parquet(f"{to}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
