@@ -8,9 +8,13 @@ own. The fit takes a bounded sample of labelled documents; scoring is map-only o
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import uuid
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -82,42 +86,49 @@ def is_held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "utf-8")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, fit: Fit, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[pa.Table, dict[int, int]]:
-    """(text, toxic) of at most fit.documents labelled documents of each class, picked by a hash of their id, none held out; and the size of each class."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
+def training_sample(docs: DataFrame, labels: DataFrame, fit: Fit, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, dict[int, int]]:
+    """(id, text, toxic) of at most fit.documents labelled documents of each class, picked by a hash of their id, none held out; and the size of each class."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    by_hash = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(fit.documents)
+    by_hash = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(fit.documents)
     picked = F.broadcast(by_hash(0).unionByName(by_hash(1)))  # at most 2 * fit.documents rows
-    text = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= fit.text_bytes)
-    return text.join(picked, F.col("_doc") == F.col("_id")).select(F.col("_text").alias("text"), "toxic").orderBy("_id", "text").limit(2 * fit.documents).toArrow(), sizes
+    text = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where(F.octet_length("text") <= fit.text_bytes)
+    return text.join(picked, F.col("_doc") == F.col("id")).select("id", "text", "toxic"), sizes
 
 
 def train(texts: list[bytes], toxic: np.ndarray, sizes: dict[int, int], fit: Fit = Fit()) -> Model:
-    """Weights that fit the documents' labels through the noisy-or, by full-batch Adam."""
+    """Weights that fit the documents' labels through the noisy-or, by full-batch Adam.
+
+    Sentences are held as numbers of features alone, so the space is a small multiple of the texts'.
+    """
     if not 0 < toxic.sum() < len(toxic):
         return Model()
-    known: dict[bytes, list[bytes]] = {}
-    parts = lambda w: known.get(w) or known.setdefault(w, features(w))
-    bags = [[set(WORD.findall(s)) for s in _STOP.split(t.translate(LOWER))] for t in texts]
     seen = [Counter(), Counter()]
-    for bag, y in zip(bags, toxic, strict=True):
-        seen[y].update({f for w in set().union(*bag) for f in parts(w)})
+    for text, y in zip(texts, toxic.tolist(), strict=True):
+        seen[y].update({f for w in set(WORD.findall(text.translate(LOWER))) for f in features(w)})
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
 
     def tells(f: bytes) -> float:
         """How far a feature's share of the documents differs between the classes, in standard errors."""
         a, b = seen[1][f] / n1, seen[0][f] / n0
         both = (seen[1][f] + seen[0][f]) / (n1 + n0)
-        return abs(a - b) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-9)
+        return abs(a - b) / math.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-9)
 
-    often = [f for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= fit.feature_documents]
-    chosen = sorted(often, key=lambda f: (-tells(f), f))[: fit.features]
+    often = (f for some in seen for f in some if seen[0][f] + seen[1][f] >= fit.feature_documents)
+    chosen = heapq.nsmallest(fit.features, set(often), key=lambda f: (-tells(f), f))
+    del seen
     place = {f: i for i, f in enumerate(chosen)}
-    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    places = {w: [place[f] for f in fs if f in place] for w, fs in known.items()}
-    own = [[i for w in s for i in places[w]] for b in bags for s in b]
-    sentence = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    feature = np.array([i for x in own for i in x], dtype=np.int64)
+    owners, sentences, found, n = array("i"), array("i"), array("i"), 0
+    for doc, text in enumerate(texts):
+        for s in _STOP.split(text.translate(LOWER)):
+            owners.append(doc)
+            for w in set(WORD.findall(s)):
+                for f in features(w):
+                    if f in place:
+                        sentences.append(n)
+                        found.append(place[f])
+            n += 1
+    owner, sentence, feature = (np.frombuffer(x, dtype=np.int32) if x else np.zeros(0, dtype=np.int32) for x in (owners, sentences, found))
     # documents weigh as much as those of their class that the sample leaves out
     weigh = np.array([max(sizes.get(0, n0), n0) / n0, max(sizes.get(1, n1), n1) / n1])[toxic]
     weigh /= weigh.sum()
@@ -125,9 +136,9 @@ def train(texts: list[bytes], toxic: np.ndarray, sizes: dict[int, int], fit: Fit
     theta, bias = np.zeros(len(chosen)), -6.0
     first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, fit.steps + 1):
-        z = bias + np.bincount(sentence, theta[feature], minlength=len(own))
+        z = bias + np.bincount(sentence, theta[feature], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bags))
+        none = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts))
         doc = np.maximum(-np.expm1(none), 1e-12)
         pull = np.where(toxic == 1, -np.exp(none) / doc, 1.0) * weigh
         at = pull[owner] * p
@@ -138,6 +149,23 @@ def train(texts: list[bytes], toxic: np.ndarray, sizes: dict[int, int], fit: Fit
     return Model(float(bias), {f: float(t) for f, t in zip(chosen, theta, strict=True) if abs(t) > 1e-3})
 
 
+def fitted(sample: DataFrame, sizes: dict[int, int], fit: Fit) -> Model:
+    """The model of a sample, trained in one task: the sample is bounded by fit, in rows and in bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += texts_of(batch.column(1))
+            toxic += batch.column(2).to_pylist()
+        model = train(texts, np.array(toxic, dtype=np.int64), sizes, fit)
+        names, weights = [None, *model.weights], [model.bias, *model.weights.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(weights, pa.float64())], ["feature", "weight"])
+
+    rows = sample.repartition(1).sortWithinPartitions("id", "text").mapInArrow(run, "feature binary, weight double").collect()
+    weights = {None if r["feature"] is None else bytes(r["feature"]): r["weight"] for r in rows}
+    return Model(weights.pop(None), weights) if weights else Model()
+
+
 _SPANS = "array<struct<sentence:int,start:int,end:int,score:double>>"
 _SPAN_TYPE = pa.list_(pa.struct([("sentence", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
@@ -167,7 +195,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     read; an empty table gives an empty result.
     """
     sample, sizes = training_sample(docs, labels, fit, id_col=id_col, text_col=text_col, label_col=label_col)
-    model = train(texts_of(sample["text"].combine_chunks()) if sample.num_rows else [], sample["toxic"].to_numpy(), sizes, fit)
+    model = fitted(sample, sizes, fit)
     sent, job = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # fit.features weights at most
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
