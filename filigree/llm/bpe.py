@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,18 +23,18 @@ CACHE_ENTRIES = 300_000
 
 
 class _Cache(dict):
-    """Pre-token to its ids: as a list of ids written in decimal, their number and the decoded tokens."""
+    """Pre-token to its ids: as bytes of 32-bit numbers, in decimal, and as the tokens that they decode to."""
 
     def __init__(self, path: str):
         super().__init__()
         self.encoder = prefix_encoder(path)
 
-    def __missing__(self, word: str) -> tuple[str, int, str]:
+    def __missing__(self, word: str) -> tuple[bytes, str, str]:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         ids = self.encoder.encode(byte_level(word))
         names = self.encoder.names
-        out = self[word] = (" ".join(map(str, ids)), len(ids), " ".join(names[i] for i in ids))
+        out = self[word] = (array("i", ids).tobytes(), " ".join(map(str, ids)), " ".join(names[i] for i in ids))
         return out
 
 
@@ -41,23 +43,22 @@ def _cache(path: str) -> _Cache:
     return _Cache(path)
 
 
-def encode_text(text: str, tokenizer_path: str) -> tuple[str, int, str]:
-    """The ids of a whole text in decimal, joined by a space; their number; the text that they decode to.
+def encode_text(text: str, tokenizer_path: str) -> tuple[bytes, str, str]:
+    """The ids of a whole text as bytes of 32-bit numbers; in decimal, joined by a space; the text that they decode to.
 
     Decoding joins the tokens by a space, as the library does for a file without a decoder.
     """
-    pre, cached, ids, names, n = pretokenizer(tokenizer_path), _cache(tokenizer_path), [], [], 0
+    pre, cached, ids, decimal, names = pretokenizer(tokenizer_path), _cache(tokenizer_path), [], [], []
     for k, part in enumerate(pre.parts(text)):
         if k % 2:
-            ids.append(str(pre.special[part]))
-            names.append(part)
-            n += 1
-        elif part:
-            for a, b, c in map(cached.__getitem__, pre.words(part)):
-                ids.append(a)
-                n += b
-                names.append(c)
-    return " ".join(ids), n, " ".join(names)
+            found = [(array("i", [pre.special[part]]).tobytes(), str(pre.special[part]), part)]
+        else:
+            found = map(cached.__getitem__, pre.words(part)) if part else ()
+        for a, b, c in found:
+            ids.append(a)
+            decimal.append(b)
+            names.append(c)
+    return b"".join(ids), " ".join(decimal), " ".join(names)
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -70,18 +71,16 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
     """
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, ids, decoded = [], [], []
-        for text in batch.column(1).to_pylist():
-            a, n, b = encode_text(text or "", tokenizer_path)
-            counts.append(n)
-            if digests:
-                ids.append(hashlib.sha256(a.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b.encode()).hexdigest())
-            else:
-                ids.append([int(x) for x in a.split(" ")] if a else [])
-                decoded.append(b)
+        encoded = [encode_text(text or "", tokenizer_path) for text in batch.column(1).to_pylist()]
+        counts = np.array([len(ids) // 4 for ids, _, _ in encoded], dtype=np.int64)
+        if digests:
+            ids, decoded = (pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in encoded], pa.string()) for k in (1, 2))
+        else:
+            values = np.frombuffer(b"".join(ids for ids, _, _ in encoded), dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values))
+            decoded = pa.array([x for _, _, x in encoded], pa.string())
         names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())], names)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), ids, decoded], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"

@@ -35,12 +35,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a worker holds as Python objects at a time; an Arrow batch may have many more.
+SLICE_ROWS = 1_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of bounded size, none empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """df through rows, one Arrow batch at a time; no state is kept between batches."""
+    """df through rows, one piece of an Arrow batch at a time; no state is kept between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := rows(batch)) is not None:
+        for batch in slices(batches):
+            if (out := rows(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

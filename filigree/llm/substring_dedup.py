@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
+from .common import cut, slices, texts_of
 
 LENGTH, PART = 400, 160
 #: Contents in a shard, about, and contents of an anchor from which its starts are counted one by one.
@@ -102,7 +102,7 @@ def _batch(columns: dict) -> pa.RecordBatch:
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
     """(digest, text) of the texts of a batch, equal texts once in a partition."""
     seen: set[bytes] = set()
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text in texts_of(batch.column(0)):
             if len(text) >= LENGTH and (key := _digest(text)) not in seen:
@@ -140,11 +140,10 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            texts = texts_of(batch.column(1))
-            t1, t2 = _pairs([_digest(t) for t in texts])
-            yield _batch({"doc_id": batch.column(0), "t1": t1, "t2": t2, "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts])})
+    for batch in slices(batches):
+        texts = texts_of(batch.column(1))
+        t1, t2 = _pairs([_digest(t) for t in texts])
+        yield _batch({"doc_id": batch.column(0), "t1": t1, "t2": t2, "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts])})
 
 
 # --- a shard: suffix sort ---------------------------------------------------------------------------
@@ -284,7 +283,7 @@ def _search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the contents wanted of each text."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             rows += [(w["g"], w["c1"], w["c2"], w["place"] - w["first"], text[w["first"] : w["last"] + LENGTH], w["crowd"]) for w in wanted]
@@ -295,7 +294,7 @@ def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _start_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every start of the contents of a crowded anchor, with the digest of its string."""
-    for batch in batches:
+    for batch in slices(batches):
         contents = batch.column(3).to_pylist()
         starts = [len(c) - LENGTH + 1 for c in contents]
         if batch.num_rows:
@@ -306,7 +305,7 @@ def _start_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without what their repeated starts cover."""
-    for batch in batches:
+    for batch in slices(batches):
         t1, t2, sizes, spans, texts = batch.column(0), batch.column(1), [], [], []
         for text, lists in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             keep, at, gone, runs = [], 0, 0, 0
