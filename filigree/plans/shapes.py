@@ -26,17 +26,18 @@ def r(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + 0.0  # no negative zero
 
 
-P = F.col("points")
+def pts() -> Column:
+    return F.col("points")
 
 
 @query("f01_end_to_end", "SELECT gid, CASE WHEN n < 2 THEN 0 ELSE round(sqrt((l0 - f0) * (l0 - f0) + (l1 - f1) * (l1 - f1)), 6) END AS dist FROM line", "line")
 def f01(spark, d):
-    return lines(spark, d).select("gid", r(g.end_to_end(P)).alias("dist"))
+    return lines(spark, d).select("gid", r(g.end_to_end(pts())).alias("dist"))
 
 
 @query("f02_manhattan", "SELECT gid, round(abs(l0 - f0) + abs(l1 - f1), 6) AS dist, round(abs(l0 - c0) + abs(l1 - c1), 5) AS to_centroid FROM line, mom", "line mom")
 def f02(spark, d):
-    return moved(spark, d).select("gid", r(g.manhattan(g.first(P), g.last(P))).alias("dist"), r(g.manhattan(g.last(P), F.col("c")), 5).alias("to_centroid"))
+    return moved(spark, d).select("gid", r(g.manhattan(g.first(pts()), g.last(pts()))).alias("dist"), r(g.manhattan(g.last(pts()), F.col("c")), 5).alias("to_centroid"))
 
 
 def maha_sql(a: str, b: str) -> str:
@@ -47,12 +48,12 @@ def maha_sql(a: str, b: str) -> str:
 @query("f03_mahalanobis", f"SELECT gid, round({maha_sql('f', 'l')}, 6) AS dist, round({maha_sql('f', 'c')}, 6) AS to_centroid FROM line, mom", "line mom")
 def f03(spark, d):
     i = [F.col(k) for k in ("i00", "i01", "i11")]
-    return moved(spark, d).select("gid", r(g.mahalanobis(g.first(P), g.last(P), *i)).alias("dist"), r(g.mahalanobis(g.first(P), F.col("c"), *i)).alias("to_centroid"))
+    return moved(spark, d).select("gid", r(g.mahalanobis(g.first(pts()), g.last(pts()), *i)).alias("dist"), r(g.mahalanobis(g.first(pts()), F.col("c"), *i)).alias("to_centroid"))
 
 
 @query("f04_slope", "SELECT gid, CASE WHEN l0 = f0 THEN 0 ELSE round((l1 - f1) / (l0 - f0), 10) + 0.0 END AS slope FROM line", "line")
 def f04(spark, d):
-    return lines(spark, d).select("gid", r(g.slope(P), 10).alias("slope"))
+    return lines(spark, d).select("gid", r(g.slope(pts()), 10).alias("slope"))
 
 
 @query("f05_centroid", "SELECT gid, round(avg(p1), 8) AS c0, round(avg(p0), 8) AS c1 FROM poly_points GROUP BY gid", "poly_points")
@@ -62,7 +63,7 @@ def f05(spark, d):
 
 @query("f06_translate", "SELECT gid, round(f0 - c0, 5) + 0.0 AS a0, round(f1 - c1, 5) + 0.0 AS a1, round(l0 - c0, 5) + 0.0 AS b0, round(l1 - c1, 5) + 0.0 AS b1 FROM line, mom", "line mom")
 def f06(spark, d):
-    a, b = g.minus(g.first(P), F.col("c")), g.minus(g.last(P), F.col("c"))
+    a, b = g.minus(g.first(pts()), F.col("c")), g.minus(g.last(pts()), F.col("c"))
     return moved(spark, d).select("gid", r(a["p0"], 5).alias("a0"), r(a["p1"], 5).alias("a1"), r(b["p0"], 5).alias("b0"), r(b["p1"], 5).alias("b1"))
 
 
@@ -93,7 +94,7 @@ def small(p: Column) -> Column:
 
 @query("f10_hyperbolic", f"SELECT gid, round({hyper_sql('f0', 'f1', 'l0', 'l1')}, 5) AS dist FROM line", "line")
 def f10(spark, d):
-    return lines(spark, d).select("gid", r(g.poincare(small(g.first(P)), small(g.last(P))), 5).alias("dist"))
+    return lines(spark, d).select("gid", r(g.poincare(small(g.first(pts())), small(g.last(pts()))), 5).alias("dist"))
 
 
 @query("f11_angle_to_next", "SELECT gid, round(acos(greatest(-1.0, least(1.0, (u0 * w0 + u1 * w1) / (sqrt(u0 * u0 + u1 * u1) * sqrt(w0 * w0 + w1 * w1) + 1e-9)))), 5) AS theta FROM (SELECT gid, m0 - f0 AS u0, m1 - f1 AS u1, l0 - m0 AS w0, l1 - m1 AS w1 FROM line WHERE n >= 3) t", "line")
@@ -104,20 +105,20 @@ def f11(spark, d):
 
 @query("f12_direction", "SELECT gid, round(acos((l0 - f0) / (len + 1e-9)), 5) AS theta_x, round(len, 6) AS len, round((l0 - f0) / (len + 1e-9), 6) + 0.0 AS s0, round((l1 - f1) / (len + 1e-9), 6) + 0.0 AS s1 FROM (SELECT *, sqrt((l0 - f0) * (l0 - f0) + (l1 - f1) * (l1 - f1)) AS len FROM line) t", "line")
 def f12(spark, d):
-    rows = lines(spark, d).select("gid", g.minus(g.last(P), g.first(P)).alias("u"), g.distance(g.first(P), g.last(P)).alias("len"))
+    rows = lines(spark, d).select("gid", g.minus(g.last(pts()), g.first(pts())).alias("u"), g.distance(g.first(pts()), g.last(pts())).alias("len"))
     u = F.col("u")
     return rows.select("gid", r(F.acos(u["p0"] / (F.col("len") + 1e-9)), 5).alias("theta_x"), r(F.col("len")).alias("len"), r(u["p0"] / (F.col("len") + 1e-9)).alias("s0"), r(u["p1"] / (F.col("len") + 1e-9)).alias("s1"))
 
 
 @query("f13_whitney", "SELECT gid, round(1 / (1 + f0 * f0), 7) AS a, round(f0 - 2 * f0 / (1 + f0 * f0), 6) AS b, round(1 / ((1 + f0 * f0) * (1 + f1 * f1)), 8) AS c, round(f0 * f1 / ((1 + f0 * f0) * (1 + f1 * f1)), 8) AS e FROM line", "line")
 def f13(spark, d):
-    t0, t1 = g.first(P)["p0"], g.first(P)["p1"]
+    t0, t1 = g.first(pts())["p0"], g.first(pts())["p1"]
     return lines(spark, d).select("gid", r(1 / (1 + t0 * t0), 7).alias("a"), r(t0 - 2 * t0 / (1 + t0 * t0)).alias("b"), r(1 / ((1 + t0 * t0) * (1 + t1 * t1)), 8).alias("c"), r(t0 * t1 / ((1 + t0 * t0) * (1 + t1 * t1)), 8).alias("e"))
 
 
 @query("f14_sphere", "SELECT gid, round(sin(f0) * cos(f1), 6) + 0.0 AS x, round(sin(f0) * sin(f1), 6) + 0.0 AS y, round(cos(f0), 6) + 0.0 AS z, round(atan2(sin(f0) * cos(f1), sin(f0) * sin(f1)), 5) + 0.0 AS a, round(-acos(cos(f0)), 5) + 0.0 AS b FROM line", "line")
 def f14(spark, d):
-    t0, t1 = g.first(P)["p0"], g.first(P)["p1"]
+    t0, t1 = g.first(pts())["p0"], g.first(pts())["p1"]
     x, y, z = F.sin(t0) * F.cos(t1), F.sin(t0) * F.sin(t1), F.cos(t0)
     return lines(spark, d).select("gid", r(x).alias("x"), r(y).alias("y"), r(z).alias("z"), r(F.atan2(x, y), 5).alias("a"), r(-F.acos(z), 5).alias("b"))
 
@@ -135,24 +136,24 @@ def f22(spark, d):
 
 @query("w01_path_length", "SELECT gid, round(coalesce(sum(sqrt((n0 - p0) * (n0 - p0) + (n1 - p1) * (n1 - p1))), 0), 5) AS len FROM (SELECT *, lead(p0) OVER w AS n0, lead(p1) OVER w AS n1 FROM poly_points WINDOW w AS (PARTITION BY gid ORDER BY seq)) t GROUP BY gid", "poly_points")
 def w01(spark, d):
-    return lines(spark, d).select("gid", r(g.path_length(P), 5).alias("len"))
+    return lines(spark, d).select("gid", r(g.path_length(pts()), 5).alias("len"))
 
 
 @query("w02_hyperbolic_length", f"SELECT gid, round(coalesce(sum({hyper_sql('p0', 'p1', 'n0', 'n1')}), 0), 4) AS len FROM (SELECT *, lead(p0) OVER w AS n0, lead(p1) OVER w AS n1 FROM poly_points WINDOW w AS (PARTITION BY gid ORDER BY seq)) t GROUP BY gid", "poly_points")
 def w02(spark, d):
-    return lines(spark, d).select("gid", r(g.steps(P, lambda a, b: g.poincare(small(a), small(b))), 4).alias("len"))
+    return lines(spark, d).select("gid", r(g.steps(pts(), lambda a, b: g.poincare(small(a), small(b))), 4).alias("len"))
 
 
 @query("w03_velocity", "SELECT gid, round(m0 - f0, 7) + 0.0 AS a0, round((l0 - f0) / 2, 7) + 0.0 AS b0, round(l0 - m0, 7) + 0.0 AS c0, round(m1 - f1, 7) + 0.0 AS a1, round((l1 - f1) / 2, 7) + 0.0 AS b1, round(l1 - m1, 7) + 0.0 AS c1 FROM line", "line")
 def w03(spark, d):
-    rows = lines(spark, d).select("gid", g.sampled(P).alias("s"))
+    rows = lines(spark, d).select("gid", g.sampled(pts()).alias("s"))
     rows = rows.select("gid", *(g.gradient(g.coordinate(F.col("s"), f"p{k}")).alias(f"g{k}") for k in (0, 1)))
     return rows.select("gid", *(r(F.get(f"g{k}", F.lit(i)), 7).alias(f"{n}{k}") for k in (0, 1) for i, n in enumerate("abc")))
 
 
 @query("w04_sampled_points", "SELECT gid, round(f0, 7) AS f0, round(f1, 7) AS f1, round(m0, 7) AS m0, round(m1, 7) AS m1, round(l0, 7) AS l0, round(l1, 7) AS l1 FROM line", "line")
 def w04(spark, d):
-    return lines(spark, d).select("gid", g.sampled(P).alias("s")).select("gid", *(r(F.get("s", F.lit(i))[f"p{k}"], 7).alias(f"{n}{k}") for i, n in enumerate("fml") for k in (0, 1)))
+    return lines(spark, d).select("gid", g.sampled(pts()).alias("s")).select("gid", *(r(F.get("s", F.lit(i))[f"p{k}"], 7).alias(f"{n}{k}") for i, n in enumerate("fml") for k in (0, 1)))
 
 
 @query("w05_first_last", "SELECT gid, f0, f1, l0, l1 FROM line", "line")
@@ -171,7 +172,7 @@ _LAST = "ends AS (SELECT gid AS e, v1 AS own, v2 AS nbr FROM gedge UNION ALL SEL
 
 def digits_of(name: str) -> int:
     """Sums and halves of coordinates have seven decimals at most; the rest is rounded more."""
-    return 7 if name.startswith(("velocity", "vec_0", "vec_1", "manhattan", "n_")) else 4
+    return 7 if name.startswith(("velocity", "vec_", "direction", "euclid", "manhattan", "n_")) else 4
 
 
 def _vector_sql() -> str:
@@ -267,6 +268,6 @@ def f43(spark, d):
 
 @query("j11_merged_features", "SELECT f.gid AS gid, len(f.f) + 2 AS n, round(l.f0, 6) AS last_but_one FROM feat f JOIN line l ON l.gid = f.gid", "feat line")
 def j11(spark, d):
-    geometry = lines(spark, d).select("gid", F.array(g.first(P)["p0"], g.first(P)["p1"]).alias("geom"))
+    geometry = lines(spark, d).select("gid", F.array(g.first(pts())["p0"], g.first(pts())["p1"]).alias("geom"))
     rows = fx.feat(spark, d).join(geometry, "gid").select("gid", F.concat(F.transform("f", lambda x: x.cast("double")), "geom").alias("m"))
     return rows.select("gid", F.size("m").cast("long").alias("n"), r(F.element_at("m", -2)).alias("last_but_one"))
