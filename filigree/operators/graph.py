@@ -18,8 +18,9 @@ def incidence(edges: DataFrame) -> DataFrame:
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """src, dst in both directions, each pair once, without loops."""
-    proper = edges.where("v1 <> v2").select("v1", "v2").distinct()
-    return proper.select(F.col("v1").alias("src"), F.col("v2").alias("dst")).union(proper.select(F.col("v2").alias("src"), F.col("v1").alias("dst"))).distinct()
+    pairs = edges.where("v1 <> v2").select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")).distinct()
+    both = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return pairs.select(F.inline(both))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -10,13 +10,15 @@ NUMBERED_ROWS, BOUNDS = 100_000, 10_000
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared folder of spark.checkpoint.dir; only where none is set, in a local one."""
+    """df computed once, in the shared folder of spark.checkpoint.dir; only where none is set (tests), in a local one."""
     spark: SparkSession = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if path is None:
             import tempfile
 
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint()

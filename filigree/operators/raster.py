@@ -1,8 +1,8 @@
 """Operators on rasters, held as rows (x, y, v) with x from 0 to width - 1 and y from 0 to height - 1.
 
-A focal operator sends each pixel to the windows that it belongs to, reflected at the borders, and
-aggregates by window centre; the shuffle combines before it sends. Separable kernels run one axis at a
-time.
+A focal operator sends each pixel to the windows that it belongs to, those over the border included,
+and aggregates by window centre: one shuffle, which combines before it sends, and no join. Separable
+kernels run one axis at a time. Rasters are dense: every pixel has its row.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ def shape(pixels: DataFrame) -> tuple[int, int]:
     return int(r[0]), int(r[1])
 
 
-def reflect(i: Column, n: int) -> Column:
-    """An index beyond the border, mirrored on the border's outer edge: -1 is 0, n is n - 1."""
-    m = F.pmod(i, F.lit(2 * n))
-    return F.least(m, 2 * n - 1 - m)
+def reflected(i: Column, n: int, reach: int) -> Column:
+    """The places where pixel i appears in a raster that is mirrored on the outer edge of its borders: -1 shows pixel 0, n shows n - 1."""
+    return F.filter(F.array(i, -1 - i, 2 * n - 1 - i), lambda e: e.between(-reach, n - 1 + reach))
 
 
-def clamp(i: Column, n: int) -> Column:
-    return F.greatest(F.lit(0), F.least(i, F.lit(n - 1)))
+def repeated(i: Column, n: int, reach: int) -> Column:
+    """The places where pixel i appears if border pixels go on outwards."""
+    return F.sequence(F.when(i == 0, F.lit(-reach)).otherwise(i), F.when(i == n - 1, F.lit(n - 1 + reach)).otherwise(i))
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
@@ -36,22 +36,25 @@ def square(radius: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]
 
 
-def windows(pixels: DataFrame, offsets: list[tuple[int, int, float]] | list[tuple[int, int]], size: tuple[int, int] | None = None, border=reflect) -> DataFrame:
+def windows(pixels: DataFrame, offsets: list[tuple[int, int, float]] | list[tuple[int, int]], size: tuple[int, int] | None = None, border=reflected) -> DataFrame:
     """x, y, v, w: for each centre the values of its window with the offsets' weights (1 where none)."""
     width, height = size or shape(pixels)
+    across, along = (max(abs(o[k]) for o in offsets) for k in (0, 1))
+    if across > width or along > height:
+        raise ValueError("a window reaches over more than one whole raster")
     rows = F.array(*(F.struct(F.lit(o[0]).alias("a"), F.lit(o[1]).alias("b"), F.lit(float(o[2]) if len(o) > 2 else 1.0).alias("w")) for o in offsets))
-    centres = pixels.select("x", "y", F.inline(rows))
-    wanted = centres.select("x", "y", "w", border(F.col("x") + F.col("a"), width).alias("_x"), border(F.col("y") + F.col("b"), height).alias("_y"))
-    values = pixels.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "v")
-    return wanted.join(values, ["_x", "_y"]).select("x", "y", "v", "w")
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    shown = pixels.select(F.explode(border(x, width, across)).alias("_x"), y.alias("y"), "v").select("_x", F.explode(border(F.col("y"), height, along)).alias("_y"), "v")
+    each = shown.select("_x", "_y", "v", F.inline(rows)).select((F.col("_x") - F.col("a")).alias("x"), (F.col("_y") - F.col("b")).alias("y"), "v", "w")
+    return each.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
 
 
-def focal(pixels: DataFrame, offsets: list, of: Column, size: tuple[int, int] | None = None, border=reflect) -> DataFrame:
+def focal(pixels: DataFrame, offsets: list, of: Column, size: tuple[int, int] | None = None, border=reflected) -> DataFrame:
     """x, y, v: the aggregate ``of`` over each window (columns v and w)."""
     return windows(pixels, offsets, size, border).groupBy("x", "y").agg(of.alias("v"))
 
 
-def weighted(pixels: DataFrame, kernel: list[tuple[int, int, float]], size: tuple[int, int] | None = None, border=reflect) -> DataFrame:
+def weighted(pixels: DataFrame, kernel: list[tuple[int, int, float]], size: tuple[int, int] | None = None, border=reflected) -> DataFrame:
     return focal(pixels, kernel, F.sum(F.col("v") * F.col("w")), size, border)
 
 
@@ -60,8 +63,8 @@ def gaussian(pixels: DataFrame, sigma: float, truncate: float = 4.0) -> DataFram
     radius, size = int(truncate * sigma + 0.5), shape(pixels)
     raw = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-radius, radius + 1)]
     kernel = [w / sum(raw) for w in raw]
-    along_x = weighted(pixels, [(i - radius, 0, w) for i, w in enumerate(kernel)], size, clamp)
-    return weighted(along_x, [(0, i - radius, w) for i, w in enumerate(kernel)], size, clamp)
+    along_x = weighted(pixels, [(i - radius, 0, w) for i, w in enumerate(kernel)], size, repeated)
+    return weighted(along_x, [(0, i - radius, w) for i, w in enumerate(kernel)], size, repeated)
 
 
 #: The Sobel kernel along y: difference in y, smoothed over x.
