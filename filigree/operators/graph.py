@@ -69,7 +69,7 @@ def fixed_adjacency(nodes: DataFrame, adjacent: DataFrame, max_degree: int, sent
     More neighbours than slots: the first by digest. Fewer: slot modulo degree. None: the sentinel.
     """
     ranked = ranked_neighbours(adjacent, seed).where(F.col("slot") < max_degree)
-    slots = nodes.select(F.col("gid").alias("node")).crossJoin(nodes.sparkSession.range(max_degree).select(F.col("id").alias("slot")))
+    slots = nodes.select(F.col("gid").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_degree - 1).cast("long"))).alias("slot"))
     degree = ranked.groupBy("src").agg(F.count("*").alias("n")).withColumnRenamed("src", "node")
     wanted = slots.join(degree, "node", "left").withColumn("at", F.when(F.col("n").isNotNull(), F.col("slot") % F.col("n")))
     picked = wanted.join(ranked.select(F.col("src").alias("node"), F.col("slot").alias("at"), "dst"), ["node", "at"], "left")
@@ -83,7 +83,7 @@ def random_walks(nodes: DataFrame, adjacent: DataFrame, walks: int, length: int,
     """
     ranked = keep(ranked_neighbours(adjacent, seed)).select("src", "dst", "slot", "degree")
     degree = ranked.where("slot = 0").select("src", "degree")
-    at = nodes.select(F.col("gid").alias("node"), F.col("gid").alias("cur")).crossJoin(nodes.sparkSession.range(walks).select(F.col("id").cast("int").alias("walk")))
+    at = nodes.select(F.col("gid").alias("node"), F.col("gid").alias("cur"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
     out = []
     for step in range(1, length + 1):
         drawn = at.join(degree, at["cur"] == degree["src"]).drop("src").withColumn("slot", keyed.integer(seed, F.col("node"), F.col("walk"), F.lit(step)) % F.col("degree"))

@@ -78,3 +78,18 @@ def pixel_values(points: DataFrame, pixels: DataFrame) -> DataFrame:
     """gid, seq, v: the pixel under each vertex, rounded half to even."""
     own = points.select("gid", "seq", F.rint("p1").cast("long").alias("x"), F.rint("p0").cast("long").alias("y"))
     return own.join(pixels, ["x", "y"]).select("gid", "seq", "v")
+
+
+def spread_seeds(points: DataFrame, k: int, rounds: int = 5) -> DataFrame:
+    """qid, q0, q1: k seeds spread over the points by Lloyd's rounds, from a grid over their range.
+
+    The seeds are k rows; each round assigns points to their nearest seed and moves seeds to the means,
+    which combine before the shuffle. A seed without points stays.
+    """
+    spark, box = points.sparkSession, points.agg(*(f(c) for c in ("p0", "p1") for f in (F.min, F.max))).first()
+    seeds = [(i, box[0] + (box[1] - box[0]) * ((i * 0.618034) % 1), box[2] + (box[3] - box[2]) * (i + 0.5) / k) for i in range(k)]
+    for _ in range(rounds):
+        at = F.array(*(F.struct((F.pow(F.col("p0") - a, 2) + F.pow(F.col("p1") - b, 2)).alias("d"), F.lit(i).alias("i")) for i, a, b in seeds))
+        moved = {r["i"]: (r["a"], r["b"]) for r in points.groupBy(F.array_min(at)["i"].alias("i")).agg(F.avg("p0").alias("a"), F.avg("p1").alias("b")).collect()}  # k rows
+        seeds = [(i, *moved.get(i, (a, b))) for i, a, b in seeds]
+    return spark.createDataFrame(seeds, "qid int, q0 double, q1 double")

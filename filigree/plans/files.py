@@ -105,3 +105,39 @@ def b13(spark, d):
     rows = fx.feat(spark, d).select(F.col("label").alias("id"), F.col("gid").alias("batch"), F.col("f").alias("vec"))
     kept = sinks.first_embeddings(rows).join(rows.groupBy("id").agg(F.min("batch").alias("batch")), "id")
     return kept.select("id", "batch", F.element_at("vec", 1).cast("double").alias("first"))
+
+
+@query("a07_node_link", "SELECT gid AS id, partition = 'train' AS train, y FROM part_of", "part_of")
+def a07(spark, d):
+    """Nodes as JSON texts, read back with the schema of node-link files."""
+    p = F.col("partition")
+    written = fx.part_of(spark, d).select(F.to_json(F.struct(F.col("gid").alias("id"), (p == "train").alias("train"), (p == "val").alias("val"), (p == "test").alias("test"), F.array(1.0 - F.col("y"), F.col("y").cast("double")).alias("label"))).alias("json"))
+    back = written.select(F.from_json("json", "id long, train boolean, val boolean, test boolean, label array<double>").alias("n"))
+    return back.select("n.id", "n.train", F.element_at("n.label", 2).cast("int").alias("y"))
+
+
+@query("b02_feature_lines", "SELECT vec_id AS gid, len(embedding) + 1 AS n FROM embeddings")
+def b02(spark, d):
+    return fx.feat(spark, d).select("gid", F.size(F.split(sinks.feature_line(), " ")).cast("long").alias("n"))
+
+
+@query("b05_selection_bounds", "SELECT 2 * (box_id - 1) AS line, 'x_box ' || x0 || ',' || x1 AS value FROM box UNION ALL SELECT 2 * box_id - 1, 'y_box ' || y0 || ',' || y1 FROM box", "box")
+def b05(spark, d):
+    each = fx.box(spark).select("box_id", F.posexplode(F.split(sinks.box_lines(), "\n")).alias("k", "value"))
+    return each.select((2 * (F.col("box_id") - 1) + F.col("k")).alias("line"), "value")
+
+
+@query("b07_training_percentages", "SELECT round(100.0 * count(*) FILTER (WHERE partition = 'train') / count(*), 6) AS percent, round(100.0 * count(*) FILTER (WHERE partition = 'train' AND y = 1) / count(*) FILTER (WHERE y = 1), 6) AS percent_positive FROM part_of", "part_of")
+def b07(spark, d):
+    train, positive = F.col("partition") == "train", F.col("y") == 1
+    return fx.part_of(spark, d).agg(F.round(100.0 * F.count_if(train) / F.count("*"), 6).alias("percent"), F.round(100.0 * F.count_if(train & positive) / F.count_if(positive), 6).alias("percent_positive"))
+
+
+@query("b10_model_scores", "SELECT metric, metric || ' ' || count(*) AS line FROM run_metric GROUP BY metric", "run_metric")
+def b10(spark, d):
+    return fx.run_metric(spark, d).groupBy("metric").agg(F.count("*").alias("n")).select("metric", F.concat_ws(" ", "metric", F.col("n").cast("string")).alias("line"))
+
+
+@query("b12_walk_lines", "SELECT v1 AS node, CAST(v1 AS VARCHAR) || chr(9) || CAST(v2 AS VARCHAR) AS line FROM gedge", "gedge")
+def b12(spark, d):
+    return fx.gedge(spark, d).select(F.col("v1").alias("node"), F.concat_ws("\t", F.col("v1").cast("string"), F.col("v2").cast("string")).alias("line"))

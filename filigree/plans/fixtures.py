@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def poly_points(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").selectExpr("l_orderkey AS gid", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq", "l_quantity AS p0", "l_extendedprice / 1000 AS p1")
+    rows = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "gid")  # partitioned by gid from here on
+    return rows.selectExpr("gid", "row_number() OVER (PARTITION BY gid ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq", "l_quantity AS p0", "l_extendedprice / 1000 AS p1")
 
 
 def gnode(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregation, graph, learning
+from ..functions import vectors as v
+from ..operators import aggregation, graph, learning, neural, spatial
 from . import fixtures as fx
 from .registry import query
 
@@ -67,3 +68,37 @@ def f24(spark, d):
 @query("x13_curriculum")
 def x13(spark, d):
     return learning.curriculum(labelled(spark, d), F.col("gid") % 7 == 0, train())
+
+
+def plain(spark, d):
+    return fx.feat(spark, d).select("gid", "f")
+
+
+@query("m05_two_layer_pool")
+def m05(spark, d):
+    layers = [neural.glorot(64, 32, 1), neural.glorot(32, 16, 2)]
+    return neural.layered_pool(fx.ring(spark, d), plain(spark, d), layers, F.max("v"))
+
+
+@query("m06_recurrent")
+def m06(spark, d):
+    return neural.recurrent(fx.ring(spark, d), plain(spark, d), 64)
+
+
+@query("m08_hidden_pool")
+def m08(spark, d):
+    geometry = fx.feat(spark, d).select("gid", F.array((F.col("label") / 10).cast("double"), F.lit(1.0)).alias("g"))
+    return neural.product_pool(fx.ring(spark, d), plain(spark, d), geometry, [neural.glorot(64, 16, 1)], [neural.glorot(2, 16, 2)], F.max("v"))
+
+
+@query("m12_skip_gram_loss", "SELECT count(*) AS n, round(sum(ln(1 + exp(-aff))), 4) AS loss FROM (SELECT a.gid, sum(a.v * b.v) AS aff FROM fpos a JOIN ring r ON r.node = a.gid JOIN fpos b ON b.gid = r.nbr AND b.pos = a.pos GROUP BY a.gid, r.slot) t", "fpos ring")
+def m12(spark, d):
+    """The loss of true pairs under the present vectors: nodes and their neighbours."""
+    f = plain(spark, d)
+    pairs = fx.ring(spark, d).join(f.selectExpr("gid AS node", "f AS a"), "node").join(f.selectExpr("gid AS nbr", "f AS b"), "nbr")
+    return pairs.agg(F.count("*").alias("n"), F.round(F.sum(F.log1p(F.exp(-v.dot(F.col("a"), F.col("b"))))), 4).alias("loss"))
+
+
+@query("x08_spread_seeds")
+def x08(spark, d):
+    return spatial.spread_seeds(fx.poly_points(spark, d), 12, rounds=3)

@@ -325,3 +325,16 @@ def n08(spark, d):
 @query("n09_pointed_growth", "SELECT s AS step, greatest(0, 82 - 20 * s) AS x0, least(400, 118 + 20 * s) AS x1, greatest(0, 32 - 10 * s) AS y0, least(200, 68 + 10 * s) AS y1 FROM (SELECT unnest(range(16)) AS s) t")
 def n09(spark, d):
     return generators.pointed_growth(spark, 50, 100, 18, 400, 200)
+
+
+@query("u01_custom_ops", "SELECT gid, 'identity' AS channel, round(max(v) - min(v), 7) AS range, round(sum(v * v), 6) AS energy FROM under GROUP BY gid", "poly_points pixel", _UNDER)
+def u01(spark, d):
+    """Aggregates of the caller's own in place of the registered ones."""
+    ops = {"range": lambda c: F.max(c) - F.min(c), "energy": lambda c: F.sum(F.col(c) * F.col(c))}
+    rows = features.pixel_features(under(spark, d).withColumn("channel", F.lit("identity")), ops)
+    return rows.select("gid", "channel", F.round("range", 7).alias("range"), F.round("energy", 6).alias("energy"))
+
+
+@query("r06_channel_zero", "SELECT x, y, CASE WHEN y < 8 THEN 0.0 ELSE round((v - lo) / (hi - lo), 6) END AS v FROM pixel, (SELECT min(v) AS lo, max(v) AS hi FROM pixel) m", "pixel")
+def r06(spark, d):
+    return raster.normalised(fx.pixel(spark, d)).select("x", "y", F.when(F.col("y") < 8, 0.0).otherwise(F.round("v", 6)).alias("v"))
