@@ -34,12 +34,12 @@ class RiskControl:
     error: float = 0.05
 
 
-#: Rule to the cutoffs that are tested; a document is rejected if its measure is above the cutoff.
+#: Rule to the cutoffs that are tested; a document is rejected if its measure is above the cutoff. The strictest stand well clear of ordinary prose.
 RULES: dict[str, tuple[float, ...]] = {
-    "symbols_per_word": (0.02, 0.05, 0.1, 0.2, 0.4, 0.8),
-    "duplicate_lines": (0.05, 0.1, 0.2, 0.3, 0.5, 0.7),
-    "long_words": (6.5, 7.0, 8.0, 9.0, 10.0, 12.0),
-    "short_words": (-4.5, -4.0, -3.5, -3.0, -2.5),
+    "symbols_per_word": (0.1, 0.2, 0.4, 0.8),
+    "duplicate_lines": (0.3, 0.5, 0.7),
+    "long_words": (8.0, 9.0, 10.0, 12.0),
+    "short_words": (-3.5, -3.0, -2.5),
 }
 
 

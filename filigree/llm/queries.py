@@ -64,4 +64,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_simhash, op5_quality_rules, op6_sharding, op7_line_dedup, op8_pii, op9_bpe, op10_substring_dedup)}
 #: Hashes, tokenizers and fitted models have no counterpart in SQL; the tests hold those queries against brute force.
-ORACLES: dict[str, str] = {"op3_decontamination": oracles.DECONTAMINATION, "op7_line_dedup": oracles.LINE_DEDUP}
+ORACLES: dict[str, str] = {"op3_decontamination": oracles.DECONTAMINATION, "op5_quality_rules": oracles.quality_rules(), "op7_line_dedup": oracles.LINE_DEDUP}
