@@ -23,8 +23,8 @@ from .common import LOWER, cut, map_batches, texts_of
 
 #: Words on bytes: digits, lower-case letters and everything beyond ASCII, after A-Z are lower-cased.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Words of a window, and bytes of benchmark text that are broadcast at a time.
-WINDOW, BLOCK_BYTES = 10, 16_000_000
+#: Words of a window, and bytes of benchmark text that are broadcast at a time: their windows take about 150 MB in a worker.
+WINDOW, BLOCK_BYTES = 10, 2_000_000
 _SUFFIX = 4
 
 
