@@ -24,6 +24,8 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Strata up to this number are broadcast; beyond it they are joined by shuffle.
 BROADCAST_STRATA = 10_000
+#: Partitions of tables with a row for each stratum.
+FEW_FILES = 4
 
 
 @dataclass(frozen=True)
@@ -134,7 +136,8 @@ def safe_cutoffs(measured: DataFrame, labels: DataFrame, stratum_col: str, *, co
     held = held.where(~F.col(f"`{prefix}base_failed`"))
     cells = [(rule, c) for rule, cutoffs in RULES.items() for c in cutoffs]
     measures = rule_measures(prefix)
-    counts = cut(held.groupBy(F.col(stratum_col).alias("stratum")).agg(F.count("*").alias("n"), *(F.count_if(measures[rule] > c).alias(f"k{i}") for i, (rule, c) in enumerate(cells))))
+    # a row for each stratum: few files will do
+    counts = cut(held.groupBy(F.col(stratum_col).alias("stratum")).agg(F.count("*").alias("n"), *(F.count_if(measures[rule] > c).alias(f"k{i}") for i, (rule, c) in enumerate(cells))).coalesce(FEW_FILES))
     each = counts.select("stratum", "n", F.inline(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, c) in enumerate(cells)))))
     strata = counts.agg(F.count("*").alias("strata"))
     tests = each.crossJoin(F.broadcast(strata))  # one row
@@ -142,7 +145,7 @@ def safe_cutoffs(measured: DataFrame, labels: DataFrame, stratum_col: str, *, co
     passes = binomial_tail(F.col("n"), F.col("k"), control.share / len(RULES)) <= level
     strictest = tests.withColumn("passes", passes).groupBy("stratum", "rule").agg(F.max(F.when(~F.col("passes"), F.col("cutoff"))).alias("failed"), F.collect_set("cutoff").alias("cutoffs"))
     safe = strictest.select("stratum", "rule", F.array_min(F.filter("cutoffs", lambda c: F.col("failed").isNull() | (c > F.col("failed")))).alias("cutoff"))
-    return safe.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(rule) for rule in RULES))
+    return safe.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(rule) for rule in RULES)).coalesce(FEW_FILES)
 
 
 def with_verdict(measured: DataFrame, cutoffs: DataFrame, stratum_col: str, prefix: str = "") -> DataFrame:
