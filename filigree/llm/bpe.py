@@ -19,7 +19,7 @@ from .common import map_batches
 from .word_bpe import byte_level, prefix_encoder, pretokenizer
 
 #: Encoded pre-tokens that a worker keeps.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 
 class _Cache(dict):

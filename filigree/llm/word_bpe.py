@@ -145,7 +145,7 @@ class PrefixEncoder:
     def fits(self, a: int, b: int) -> bool:
         pair = (a, b)
         if (out := self.known.get(pair)) is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 300_000:
                 self.known.clear()
             out = self.known[pair] = self._first(a, b, self.never)
         return out
