@@ -161,6 +161,21 @@ def j20(spark, d):
     return batch.crossJoin(F.broadcast(negatives)).select("a", "b", r(v.dot(F.col("fa"), F.col("fb"))).alias("aff"))  # 20 negatives
 
 
+NEGATIVES = f"neg AS (SELECT gid FROM feat ORDER BY {digest_sql(5, 'gid')}, gid LIMIT 20)"
+
+
+def negatives(f):
+    """gid, f of 20 nodes drawn by digest, however many there are."""
+    return f.orderBy(keyed.digest(5, F.col("gid")), "gid").limit(20)
+
+
+@query("j20_affinities_all", "SELECT a.gid AS a, b.gid AS b, round(sum(a.v * b.v), 6) + 0.0 AS aff FROM fpos a JOIN fpos b ON a.pos = b.pos WHERE b.gid IN (SELECT gid FROM neg) GROUP BY a.gid, b.gid", "feat fpos", NEGATIVES)
+def j20_all(spark, d):
+    """Every node against the negatives; j20_affinities takes the first batch of nodes only."""
+    f = fx.feat(spark, d)
+    return f.selectExpr("gid AS a", "f AS fa").crossJoin(F.broadcast(negatives(f).selectExpr("gid AS b", "f AS fb"))).select("a", "b", r(v.dot(F.col("fa"), F.col("fb"))).alias("aff"))  # 20 negatives
+
+
 # --- predicates on edges and nodes ------------------------------------------------------------------------
 
 
@@ -365,6 +380,12 @@ def x06(spark, d):
     return graph.random_walks(fx.gnode(spark, d).where("gid % 11 = 0"), fx.real_adj(spark, d), walks=2, length=3, seed=8)
 
 
+@query("x06_walks_all", " UNION ALL ".join(f"SELECT node, walk, {t} AS step, cur AS ctx FROM w{t} WHERE cur <> node" for t in (1, 2, 3)), "gnode real_adj", _WALKS.replace(" WHERE gid % 11 = 0)", ")"))
+def x06_all(spark, d):
+    """Walks from every node; x06_walks starts at one in eleven."""
+    return graph.random_walks(fx.gnode(spark, d), fx.real_adj(spark, d), walks=2, length=3, seed=8)
+
+
 _CUM = "deg AS (SELECT src AS gid, pow(count(*), 0.75) AS w FROM real_adj GROUP BY src), cum AS (SELECT gid, round(sum(w) OVER (ORDER BY gid), 6) AS hi, round(sum(w) OVER (ORDER BY gid) - w, 6) AS lo, round(sum(w) OVER (), 6) AS total FROM deg)"
 
 

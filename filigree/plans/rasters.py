@@ -142,6 +142,21 @@ def r24(spark, d):
     return raster.rasterised(fx.poly_points(spark, d).where("gid % 50 = 0"), growth=2)
 
 
+_WHOLE_MASK = "mask AS (SELECT DISTINCT CAST(trunc(p1) AS BIGINT) AS x, CAST(trunc(p0) AS BIGINT) AS y FROM poly_points)"
+
+
+@query("r01_rasterise_all", "SELECT x, y FROM mask", "poly_points", _WHOLE_MASK)
+def r01_all(spark, d):
+    """Every polyline; r01_rasterise draws one in fifty."""
+    return raster.rasterised(fx.poly_points(spark, d))
+
+
+@query("r24_dilate_all", "SELECT DISTINCT x + a AS x, y + b AS y FROM mask, (SELECT unnest(range(-2, 3)) AS a) s, (SELECT unnest(range(-2, 3)) AS b) t WHERE x + a >= 0 AND y + b >= 0", "poly_points", _WHOLE_MASK)
+def r24_all(spark, d):
+    """Every polyline; r24_dilate draws one in fifty."""
+    return raster.rasterised(fx.poly_points(spark, d), growth=2)
+
+
 _TILES = "tiles AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS tile, a AS x0, a + 64 AS x1, b AS y0, b + 32 AS y1 FROM (SELECT unnest([0, 32, 64, 96]) AS a) s, (SELECT unnest([0, 16, 32]) AS b) t)"
 _PREDICTED = "SELECT t.tile AS tile, p.x AS x, p.y AS y, p.v + t.tile AS v FROM pixel p JOIN tiles t ON p.x >= t.x0 AND p.x < t.x1 AND p.y >= t.y0 AND p.y < t.y1"
 
