@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import generators
+
 
 def shape(pixels: DataFrame) -> tuple[int, int]:
     r = pixels.agg(F.max("x") + 1, F.max("y") + 1).first()
@@ -112,17 +114,32 @@ def rasterised(points: DataFrame, growth: int = 0) -> DataFrame:
     return own.withColumn("_a", F.explode(around)).withColumn("_b", F.explode(around)).select((F.col("x") + F.col("_a")).alias("x"), (F.col("y") + F.col("_b")).alias("y")).where("x >= 0 AND y >= 0").distinct()
 
 
+#: Side of the cells by which pixels find their tiles.
+CELL = 32
+
+
+def image_tiles(pixels: DataFrame, wide: int = 64, high: int = 32, step: float = 0.5) -> DataFrame:
+    """tile, x0, x1, y0, y1: overlapping tiles over the whole raster, numbered by x0, then y0."""
+    width, height = shape(pixels)
+    boxes = generators.tile_region(pixels.sparkSession, 0, width, 0, height, wide, high, step)
+    down = math.ceil((height - high) / (high * step)) + 1 if height > high else 1
+    at = lambda c, size: F.greatest(F.lit(0), F.ceil(F.col(c) / (size * step)))
+    return boxes.select((at("x0", wide) * down + at("y0", high)).cast("long").alias("tile"), "x0", "x1", "y0", "y1")
+
+
 def in_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
-    """tile, x, y, v: the pixels of each tile (tile, x0, x1, y0, y1), half-open; tiles are few and broadcast."""
-    on = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
-    return pixels.join(F.broadcast(tiles), on).select("tile", "x", "y", "v")
+    """tile, x, y, v: the pixels of each tile (tile, x0, x1, y0, y1), half-open. Tiles are cut into cells, so that a pixel meets only those of its cell, by an equi-join."""
+    of = lambda c: F.floor(c / CELL)
+    cells = tiles.withColumn("_cx", F.explode(F.sequence(of(F.col("x0")), of(F.col("x1") - 1)))).withColumn("_cy", F.explode(F.sequence(of(F.col("y0")), of(F.col("y1") - 1))))
+    on = (of(F.col("x")) == F.col("_cx")) & (of(F.col("y")) == F.col("_cy")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+    return pixels.join(cells, on).select("tile", "x", "y", "v")
 
 
 def stitched(predicted: DataFrame, tiles: DataFrame, border: int, size: tuple[int, int]) -> DataFrame:
     """x, y, v of overlapping predicted tiles (tile, x, y, v): a border of each tile is dropped but for image edges; the later tile wins."""
     width, height = size
-    inner = lambda c, lo, hi, n: (F.col(c) >= F.when(F.col(lo) == 0, 0).otherwise(F.col(lo) + border)) & (F.col(c) < F.when(F.col(hi) >= n, F.col(hi)).otherwise(F.col(hi) - border))
-    kept = predicted.join(F.broadcast(tiles), "tile").where(inner("x", "x0", "x1", width) & inner("y", "y0", "y1", height))
+    inner = lambda c, lo, hi, n: (F.col(c) >= F.when(F.col(lo) <= 0, F.col(lo)).otherwise(F.col(lo) + border)) & (F.col(c) < F.when(F.col(hi) >= n, F.col(hi)).otherwise(F.col(hi) - border))
+    kept = predicted.join(tiles, "tile").where(inner("x", "x0", "x1", width) & inner("y", "y0", "y1", height))
     return kept.groupBy("x", "y").agg(F.max_by("v", "tile").alias("v"))
 
 

@@ -177,6 +177,25 @@ def r03(spark, d):
     return raster.stitched(predicted, tiles(spark), 8, (160, HEIGHT))
 
 
+_ALL_TILES = f"{_SIZE}, tiles AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS tile, a AS x0, a + 64 AS x1, b AS y0, b + 32 AS y1 FROM (SELECT DISTINCT least(32 * i, w - 64) AS a FROM (SELECT unnest(range(CAST(w // 32 + 1 AS BIGINT))) AS i, w FROM sz) g) s, (SELECT unnest([0, 16, 32]) AS b) t)"
+
+
+@query("r02_crop_tiles_all", "SELECT tile, count(*) AS n, round(sum(v), 6) + 0.0 AS total FROM (SELECT t.tile AS tile, p.v AS v FROM pixel p JOIN tiles t ON p.x >= t.x0 AND p.x < t.x1 AND p.y >= t.y0 AND p.y < t.y1) c GROUP BY tile", "pixel", _ALL_TILES)
+def r02_all(spark, d):
+    """Tiles over the whole raster; those of r02_crop_tiles end at x = 160."""
+    px = fx.pixel(spark, d)
+    return raster.in_tiles(px, raster.image_tiles(px)).groupBy("tile").agg(F.count("*").alias("n"), r(F.sum("v")).alias("total"))
+
+
+@query("r03_stitch_all", f"SELECT x, y, arg_max(v, tile) AS v FROM (SELECT c.*, t.x0, t.x1, t.y0, t.y1, sz.w AS w FROM ({_PREDICTED}) c JOIN tiles t ON t.tile = c.tile, sz) k WHERE x >= CASE WHEN x0 <= 0 THEN 0 ELSE x0 + 8 END AND x < CASE WHEN x1 >= w THEN x1 ELSE x1 - 8 END AND y >= CASE WHEN y0 = 0 THEN 0 ELSE y0 + 8 END AND y < CASE WHEN y1 >= 64 THEN y1 ELSE y1 - 8 END GROUP BY x, y", "pixel", _ALL_TILES)
+def r03_all(spark, d):
+    """Tiles over the whole raster; those of r03_stitch end at x = 160."""
+    px = fx.pixel(spark, d)
+    grid = raster.image_tiles(px)
+    predicted = raster.in_tiles(px, grid).withColumn("v", F.col("v") + F.col("tile"))
+    return raster.stitched(predicted, grid, 8, raster.shape(px))
+
+
 @query("r04_confusion_raster", "SELECT x, y, arg_max(code, gid) AS code FROM (SELECT CAST(trunc(q.p1) AS BIGINT) AS x, CAST(trunc(q.p0) AS BIGINT) AS y, p.gid AS gid, CASE WHEN p.p > 0.5 AND p.y = 1 THEN 4 WHEN p.p > 0.5 THEN 2 WHEN p.y = 1 THEN 5 ELSE 1 END AS code FROM pred p JOIN poly_points q ON q.gid = p.gid) t GROUP BY x, y", "pred poly_points")
 def r04(spark, d):
     """4 true and 2 false positives, 5 false and 1 true negatives; the larger gid is drawn last."""

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from filigree.operators import raster
 from filigree.plans import fixtures as fx
 from filigree.plans.catalogue import QUERIES
 
@@ -30,3 +31,26 @@ def test_every_vector_is_scored(spark):
     assert run(spark, "f19_activations_all").select("gid").distinct().count() == n
     assert run(spark, "j20_affinities_all").count() == 20 * n
     assert run(spark, "w06_mrr_all").first()["n"] == n - 1
+
+
+def test_tiles_reach_every_pixel(spark):
+    pixels = spark.range(1000).selectExpr("id AS x").crossJoin(spark.range(64).selectExpr("id AS y")).withColumn("v", F.lit(1.0))
+    tiles = raster.image_tiles(pixels)
+    cropped = raster.in_tiles(pixels, tiles)
+    rows = tiles.collect()
+    assert sorted(t.tile for t in rows) == list(range(len(rows))) and max(t.x1 for t in rows) == 1000
+    assert cropped.count() == 64 * 32 * len(rows) and cropped.select("x", "y").distinct().count() == 64_000
+    assert raster.stitched(cropped, tiles, 8, (1000, 64)).count() == 64_000
+
+
+def test_tiles_of_a_small_image(spark):
+    pixels = spark.range(30).selectExpr("id AS x").crossJoin(spark.range(20).selectExpr("id AS y")).withColumn("v", F.lit(1.0))
+    tiles = raster.image_tiles(pixels)
+    cropped = raster.in_tiles(pixels, tiles)
+    assert [t.tile for t in tiles.collect()] == [0] and raster.stitched(cropped, tiles, 8, (30, 20)).count() == 600
+
+
+def test_every_pixel_is_cropped_and_stitched(spark):
+    n = fx.pixel(spark, SF_DIR).count()
+    assert run(spark, "r03_stitch_all").count() == n
+    assert run(spark, "r02_crop_tiles_all").agg(F.sum("n")).first()[0] >= n
