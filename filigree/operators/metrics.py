@@ -73,7 +73,22 @@ def histogram(values: DataFrame, value: str, lo: float, hi: float, bins: int) ->
 
 
 def exponential_average(rows: DataFrame, group: str, order: str, value: str, rate: float = 0.01) -> DataFrame:
-    """group, ema: s -= rate * (s - x), from the first value on. Holds one group's values in a row at a time."""
-    ordered = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_r"))
-    fold = F.aggregate("_r", F.get("_r", F.lit(0))[value].cast("double"), lambda s, r: s - rate * (s - r[value]))
-    return ordered.select(group, fold.alias("ema"))
+    """group, ema: s -= rate * (s - x), from the first value on; a null value makes its group's average null.
+
+    Equal rows are counted before the shuffle, n of them being one step of (1 - rate)^n. Rows are then cut into
+    ranges by group and order; within a block, a range's rows of one group, each value has its weight at the
+    block's end, and only block results are folded in order.
+    """
+    keep_ = lambda n: F.pow(F.lit(1.0 - rate), n)
+    runs = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(value).cast("double").alias("x")).groupBy("g", "o", "x").agg(F.count("*").alias("n"))
+    cut = runs.repartitionByRange("g", "o", "x").withColumn("_block", F.spark_partition_id())
+    later = cut.selectExpr("*", "coalesce(sum(n) OVER (PARTITION BY g, _block ORDER BY o DESC, x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _later")
+    blocks = later.groupBy("g", "_block").agg(
+        F.sum(F.col("x") * (1 - keep_(F.col("n"))) * keep_(F.col("_later"))).alias("_sum"),
+        keep_(F.sum("n")).alias("_factor"),
+        F.min_by(F.struct("x"), F.struct("o", "x"))["x"].alias("_first"),
+        F.count_if(F.col("x").isNull()).alias("_nulls"),
+    )
+    ordered = blocks.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("_block", "_sum", "_factor", "_first"))).alias("_b"), F.sum("_nulls").alias("_nulls"))
+    fold = F.aggregate("_b", F.get("_b", F.lit(0))["_first"], lambda s, b: s * b["_factor"] + b["_sum"])
+    return ordered.select(F.col("g").alias(group), F.when(F.col("_nulls") == 0, fold).alias("ema"))

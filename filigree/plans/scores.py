@@ -140,6 +140,14 @@ def w07(spark, d):
     return ema.join(rows.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", r(F.col("ema")).alias("first"))
 
 
+@query("w07_ema_decay", "SELECT label, count(*) AS n, round(sum(x * pow(0.99, n - k) * CASE WHEN k = 1 THEN 1 ELSE 0.01 END), 6) + 0.0 AS ema FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings) t GROUP BY label")
+def w07_decay(spark, d):
+    """At rate 0.01; w07_ema has rate 0, at which the first value stays."""
+    rows = fx.feat(spark, d).select("label", "gid", F.element_at("f", 1).cast("double").alias("x"))
+    ema = metrics.exponential_average(rows, "label", "gid", "x")
+    return ema.join(rows.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", r(F.col("ema")).alias("ema"))
+
+
 @query("w08_running_mean", "SELECT event_id, CAST(sum(CAST(round(value * 10000) AS BIGINT)) OVER w AS DOUBLE) / (10000.0 * count(*) OVER w) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def w08(spark, d):
     """In whole ten-thousandths, so that the order of sums does not matter."""

@@ -1,8 +1,11 @@
 """Queries that take all rows, against counts over the tables."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from filigree.operators import raster
+from filigree.operators import metrics, raster
 from filigree.plans import fixtures as fx
 from filigree.plans.catalogue import QUERIES
 
@@ -54,3 +57,32 @@ def test_every_pixel_is_cropped_and_stitched(spark):
     n = fx.pixel(spark, SF_DIR).count()
     assert run(spark, "r03_stitch_all").count() == n
     assert run(spark, "r02_crop_tiles_all").agg(F.sum("n")).first()[0] >= n
+
+
+def test_average_decays_over_blocks(spark):
+    rng = random.Random(3)
+    rows = [(g, t, rng.random()) for g, n in (("a", 3000), ("b", 1), ("c", 40)) for t in range(n)] + [("c", 7, 0.5)] * 200 + [("d", 0, 1.0), ("d", 1, None), ("d", 2, 2.0)]
+    expected = {}
+    for g, _, x in sorted((r for r in rows if r[0] != "d"), key=lambda r: r[1:]):
+        s = expected.get(g, x)
+        expected[g] = s - 0.02 * (s - x)
+    df = spark.createDataFrame(rows, "g string, t long, x double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        average = metrics.exponential_average(df, "g", "t", "x", 0.02)
+        got = {r["g"]: r["ema"] for r in average.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.pop("d") is None and got == pytest.approx(expected, rel=1e-9)
+
+
+def test_average_gathers_blocks_only(spark):
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(100)], "g string, t long, x double")
+    plan = metrics.exponential_average(df, "g", "t", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rangepartitioning" in plan.lower() or "RepartitionByExpression" in plan
+    assert "_sum" in plan[plan.index("collect_list"):]
+
+
+def test_decay_is_registered(spark):
+    first = {r["label"]: r["first"] for r in run(spark, "w07_ema").collect()}
+    assert any(r["ema"] != first[r["label"]] for r in run(spark, "w07_ema_decay").collect())
