@@ -61,11 +61,20 @@ def perceptron(rows: DataFrame, train, width: int, hidden: tuple[int, ...] = (16
     return scored(MultilayerPerceptronClassifier(labelCol="y", layers=[width, *hidden, 2], maxIter=iterations, seed=seed).fit(data.where(train)), data)
 
 
-def walk_embeddings(walks: DataFrame, size: int = 16, seed: int = 1) -> DataFrame:
-    """node, vec from walks (node, walk, step, ctx), each walk a sentence."""
+#: Walks that one task trains on, about.
+TRAINED_WALKS = 25_000
+
+
+def walk_embeddings(walks: DataFrame, size: int = 16, seed: int = 1, trained_walks: int = TRAINED_WALKS) -> DataFrame:
+    """node, vec from walks (node, walk, step, ctx), each walk a sentence.
+
+    Training is dealt over tasks by the number of walks, but MLlib holds the vocabulary, all nodes and their
+    vectors, on the driver and in each task.
+    """
     sentences = walks.groupBy("node", "walk").agg(F.sort_array(F.collect_list(F.struct("step", F.col("ctx").cast("string").alias("c")))).alias("s"))
     words = sentences.select(F.concat(F.array(F.col("node").cast("string")), F.transform("s", lambda x: x["c"])).alias("words"))
-    model = Word2Vec(vectorSize=size, minCount=1, inputCol="words", outputCol="v", seed=seed, maxIter=1, numPartitions=1).fit(words)
+    tasks = -(-words.count() // trained_walks) or 1
+    model = Word2Vec(vectorSize=size, minCount=1, inputCol="words", outputCol="v", seed=seed, maxIter=1, numPartitions=tasks).fit(words)
     return model.getVectors().select(F.col("word").cast("long").alias("node"), vector_to_array("vector").alias("vec"))
 
 

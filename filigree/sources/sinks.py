@@ -72,9 +72,16 @@ def first_embeddings(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(F.min_by("vec", "batch").alias("vec"))
 
 
-def node_link_json(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """One JSON text a part of the graph: kind, part, json. Parts are by hash, so no task holds a whole graph."""
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(64)).alias("part")
-    a = nodes.groupBy(part("gid")).agg(F.to_json(F.collect_list(F.struct(F.col("gid").alias("id"), "partition", "y"))).alias("json")).select(F.lit("nodes").alias("kind"), "part", "json")
-    b = links.groupBy(part("src")).agg(F.to_json(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target")))).alias("json")).select(F.lit("links").alias("kind"), "part", "json")
+#: Nodes or links in one JSON text, about.
+JSON_ROWS = 10_000
+
+
+def node_link_json(nodes: DataFrame, links: DataFrame, json_rows: int = JSON_ROWS) -> DataFrame:
+    """One JSON text a part of the graph: kind, part, json. Parts hold about json_rows rows each; links are dealt by both ends, so that those of one source spread."""
+
+    def dealt(df: DataFrame, *keys: str) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(-(-df.count() // json_rows) or 1)).alias("part")
+
+    a = nodes.groupBy(dealt(nodes, "gid")).agg(F.to_json(F.collect_list(F.struct(F.col("gid").alias("id"), "partition", "y"))).alias("json")).select(F.lit("nodes").alias("kind"), "part", "json")
+    b = links.groupBy(dealt(links, "src", "dst")).agg(F.to_json(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target")))).alias("json")).select(F.lit("links").alias("kind"), "part", "json")
     return a.unionByName(b)

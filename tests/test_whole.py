@@ -1,13 +1,15 @@
 """Queries that take all rows, against counts over the tables."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.operators import metrics, raster
+from filigree.operators import learning, metrics, raster
 from filigree.plans import fixtures as fx
 from filigree.plans.catalogue import QUERIES
+from filigree.sources import sinks
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -86,3 +88,26 @@ def test_average_gathers_blocks_only(spark):
 def test_decay_is_registered(spark):
     first = {r["label"]: r["first"] for r in run(spark, "w07_ema").collect()}
     assert any(r["ema"] != first[r["label"]] for r in run(spark, "w07_ema_decay").collect())
+
+
+def test_links_of_a_hub_are_spread_over_texts(spark):
+    nodes = spark.range(1000).selectExpr("id AS gid", "'train' AS partition", "1 AS y")
+    links = spark.range(1000).selectExpr("0L AS src", "id AS dst")
+    out = sinks.node_link_json(nodes, links, json_rows=50).collect()
+    for kind, key in (("nodes", "id"), ("links", "target")):
+        texts = [json.loads(r["json"]) for r in out if r["kind"] == kind]
+        assert len(texts) == 20 and max(map(len, texts)) < 150
+        assert sorted(x[key] for t in texts for x in t) == list(range(1000))
+
+
+def test_priors_of_a_node_gather_no_edges(spark):
+    assert "collect_list" not in run(spark, "j12_map_priors")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_walks_are_trained_in_several_tasks(spark, monkeypatch):
+    seen, real = [], learning.Word2Vec
+    monkeypatch.setattr(learning, "Word2Vec", lambda **k: seen.append(k["numPartitions"]) or real(**k))
+    walks = spark.range(200).selectExpr("id % 20 AS node", "id % 5 AS walk", "id AS step", "(id * 7) % 20 AS ctx")
+    sentences = walks.select("node", "walk").distinct().count()
+    out = learning.walk_embeddings(walks, size=4, trained_walks=8)
+    assert seen == [-(-sentences // 8)] and {r["node"] for r in out.collect()} == set(range(20))
