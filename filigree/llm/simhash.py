@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, cut, map_batches, texts_of
 from .components import connected
@@ -279,12 +280,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def fingerprint_classes(marked: DataFrame) -> DataFrame:
-    """fp, component_id for each fingerprint of marked (doc_id, fp)."""
+    """fp, root, component_id for each fingerprint of marked (doc_id, fp); root tells the classes apart."""
     each = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected(links(each.select("fp")))
     rooted = each.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
 
 
 #: Ids to remove up to this number are broadcast; more are joined by shuffle.
@@ -294,16 +295,31 @@ BROADCAST_IDS = 1_000_000
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class, the one with the least id; columns stay as they are.
 
-    Rows without an id stay. Rows that share an id are one document: one of them stays if the document
-    does.
+    Rows without an id stay. Of rows that share an id, one stays for each class that the id leads; rows
+    whose id has texts of several classes are told apart by their fingerprints.
     """
-    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col).select("doc_id", "component_id"))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    marked = cut(with_fingerprints(docs, id_col, text_col))
+    found = cut(marked.join(fingerprint_classes(marked), "fp").where("doc_id IS NOT NULL").select("doc_id", "fp", "root", "component_id"))
+    again = cut(found.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("several")).where("n > 1"))
+    several = again.where("several").select(F.col("doc_id").alias("_several"))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).unionByName(several.withColumnRenamed("_several", "_gone")).distinct()
     n = gone.count()
     key = F.col(f"`{id_col}`")
     kept = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, key == F.col("_gone"), "left_anti")
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return kept
-    once = kept.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, key == F.col("_again"), "left_anti").unionByName(once)
+    copies = again.where("NOT several").select(F.col("doc_id").alias("_again"))
+    once = kept.join(copies, key == F.col("_again"), "left_semi").dropDuplicates([id_col])
+    kept = kept.join(copies, key == F.col("_again"), "left_anti").unionByName(once)
+    if several.isEmpty():
+        return kept
+    at = docs.columns.index(text_col)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(t) for t in texts_of(batch.column(at))], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, "_fp"])
+
+    told = map_batches(docs.join(several, key == F.col("_several"), "left_semi"), rows, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    leads = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_lead"), F.col("fp").alias("_of"), F.col("root").alias("_root")).distinct()
+    first = told.join(leads, (key == F.col("_lead")) & (F.col("_fp") == F.col("_of"))).dropDuplicates([id_col, "_root"])
+    return kept.unionByName(first.select(*(F.col(f"`{c}`") for c in docs.columns)))

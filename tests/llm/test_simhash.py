@@ -102,3 +102,12 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one_of_each(empty(spark)).count() == 0
+
+
+def test_ids_with_several_texts_lose_no_class(spark):
+    x, y, z = ("".join(f"{w}{i} " for i in range(40)) for w in ("alpha", "brook", "cedar"))
+    fps = [simhash.fingerprint(v.encode()) for v in (x, y, z)]
+    assert all((a ^ b).bit_count() > 4 for a in fps for b in fps if a != b) and len(set(fps)) == 3
+    keep = lambda rows: sorted(map(tuple, simhash.keep_one_of_each(clashing(spark.createDataFrame(rows, "doc_id long, text string"))).select("doc_id", "text").collect()))
+    assert keep([(3, y), (5, x), (5, y), (7, x)]) == [(3, y), (5, x)]
+    assert keep([(1, x), (1, y), (1, y), (2, x), (4, y), (6, z), (6, z)]) == sorted([(1, x), (1, y), (6, z)])
