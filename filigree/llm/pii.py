@@ -10,6 +10,7 @@ a match starts where the pieces and matches before it end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,8 @@ ADDED = (
 )
 #: How far context reaches on each side, how much it moves a score, and the least score of an added span.
 CONTEXT, SHIFT, LEAST = 40, 0.3, 0.5
+#: Numbers that are summed in one fold, and code points of the pages that context is read from.
+BLOCK, PAGE = 128, 512
 
 
 def digits_of(match: Column) -> Column:
@@ -81,25 +84,55 @@ def confirmed(kind: Kind, match: Column) -> Column:
     return F.lit(True)
 
 
-def found_spans(kind: Kind, order: int, text: Column, added: bool) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use needs it, lambdas included."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running_sums(sizes: Column) -> Column:
+    """The sum of each number and those before it.
+
+    A fold copies what it has gathered at each step, so it goes by blocks: first from block to block,
+    then inside each.
+    """
+    none = F.array().cast("array<int>")
+
+    def sums(values: Column, start: Column, value: Callable[[Column], Column]) -> Column:
+        """start, and the running sums from there on."""
+        first = F.struct(start.alias("at"), none.alias("sums"))
+        return F.aggregate(values, first, lambda a, x: F.struct((a["at"] + value(x)).alias("at"), F.concat(a["sums"], F.array(a["at"] + value(x))).alias("sums")), lambda a: a["sums"])
+
+    total = lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(sizes, at + 1, BLOCK))
+    inside = lambda blocks, ends: F.flatten(F.transform(blocks, lambda block, i: sums(block, F.when(i == 0, 0).otherwise(F.get(ends, i - 1)), lambda x: x)))
+    return once(blocks, lambda b: once(sums(F.transform(b, total), F.lit(0), lambda x: x), lambda ends: inside(b, ends)))
+
+
+def placed_matches(text: Column, pattern: str) -> Column:
+    """The matches of a pattern as array<struct<start, end, match>>."""
+    pairs = F.arrays_zip(F.split(text, pattern).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("match"))
+    size = lambda x: F.length(x["piece"]) + F.coalesce(F.length(x["match"]), F.lit(0))
+    span = lambda end, x: F.struct((end - F.length(x["match"])).alias("start"), end.alias("end"), x["match"].alias("match"))
+    placed = lambda pairs, ends: F.filter(F.transform(pairs, lambda x, i: span(F.get(ends, i), x)), lambda s: s["match"].isNotNull())
+    return once(pairs, lambda p: once(F.transform(p, size), lambda sizes: once(running_sums(sizes), lambda ends: placed(p, ends))))
+
+
+def around(pages: Column, start: Column, end: Column) -> Column:
+    """Up to CONTEXT code points before start and after end, taken from the pages they lie on, so that no span scans the whole text."""
+    page, last = F.floor(start / PAGE).cast("int"), F.floor(end / PAGE).cast("int")
+    get = lambda i: F.coalesce(F.get(pages, i), F.lit(""))
+    before, first = F.concat(get(page - 1), get(page)), F.greatest(page - 1, F.lit(0)) * PAGE
+    least = F.greatest(start - CONTEXT, F.lit(0))
+    return F.concat(F.substr(before, least - first + 1, start - least), F.lit(" "), F.substr(F.concat(get(last), get(last + 1)), end - last * PAGE + 1, F.lit(CONTEXT)))
+
+
+def found_spans(kind: Kind, order: int, text: Column, pages: Column, added: bool) -> Column:
     """The confirmed spans of a kind as array<struct<start, end, order, kind, score>>."""
-    matches, pieces = F.regexp_extract_all(text, F.lit(kind.pattern), 0), F.split(text, kind.pattern)
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    placed = F.aggregate(
-        F.arrays_zip(pieces.alias("piece"), matches.alias("match")),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["piece"]) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
-            F.when(x["match"].isNull(), a["spans"]).otherwise(F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(x["piece"])).alias("start"), (a["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("end"), x["match"].alias("match"))))).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    kept = F.filter(placed, lambda s: confirmed(kind, s["match"]))
+    kept = F.filter(placed_matches(text, kind.pattern), lambda s: confirmed(kind, s["match"]))
 
     def scored(s: Column) -> Column:
-        before, after = F.greatest(s["start"] - CONTEXT, F.lit(0)), F.lit(CONTEXT)
-        around = F.concat(F.substr(text, before + 1, s["start"] - before), F.lit(" "), F.substr(text, s["end"] + 1, after))
-        up, down = F.when(around.rlike(kind.near), SHIFT).otherwise(0.0), F.when(around.rlike(kind.far), SHIFT).otherwise(0.0)
+        context = around(pages, s["start"], s["end"])
+        up, down = F.when(context.rlike(kind.near), SHIFT).otherwise(0.0), F.when(context.rlike(kind.far), SHIFT).otherwise(0.0)
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(kind.score) + up - down))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(order).alias("order"), F.lit(kind.name).alias("kind"), F.round(score, 3).alias("score"))
 
@@ -113,9 +146,10 @@ def found_spans(kind: Kind, order: int, text: Column, added: bool) -> Column:
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with pii_base and pii_added: confirmed spans by place, each with its kind and score."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    of = lambda kinds, first, added: F.sort_array(F.concat(*(found_spans(k, first + i, text, added) for i, k in enumerate(kinds))))
-    return docs.withColumns({"pii_base": of(BASE, 0, False), "pii_added": of(ADDED, len(BASE), True)})
+    text, pages = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col("_pii_pages")
+    of = lambda kinds, first, added: F.sort_array(F.concat(*(found_spans(k, first + i, text, pages, added) for i, k in enumerate(kinds))))
+    paged = docs.withColumn("_pii_pages", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), 0)))
+    return paged.withColumns({"pii_base": of(BASE, 0, False), "pii_added": of(ADDED, len(BASE), True)}).drop("_pii_pages")
 
 
 def written(spans: Column) -> Column:
