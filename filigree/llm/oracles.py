@@ -1,6 +1,6 @@
 """SQL of the text operators that SQL can express on whole tables, for DuckDB."""
 
-from .quality import RULES, RiskControl
+from .quality import STEPS, RiskControl
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,8 +41,9 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, s
 def quality_rules(control: RiskControl = RiskControl()) -> str:
     """The measures, the exact binomial tests over labels and the verdict."""
     gram = "concat_ws(' ', w, " + ", ".join(f"lead(w, {k}) OVER o" for k in range(1, 5)) + ")"
-    cutoffs = ", ".join(f"('{rule}', CAST({c!r} AS DOUBLE))" for rule, cs in RULES.items() for c in cs)
-    share = repr(control.share / len(RULES))
+    measures = {"symbols_per_word": "n_symbols / greatest(n_words, 1.0)", "duplicate_lines": "n_dup_lines / greatest(n_word_lines, 1.0)", "long_words": "word_chars / greatest(n_words, 1.0)", "short_words": "-word_chars / greatest(n_words, 1.0)"}
+    first = "CASE " + " ".join(f"WHEN {measures[rule]} > CAST({c!r} AS DOUBLE) THEN {i}" for i, (rule, c) in enumerate(STEPS)) + f" ELSE {len(STEPS)} END"
+    share, steps = repr(control.share), len(STEPS)
     return rf"""
 WITH dw AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents) t),
 g AS (SELECT doc_id, i, CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN {gram} END AS s FROM dw WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
@@ -52,14 +53,10 @@ li AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT line) AS dup
 ws AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS chars FROM dw GROUP BY doc_id),
 m AS (SELECT d.doc_id AS doc_id, d.lang AS lang, coalesce(ws.n, 0) AS n_words, CAST(coalesce(ws.chars, 0) AS BIGINT) AS word_chars, length(regexp_replace(coalesce(d.text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(li.dup, 0) AS n_dup_lines, coalesce(li.lines, 0) AS n_word_lines, coalesce(cov.n, 0) AS n_repeat_words FROM documents d LEFT JOIN ws ON ws.doc_id = d.doc_id LEFT JOIN li ON li.doc_id = d.doc_id LEFT JOIN cov ON cov.doc_id = d.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-val AS (SELECT doc_id, lang, base_failed, 'symbols_per_word' AS rule, n_symbols / greatest(n_words, 1.0) AS v FROM b UNION ALL SELECT doc_id, lang, base_failed, 'duplicate_lines', n_dup_lines / greatest(n_word_lines, 1.0) FROM b UNION ALL SELECT doc_id, lang, base_failed, 'long_words', word_chars / greatest(n_words, 1.0) FROM b UNION ALL SELECT doc_id, lang, base_failed, 'short_words', -word_chars / greatest(n_words, 1.0) FROM b),
-rules AS (SELECT * FROM (VALUES {cutoffs}) r(rule, cutoff)),
+v AS (SELECT *, {first} AS step FROM b),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
-cells AS (SELECT lang, val.rule AS rule, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS k FROM val JOIN rules ON rules.rule = val.rule WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY lang, val.rule, cutoff),
-tails AS (SELECT lang, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share}))) AS p FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM cells WHERE k < n * {share}) t GROUP BY lang, rule, cutoff),
-ok AS (SELECT c.lang AS lang, c.rule AS rule, c.cutoff AS cutoff, coalesce(t.p, 1) <= {control.error!r} / {len(RULES)} / (SELECT count(DISTINCT coalesce(lang, '')) FROM cells) AS passes FROM cells c LEFT JOIN tails t ON t.lang IS NOT DISTINCT FROM c.lang AND t.rule = c.rule AND t.cutoff = c.cutoff),
-failed AS (SELECT lang, rule, max(cutoff) AS f FROM ok WHERE NOT passes GROUP BY lang, rule),
-cut AS (SELECT o.lang AS lang, o.rule AS rule, min(o.cutoff) AS c FROM ok o LEFT JOIN failed f ON f.lang IS NOT DISTINCT FROM o.lang AND f.rule = o.rule WHERE o.passes AND (f.f IS NULL OR o.cutoff > f.f) GROUP BY o.lang, o.rule),
-bad AS (SELECT DISTINCT val.doc_id AS doc_id FROM val JOIN cut ON cut.lang IS NOT DISTINCT FROM val.lang AND cut.rule = val.rule WHERE v > c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b
+cells AS (SELECT v.lang AS lang, r.i AS i, count(*) AS n, count(*) FILTER (WHERE v.step <= r.i) AS k FROM v, (SELECT unnest(range(0, {steps})) AS i) r WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY v.lang, r.i),
+tails AS (SELECT lang, i, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share}))) AS p FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM cells WHERE k < n * {share}) t GROUP BY lang, i),
+safe AS (SELECT c.lang AS lang, coalesce(min(c.i) FILTER (WHERE coalesce(t.p, 1) > {control.error!r} / (SELECT count(DISTINCT coalesce(lang, '')) FROM cells)), {steps}) AS steps FROM cells c LEFT JOIN tails t ON t.lang IS NOT DISTINCT FROM c.lang AND t.i = c.i GROUP BY c.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND step >= coalesce(safe.steps, 0) AS kept FROM v LEFT JOIN safe ON safe.lang IS NOT DISTINCT FROM v.lang
 """

@@ -1,23 +1,25 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
-Each rule rejects a document whose measure exceeds a cutoff. A cutoff counts as safe for a stratum
-if, on the labelled documents held out for it, an exact binomial test shows that it rejects at most
-the allowed share of good documents. The error level is shared by all strata and rules (Bonferroni);
-a rule's cutoffs are tested from the mildest on and only up to the first that fails, which needs no
-further correction. The strictest cutoff that passes is used; without one, a rule rejects nothing.
+A rule rejects a document whose measure exceeds a cutoff. The cutoffs of all rules are put in one
+fixed order, so that each step rejects what the steps before it do and more. For a stratum, a step is
+safe if an exact binomial test on the labelled documents shows that the steps up to it, together,
+reject at most the allowed share of good documents. Steps are tested in their order and only up to
+the first that fails, which needs no correction for their number; the error level is shared by the
+strata alone (Bonferroni). What is tested is what is promised, the rejections of all rules together,
+so no share is set aside for each rule. Without a safe step, a stratum is held to the base rules.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ensure_checkpoint_dir
 
 #: ASCII white space, as in the word rule.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -36,13 +38,23 @@ class RiskControl:
     error: float = 0.05
 
 
-#: Rule to the cutoffs that are tested; a document is rejected if its measure is above the cutoff. The strictest stand well clear of ordinary prose.
-RULES: dict[str, tuple[float, ...]] = {
-    "symbols_per_word": (0.1, 0.2, 0.4, 0.8),
-    "duplicate_lines": (0.3, 0.5, 0.7),
-    "long_words": (8.0, 9.0, 10.0, 12.0),
-    "short_words": (-3.5, -3.0, -2.5),
-}
+#: Rules and cutoffs in the order of their tests; a document is rejected if its measure is above the cutoff. All stand well clear of ordinary prose, those that come closest to it last.
+STEPS: tuple[tuple[str, float], ...] = (
+    ("symbols_per_word", 0.8),
+    ("symbols_per_word", 0.4),
+    ("symbols_per_word", 0.2),
+    ("symbols_per_word", 0.1),
+    ("long_words", 12.0),
+    ("long_words", 10.0),
+    ("short_words", -2.5),
+    ("short_words", -3.0),
+    ("duplicate_lines", 0.7),
+    ("duplicate_lines", 0.5),
+    ("long_words", 9.0),
+    ("short_words", -3.5),
+    ("duplicate_lines", 0.3),
+    ("long_words", 8.0),
+)
 
 
 def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -58,12 +70,12 @@ def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
         docs,
         _words=F.filter(F.split(text, WORD_GAP), lambda w: w != ""),
         _lines=F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, WORD_GAP, "") != ""),
-        n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        word_chars=F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
+        n_symbols=F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
     )
     out = step(
         out,
         n_words=F.size(p("_words")).cast("long"),
+        word_chars=F.length(F.array_join(p("_words"), "")).cast("long"),
         n_word_lines=F.size(p("_lines")).cast("long"),
         n_dup_lines=(F.size(p("_lines")) - F.size(F.array_distinct(p("_lines")))).cast("long"),
         _hashes=F.transform(p("_words"), lambda w: F.xxhash64(w)),
@@ -90,7 +102,7 @@ def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
 
 
 def rule_measures(prefix: str = "") -> dict[str, Column]:
-    """The measure that each rule of ``RULES`` compares with its cutoff."""
+    """The measure that each rule of ``STEPS`` compares with its cutoff."""
     p = lambda name: F.col(f"`{prefix}{name}`").cast("double")
     words = F.greatest(p("n_words"), F.lit(1.0))
     return {
@@ -125,37 +137,37 @@ def binomial_tail(n: Column, k: Column, share: float) -> Column:
     return F.when((n > 0) & (kd < nd * share), total).otherwise(F.lit(1.0))
 
 
-def safe_cutoffs(measured: DataFrame, labels: DataFrame, stratum_col: str, *, control: RiskControl = RiskControl(), id_col: str = "doc_id", label_col: str = "quality", prefix: str = "") -> DataFrame:
-    """One row for each stratum with a label: stratum, and for each rule its strictest safe cutoff or null.
+def first_step(prefix: str = "") -> Column:
+    """The first step that rejects a document, from 0; as many as there are steps if none does."""
+    measures = rule_measures(prefix)
+    return F.least(F.lit(len(STEPS)), *(F.when(measures[rule] > c, F.lit(i)) for i, (rule, c) in enumerate(STEPS)))
+
+
+def safe_steps(measured: DataFrame, labels: DataFrame, stratum_col: str, *, control: RiskControl = RiskControl(), id_col: str = "doc_id", label_col: str = "quality", prefix: str = "") -> DataFrame:
+    """One row for each stratum with a good document: stratum, n (good documents) and steps, the number of steps that are safe.
 
     measured: the documents' measures with id and stratum. No rule is fitted to the labels, so all
     labelled documents are the holdout. Several labels of one document count once, as good if one is.
     """
     good = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_labelled")).agg(F.max(label_col).alias("_good")).where(F.col("_good") == 1)
-    held = measured.join(good, F.col(id_col) == F.col("_labelled"))
-    held = held.where(~F.col(f"`{prefix}base_failed`"))
-    cells = [(rule, c) for rule, cutoffs in RULES.items() for c in cutoffs]
-    measures = rule_measures(prefix)
+    held = measured.join(good, F.col(id_col) == F.col("_labelled")).where(~F.col(f"`{prefix}base_failed`")).withColumn("_first", first_step(prefix))
     # a row for each stratum: few files will do
-    counts = cut(held.groupBy(F.col(stratum_col).alias("stratum")).agg(F.count("*").alias("n"), *(F.count_if(measures[rule] > c).alias(f"k{i}") for i, (rule, c) in enumerate(cells))).coalesce(FEW_FILES))
-    each = counts.select("stratum", "n", F.inline(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, c) in enumerate(cells)))))
+    counts = cut(held.groupBy(F.col(stratum_col).alias("stratum")).agg(F.count("*").alias("n"), *(F.count_if(F.col("_first") <= i).alias(f"k{i}") for i in range(len(STEPS)))).coalesce(FEW_FILES))
+    each = counts.select("stratum", "n", F.inline(F.array(*(F.struct(F.lit(i).alias("step"), F.col(f"k{i}").alias("k")) for i in range(len(STEPS))))))
     strata = counts.agg(F.count("*").alias("strata"))
     tests = each.crossJoin(F.broadcast(strata))  # one row
-    level = F.lit(control.error / len(RULES)) / F.col("strata")
-    passes = binomial_tail(F.col("n"), F.col("k"), control.share / len(RULES)) <= level
-    strictest = tests.withColumn("passes", passes).groupBy("stratum", "rule").agg(F.max(F.when(~F.col("passes"), F.col("cutoff"))).alias("failed"), F.collect_set("cutoff").alias("cutoffs"))
-    safe = strictest.select("stratum", "rule", F.array_min(F.filter("cutoffs", lambda c: F.col("failed").isNull() | (c > F.col("failed")))).alias("cutoff"))
-    return safe.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(rule) for rule in RULES)).coalesce(FEW_FILES)
+    fails = binomial_tail(F.col("n"), F.col("k"), control.share) > F.lit(control.error) / F.col("strata")
+    return tests.groupBy("stratum", "n").agg(F.coalesce(F.min(F.when(fails, F.col("step"))), F.lit(len(STEPS))).alias("steps")).coalesce(FEW_FILES)
 
 
-def with_verdict(measured: DataFrame, cutoffs: DataFrame, stratum_col: str, prefix: str = "") -> DataFrame:
-    """measured with kept: not base_failed, and no rule's measure above its stratum's cutoff."""
-    renamed = cutoffs.select(F.col("stratum").alias("_stratum"), *(F.col(rule).alias(f"_cut_{rule}") for rule in RULES))
-    if cutoffs.count() <= BROADCAST_STRATA:
+def with_verdict(measured: DataFrame, safe: DataFrame, stratum_col: str, prefix: str = "") -> DataFrame:
+    """measured with kept: not base_failed, and not rejected by a safe step of its stratum."""
+    renamed = safe.select(F.col("stratum").alias("_stratum"), F.col("steps").alias("_steps"))
+    if safe.count() <= BROADCAST_STRATA:
         renamed = F.broadcast(renamed)
-    joined = measured.join(renamed, F.col(stratum_col).eqNullSafe(F.col("_stratum")), "left")
-    rejected = reduce(or_, (F.coalesce(m > F.col(f"_cut_{rule}"), F.lit(False)) for rule, m in rule_measures(prefix).items()))
-    return joined.withColumn(f"{prefix}kept", ~(F.col(f"`{prefix}base_failed`") | rejected)).drop("_stratum", *(f"_cut_{rule}" for rule in RULES))
+    joined = measured.join(renamed, F.col(f"`{stratum_col}`").eqNullSafe(F.col("_stratum")), "left")
+    rejected = F.coalesce(first_step(prefix) < F.col("_steps"), F.lit(False))
+    return joined.withColumn(f"{prefix}kept", ~(F.col(f"`{prefix}base_failed`") | rejected)).drop("_stratum", "_steps")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", control: RiskControl = RiskControl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,23 +175,25 @@ def judge_quality(docs: DataFrame, labels: DataFrame, *, stratum_col: str = "lan
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept. A
     null or empty text has no words and fails. A null stratum is a stratum of its own; documents of a
-    stratum without safe cutoffs are only held to the base rules. A null id is judged but can't be
+    stratum without safe steps are only held to the base rules. A null id is judged but can't be
     labelled. Repeated rows are judged each; other columns are not read; empty tables give an empty
     result.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("stratum"))
     measured = cut(with_measures(slim).drop("text"))
-    cutoffs = cut(safe_cutoffs(measured, labels.withColumnRenamed(id_col, "doc_id"), "stratum", control=control))
-    return with_verdict(measured, cutoffs, "stratum").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    safe = cut(safe_steps(measured, labels.withColumnRenamed(id_col, "doc_id"), "stratum", control=control))
+    return with_verdict(measured, safe, "stratum").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, stratum_col: str = "lang", control: RiskControl = RiskControl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that ``judge_quality`` rejects; their columns and further ones stay as they are."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("stratum"))
-    measured = cut(with_measures(slim).drop("text"))
-    cutoffs = cut(safe_cutoffs(measured, labels.withColumnRenamed(id_col, "doc_id"), "stratum", control=control))
-    judged = with_verdict(with_measures(docs, text_col, "_q_"), cutoffs, stratum_col, "_q_")
-    # the generator keeps the filter above the measures; pushed below, it would repeat them many times over
-    verdict = F.inline_outer(F.array(F.struct(F.col("_q_kept").alias("_q_stays"))))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return judged.select(*own, verdict).where("_q_stays").select(*own)
+    """docs without the documents that ``judge_quality`` rejects; their columns and further ones stay as they are.
+
+    Measures are taken once and written beside the documents in the shared folder; the tests then read
+    the measures alone.
+    """
+    store = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/measured-{uuid.uuid4().hex}"
+    with_measures(docs, text_col, "_q_").write.parquet(store)
+    measured = docs.sparkSession.read.schema(with_measures(docs, text_col, "_q_").schema).parquet(store)
+    slim = measured.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{stratum_col}`").alias("stratum"), *(F.col(f"`{c}`") for c in measured.columns if c.startswith("_q_") and c not in docs.columns))
+    safe = cut(safe_steps(slim, labels.withColumnRenamed(id_col, "doc_id"), "stratum", control=control, prefix="_q_"))
+    return with_verdict(measured, safe, stratum_col, "_q_").where("_q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))

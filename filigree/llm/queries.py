@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, line_dedup, oracles, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
+SHARE_5 = quality.RiskControl(share=0.05)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +44,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_rules_share_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 with up to 5 % of good documents at risk, for which labels in the hundreds certify cutoffs."""
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), control=SHARE_5)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.Tree.even(24))
 
@@ -62,6 +70,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_simhash, op5_quality_rules, op6_sharding, op7_line_dedup, op8_pii, op9_bpe, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_simhash, op5_quality_rules, op6_sharding, op7_line_dedup, op8_pii, op9_bpe, op10_substring_dedup, quality_rules_share_5)}
 #: Hashes, tokenizers and fitted models have no counterpart in SQL; the tests hold those queries against brute force.
-ORACLES: dict[str, str] = {"op3_decontamination": oracles.DECONTAMINATION, "op5_quality_rules": oracles.quality_rules(), "op7_line_dedup": oracles.LINE_DEDUP}
+ORACLES: dict[str, str] = {"op3_decontamination": oracles.DECONTAMINATION, "op5_quality_rules": oracles.quality_rules(), "quality_rules_share_5": oracles.quality_rules(SHARE_5), "op7_line_dedup": oracles.LINE_DEDUP}

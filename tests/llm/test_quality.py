@@ -56,6 +56,21 @@ def test_cutoffs_need_evidence_and_keep_good_documents(spark):
     assert sorted(r["doc_id"] for r in stays.collect()) == sorted(i for i, k in kept.items() if k)
 
 
+def test_one_test_for_all_rules_and_steps_only_up_to_the_first_that_fails(spark):
+    """At most one good document in a hundred: 437 clean ones certify every step in one of four strata, 436 none; a step that rejects a good one too many ends the sequence."""
+    measures = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_word_lines long, base_failed boolean"
+    rows, clean = [], (100, 500, 0, 0, 5, False)
+    for stratum, n in (("a", 437), ("b", 436), (None, 2_000), ("d", 2_000)):
+        rows += [(f"{stratum}{i}", stratum, *clean) for i in range(n)]
+    rows += [(f"d-{i}", "d", 100, 1_100, 0, 0, 5, False) for i in range(60)]  # long words, in one good document of 34
+    rows += [(f"a-{i}", "a", 100, 1_100, 0, 0, 5, True) for i in range(60)]  # left out: base_failed
+    measured = spark.createDataFrame(rows, "doc_id string, stratum string, " + measures)
+    labels = measured.select("doc_id", F.lit(1).alias("quality"))
+    safe = {r["stratum"]: (r["n"], r["steps"]) for r in quality.safe_steps(measured, labels, "stratum").collect()}
+    every = len(quality.STEPS)
+    assert safe == {"a": (437, every), "b": (436, 0), None: (2_000, every), "d": (2_060, quality.STEPS.index(("long_words", 10.0)))}
+
+
 def test_filter_keeps_columns_and_repeated_rows(spark):
     docs = clashing(documents(spark))
     kept = quality.keep_good(docs, spark.createDataFrame([], LABELS))
