@@ -1,9 +1,9 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a compact table of the most frequent pre-tokens and their numbers of tokens, broadcast
-to every task. Tier two is a bounded cache in each worker, filled by encoding what the table lacks.
-Pre-tokens themselves are never shuffled: only bounded summaries of their counts are, to pick the
-table. The table decides speed alone; every count is exact.
+Tier one is a compact table of frequent pre-tokens and their numbers of tokens, broadcast to every
+task. Tier two is a bounded cache in each worker, filled by encoding what the table lacks. No
+pre-token is ever shuffled: the table comes from a bounded sample of texts, read by one task. It
+decides speed alone; every count is exact, over whole texts.
 """
 
 from __future__ import annotations
@@ -19,32 +19,29 @@ from pyspark.sql import functions as F
 from .common import map_batches
 from .word_bpe import byte_level, pretokenizer
 
-#: Entries of the broadcast table, of what a partition passes on, of its running summary and of a worker's cache.
-TABLE_ENTRIES, SUMMARY_ENTRIES, RUNNING_ENTRIES, CACHE_ENTRIES = 32_768, 2_048, 100_000, 400_000
+#: Entries of the broadcast table and of a worker's cache.
+TABLE_ENTRIES, CACHE_ENTRIES = 32_768, 400_000
+#: The sample that the table is chosen from: texts, about, and the longest of them in bytes.
+SAMPLE_TEXTS, SAMPLE_BYTES = 2_000, 20_000
 #: Longer pre-tokens stay out of the table, which bounds its bytes.
 LONGEST = 64
 
 
 def frequent_pretokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", entries: int = TABLE_ENTRIES) -> list[str]:
-    """About the most frequent pre-tokens of all texts, at most ``entries``.
+    """About the most frequent pre-tokens, at most ``entries``, by a sample of SAMPLE_TEXTS texts."""
 
-    Each partition counts all its pre-tokens in bounded space (when a summary is full, its rarer half
-    goes) and passes on its most frequent ones; these few rows are added up.
-    """
-
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, counts = pretokenizer(tokenizer_path), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for part in pre.parts(text or "")[::2]:
-                    counts.update(pre.words(part))
-                if len(counts) > RUNNING_ENTRIES:
-                    counts = Counter(dict(counts.most_common(RUNNING_ENTRIES // 2)))
-        top = [(w, n) for w, n in counts.most_common(SUMMARY_ENTRIES) if len(w) <= LONGEST]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
-
-    found = docs.select(F.col(text_col)).mapInArrow(summary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(entries).collect()]
+                    counts.update(w for w in pre.words(part) if len(w) <= LONGEST)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts.most_common(entries)], pa.string())], ["word"])
+
+    text = docs.select(F.col(text_col).alias("text"))
+    drawn = text.sample(min(1.0, SAMPLE_TEXTS / max(1, docs.count())), seed=7).where(F.octet_length("text") <= SAMPLE_BYTES)
+    # each row is drawn by itself, so copies do not enlarge the sample
+    return [r["word"] for r in drawn.repartition(1).mapInArrow(count, "word string").collect()]
 
 
 class _Lengths(dict):

@@ -48,13 +48,19 @@ def test_counts_and_round_trip_equal_the_library(spark, library):
     assert sorted(map(tuple, digests.collect()), key=repr) == sorted(((d, n, sha(" ".join(map(str, ids))), sha(text)) for d, _, n, ids, text in expected), key=repr)
 
 
-def test_summaries_that_overflow_do_not_change_counts(spark, library, monkeypatch):
-    for name in ("TABLE_ENTRIES", "SUMMARY_ENTRIES", "RUNNING_ENTRIES"):
-        monkeypatch.setattr(token_counts, name, 3)
+@pytest.mark.parametrize("sample", [0, 1_000_000])
+def test_small_samples_and_caches_do_not_change_counts(spark, library, monkeypatch, sample):
+    monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(token_counts, "SAMPLE_TEXTS", sample)
     counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(documents(spark), PATH).collect()}
     assert counts[7] == len(library.encode(edge_rows()[8][1], add_special_tokens=False).ids)
 
 
+def test_no_pretoken_is_shuffled(spark):
+    plan = token_counts.count_tokens(documents(spark).where("doc_id > 3"), PATH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # that of documents(spark) itself
+
+
 def test_caches_that_overflow_do_not_change_ids(monkeypatch):
     text = edge_rows()[8][1][:5_000]
     before = bpe.encode_text(text, PATH)
