@@ -34,12 +34,13 @@ CACHE_ENTRIES = 300_000
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds and constants of the fit: labelled documents of each class and their largest text in bytes, features with a weight, the fewest documents of such a feature, and the descent."""
+    """Bounds and constants of the fit: labelled documents of each class and their largest text in bytes, features with a weight, the fewest documents of such a feature, how many clean documents flagged count as much as one toxic one missed, and the descent."""
 
     documents: int = 4_000
     text_bytes: int = 20_000
     features: int = 2_048
     feature_documents: int = 5
+    toxic_cost: float = 3.0
     steps: int = 200
     rate: float = 0.25
     shrink: float = 1e-4
@@ -87,13 +88,14 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, fit: Fit, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, dict[int, int]]:
-    """(id, text, toxic) of at most fit.documents labelled documents of each class, picked by a hash of their id, none held out; and the size of each class."""
+    """(id, text, toxic) of at most fit.documents labelled documents of each class, picked by a hash of their id, none held out, the least text of each id; and the size of each class."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     by_hash = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(fit.documents)
     picked = F.broadcast(by_hash(0).unionByName(by_hash(1)))  # at most 2 * fit.documents rows
     text = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where(F.octet_length("text") <= fit.text_bytes)
-    return text.join(picked, F.col("_doc") == F.col("id")).select("id", "text", "toxic"), sizes
+    # one text for each id, however many rows share it
+    return text.join(picked, F.col("_doc") == F.col("id")).groupBy("id", "toxic").agg(F.min("text").alias("text")).select("id", "text", "toxic"), sizes
 
 
 def train(texts: list[bytes], toxic: np.ndarray, sizes: dict[int, int], fit: Fit = Fit()) -> Model:
@@ -130,7 +132,7 @@ def train(texts: list[bytes], toxic: np.ndarray, sizes: dict[int, int], fit: Fit
             n += 1
     owner, sentence, feature = (np.frombuffer(x, dtype=np.int32) if x else np.zeros(0, dtype=np.int32) for x in (owners, sentences, found))
     # documents weigh as much as those of their class that the sample leaves out
-    weigh = np.array([max(sizes.get(0, n0), n0) / n0, max(sizes.get(1, n1), n1) / n1])[toxic]
+    weigh = np.array([max(sizes.get(0, n0), n0) / n0, max(sizes.get(1, n1), n1) / n1 * fit.toxic_cost])[toxic]
     weigh /= weigh.sum()
 
     theta, bias = np.zeros(len(chosen)), -6.0

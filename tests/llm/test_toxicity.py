@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -5,7 +7,7 @@ import numpy as np
 from filigree.llm import toxicity
 from filigree.llm.toxicity import Fit, score_toxicity, train
 
-from .fixtures import clashing, documents, edge_rows, empty, prose
+from .fixtures import LOWER, clashing, documents, edge_rows, empty, prose
 
 LABELS = "doc_id long, quality int, toxic int"
 BAD = ["scumbag", "vilewort", "trashling"]
@@ -51,6 +53,29 @@ def test_held_out_rows_are_never_learnt_from(spark):
     assert small.count() <= 14
 
 
+def test_sample_is_bounded_where_many_rows_share_an_id(spark):
+    rows, labels = corpus(50)
+    many = documents(spark, rows + [(7, prose(9_000 + i, 10), "en", "a", 1) for i in range(300)])
+    sample, _ = toxicity.training_sample(many, spark.createDataFrame(labels, LABELS), Fit())
+    ids = [r["id"] for r in sample.collect()]
+    assert len(ids) == len(set(ids)) and 7 in ids
+
+
+def test_scores_equal_brute_force(spark):
+    """The noisy-or of sentences over words and their beginnings, recomputed from the fitted weights."""
+    rows, labels = corpus(120)
+    docs, labels = documents(spark, rows), spark.createDataFrame(labels, LABELS)
+    sample, sizes = toxicity.training_sample(docs, labels, Fit())
+    model = toxicity.fitted(sample, sizes, Fit())
+    for r in score_toxicity(docs, labels).collect():
+        none = 1.0
+        for sentence in re.split(r"[.!?\n]+", dict((i, t) for i, t, *_ in rows)[r["doc_id"]]):
+            words = {w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence.translate(LOWER))}
+            z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w, *(w[:n] + b"*" for n in (3, 4, 5, 6) if len(w) > n)])
+            none *= 1 - 1 / (1 + math.exp(-z))
+        assert abs(r["score"] - (1 - none)) < 1e-9
+
+
 def test_noisy_or_gradient_prefers_the_word_that_only_toxic_bags_share():
     texts = [b"a b c. d e bad" if i % 2 else b"a b c. d e fine" for i in range(60)]
     model = train(texts, np.array([i % 2 for i in range(60)]), {0: 30, 1: 30})
