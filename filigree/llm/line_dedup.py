@@ -3,8 +3,10 @@
 The exact table lists which document holds which long line (by a 128-bit hash of its key), as files
 in the shared folder. Documents are inserted by adding rows, and deleted by rows that take theirs
 back, so counts and the last holder of a line are always exact. Lines that are frequent enough to
-drop stand also in cuckoo filters, sharded by hash. A document is first held against the filters,
-without any shuffle; only documents with a possible hit meet the exact table.
+drop stand also in cuckoo filters, sharded by hash and stored beside the table. An insertion or
+deletion counts anew only the lines it touches, and inserts those that have become frequent into
+their shards' filters and deletes those that no longer are. A document is first held against the
+filters, without any shuffle; only documents with a possible hit meet the exact table.
 """
 
 from __future__ import annotations
@@ -17,15 +19,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, ensure_checkpoint_dir, map_batches, texts_of
+from .common import LOWER, SPACE, cut, ensure_checkpoint_dir, map_batches, texts_of
 
 #: Least code points of a key that counts, and least documents that make a line superfluous.
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Keys of a filter shard, and bytes of filters that may be broadcast; beyond them every document meets the exact table.
-SHARD_KEYS, FILTER_BYTES = 40_000, 64_000_000
+#: Keys of a filter shard at first; bytes of filters that are broadcast, while beyond them lines go to the filters' shards; lines that one task holds against a shard.
+SHARD_KEYS, FILTER_BYTES, PROBED_KEYS = 40_000, 64_000_000, 1_000_000
 
 
 def split_lines(text: bytes, min_chars: int = MIN_CHARS) -> tuple[list[bytes], list[int], list[bytes]]:
@@ -78,19 +80,23 @@ class CuckooFilter:
         return int(marks[0]), int(one[0]), int(two[0])
 
     def insert(self, first: int, second: int) -> bool:
+        """Whether there was room; without, the filter is as before."""
         mark, one, two = self._of_one(first, second)
         for place in (one, two):
             if (free := np.flatnonzero(self.table[place] == 0)).size:
                 self.table[place, free[0]] = mark
                 return True
-        place, mask = one, self.buckets - 1
+        place, mask, moves = one, self.buckets - 1, []
         for kick in range(self.KICKS):
             slot = (mark + kick) % self.SLOTS
+            moves.append((place, slot, int(self.table[place, slot])))
             mark, self.table[place, slot] = int(self.table[place, slot]), mark
             place = (place ^ mark * 0x5BD1E995) & mask
             if (free := np.flatnonzero(self.table[place] == 0)).size:
                 self.table[place, free[0]] = mark
                 return True
+        for place, slot, old in reversed(moves):
+            self.table[place, slot] = old
         return False
 
     def delete(self, first: int, second: int) -> bool:
@@ -107,14 +113,33 @@ class CuckooFilter:
         return ((self.table[one] == marks[:, None]) | (self.table[two] == marks[:, None])).any(axis=1)
 
 
+def _built(words: np.ndarray, shard: int) -> pd.DataFrame:
+    own = CuckooFilter.of(words)
+    return pd.DataFrame({"shard": [shard], "buckets": [own.buckets], "table": [own.table.tobytes()]})
+
+
+def _loaded(buckets: int, table: bytes) -> CuckooFilter:
+    return CuckooFilter(buckets, np.frombuffer(table, dtype=np.uint16).reshape(buckets, -1).copy())
+
+
+_FILTERS = "shard int, buckets int, table binary"
+
+
 @dataclass
 class LineIndex:
-    """The exact table of which document holds which line, in files under path."""
+    """The exact table of which document holds which line, and the filters of the frequent lines, in files under path.
+
+    rows/batch=K: the rows of the K-th change. frequent/K and filters/K: the frequent lines with their last
+    holder, and the filters, after it. shards is settled by the first change; a shard whose filter is full is
+    built anew, larger, from the exact table.
+    """
 
     spark: SparkSession
     path: str
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
+    batch: int = 0
+    shards: int = 1
 
     @classmethod
     def create(cls, spark: SparkSession, path: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
@@ -139,38 +164,80 @@ class LineIndex:
         slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
         return map_batches(slim, rows, f"h1 long, h2 long, doc {slim.schema['doc'].dataType.simpleString()}")
 
-    def _add(self, docs: DataFrame, change: int, id_col: str, text_col: str) -> None:
-        self._lines(docs, id_col, text_col).withColumn("change", F.lit(change).cast("byte")).write.mode("append").parquet(self.path)
+    def _change(self, docs: DataFrame, change: int, id_col: str, text_col: str) -> None:
+        at = self.batch + 1
+        lines = self._lines(docs, id_col, text_col)
+        lines.withColumn("change", F.lit(change).cast("byte")).write.parquet(f"{self.path}/rows/batch={at}")
+        if not self.batch:
+            self.counts().where(F.col("n_docs") >= self.min_docs).select("h1", "h2", "last_doc").write.parquet(f"{self.path}/frequent/{at}")
+            self.batch = at
+            self.shards = max(1, -(-self.frequent().count() // SHARD_KEYS))
+            self._build(self.frequent()).write.parquet(f"{self.path}/filters/{at}")
+            return
+        touched = self.rows(at).where(F.col("batch") == at).select("h1", "h2").distinct()
+        before = self.frequent()
+        now = self.counts(self.rows(at).join(touched, ["h1", "h2"], "left_semi")).where(F.col("n_docs") >= self.min_docs).select("h1", "h2", "last_doc")
+        before.join(touched, ["h1", "h2"], "left_anti").unionByName(now).write.parquet(f"{self.path}/frequent/{at}")
+        after = self.spark.read.parquet(f"{self.path}/frequent/{at}")
+        keys, gone = ["h1", "h2"], F.lit(-1).alias("sign")
+        changes = after.join(before, keys, "left_anti").select(*keys, F.lit(1).alias("sign")).unionByName(before.join(after, keys, "left_anti").select(*keys, gone))
+        self._updated(changes, after).write.parquet(f"{self.path}/filters/{at}")
+        self.batch = at
+
+    def _shard(self) -> Column:
+        return F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard")
+
+    def _build(self, frequent: DataFrame) -> DataFrame:
+        """The filters of these lines, built anew."""
+        build = lambda pdf: _built(pdf[["h1", "h2"]].to_numpy(), int(pdf["shard"].iloc[0]))
+        return frequent.select("h1", "h2", self._shard()).groupBy("shard").applyInPandas(build, _FILTERS)
+
+    def _updated(self, changes: DataFrame, frequent: DataFrame) -> DataFrame:
+        """The present filters after insertions (sign 1) and deletions (sign -1) of lines; full ones are built anew from the frequent lines."""
+
+        def update(key: tuple, own: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+            if not len(lines):
+                return own
+            if not len(own):
+                return _built(lines[["h1", "h2"]].to_numpy(), int(key[0]))
+            out = _loaded(int(own["buckets"].iloc[0]), own["table"].iloc[0])
+            for a, b, sign in lines.sort_values("sign")[["h1", "h2", "sign"]].itertuples(index=False):
+                if not (out.insert(int(a), int(b)) if sign > 0 else out.delete(int(a), int(b))):
+                    return pd.DataFrame({"shard": [int(key[0])], "buckets": [0], "table": [b""]})
+            return pd.DataFrame({"shard": [int(key[0])], "buckets": [out.buckets], "table": [out.table.tobytes()]})
+
+        done = cut(self.filters().groupBy("shard").cogroup(changes.select("h1", "h2", "sign", self._shard()).groupBy("shard")).applyInPandas(update, _FILTERS))
+        full = done.where("buckets = 0").select("shard")
+        anew = self._build(frequent.select("h1", "h2", self._shard()).join(full, "shard", "left_semi"))
+        return done.where("buckets > 0").unionByName(anew)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        self._add(docs, 1, id_col, text_col)
+        self._change(docs, 1, id_col, text_col)
 
     def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Takes back documents as they were inserted; counts and filters are then as if they had never been."""
-        self._add(docs, -1, id_col, text_col)
+        self._change(docs, -1, id_col, text_col)
+
+    def rows(self, upto: int | None = None) -> DataFrame:
+        """h1, h2, doc, change, batch of all changes."""
+        return self.spark.read.option("basePath", f"{self.path}/rows").parquet(*(f"{self.path}/rows/batch={k}" for k in range(1, (upto or self.batch or 1) + 1)))
 
-    def holders(self) -> DataFrame:
+    def holders(self, rows: DataFrame | None = None) -> DataFrame:
         """h1, h2, doc of all lines that are held."""
-        rows = self.spark.read.parquet(self.path)
+        rows = self.rows() if rows is None else rows
         return rows.groupBy("h1", "h2", "doc").agg(F.sum("change").alias("held")).where("held > 0").drop("held")
 
-    def counts(self) -> DataFrame:
+    def counts(self, rows: DataFrame | None = None) -> DataFrame:
         """The reference counts: h1, h2, n_docs, last_doc."""
-        return self.holders().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc"))
+        return self.holders(rows).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc"))
 
     def frequent(self) -> DataFrame:
-        return self.counts().where(F.col("n_docs") >= self.min_docs)
+        """h1, h2, last_doc of the lines that stand in min_docs documents or more."""
+        return self.spark.read.parquet(f"{self.path}/frequent/{self.batch}")
 
-    def filters(self, frequent: DataFrame, n: int) -> DataFrame:
-        """shard, buckets, table: a cuckoo filter for each shard of the frequent lines' hashes."""
-        shards = max(1, -(-n // SHARD_KEYS))
-
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            own = CuckooFilter.of(pdf[["h1", "h2"]].to_numpy())
-            return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "buckets": [own.buckets], "table": [own.table.tobytes()]})
-
-        keyed = frequent.select("h1", "h2", F.pmod("h1", F.lit(shards)).cast("int").alias("shard"))
-        return keyed.groupBy("shard").applyInPandas(build, "shard int, buckets int, table binary")
+    def filters(self) -> DataFrame:
+        """shard, buckets, table: the stored cuckoo filter of each shard that has had lines."""
+        return self.spark.read.parquet(f"{self.path}/filters/{self.batch}")
 
 
 #: The worker's filters for the job at hand.
@@ -182,35 +249,55 @@ def rewrite(docs: DataFrame, index: LineIndex, *, id_col: str = "doc_id", text_c
 
     A frequent line loses all its places except those in the largest id that holds it.
     """
-    spark, least = docs.sparkSession, index.min_chars
-    store = f"{index.path}-frequent-{uuid.uuid4().hex}"
-    index.frequent().select("h1", "h2", "last_doc").write.parquet(store)  # the exact table, read by both uses below
-    frequent = spark.read.parquet(store)
-    n = frequent.count()
-    shards, job = max(1, -(-n // SHARD_KEYS)), uuid.uuid4().hex
-    # at most 16 bits a slot at a load of 0.21 or more (tables double) makes 10 bytes a key
-    sent = spark.sparkContext.broadcast([(r["shard"], r["buckets"], bytes(r["table"])) for r in index.filters(frequent, n).toLocalIterator()]) if 10 * n <= FILTER_BYTES else None
+    spark, least, shards, job = docs.sparkSession, index.min_chars, index.shards, uuid.uuid4().hex
+    frequent, filters = index.frequent(), index.filters()
+    size = filters.agg(F.coalesce(F.sum(F.octet_length("table")), F.lit(0))).first()[0]
+    sent = spark.sparkContext.broadcast([(r["shard"], r["buckets"], bytes(r["table"])) for r in filters.toLocalIterator()]) if size <= FILTER_BYTES else None
+
+    def passing(words: np.ndarray) -> np.ndarray:
+        """Whether the broadcast filters may hold these lines."""
+        if job not in _filters:
+            _filters.clear()
+            _filters[job] = {s: _loaded(b, t) for s, b, t in sent.value}
+        out, shard = np.zeros(len(words), dtype=bool), words[:, 0] % shards
+        for s, f in _filters[job].items():
+            at = np.flatnonzero(shard == s)
+            out[at] = f.contains(words[at])
+        return out
 
     def possible(texts: list[bytes]) -> np.ndarray:
-        """Whether a text may hold a frequent line."""
+        """Whether a text may hold a frequent line; any may where filters are not broadcast."""
         if sent is None:
             return np.ones(len(texts), dtype=bool)
-        if job not in _filters:
-            _filters.clear()
-            _filters[job] = {s: CuckooFilter(b, np.frombuffer(t, dtype=np.uint16).reshape(b, -1)) for s, b, t in sent.value}
         own, hashes, out = [], [], np.zeros(len(texts), dtype=bool)
         for i, text in enumerate(texts):
             found = split_lines(text, least)[2]
             hashes += found
             own += [i] * len(found)
-        if hashes and _filters[job]:
-            words, own = as_words(hashes), np.array(own)
-            shard = words[:, 0] % shards
-            for s, f in _filters[job].items():
-                at = np.flatnonzero(shard == s)
-                out[own[at[f.contains(words[at])]]] = True
+        if hashes:
+            out[np.array(own)[passing(as_words(hashes))]] = True
         return out
 
+    def passing_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(passing(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1))))
+
+    def probe(key: tuple, keys: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(keys) or not len(own):
+            return keys[["h1", "h2"]].iloc[:0]
+        return keys[["h1", "h2"]][_loaded(int(own["buckets"].iloc[0]), own["table"].iloc[0]).contains(keys[["h1", "h2"]].to_numpy())]
+
+    def candidates() -> DataFrame:
+        """The rows of the exact table whose lines pass the filters."""
+        rows = index.rows().select("h1", "h2", "doc", "change")
+        if sent is not None:
+            return map_batches(rows, passing_rows, rows.schema)
+        keys = rows.select("h1", "h2").distinct()
+        parts = max(1, -(-keys.count() // (PROBED_KEYS * shards)))  # of each shard's lines
+        dealt = keys.select("h1", "h2", index._shard(), F.pmod("h2", F.lit(parts)).cast("int").alias("part"))
+        copies = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        kept = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(probe, "h1 long, h2 long")
+        return rows.join(kept, ["h1", "h2"], "left_semi")
+
     names = docs.columns
     at = names.index(text_col)
     extra = ", n_lines long, n_dropped long" if counts else ""
@@ -243,7 +330,7 @@ def rewrite(docs: DataFrame, index: LineIndex, *, id_col: str = "doc_id", text_c
         batch = batch.set_column(at, batch.schema.field(at), new)
         return with_counts(batch, lines, gone)
 
-    superfluous = index.holders().join(frequent, ["h1", "h2"]).where(F.col("doc") < F.col("last_doc"))
+    superfluous = index.holders(candidates()).join(frequent, ["h1", "h2"]).where(F.col("doc") < F.col("last_doc"))
 
     def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
