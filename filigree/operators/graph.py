@@ -111,6 +111,17 @@ def sample_layers(roots: DataFrame, adj: DataFrame, sizes: list[int], seed: int
     return reduce(DataFrame.unionByName, out)
 
 
+def sample_by_distance(adj: DataFrame, places: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """node, slot, nbr: k neighbours of each node, drawn by inverse distance: the largest of log-weights with Gumbel noise from digests.
+
+    places: gid, at (a number).
+    """
+    pairs = adj.join(places.selectExpr("gid AS node", "at AS _a"), "node").join(places.selectExpr("gid AS nbr", "at AS _b"), "nbr")
+    u = keyed.uniform(seed, F.col("node"), F.col("nbr"))
+    scored = pairs.withColumn("_s", F.round(F.log(1 / (F.abs(F.col("_a") - F.col("_b")) + 1e-3)) - F.log(-F.log(u)), 9))
+    return scored.selectExpr("node", "slot", "nbr", "row_number() OVER (PARTITION BY node ORDER BY _s DESC, slot) AS rk").where(F.col("rk") <= k).drop("rk")
+
+
 def components(nodes: DataFrame, adjacent: DataFrame) -> DataFrame:
     """gid, component: the least gid that is connected with it, by rounds of least labels and pointer jumps."""
     labels = keep(nodes.select("gid", F.col("gid").alias("component")))

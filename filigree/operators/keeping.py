@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one task numbers, about, and bounds that are collected at most.
-NUMBERED_ROWS, BOUNDS = 100_000, 10_000
+#: Rows that one task numbers, about.
+NUMBERED_ROWS = 100_000
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -25,17 +25,17 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, key: str, *ties: str, name: str = "idx") -> DataFrame:
-    """df with 0, 1, ... by key (a number), then ties.
+    """df with 0, 1, ... by key, then ties.
 
-    Quantiles of the key, a bounded list, cut the rows into ranges; each range is numbered by itself
-    from the number of rows in the ranges before it, so no task sees more than a range.
+    Rows are ranged over partitions by key and ties together, so that many rows of one key spread too; each
+    partition is numbered by itself, from the number of rows in the partitions before it. The partition's
+    number is kept with its rows, as bounds drawn anew might differ.
     """
-    n = -(-df.count() // NUMBERED_ROWS)
-    bounds = sorted(set(df.stat.approxQuantile(key, [i / min(n, BOUNDS) for i in range(1, min(n, BOUNDS))], 0.001))) if n > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    ranged = df.withColumn("_range", part)
-    if not bounds:
-        return ranged.selectExpr("*", f"row_number() OVER (PARTITION BY _range ORDER BY {', '.join((key, *ties))}) - 1 AS {name}").drop("_range")
+    order = ", ".join((key, *ties))
+    ranges = max(1, -(-df.count() // NUMBERED_ROWS))
+    if ranges == 1:
+        return df.selectExpr("*", f"row_number() OVER (ORDER BY {order}) - 1 AS {name}")
+    ranged = keep(df.repartitionByRange(ranges, key, *ties).withColumn("_range", F.spark_partition_id()))
     before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).selectExpr("_range", "sum(_n) OVER (ORDER BY _range) - _n AS _before")
-    own = ranged.selectExpr("*", f"row_number() OVER (PARTITION BY _range ORDER BY {', '.join((key, *ties))}) - 1 AS _own")
+    own = ranged.selectExpr("*", f"row_number() OVER (PARTITION BY _range ORDER BY {order}) - 1 AS _own")
     return own.join(F.broadcast(before), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")

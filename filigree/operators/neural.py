@@ -19,14 +19,22 @@ def glorot(rows: int, columns: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).uniform(-bound, bound, (rows, columns))
 
 
-def dense(column: Column, layers: list[np.ndarray]) -> Column:
-    """The vector through rectified dense layers."""
+def patterned(rows: int, columns: int, seed: int) -> np.ndarray:
+    """Weights by a rule, in eighths from -6 to 6: the same in every engine."""
+    i, j = np.indices((rows, columns))
+    return ((i * 31 + j * 17 + seed * 7) % 13 - 6) / 8.0
+
+
+def dense(column: Column, layers: list[np.ndarray], rectify: bool = True) -> Column:
+    """The vector through dense layers, rectified or not."""
 
     @F.pandas_udf("array<double>")
     def apply(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
         h = np.stack([np.asarray(v, dtype=np.float64) for v in x])
         for w in layers:
-            h = np.maximum(h @ w, 0.0)
+            h = np.maximum(h @ w, 0.0) if rectify else h @ w
         return pd.Series(list(h))
 
     return apply(column)
@@ -43,22 +51,43 @@ def product_pool(adj: DataFrame, vectors: DataFrame, geometry: DataFrame, own: l
     return pooled(adj, both.select("gid", F.zip_with("a", "b", lambda x, y: x * y).alias("f")), of)
 
 
-def recurrent(adj: DataFrame, vectors: DataFrame, width: int, hidden: int = 8, seed: int = 1) -> DataFrame:
-    """node, h: the last state of a recurrent cell with gates over the neighbours in slot order; a node's neighbours are as many as its slots."""
-    weights, inner, bias = glorot(width, 4 * hidden, seed), glorot(hidden, 4 * hidden, seed + 1), np.zeros(4 * hidden)
+def as_arrays(rows: DataFrame) -> DataFrame:
+    """node, pos, v to gid, f."""
+    each = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("f"))
+    return each.select(F.col("node").alias("gid"), F.transform("f", lambda x: x["v"]).alias("f"))
+
+
+def with_weights(vectors: DataFrame, pooled_rows: DataFrame, own: np.ndarray, neighbours: np.ndarray, concat: bool = False) -> DataFrame:
+    """gid, f: a node's vector and what was pooled around it, each times its weights, added or behind each other, rectified. Without neighbours, the own part alone."""
+    around = as_arrays(pooled_rows).withColumnRenamed("f", "_around")
+    both = vectors.join(around, "gid", "left").withColumn("_around", F.coalesce("_around", F.array_repeat(F.lit(0.0), neighbours.shape[0])))
+    parts = both.select("gid", dense(F.col("f"), [own], rectify=False).alias("a"), dense(F.col("_around"), [neighbours], rectify=False).alias("b"))
+    joined = F.concat("a", "b") if concat else F.zip_with("a", "b", lambda x, y: x + y)
+    return parts.select("gid", F.transform(joined, lambda x: F.greatest(x, F.lit(0.0))).alias("f"))
+
+
+def recurrent(adj: DataFrame, vectors: DataFrame, width: int, hidden: int = 8, seed: int = 1, weights: np.ndarray | None = None, inner: np.ndarray | None = None) -> DataFrame:
+    """node, h: the last state of a recurrent cell with gates over the neighbours in slot order; a node's neighbours are as many as its slots.
+
+    Sequences of one length go through the cell together, a step of all of them at a time.
+    """
+    weights = glorot(width, 4 * hidden, seed) if weights is None else weights
+    inner = glorot(hidden, 4 * hidden, seed + 1) if inner is None else inner
 
     @F.pandas_udf("array<double>")
     def run(rows: pd.Series) -> pd.Series:
-        out = []
-        for sequence in rows:
-            h, c = np.zeros(hidden), np.zeros(hidden)
-            for x in sequence:
-                gates = np.asarray(x, dtype=np.float64) @ weights + h @ inner + bias
-                i, f, o = (1 / (1 + np.exp(-g)) for g in (gates[:hidden], gates[hidden : 2 * hidden], gates[2 * hidden : 3 * hidden]))
-                c = f * c + i * np.tanh(gates[3 * hidden :])
+        out, sizes = np.zeros((len(rows), hidden)), rows.map(len).to_numpy()
+        for size in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == size)
+            x = np.array([[np.asarray(v, dtype=np.float64) for v in rows.iloc[i]] for i in at]) @ weights
+            h, c = np.zeros((len(at), hidden)), np.zeros((len(at), hidden))
+            for step in range(size):
+                gates = x[:, step] + h @ inner
+                i, f, o = (1 / (1 + np.exp(-gates[:, k * hidden : (k + 1) * hidden])) for k in range(3))
+                c = f * c + i * np.tanh(gates[:, 3 * hidden :])
                 h = o * np.tanh(c)
-            out.append(h)
-        return pd.Series(out)
+            out[at] = h
+        return pd.Series(list(out))
 
     each = adj.join(vectors.withColumnRenamed("gid", "nbr"), "nbr").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("slot", F.transform("f", lambda x: x.cast("double")).alias("f")))).alias("s"))
     return each.select("node", run(F.transform("s", lambda x: x["f"])).alias("h"))
@@ -70,3 +99,11 @@ def concatenated(parts: list[DataFrame], key: str = "gid", vector: str = "f") ->
     for part in parts[1:]:
         out = out.join(part.withColumnRenamed(vector, "_next"), key).select(key, F.concat(vector, "_next").alias(vector))
     return out
+
+
+def largest(parts: list[DataFrame], key: str = "gid", vector: str = "f") -> DataFrame:
+    """Jumping knowledge by pooling: dimension by dimension, the largest value of all layers."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part.withColumnRenamed(vector, "_next"), key).select(key, F.zip_with(vector, "_next", lambda a, b: F.greatest(a.cast("double"), b.cast("double"))).alias(vector))
+    return out

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keeping import keep
+
 #: Boxes up to this number are broadcast and tested one by one; more are matched by cell.
 BROADCAST_BOXES = 2_000
 
@@ -38,20 +42,35 @@ def partition_by_boxes(nodes: DataFrame, points: DataFrame, boxes: DataFrame) ->
 def nearest(queries: DataFrame, points: DataFrame, cell: float, rings: int = 3) -> DataFrame:
     """For each query (qid, q0, q1) the polyline with the nearest vertex: qid, gid, dist; ties go to the smaller gid.
 
-    Points are kept in cells; a query looks at the cells of growing rings around its own and is settled
-    once the best distance is no longer than what the rings cover. Queries that stay open after the last
-    ring, in empty country, look at all points.
+    Points are kept in cells; a query looks at the cells of the rings around its own and is settled once the
+    best distance is no longer than what the rings cover. Queries that stay open look again with cells four
+    times as large, until all are settled or the rings hold every point: no query ever meets all points of a
+    table but in cells that its own distance asks for.
     """
-    of = lambda c: F.floor(F.col(c) / cell).cast("long")
-    placed = points.select("gid", "p0", "p1", of("p0").alias("c0"), of("p1").alias("c1"))
     d = F.sqrt(F.pow(F.col("p0") - F.col("q0"), 2) + F.pow(F.col("p1") - F.col("q1"), 2))
-    best = lambda df: df.groupBy("qid").agg(F.min(F.struct(d.alias("dist"), "gid")).alias("b")).select("qid", "b.gid", "b.dist")
     around = F.sequence(F.lit(-rings), F.lit(rings))
-    near = queries.withColumn("_a", F.explode(around)).withColumn("_b", F.explode(around)).select("qid", "q0", "q1", (of("q0") + F.col("_a")).alias("c0"), (of("q1") + F.col("_b")).alias("c1"))
-    found = best(near.join(placed, ["c0", "c1"]))
-    sure = found.where(F.col("dist") <= rings * cell)
-    open_ = queries.join(sure, "qid", "left_anti")
-    return sure.unionByName(best(open_.crossJoin(points.select("gid", "p0", "p1"))))
+    bounds = [F.min("p0"), F.max("p0"), F.min("p1"), F.max("p1")]
+    reach = points.agg(*bounds).first()
+    ends = queries.agg(F.min("q0"), F.max("q0"), F.min("q1"), F.max("q1")).first()
+    if reach[0] is None or ends[0] is None:
+        return queries.limit(0).select("qid").crossJoin(points.limit(0).select("gid")).withColumn("dist", F.lit(0.0))
+    span = max(max(reach[1], ends[1]) - min(reach[0], ends[0]), max(reach[3], ends[3]) - min(reach[2], ends[2]))
+    open_, settled = queries.select("qid", "q0", "q1"), []
+    while True:
+        of = lambda c, size=cell: F.floor(F.col(c) / size).cast("long")
+        placed = points.select("gid", "p0", "p1", of("p0").alias("c0"), of("p1").alias("c1"))
+        near = open_.withColumn("_a", F.explode(around)).withColumn("_b", F.explode(around)).select("qid", "q0", "q1", (of("q0") + F.col("_a")).alias("c0"), (of("q1") + F.col("_b")).alias("c1"))
+        found = keep(near.join(placed, ["c0", "c1"]).groupBy("qid").agg(F.min(F.struct(d.alias("dist"), "gid")).alias("b")).select("qid", "b.gid", "b.dist"))
+        covered = rings * cell
+        last = covered >= span
+        settled.append(found if last else found.where(F.col("dist") <= covered))
+        if last:
+            break
+        open_ = keep(open_.join(settled[-1], "qid", "left_anti"))
+        if open_.isEmpty():
+            break
+        cell *= 4
+    return reduce(DataFrame.unionByName, settled)
 
 
 def overlap_counts(points: DataFrame, marks: DataFrame, union_radius: int = 0) -> DataFrame:

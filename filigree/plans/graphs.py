@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import keyed
 from ..functions import vectors as v
-from ..operators import aggregation, features, graph, spatial, splits
+from ..operators import aggregation, features, graph, named, neural, spatial, splits
 from ..operators.keeping import dense_ids
+from ..operators.neural import patterned
 from . import fixtures as fx
 from .registry import query
 from .shapes import r
@@ -153,13 +156,6 @@ def j19(spark, d):
     return arrays.select(F.explode(F.arrays_zip("xs", "ys")).alias("z")).select("z.xs.box_id", "z.xs.x0", "z.ys.y1")
 
 
-@query("j20_affinities", "SELECT a.gid AS a, b.gid AS b, round(sum(a.v * b.v), 6) + 0.0 AS aff FROM fpos a JOIN fpos b ON a.pos = b.pos WHERE a.gid < 64 AND b.gid >= 64 AND b.gid < 84 GROUP BY a.gid, b.gid", "fpos")
-def j20(spark, d):
-    f = fx.feat(spark, d)
-    batch, negatives = f.where("gid < 64").selectExpr("gid AS a", "f AS fa"), f.where("gid >= 64 AND gid < 84").selectExpr("gid AS b", "f AS fb")
-    return batch.crossJoin(F.broadcast(negatives)).select("a", "b", r(v.dot(F.col("fa"), F.col("fb"))).alias("aff"))  # 20 negatives
-
-
 NEGATIVES = f"neg AS (SELECT gid FROM feat ORDER BY {digest_sql(5, 'gid')}, gid LIMIT 20)"
 
 
@@ -168,9 +164,9 @@ def negatives(f):
     return f.orderBy(keyed.digest(5, F.col("gid")), "gid").limit(20)
 
 
-@query("j20_affinities_all", "SELECT a.gid AS a, b.gid AS b, round(sum(a.v * b.v), 6) + 0.0 AS aff FROM fpos a JOIN fpos b ON a.pos = b.pos WHERE b.gid IN (SELECT gid FROM neg) GROUP BY a.gid, b.gid", "feat fpos", NEGATIVES)
-def j20_all(spark, d):
-    """Every node against the negatives; j20_affinities takes the first batch of nodes only."""
+@query("j20_affinities", "SELECT a.gid AS a, b.gid AS b, round(sum(a.v * b.v), 6) + 0.0 AS aff FROM fpos a JOIN fpos b ON a.pos = b.pos WHERE b.gid IN (SELECT gid FROM neg) GROUP BY a.gid, b.gid", "feat fpos", NEGATIVES)
+def j20(spark, d):
+    """Every node against the negatives."""
     f = fx.feat(spark, d)
     return f.selectExpr("gid AS a", "f AS fa").crossJoin(F.broadcast(negatives(f).selectExpr("gid AS b", "f AS fb"))).select("a", "b", r(v.dot(F.col("fa"), F.col("fb"))).alias("aff"))  # 20 negatives
 
@@ -362,26 +358,17 @@ def x05(spark, d):
 
 @query("x04_informed_sampler", f"SELECT node, slot, nbr FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(ln(w) - ln(-ln(u)), 9) DESC, slot) AS rk FROM (SELECT r.*, 1 / (abs(a.v - b.v) + 1e-3) AS w, ({integer_sql(6, 'r.node', 'r.nbr')} + 0.5) / 4294967296.0 AS u FROM ring r JOIN fpos a ON a.gid = r.node AND a.pos = 0 JOIN fpos b ON b.gid = r.nbr AND b.pos = 0) t) s WHERE rk <= 2", "ring fpos")
 def x04(spark, d):
-    """Two neighbours of each node, drawn by inverse distance: the largest of log-weights with Gumbel noise."""
-    first = fx.feat(spark, d).select("gid", F.element_at("f", 1).cast("double").alias("g"))
-    pairs = fx.ring(spark, d).join(first.selectExpr("gid AS node", "g AS a"), "node").join(first.selectExpr("gid AS nbr", "g AS b"), "nbr")
-    u = keyed.uniform(6, F.col("node"), F.col("nbr"))
-    scored = pairs.withColumn("_s", F.round(F.log(1 / (F.abs(F.col("a") - F.col("b")) + 1e-3)) - F.log(-F.log(u)), 9))
-    return scored.selectExpr("node", "slot", "nbr", "row_number() OVER (PARTITION BY node ORDER BY _s DESC, slot) AS rk").where("rk <= 2").drop("rk")
+    """Two neighbours of each node, drawn by inverse distance."""
+    places = fx.feat(spark, d).select("gid", F.element_at("f", 1).cast("double").alias("at"))
+    return graph.sample_by_distance(fx.ring(spark, d), places, 2, seed=6)
 
 
-_STEP = "w{t} AS (SELECT w.node, w.walk, r.dst AS cur FROM w{s} w JOIN ranked r ON r.src = w.cur AND r.slot = " + integer_sql(8, "w.node", "w.walk", "{t}") + " % r.degree)"
-_WALKS = ", ".join([_RANKED.replace("md5(concat_ws('|', '3'", "md5(concat_ws('|', '8'"), "w0 AS (SELECT gid AS node, walk, gid AS cur FROM gnode, (SELECT unnest(range(2)) AS walk) k WHERE gid % 11 = 0)", *(_STEP.format(t=t, s=t - 1) for t in (1, 2, 3))])
+_STEP = "w{t} AS MATERIALIZED (SELECT w.node, w.walk, r.dst AS cur FROM w{s} w JOIN ranked r ON r.src = w.cur AND r.slot = " + integer_sql(8, "w.node", "w.walk", "{t}") + " % r.degree)"
+_WALKS = ", ".join([_RANKED.replace("md5(concat_ws('|', '3'", "md5(concat_ws('|', '8'").replace("ranked AS (", "ranked AS MATERIALIZED ("), "w0 AS MATERIALIZED (SELECT gid AS node, walk, gid AS cur FROM gnode, (SELECT unnest(range(2)) AS walk) k)", *(_STEP.format(t=t, s=t - 1) for t in (1, 2, 3))])
 
 
 @query("x06_walks", " UNION ALL ".join(f"SELECT node, walk, {t} AS step, cur AS ctx FROM w{t} WHERE cur <> node" for t in (1, 2, 3)), "gnode real_adj", _WALKS)
 def x06(spark, d):
-    return graph.random_walks(fx.gnode(spark, d).where("gid % 11 = 0"), fx.real_adj(spark, d), walks=2, length=3, seed=8)
-
-
-@query("x06_walks_all", " UNION ALL ".join(f"SELECT node, walk, {t} AS step, cur AS ctx FROM w{t} WHERE cur <> node" for t in (1, 2, 3)), "gnode real_adj", _WALKS.replace(" WHERE gid % 11 = 0)", ")"))
-def x06_all(spark, d):
-    """Walks from every node; x06_walks starts at one in eleven."""
     return graph.random_walks(fx.gnode(spark, d), fx.real_adj(spark, d), walks=2, length=3, seed=8)
 
 
@@ -455,3 +442,141 @@ def m09(spark, d):
 def m10(spark, d):
     rows = aggregation.propagate(fx.ring(spark, d), fx.feat(spark, d).select("gid", "f"), "mean", hops=2)
     return rows.select("gid", F.size("f").cast("long").alias("n"), r(F.element_at("f", -1)).alias("last"))
+
+
+# --- with weights: by a rule, so that SQL has the same ------------------------------------------------------
+
+
+def weight_sql(i: str, j: str, seed: int) -> str:
+    """neural.patterned in SQL."""
+    return f"((({i} * 31 + {j} * 17 + {seed} * 7) % 13 - 6) / 8.0)"
+
+
+def times_sql(source: str, columns: int, seed: int, rectify: bool = False) -> str:
+    """node, pos, v of source times weights, from (node, pos, v)."""
+    total = f"sum(s.v * {weight_sql('s.pos', 'j.j', seed)})"
+    return f"SELECT s.node AS node, j.j AS pos, {f'greatest({total}, 0)' if rectify else total} AS v FROM ({source}) s, (SELECT unnest(range({columns})) AS j) j GROUP BY s.node, j.j"
+
+
+_OWN = "SELECT gid AS node, pos, v FROM fpos"
+
+
+def around_sql(of: str, source: str) -> str:
+    """node, pos, v: of over the neighbours' values in source."""
+    return f"SELECT r.node AS node, s.pos AS pos, {of} AS v FROM ring r JOIN ({source}) s ON s.node = r.nbr GROUP BY r.node, s.pos"
+
+
+def weighted_sql(around: str, concat: bool = False) -> str:
+    own, other = times_sql(_OWN, 8, 1), times_sql(around, 8, 2)
+    if concat:
+        return f"SELECT node, pos, round(greatest(v, 0), 6) + 0.0 AS v FROM ({own} UNION ALL SELECT node, pos + 8, v FROM ({other}) o) t"
+    return f"SELECT a.node AS node, a.pos AS pos, round(greatest(a.v + b.v, 0), 6) + 0.0 AS v FROM ({own}) a JOIN ({other}) b ON b.node = a.node AND b.pos = a.pos"
+
+
+def by_position(arrays):
+    return out(arrays.select(F.col("gid").alias("node"), F.posexplode("f").alias("pos", "v")))
+
+
+def vectors_of(spark, d):
+    return fx.feat(spark, d).select("gid", "f")
+
+
+_SELF_TOO = f"SELECT node, pos, avg(v) AS v FROM (SELECT r.node AS node, f.pos AS pos, f.v AS v FROM ring r JOIN fpos f ON f.gid = r.nbr UNION ALL {_OWN}) t GROUP BY node, pos"
+
+
+@query("m01_mean_weights", weighted_sql(around_sql("avg(s.v)", _OWN), concat=True), "ring fpos")
+def m01_weights(spark, d):
+    f = vectors_of(spark, d)
+    return by_position(neural.with_weights(f, aggregation.mean(fx.ring(spark, d), f), patterned(64, 8, 1), patterned(64, 8, 2), concat=True))
+
+
+@query("m02_gcn_weights", f"SELECT node, pos, round(v, 6) + 0.0 AS v FROM ({times_sql(_SELF_TOO, 8, 2, rectify=True)}) t", "ring fpos")
+def m02_weights(spark, d):
+    """The mean over neighbours and the node itself has one weight matrix."""
+    arrays = neural.as_arrays(aggregation.graph_convolution(fx.ring(spark, d), vectors_of(spark, d)))
+    return by_position(arrays.select("gid", neural.dense(F.col("f"), [patterned(64, 8, 2)]).alias("f")))
+
+
+@query("m03_max_pool_weights", weighted_sql(around_sql("max(s.v)", times_sql(_OWN, 16, 3, rectify=True)), concat=True), "ring fpos")
+def m03_weights(spark, d):
+    f = vectors_of(spark, d)
+    rows = neural.layered_pool(fx.ring(spark, d), f, [patterned(64, 16, 3)], F.max("v"))
+    return by_position(neural.with_weights(f, rows, patterned(64, 8, 1), patterned(16, 8, 2), concat=True))
+
+
+@query("m04_mean_pool_weights", weighted_sql(around_sql("avg(s.v)", times_sql(_OWN, 16, 3, rectify=True))), "ring fpos")
+def m04_weights(spark, d):
+    f = vectors_of(spark, d)
+    rows = neural.layered_pool(fx.ring(spark, d), f, [patterned(64, 16, 3)], F.avg("v"))
+    return by_position(neural.with_weights(f, rows, patterned(64, 8, 1), patterned(16, 8, 2)))
+
+
+@query("m05_two_layer_weights", pool_sql("max(v)", f"SELECT r.node AS node, s.pos AS pos, s.v AS v FROM ring r JOIN ({times_sql(times_sql(_OWN, 32, 1, rectify=True), 16, 2, rectify=True)}) s ON s.node = r.nbr"), "ring fpos")
+def m05_weights(spark, d):
+    return out(neural.layered_pool(fx.ring(spark, d), vectors_of(spark, d), [patterned(64, 32, 1), patterned(32, 16, 2)], F.max("v")))
+
+
+_INNER = "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in row) + "]" for row in patterned(8, 32, 6)) + "]"
+_GATE = "(x.w[{j}] + list_sum(list_transform(range(1, 9), lambda k: s.h[k] * u.u[k][{j}])))"
+_LSTM = (
+    f"u AS (SELECT {_INNER} AS u), "
+    f"w AS (SELECT r.node AS node, r.slot AS slot, list(p.v ORDER BY p.pos) AS w FROM ring r JOIN ({times_sql(_OWN, 32, 5)}) p ON p.node = r.nbr GROUP BY r.node, r.slot), "
+    "st AS (SELECT gid AS node, 0 AS step, list_transform(range(8), lambda k: CAST(0 AS DOUBLE)) AS h, list_transform(range(8), lambda k: CAST(0 AS DOUBLE)) AS c FROM feat "
+    "UNION ALL SELECT /*step*/ node, step, list_transform(range(1, 9), lambda k: tanh(c[k]) / (1 + exp(-g[16 + k]))) AS h, c FROM "
+    "(SELECT node, step, g, list_transform(range(1, 9), lambda k: c[k] / (1 + exp(-g[8 + k])) + tanh(g[24 + k]) / (1 + exp(-g[k]))) AS c FROM "
+    f"(SELECT s.node AS node, s.step + 1 AS step, s.c AS c, list_transform(range(1, 33), lambda j: {_GATE.format(j='j')}) AS g FROM st s JOIN w x ON x.node = s.node AND x.slot = s.step, u) a) b)"
+)
+
+
+@query("m06_recurrent_weights", "SELECT node, unnest(range(8)) AS pos, round(unnest(h), 6) + 0.0 AS v FROM st WHERE step = 5", "ring feat fpos", _LSTM)
+def m06_weights(spark, d):
+    state = neural.recurrent(fx.ring(spark, d), vectors_of(spark, d), 64, 8, weights=patterned(64, 32, 5), inner=patterned(8, 32, 6))
+    return out(state.select("node", F.posexplode("h").alias("pos", "v")))
+
+
+_GEOMETRY = "SELECT gid AS node, 0 AS pos, label / 10.0 AS v FROM feat UNION ALL SELECT gid, 1, 1.0 FROM feat"
+
+
+def geometry_of(spark, d):
+    return fx.feat(spark, d).select("gid", F.array((F.col("label") / 10).cast("double"), F.lit(1.0)).alias("g"))
+
+
+@query("m08_hidden_weights", pool_sql("max(v)", f"SELECT r.node AS node, a.pos AS pos, a.v * b.v AS v FROM ring r JOIN ({times_sql(_OWN, 16, 1, rectify=True)}) a ON a.node = r.nbr JOIN ({times_sql(_GEOMETRY, 16, 2, rectify=True)}) b ON b.node = r.nbr AND b.pos = a.pos"), "ring feat fpos")
+def m08_weights(spark, d):
+    return out(neural.product_pool(fx.ring(spark, d), vectors_of(spark, d), geometry_of(spark, d), [patterned(64, 16, 1)], [patterned(2, 16, 2)], F.max("v")))
+
+
+_HOP = around_sql("avg(s.v)", _OWN)
+
+
+@query("m10_jumping_knowledge", f"SELECT o.node AS node, o.pos AS pos, round(greatest(o.v, a.v, b.v), 6) + 0.0 AS v FROM ({_OWN}) o JOIN ({_HOP}) a ON a.node = o.node AND a.pos = o.pos JOIN ({around_sql('avg(s.v)', _HOP)}) b ON b.node = o.node AND b.pos = o.pos", "ring fpos")
+def m10_jumping(spark, d):
+    """The largest of a node's own vector and those of one and two hops."""
+    f, ring = vectors_of(spark, d), fx.ring(spark, d)
+    one = neural.as_arrays(aggregation.mean(ring, f))
+    return by_position(neural.largest([f, one, neural.as_arrays(aggregation.mean(ring, one))]))
+
+
+def named_sql(names) -> str:
+    """Each name's nodes and dimensions."""
+    wide = {"mean": 64, "gcn": 64, "edge": 64, "geto-maxpool": 64, "geto-meanpool": 64}
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS nodes, {wide.get(names[n][0], named.HIDDEN)} * count(*) AS n FROM feat" for n in names)
+
+
+def by_name(spark, d, names):
+    """Every model's aggregator once: its nodes and rows."""
+    f, ring = vectors_of(spark, d), fx.ring(spark, d)
+    geometry = fx.feat(spark, d).select("gid", F.array(F.element_at("f", 1).cast("double"), F.element_at("f", 2).cast("double")).alias("g"))
+    each = [named.aggregated(n, ring, f, geometry).agg(F.lit(n).alias("name"), F.count_distinct("node").alias("nodes"), F.count("*").alias("n")) for n in names]
+    return reduce(lambda a, b: a.unionByName(b), each).select("name", "nodes", "n")
+
+
+@query("m15_supervised_names", named_sql(named.SUPERVISED), "feat")
+def m15(spark, d):
+    return by_name(spark, d, named.SUPERVISED)
+
+
+@query("m16_unsupervised_names", named_sql({n: p for n, p in named.UNSUPERVISED.items() if p}), "feat")
+def m16(spark, d):
+    """All names but n2v, which is m13_node2vec."""
+    return by_name(spark, d, [n for n, p in named.UNSUPERVISED.items() if p])

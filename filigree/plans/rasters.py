@@ -129,67 +129,33 @@ def r20(spark, d):
     return px.select("x", "y").join(px.select((F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), "v"), ["x", "y"], "left").select("x", "y", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-_MASK = "mask AS (SELECT DISTINCT CAST(trunc(p1) AS BIGINT) AS x, CAST(trunc(p0) AS BIGINT) AS y FROM poly_points WHERE gid % 50 = 0)"
+_MASK = "mask AS (SELECT DISTINCT CAST(trunc(p1) AS BIGINT) AS x, CAST(trunc(p0) AS BIGINT) AS y FROM poly_points)"
 
 
 @query("r01_rasterise", "SELECT x, y FROM mask", "poly_points", _MASK)
 def r01(spark, d):
-    return raster.rasterised(fx.poly_points(spark, d).where("gid % 50 = 0"))
+    return raster.rasterised(fx.poly_points(spark, d))
 
 
 @query("r24_dilate", "SELECT DISTINCT x + a AS x, y + b AS y FROM mask, (SELECT unnest(range(-2, 3)) AS a) s, (SELECT unnest(range(-2, 3)) AS b) t WHERE x + a >= 0 AND y + b >= 0", "poly_points", _MASK)
 def r24(spark, d):
-    return raster.rasterised(fx.poly_points(spark, d).where("gid % 50 = 0"), growth=2)
-
-
-_WHOLE_MASK = "mask AS (SELECT DISTINCT CAST(trunc(p1) AS BIGINT) AS x, CAST(trunc(p0) AS BIGINT) AS y FROM poly_points)"
-
-
-@query("r01_rasterise_all", "SELECT x, y FROM mask", "poly_points", _WHOLE_MASK)
-def r01_all(spark, d):
-    """Every polyline; r01_rasterise draws one in fifty."""
-    return raster.rasterised(fx.poly_points(spark, d))
-
-
-@query("r24_dilate_all", "SELECT DISTINCT x + a AS x, y + b AS y FROM mask, (SELECT unnest(range(-2, 3)) AS a) s, (SELECT unnest(range(-2, 3)) AS b) t WHERE x + a >= 0 AND y + b >= 0", "poly_points", _WHOLE_MASK)
-def r24_all(spark, d):
-    """Every polyline; r24_dilate draws one in fifty."""
     return raster.rasterised(fx.poly_points(spark, d), growth=2)
 
 
-_TILES = "tiles AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS tile, a AS x0, a + 64 AS x1, b AS y0, b + 32 AS y1 FROM (SELECT unnest([0, 32, 64, 96]) AS a) s, (SELECT unnest([0, 16, 32]) AS b) t)"
 _PREDICTED = "SELECT t.tile AS tile, p.x AS x, p.y AS y, p.v + t.tile AS v FROM pixel p JOIN tiles t ON p.x >= t.x0 AND p.x < t.x1 AND p.y >= t.y0 AND p.y < t.y1"
 
 
-def tiles(spark):
-    grid = [(a, b) for a in (0, 32, 64, 96) for b in (0, 16, 32)]
-    return spark.createDataFrame([(i, a, a + 64, b, b + 32) for i, (a, b) in enumerate(grid)], "tile long, x0 int, x1 int, y0 int, y1 int")
+_TILES = f"{_SIZE}, tiles AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS tile, a AS x0, a + 64 AS x1, b AS y0, b + 32 AS y1 FROM (SELECT DISTINCT least(32 * i, w - 64) AS a FROM (SELECT unnest(range(CAST(w // 32 + 1 AS BIGINT))) AS i, w FROM sz) g) s, (SELECT unnest([0, 16, 32]) AS b) t)"
 
 
 @query("r02_crop_tiles", "SELECT tile, count(*) AS n, round(sum(v), 6) + 0.0 AS total FROM (SELECT t.tile AS tile, p.v AS v FROM pixel p JOIN tiles t ON p.x >= t.x0 AND p.x < t.x1 AND p.y >= t.y0 AND p.y < t.y1) c GROUP BY tile", "pixel", _TILES)
 def r02(spark, d):
-    return raster.in_tiles(fx.pixel(spark, d), tiles(spark)).groupBy("tile").agg(F.count("*").alias("n"), r(F.sum("v")).alias("total"))
-
-
-@query("r03_stitch", f"SELECT x, y, arg_max(v, tile) AS v FROM (SELECT c.*, t.x0, t.x1, t.y0, t.y1 FROM ({_PREDICTED}) c JOIN tiles t ON t.tile = c.tile) k WHERE x >= CASE WHEN x0 = 0 THEN 0 ELSE x0 + 8 END AND x < CASE WHEN x1 >= 160 THEN x1 ELSE x1 - 8 END AND y >= CASE WHEN y0 = 0 THEN 0 ELSE y0 + 8 END AND y < CASE WHEN y1 >= 64 THEN y1 ELSE y1 - 8 END GROUP BY x, y", "pixel", _TILES)
-def r03(spark, d):
-    predicted = raster.in_tiles(fx.pixel(spark, d), tiles(spark)).withColumn("v", F.col("v") + F.col("tile"))
-    return raster.stitched(predicted, tiles(spark), 8, (160, HEIGHT))
-
-
-_ALL_TILES = f"{_SIZE}, tiles AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS tile, a AS x0, a + 64 AS x1, b AS y0, b + 32 AS y1 FROM (SELECT DISTINCT least(32 * i, w - 64) AS a FROM (SELECT unnest(range(CAST(w // 32 + 1 AS BIGINT))) AS i, w FROM sz) g) s, (SELECT unnest([0, 16, 32]) AS b) t)"
-
-
-@query("r02_crop_tiles_all", "SELECT tile, count(*) AS n, round(sum(v), 6) + 0.0 AS total FROM (SELECT t.tile AS tile, p.v AS v FROM pixel p JOIN tiles t ON p.x >= t.x0 AND p.x < t.x1 AND p.y >= t.y0 AND p.y < t.y1) c GROUP BY tile", "pixel", _ALL_TILES)
-def r02_all(spark, d):
-    """Tiles over the whole raster; those of r02_crop_tiles end at x = 160."""
     px = fx.pixel(spark, d)
     return raster.in_tiles(px, raster.image_tiles(px)).groupBy("tile").agg(F.count("*").alias("n"), r(F.sum("v")).alias("total"))
 
 
-@query("r03_stitch_all", f"SELECT x, y, arg_max(v, tile) AS v FROM (SELECT c.*, t.x0, t.x1, t.y0, t.y1, sz.w AS w FROM ({_PREDICTED}) c JOIN tiles t ON t.tile = c.tile, sz) k WHERE x >= CASE WHEN x0 <= 0 THEN 0 ELSE x0 + 8 END AND x < CASE WHEN x1 >= w THEN x1 ELSE x1 - 8 END AND y >= CASE WHEN y0 = 0 THEN 0 ELSE y0 + 8 END AND y < CASE WHEN y1 >= 64 THEN y1 ELSE y1 - 8 END GROUP BY x, y", "pixel", _ALL_TILES)
-def r03_all(spark, d):
-    """Tiles over the whole raster; those of r03_stitch end at x = 160."""
+@query("r03_stitch", f"SELECT x, y, arg_max(v, tile) AS v FROM (SELECT c.*, t.x0, t.x1, t.y0, t.y1, sz.w AS w FROM ({_PREDICTED}) c JOIN tiles t ON t.tile = c.tile, sz) k WHERE x >= CASE WHEN x0 <= 0 THEN 0 ELSE x0 + 8 END AND x < CASE WHEN x1 >= w THEN x1 ELSE x1 - 8 END AND y >= CASE WHEN y0 = 0 THEN 0 ELSE y0 + 8 END AND y < CASE WHEN y1 >= 64 THEN y1 ELSE y1 - 8 END GROUP BY x, y", "pixel", _TILES)
+def r03(spark, d):
     px = fx.pixel(spark, d)
     grid = raster.image_tiles(px)
     predicted = raster.in_tiles(px, grid).withColumn("v", F.col("v") + F.col("tile"))

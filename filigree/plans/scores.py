@@ -103,27 +103,12 @@ def g27(spark, d):
     return fx.run_metric(spark, d).rollup("metric", "run").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("metric", F.col("run").cast("string").alias("run"), "n", "total")
 
 
-_RANKS = "aff AS (SELECT a.gid AS gid, b.gid AS other, round(sum(a.v * b.v), 9) AS aff, b.gid = a.gid + 1 AS good FROM fpos a JOIN fpos b ON a.pos = b.pos AND (b.gid = a.gid + 1 OR b.gid % 50 = 0) WHERE a.gid % 10 = 1 GROUP BY a.gid, b.gid)"
+_RANKS = "aff AS (SELECT a.gid AS gid, b.gid AS other, round(sum(a.v * b.v), 9) AS aff, b.gid = a.gid + 1 AS good FROM fpos a JOIN fpos b ON a.pos = b.pos AND (b.gid = a.gid + 1 OR b.gid IN (SELECT gid FROM neg)) GROUP BY a.gid, b.gid)"
 
 
-@query("w06_mrr", "SELECT round(avg(1.0 / rk), 8) AS mrr, count(*) AS n FROM (SELECT gid, good, rank() OVER (PARTITION BY gid ORDER BY aff DESC, good) AS rk FROM aff) t WHERE good", "fpos", _RANKS)
+@query("w06_mrr", "SELECT round(avg(1.0 / rk), 8) AS mrr, count(*) AS n FROM (SELECT gid, good, rank() OVER (PARTITION BY gid ORDER BY aff DESC, good) AS rk FROM aff) t WHERE good", "feat fpos", f"{NEGATIVES}, {_RANKS}")
 def w06(spark, d):
-    """The mean reciprocal rank of each node's true neighbour among negatives; of equal affinities the true one comes last."""
-    f = fx.feat(spark, d)
-    own = f.where("gid % 10 = 1").selectExpr("gid", "f AS fa")
-    negatives = own.crossJoin(F.broadcast(f.where("gid % 50 = 0").selectExpr("gid AS other", "f AS fb")))  # one row in fifty: grows with the table, w06_mrr_all has a fixed number
-    good = own.join(f.selectExpr("gid - 1 AS gid", "gid AS other", "f AS fb"), "gid").select("gid", "fa", "other", "fb")
-    each = negatives.where("other <> gid + 1").union(good).select("gid", (F.col("other") == F.col("gid") + 1).alias("good"), F.round(v.dot(F.col("fa"), F.col("fb")), 9).alias("aff"))
-    ranks = each.selectExpr("gid", "good", "rank() OVER (PARTITION BY gid ORDER BY aff DESC, good) AS rk").where("good")
-    return ranks.agg(F.round(F.avg(1.0 / F.col("rk")), 8).alias("mrr"), F.count("*").alias("n"))
-
-
-_ALL_RANKS = "aff AS (SELECT a.gid AS gid, b.gid AS other, round(sum(a.v * b.v), 9) AS aff, b.gid = a.gid + 1 AS good FROM fpos a JOIN fpos b ON a.pos = b.pos AND (b.gid = a.gid + 1 OR b.gid IN (SELECT gid FROM neg)) GROUP BY a.gid, b.gid)"
-
-
-@query("w06_mrr_all", "SELECT round(avg(1.0 / rk), 8) AS mrr, count(*) AS n FROM (SELECT gid, good, rank() OVER (PARTITION BY gid ORDER BY aff DESC, good) AS rk FROM aff) t WHERE good", "feat fpos", f"{NEGATIVES}, {_ALL_RANKS}")
-def w06_all(spark, d):
-    """Every node's true neighbour among 20 negatives; w06_mrr ranks one node in ten. The rank is one more than the negatives that are as near or nearer."""
+    """The mean reciprocal rank of every node's true neighbour among 20 negatives. The rank is one more than the negatives that are as near or nearer."""
     f = fx.feat(spark, d)
     good = f.selectExpr("gid", "f AS fa").join(f.selectExpr("gid - 1 AS gid", "f AS fb"), "gid").select("gid", "fa", F.round(v.dot(F.col("fa"), F.col("fb")), 9).alias("true"))
     each = good.crossJoin(F.broadcast(negatives(f).selectExpr("gid AS other", "f AS fn")))  # 20 negatives

@@ -219,24 +219,15 @@ def f18(spark, d):
 _ACTIVATIONS = "SELECT gid, pos, round(exp(v - top) / total, 8) AS softmax, round(1 / (1 + exp(-v)), 6) AS sigmoid, round(greatest(v, 0), 6) AS relu, round(CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END, 6) + 0.0 AS elu, round(v / nrm, 6) + 0.0 AS unit FROM (SELECT *, sum(exp(v - top)) OVER (PARTITION BY gid) AS total, sqrt(sum(v * v) OVER (PARTITION BY gid)) AS nrm FROM (SELECT *, max(v) OVER (PARTITION BY gid) AS top FROM fpos) a) b"
 
 
-@query("f19_activations", f"{_ACTIVATIONS} WHERE gid < 40", "fpos")
+@query("f19_activations", _ACTIVATIONS, "fpos")
 def f19(spark, d):
-    return activations(fx.feat(spark, d).where("gid < 40"))
-
-
-def activations(feat):
+    feat = fx.feat(spark, d)
     rows = feat.select("gid", F.transform("f", lambda x: x.cast("double")).alias("f"))
     rows = rows.select("gid", F.posexplode(F.arrays_zip(F.col("f").alias("v"), v.softmax(F.col("f")).alias("s"), v.unit(F.col("f")).alias("u"))).alias("pos", "z"))
     x = F.col("z")["v"]
     return rows.select("gid", F.col("pos").cast("long").alias("pos"), r(F.col("z")["s"], 8).alias("softmax"), r(v.sigmoid(x)).alias("sigmoid"), r(v.relu(x)).alias("relu"), r(v.elu(x)).alias("elu"), r(F.col("z")["u"]).alias("unit"))
 
 
-@query("f19_activations_all", _ACTIVATIONS, "fpos")
-def f19_all(spark, d):
-    """Every vector; f19_activations takes the first forty."""
-    return activations(fx.feat(spark, d))
-
-
 @query("f20_kl_divergence", "SELECT a.gid AS gid, round(sum(pa * ln(pa / pb)), 5) + 0.0 AS kl FROM (SELECT gid, pos, greatest(abs(v), 1e-9) / sum(greatest(abs(v), 1e-9)) OVER (PARTITION BY gid) AS pa FROM fpos) a JOIN (SELECT gid, pos, greatest(abs(v), 1e-9) / sum(greatest(abs(v), 1e-9)) OVER (PARTITION BY gid) AS pb FROM fpos) b ON b.gid = a.gid + 1 AND b.pos = a.pos GROUP BY a.gid", "fpos")
 def f20(spark, d):
     f = fx.feat(spark, d).select("gid", F.transform("f", lambda x: F.abs(x.cast("double"))).alias("f"))

@@ -20,22 +20,22 @@ def run(spark, name):
 
 def test_every_polyline_is_drawn(spark):
     own = {(int(p.p1), int(p.p0)) for p in fx.poly_points(spark, SF_DIR).collect()}
-    assert {tuple(p) for p in run(spark, "r01_rasterise_all").collect()} == own
+    assert {tuple(p) for p in run(spark, "r01_rasterise").collect()} == own
     grown = {(x + a, y + b) for x, y in own for a in range(-2, 3) for b in range(-2, 3) if x + a >= 0 and y + b >= 0}
-    assert {tuple(p) for p in run(spark, "r24_dilate_all").collect()} == grown
+    assert {tuple(p) for p in run(spark, "r24_dilate").collect()} == grown
 
 
 def test_walks_start_at_every_node_with_neighbours(spark):
-    starts = run(spark, "x06_walks_all").where("step = 1").groupBy("node").count()
+    starts = run(spark, "x06_walks").where("step = 1").groupBy("node").count()
     linked = fx.gnode(spark, SF_DIR).join(fx.real_adj(spark, SF_DIR).select(F.col("src").alias("gid")).distinct(), "gid")
     assert starts.count() == linked.count() and {r["count"] for r in starts.collect()} == {2}
 
 
 def test_every_vector_is_scored(spark):
     n = fx.feat(spark, SF_DIR).count()
-    assert run(spark, "f19_activations_all").select("gid").distinct().count() == n
-    assert run(spark, "j20_affinities_all").count() == 20 * n
-    assert run(spark, "w06_mrr_all").first()["n"] == n - 1
+    assert run(spark, "f19_activations").select("gid").distinct().count() == n
+    assert run(spark, "j20_affinities").count() == 20 * n
+    assert run(spark, "w06_mrr").first()["n"] == n - 1
 
 
 def test_tiles_reach_every_pixel(spark):
@@ -57,8 +57,8 @@ def test_tiles_of_a_small_image(spark):
 
 def test_every_pixel_is_cropped_and_stitched(spark):
     n = fx.pixel(spark, SF_DIR).count()
-    assert run(spark, "r03_stitch_all").count() == n
-    assert run(spark, "r02_crop_tiles_all").agg(F.sum("n")).first()[0] >= n
+    assert run(spark, "r03_stitch").count() == n
+    assert run(spark, "r02_crop_tiles").agg(F.sum("n")).first()[0] >= n
 
 
 def test_average_decays_over_blocks(spark):
