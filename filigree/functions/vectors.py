@@ -72,3 +72,10 @@ def one_hot(y: Column) -> Column:
 def argmax(a: Column) -> Column:
     """The first place of the largest value."""
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+
+
+def column_cosine(a: Column, b: Column) -> Column:
+    """Of n x 2 arrays, row after row: the dot product of their second columns over the norms of the whole arrays."""
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    second = F.aggregate(F.filter(products, lambda x, i: i % 2 == 1), F.lit(0.0), lambda s, x: s + x)
+    return second / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

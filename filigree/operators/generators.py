@@ -87,3 +87,8 @@ def pointed_growth(spark: SparkSession, p0: int, p1: int, size: int, width: int,
     steps = max(math.ceil(max(p1, width - p1) / gx), math.ceil(max(p0, height - p0) / gy)) + 1
     s = F.col("id")
     return spark.range(steps).select(s.alias("step"), F.greatest(F.lit(0), p1 - size - gx * s).alias("x0"), F.least(F.lit(width), p1 + size + gx * s).alias("x1"), F.greatest(F.lit(0), p0 - size - gy * s).alias("y0"), F.least(F.lit(height), p0 + size + gy * s).alias("y1"))
+
+
+def full_image(pixels: DataFrame) -> DataFrame:
+    """x0, x1, y0, y1, n: the box of the whole image and its pixels; ends are exclusive."""
+    return pixels.agg(F.lit(0).alias("x0"), (F.max("x") + 1).alias("x1"), F.lit(0).alias("y0"), (F.max("y") + 1).alias("y1"), F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +11,29 @@ from pyspark.sql import functions as F
 NUMBERED_ROWS = 100_000
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared folder of spark.checkpoint.dir; only where none is set (tests), in a local one."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            import tempfile
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; only where none is set (tests), a local one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        import tempfile
 
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            path = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for what a job writes, in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import gzip
+import time
+from dataclasses import asdict
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources import sinks, text
+from ..operators.keeping import dense_ids, new_folder
+from ..sources import parameters, raw, selection, sinks, text
 from . import fixtures as fx
 from .registry import query
 from .shapes import lines, r
@@ -141,3 +148,121 @@ def b10(spark, d):
 @query("b12_walk_lines", "SELECT v1 AS node, CAST(v1 AS VARCHAR) || chr(9) || CAST(v2 AS VARCHAR) AS line FROM gedge", "gedge")
 def b12(spark, d):
     return fx.gedge(spark, d).select(F.col("v1").alias("node"), F.concat_ws("\t", F.col("v1").cast("string"), F.col("v2").cast("string")).alias("line"))
+
+
+# --- through files, written to the shared folder and read back ----------------------------------------------
+
+
+@F.pandas_udf("binary")
+def float_bytes(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda f: np.asarray(f, dtype="<f4").tobytes())
+
+
+@F.pandas_udf("binary")
+def grey_map(ids: pd.Series) -> pd.Series:
+    """An 8 x 4 grey map with a comment, gzipped."""
+    pixels = lambda i: bytes((i * 7 + k * 13) % 256 for k in range(32))
+    return ids.map(lambda i: gzip.compress(b"P5 # made up\n8 4\n255\n" + pixels(i)))
+
+
+@query("a08_raw_images", "SELECT 'img_' || gid AS image, pos // 8 AS x, pos % 8 AS y, round((v - lo) / (hi - lo), 6) AS v FROM (SELECT *, min(v) OVER (PARTITION BY gid) AS lo, max(v) OVER (PARTITION BY gid) AS hi FROM fpos) t", "fpos")
+def a08(spark, d):
+    """Every vector as an 8 x 8 image; Spark has no writer of binary files, so contents lie in a table as the reader gives them."""
+    files = fx.feat(spark, d).select(F.format_string("/data/img_%d_8_8.raw", "gid").alias("path"), float_bytes("f").alias("content"))
+    return raw.decoded_images(files).select("image", "x", "y", r(F.col("v")).alias("v"))
+
+
+@query("a09_grey_maps", "SELECT 'm' || gid AS image, k % 8 AS x, k // 8 AS y, round(((gid * 7 + k * 13) % 256) / 255.0, 6) AS v FROM feat, (SELECT unnest(range(32)) AS k) p", "feat")
+def a09(spark, d):
+    files = fx.feat(spark, d).select(F.format_string("/data/m%d.pgm.gz", "gid").alias("path"), grey_map("gid").alias("content"))
+    return raw.grey_maps(files).select("image", "x", "y", r(F.col("v")).alias("v"))
+
+
+@query("a10_dataset_selection", "SELECT i.idx AS idx, o_orderkey AS image, o_custkey AS mask, o_totalprice AS seg FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders) i WHERE idx < 100")
+def a10(spark, d):
+    """Three lists joined by place, the first hundred places."""
+    placed = dense_ids(fx.table(spark, d, "orders"), "o_orderkey")
+    each = {name: placed.select(F.col("idx").cast("long").alias("idx"), F.col(column).alias("value")) for name, column in (("image", "o_orderkey"), ("mask", "o_custkey"), ("seg", "o_totalprice"))}
+    return selection.zipped(each, first=100)
+
+
+_SHARED = "learning_rate 0.1\n_epochs 7\nepochs 9\nx_box 1,2\nx_box 3,4\nclass_weights True\nunknown 5\n"
+_PERSONAL = "epochs 12\ny_box 5,6\n"
+
+
+@query("a11_parameters", "SELECT * FROM (VALUES ('learning_rate', '0.1'), ('epochs', '12'), ('batch_size', '128'), ('class_weights', 'True'), ('x_box', '((1, 2), (3, 4))'), ('y_box', '((5, 6),)'), ('samples', '(25, 10)')) t(name, value)")
+def a11(spark, d):
+    """A shared file and a personal one over it; a12's record types the values and gives defaults."""
+    to = new_folder(spark, "parameters")
+    for name, lines in (("shared", _SHARED), ("personal", _PERSONAL)):
+        spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(f"{to}/{name}")
+    read = lambda name: "\n".join(row["value"] for row in spark.read.text(f"{to}/{name}", wholetext=True).collect())  # noqa: E731  (a parameter file)
+    found = asdict(parameters.load(read("shared"), read("personal")))
+    return spark.createDataFrame([(k, str(found[k])) for k in ("learning_rate", "epochs", "batch_size", "class_weights", "x_box", "y_box", "samples")], "name string, value string")
+
+
+@query("a16_embedding_files", "SELECT vec_id AS id, len(embedding) AS n, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS norm FROM embeddings")
+def a16_files(spark, d):
+    """Arrays of a thousand rows, and beside each the ids of its rows, line by line."""
+    rows = dense_ids(fx.feat(spark, d).select(F.col("gid").alias("id"), "f"), "id")
+    files = raw.encoded_vectors(rows)
+    ids = files.select("path", F.posexplode(F.split("ids", "\n")).alias("idx", "id"))
+    norm = F.sqrt(F.aggregate("f", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return raw.decoded_vectors(files).join(ids, ["path", "idx"]).select(F.col("id").cast("long").alias("id"), F.size("f").cast("long").alias("n"), F.round(norm, 4).alias("norm"))
+
+
+@query("b01_geometry_files", "SELECT l.gid AS gid, n, round(f0, 6) AS f0, round(l1, 6) AS l1, count(e.gid) AS junctions FROM line l LEFT JOIN gedge e ON e.v1 = l.gid GROUP BY ALL", "line gedge")
+def b01(spark, d):
+    to = new_folder(spark, "geometry")
+    sinks.geometry(lines(spark, d).withColumn("dim", F.lit(1)), f"{to}/geom")
+    sinks.junctions(fx.gedge(spark, d), f"{to}/edges")
+    back, edges = text.read(spark, f"{to}/geom", text.geometry), text.read(spark, f"{to}/edges", text.junctions)
+    p = F.col("points")
+    ends = back.select("gid", F.size(p).cast("long").alias("n"), r(F.get(p, F.lit(0))["p0"]).alias("f0"), r(F.element_at(p, -1)["p1"]).alias("l1"))
+    degree = edges.groupBy(F.col("v1").alias("gid")).agg(F.count("*").alias("junctions"))
+    return ends.join(degree, "gid", "left").withColumn("junctions", F.coalesce("junctions", F.lit(0).cast("long")))
+
+
+@query("b03_prediction_files", "SELECT gid, round(p, 6) AS p FROM pred", "pred")
+def b03_files(spark, d):
+    to = new_folder(spark, "predictions")
+    sinks.predictions(fx.pred(spark, d), to)
+    return spark.read.csv(to, sep=" ", schema="gid long, p double").select("gid", r(F.col("p")).alias("p"))
+
+
+@query("b08_ranked_importance", "SELECT row_number() OVER (ORDER BY value DESC, name) - 1 AS line, name, value FROM (SELECT 'f' || pos AS name, round(abs(corr(v, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END)), 6) AS value FROM fpos GROUP BY pos) t", "fpos")
+def b08(spark, d):
+    """Features by how far they correlate with the label, written in their order."""
+    to = new_folder(spark, "importance")
+    each = fx.feat(spark, d).select(F.when(F.col("label") >= 5, 1.0).otherwise(0.0).alias("y"), F.posexplode("f").alias("pos", "v"))
+    sinks.ranked(each.groupBy("pos").agg(r(F.abs(F.corr(F.col("v").cast("double"), "y"))).alias("value")).select(F.format_string("f%d", "pos").alias("name"), "value"), to)
+    parts = F.split("value", " ")
+    return text.numbered_lines(spark, to).select("line", F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).cast("double").alias("value"))
+
+
+@query("b09_timings", "SELECT * FROM (VALUES ('read', true), ('count', true)) t(name, measured)")
+def b09(spark, d):
+    """Seconds of two steps, written as lines."""
+    to, begin = new_folder(spark, "timings"), time.monotonic()
+    nodes = fx.gnode(spark, d)
+    read = time.monotonic() - begin
+    nodes.count()
+    sinks.scores(spark.createDataFrame([("read", read), ("count", time.monotonic() - begin - read)], "name string, value double"), to)
+    parts = F.split("value", " ")
+    return spark.read.text(to).select(F.get(parts, F.lit(0)).alias("name"), (F.get(parts, F.lit(1)).cast("double") >= 0).alias("measured"))
+
+
+@query("b10_score_files", "SELECT metric AS name, count(*) AS value FROM run_metric GROUP BY metric", "run_metric")
+def b10_files(spark, d):
+    to, parts = new_folder(spark, "scores"), F.split("value", " ")
+    sinks.scores(fx.run_metric(spark, d).groupBy(F.col("metric").alias("name")).agg(F.count("*").alias("value")), to)
+    return spark.read.text(to).select(F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).cast("long").alias("value"))
+
+
+@query("b16_overwritten_run", "SELECT gid, CASE partition WHEN 'train' THEN 0 WHEN 'test' THEN 1 ELSE 2 END AS code FROM part_of WHERE y = 1", "part_of")
+def b16(spark, d):
+    """A run that writes over what the run before has left."""
+    to, nodes = new_folder(spark, "partitions"), fx.part_of(spark, d)
+    sinks.partitions(nodes, to)
+    sinks.partitions(nodes.where("y = 1"), to, mode="overwrite")
+    return spark.read.csv(to, sep=" ", schema="gid long, code int")

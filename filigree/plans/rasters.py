@@ -302,6 +302,12 @@ def n03(spark, d):
     return generators.tiles_of(boxes)
 
 
+@query("n04_full_image", "SELECT 0 AS x0, max(x) + 1 AS x1, 0 AS y0, max(y) + 1 AS y1, count(*) AS n FROM pixel", "pixel")
+def n04(spark, d):
+    """The crop of the image's full width, which only the whole image is."""
+    return generators.full_image(fx.pixel(spark, d))
+
+
 @query("n05_sliding_windows", "SELECT DISTINCT 50 * i AS x0, CASE WHEN 50 * i + 100 > 400 THEN 399 ELSE 50 * i + 100 END AS x1, 25 * i AS y0, CASE WHEN 25 * i + 50 > 200 THEN 199 ELSE 25 * i + 50 END AS y1 FROM (SELECT unnest(range(8)) AS i) s")
 def n05(spark, d):
     return generators.sliding_pairs(spark, 4, 400, 200, step=0.5)

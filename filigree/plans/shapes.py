@@ -92,6 +92,14 @@ def small(p: Column) -> Column:
     return g.point(p["p0"] / 200, p["p1"] / 200)
 
 
+@query("f09_column_cosine", "SELECT a.gid AS gid, round(sum(a.v * b.v) FILTER (WHERE a.pos % 2 = 1) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))), 6) + 0.0 AS c FROM fpos a JOIN fpos b ON b.gid = a.gid + 1 AND b.pos = a.pos GROUP BY a.gid", "fpos")
+def f09(spark, d):
+    """Not the usual cosine: of two n x 2 arrays, the product of the second columns over both arrays' norms."""
+    f = fx.feat(spark, d)
+    pairs = f.join(f.select((F.col("gid") - 1).alias("gid"), F.col("f").alias("h")), "gid")
+    return pairs.select("gid", r(v.column_cosine(F.col("f"), F.col("h"))).alias("c"))
+
+
 @query("f10_hyperbolic", f"SELECT gid, round({hyper_sql('f0', 'f1', 'l0', 'l1')}, 5) AS dist FROM line", "line")
 def f10(spark, d):
     return lines(spark, d).select("gid", r(g.poincare(small(g.first(pts())), small(g.last(pts()))), 5).alias("dist"))

@@ -85,3 +85,14 @@ def node_link_json(nodes: DataFrame, links: DataFrame, json_rows: int = JSON_ROW
     a = nodes.groupBy(dealt(nodes, "gid")).agg(F.to_json(F.collect_list(F.struct(F.col("gid").alias("id"), "partition", "y"))).alias("json")).select(F.lit("nodes").alias("kind"), "part", "json")
     b = links.groupBy(dealt(links, "src", "dst")).agg(F.to_json(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target")))).alias("json")).select(F.lit("links").alias("kind"), "part", "json")
     return a.unionByName(b)
+
+
+def ranked(df: DataFrame, path: str, mode: str = "error") -> None:
+    """'name value' lines, the largest value first, in one file: there are as many as features."""
+    line = F.concat_ws(" ", "name", F.col("value").cast("string"))
+    df.orderBy(F.desc("value"), "name").coalesce(1).select(line.alias("value")).write.mode(mode).text(path)
+
+
+def scores(df: DataFrame, path: str, mode: str = "error") -> None:
+    """'name value' lines of any number, in no order."""
+    _write(df, F.concat_ws(" ", "name", F.col("value").cast("string")), path, mode)
