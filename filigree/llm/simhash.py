@@ -288,8 +288,8 @@ def fingerprint_classes(marked: DataFrame) -> DataFrame:
     return rooted.join(named, "root").select("fp", "root", "component_id")
 
 
-#: Ids to remove up to this number are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bytes of ids to remove that are broadcast, with 32 a row for their table; more are joined by shuffle.
+BROADCAST_BYTES = 32_000_000
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,9 +303,9 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     again = cut(found.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("several")).where("n > 1"))
     several = again.where("several").select(F.col("doc_id").alias("_several"))
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).unionByName(several.withColumnRenamed("_several", "_gone")).distinct()
-    n = gone.count()
+    size = gone.agg(F.coalesce(F.sum(F.octet_length(F.col("_gone").cast("string")) + 32), F.lit(0))).first()[0]
     key = F.col(f"`{id_col}`")
-    kept = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, key == F.col("_gone"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, key == F.col("_gone"), "left_anti")
     if again.isEmpty():
         return kept
     copies = again.where("NOT several").select(F.col("doc_id").alias("_again"))
