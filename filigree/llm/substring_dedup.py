@@ -1,27 +1,25 @@
 """Removal of long strings that occur more than once, by hash-compared suffix sorting.
 
-A string of 400 bytes that starts at two places selects the same anchor in both: the least of the
-hashes of its 160-byte parts. So places are compared only with places of equal anchor:
+A string of 256 bytes that starts at two places selects the same anchor in both: the least of the
+hashes of its 100-byte parts. A string of 400 bytes goes by the anchor of its first 256. So places are
+compared only with places of equal anchor:
 
 1. Every text gives its anchors, each with the run of starts that select it (its owned starts), found
    by prefix polynomial hashes and sliding minima. Anchors met once in the corpus are dropped.
 2. Where the content around an anchor (all bytes of its owned strings) occurs twice as a whole, every
-   owned start repeats. Contents are compared by 128-bit digests, apart from the anchors' hashes.
+   owned start repeats. Contents are compared by 128 bits of BLAKE2b, apart from the anchors' hashes.
 3. Different contents of an anchor meet in a shard, one copy each. Their suffixes from the anchor on are
    merge-sorted; two suffixes compare by the length of their common extension, found by binary search
    over prefix hashes. Extensions of neighbours to the right and hashes to the left tell which starts
-   repeat; the bytes of every pair that decides are then compared outright.
+   repeat; the bytes of every pair that decides are then compared outright. One sort serves both lengths.
 4. Anchors with too many contents for a shard are resolved start by start, counted by digest with
    combiners before the shuffle.
 
-Equal texts of 400 bytes or more go as a whole. All stages spread over hashes; none gathers more than a
-shard of bounded size.
+Strings of 400 bytes are removed. Those of 256, about 50 words, are counted as well: passages that
+documents share although they are too short to be removed.
 
-Passages of 51 words, whatever their length in bytes, are found by the same sort, with words in the place
-of bytes (and any white space between them); they are counted, and nothing is removed for their sake.
-
-Whole texts and whole contents are told apart by 128 bits of SHA-256 and BLAKE2b, for which no two inputs
-with one digest are known; all else that hashes decide is compared byte by byte.
+Equal texts go as a whole, by 128 bits of SHA-256. All stages spread over hashes; none gathers more than
+a shard of bounded size.
 """
 
 from __future__ import annotations
@@ -29,7 +27,6 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,9 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, texts_of
 
-LENGTH, PART = 400, 160
-#: Words of a passage, and of the parts that select its anchor.
-WORDS, WORD_PART = 51, 12
+#: Bytes of a string that is removed, of a passage that is counted, and of the parts that select an anchor.
+LENGTH, PASSAGE, PART = 400, 256, 100
 #: Contents in a shard, about, and contents of an anchor from which its starts are counted one by one.
 SHARD, CROWD = 4_000, 8_000
 #: Starts that are hashed at a time.
@@ -66,59 +62,14 @@ def _sums(data: np.ndarray, exponent: np.ndarray) -> np.ndarray:
     return out
 
 
-class Bytes:
-    """A text as a row of bytes."""
-
-    def __init__(self, text: bytes):
-        self.text = text
-        self.symbols = np.frombuffer(text, dtype=np.uint8)
-
-    def slice(self, start: int, end: int) -> bytes:
-        return self.text[start:end]
-
-
-class Words:
-    """A text as a row of words, each a 64-bit hash; their bytes are joined by single spaces."""
-
-    def __init__(self, text: bytes):
-        self.text = b" ".join(text.split())  # at ASCII white space
-        data = np.frombuffer(self.text, dtype=np.uint8)
-        space = data == 32
-        self.begin = np.append(np.append(0, np.flatnonzero(space) + 1), len(data) + 1) if len(data) else np.zeros(1, dtype=np.int64)
-        if len(data):
-            within = np.arange(len(data)) - np.repeat(self.begin[:-1], np.diff(self.begin))[: len(data)]
-            terms = (data.astype(np.uint64) + np.uint64(1)) * _UP[within % len(_UP)]
-            terms[space] = 0
-            self.symbols = np.add.reduceat(terms, self.begin[:-1])
-        else:
-            self.symbols = np.zeros(0, dtype=np.uint64)
-
-    def slice(self, start: int, end: int) -> bytes:
-        return self.text[self.begin[start] : self.begin[end] - 1]
-
-
-@dataclass(frozen=True)
-class Unit:
-    """How a text is read, the length of the strings that are searched for, and of the parts that select their anchors."""
-
-    name: str
-    view: type
-    length: int
-    part: int
-
+def anchors(text: bytes, length: int = PASSAGE, part: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, place, first, last): anchors with the first and last start of a string of ``length`` bytes that selects them.
 
-BYTES, PASSAGES = Unit("bytes", Bytes, LENGTH, PART), Unit("words", Words, WORDS, WORD_PART)
-
-
-def anchors(view: Bytes | Words, unit: Unit = BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, place, first, last): anchors with the first and last start of a string of the unit's length that selects them.
-
-    Which anchor a string selects depends on its symbols alone: the leftmost of its least hashes.
+    Which anchor a string selects depends on its bytes alone: the leftmost of its least hashes.
     """
-    length, part = unit.length, unit.part
     window = length - part + 1
-    for start in range(0, len(view.symbols) - length + 1, CHUNK):
-        data = view.symbols[start : start + CHUNK + length - 1]
+    for start in range(0, len(text) - length + 1, CHUNK):
+        data = np.frombuffer(text, dtype=np.uint8)[start : start + CHUNK + length - 1]
         sums = _sums(data, _DOWN[: len(data)])
         n = len(data) - part + 1
         hashes = (sums[part:] - sums[:-part]) * _UP[:n]
@@ -156,49 +107,38 @@ def _batch(columns: dict) -> pa.RecordBatch:
 # --- passes over the texts -------------------------------------------------------------------------
 
 
-#: A passage of so many words has at least so many bytes; shorter texts have neither long strings nor passages.
-SHORTEST = 2 * WORDS - 1
-
-
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
     """(digest, text) of the texts of a batch, equal texts once in a partition."""
     seen: set[bytes] = set()
     for batch in slices(batches):
         out = []
         for text in texts_of(batch.column(0)):
-            if len(text) >= SHORTEST and (key := _text_digest(text)) not in seen:
+            if len(text) >= PASSAGE and (key := _text_digest(text)) not in seen:
                 seen.add(key)
                 out.append((key, text))
         yield out
 
 
 def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of both units; those of words are told apart by their lowest bit."""
     for texts in _once(batches):
-        if found := [_named(a[0], unit) for _, text in texts for unit in (BYTES, PASSAGES) for a in anchors(unit.view(text), unit)]:
-            yield _batch({"g": np.concatenate(found)})
-
-
-def _named(hashes: np.ndarray, unit: Unit) -> np.ndarray:
-    """Hashes with the unit in their lowest bit."""
-    return ((hashes & ~np.uint64(1)) | np.uint64(unit is PASSAGES)).view(np.int64)
+        if found := [a[0] for _, text in texts for a in anchors(text)]:
+            yield _batch({"g": np.concatenate(found).view(np.int64)})
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each text; at holds the first start, and how far behind it the place and the last start lie."""
     for texts in _once(batches):
         owners, contents, found = [], [], []
         for key, text in texts:
-            for unit in (BYTES, PASSAGES):
-                view = unit.view(text)
-                for hashes, place, first, last in anchors(view, unit):
-                    found.append((_named(hashes, unit), place, first, last))
-                    owners += [key] * len(place)
-                    contents += [_digest(view.slice(a, b + unit.length) + (p - a).to_bytes(4, "little")) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)]
+            for hashes, place, first, last in anchors(text):
+                found.append((hashes.view(np.int64), (first << 16) | ((place - first) << 8) | (last - first)))
+                owners += [key] * len(place)
+                contents += [_digest(text[a : b + LENGTH] + (p - a).to_bytes(1) + (b - a).to_bytes(1)) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)]
         if found:
-            g, place, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+            g, at = (np.concatenate(x) for x in zip(*found, strict=True))
             c1, c2 = _pairs(contents)
             t1, t2 = _pairs(owners)
-            yield _batch({"g": g, "c1": c1, "c2": c2, "t1": t1, "t2": t2, "place": place.astype(np.int32), "first": first.astype(np.int32), "last": last.astype(np.int32)})
+            yield _batch({"g": g, "c1": c1, "c2": c2, "t1": t1, "t2": t2, "at": at})
 
 
 def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +153,7 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         texts = texts_of(batch.column(1))
         whole = [hashlib.sha256(t) for t in texts]
         t1, t2 = _pairs([w.digest()[:16] for w in whole])
-        n_words = pa.array([len(t.split()) for t in texts], pa.int64())
-        yield _batch({"doc_id": batch.column(0), "t1": t1, "t2": t2, "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_words": n_words, "sha256": pa.array([w.hexdigest() for w in whole])})
+        yield _batch({"doc_id": batch.column(0), "t1": t1, "t2": t2, "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "sha256": pa.array([w.hexdigest() for w in whole])})
 
 
 # --- a shard: suffix sort ---------------------------------------------------------------------------
@@ -223,17 +162,17 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 class Suffixes:
     """Suffixes of contents from their anchors on, with prefix hashes over all contents of a shard."""
 
-    def __init__(self, contents: list[bytes], offsets: np.ndarray, groups: np.ndarray, unit: Unit = BYTES):
-        self.views = [unit.view(c) for c in contents]
-        self.symbols = np.concatenate([v.symbols for v in self.views])
-        sizes = np.array([len(v.symbols) for v in self.views])
+    def __init__(self, contents: list[bytes], offsets: np.ndarray, groups: np.ndarray):
+        self.data = b"".join(contents)
+        sizes = np.array([len(c) for c in contents])
         self.begin = np.cumsum(sizes) - sizes
         self.offset, self.group = offsets, groups
         self.anchor, self.right = self.begin + offsets, sizes - offsets
-        self.sums = _sums(self.symbols, _DOWN[np.arange(len(self.symbols)) - np.repeat(self.begin, sizes)])
+        self.bytes = np.frombuffer(self.data, dtype=np.uint8)
+        self.sums = _sums(self.bytes, _DOWN[np.arange(len(self.data)) - np.repeat(self.begin, sizes)])
 
     def hashes(self, which: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Polynomial hashes of size symbols from start on, a place within content which."""
+        """Polynomial hashes of size bytes from start on, a place within content which."""
         return (self.sums[start + size] - self.sums[start]) * _UP[start - self.begin[which]]
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -249,8 +188,8 @@ class Suffixes:
         """Whether suffix x sorts before suffix y; a suffix that the other extends sorts first."""
         size = self.common(x, y)
         ends_x, ends_y = size == self.right[x], size == self.right[y]
-        last = len(self.symbols) - 1
-        next_x, next_y = self.symbols[np.minimum(self.anchor[x] + size, last)], self.symbols[np.minimum(self.anchor[y] + size, last)]
+        last = len(self.bytes) - 1
+        next_x, next_y = self.bytes[np.minimum(self.anchor[x] + size, last)], self.bytes[np.minimum(self.anchor[y] + size, last)]
         return np.where(ends_x | ends_y, ends_x & ~ends_y, next_x < next_y)
 
     def sorted(self) -> np.ndarray:
@@ -283,20 +222,24 @@ class Suffixes:
         return order
 
 
-def repeated_starts(contents: list[bytes], offsets: np.ndarray, groups: np.ndarray, unit: Unit = BYTES) -> list[np.ndarray]:
-    """For each content the starts (from its begin) of strings of the unit's length that another content of its group holds at the same anchor.
+def repeated_starts(contents: list[bytes], offsets: np.ndarray, groups: np.ndarray, lengths: tuple[int, ...] = (LENGTH,)) -> list[list[np.ndarray]]:
+    """For each length, for each content, the starts (from its begin) of strings of that length that another content of its group holds at the same anchor.
 
-    offsets: where the anchor lies in each content. A content's strings are all that hold its anchor.
+    offsets: where the anchor lies in each content. A string's anchor lies within its first PASSAGE bytes.
     """
-    length = unit.length
-    suffixes = Suffixes(contents, offsets, groups, unit)
+    suffixes = Suffixes(contents, offsets, groups)
     order = suffixes.sorted()
     begin_new = np.append(True, suffixes.group[order][1:] != suffixes.group[order][:-1])
     extension = np.append(0, suffixes.common(order[:-1], order[1:])) if len(order) > 1 else np.zeros(1, dtype=np.int64)
     extension[begin_new] = -1
+    return [_repeated(suffixes, order, extension, contents, length) for length in lengths]
+
+
+def _repeated(suffixes: Suffixes, order: np.ndarray, extension: np.ndarray, contents: list[bytes], length: int) -> list[np.ndarray]:
+    offsets, groups = suffixes.offset, suffixes.group
     offset, right, anchor = offsets[order], suffixes.right[order], suffixes.anchor[order]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
-    for left in range(length - unit.part + 1):  # symbols of a string before its anchor
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for left in range(PASSAGE - PART + 1):  # bytes of a string before its anchor
         fits = np.flatnonzero((offset >= left) & (right >= length - left))
         if len(fits) < 2:
             continue
@@ -314,11 +257,11 @@ def repeated_starts(contents: list[bytes], offsets: np.ndarray, groups: np.ndarr
     by = np.lexsort((left, y, x))
     x, y, left = x[by], y[by], left[by]
     new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-    views, wrong = suffixes.views, set()
+    data, anchor, wrong = suffixes.data, suffixes.anchor, set()
     for a, b in zip(new.tolist(), np.append(new[1:], len(x)).tolist(), strict=True):
         i, j, low, high = int(x[a]), int(y[a]), int(left[a]), int(left[b - 1])
-        p, q = int(offsets[i]), int(offsets[j])
-        if views[i].slice(p - high, p + length - low) == views[j].slice(q - high, q + length - low):
+        p, q = int(anchor[i]), int(anchor[j])
+        if data[p - high : p + length - low] == data[q - high : q + length - low]:
             own = left[a:b].tolist()
             out[i].update(own)
             out[j].update(own)
@@ -328,8 +271,8 @@ def repeated_starts(contents: list[bytes], offsets: np.ndarray, groups: np.ndarr
         own = np.flatnonzero(groups == g)
         seen: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for i in own.tolist():
-            for s in range(len(views[i].symbols) - length + 1):
-                seen[views[i].slice(s, s + length)].append((i, int(offsets[i]) - s))
+            for s in range(len(contents[i]) - length + 1):
+                seen[contents[i][s : s + length]].append((i, int(offsets[i]) - s))
             out[i] = set()
         for places in seen.values():
             if len(places) > 1:
@@ -348,58 +291,58 @@ def _ranges(starts: np.ndarray) -> list[dict[str, int]]:
 _RANGES = "array<struct<first:int,last:int>>"
 
 
+#: From at of an anchor: where its owned starts begin and end, and where it lies.
+_FIRST, _LAST, _PLACE = "shiftright(at, 16)", "shiftright(at, 16) + (at & 255)", "shiftright(at, 16) + (shiftright(at, 8) & 255)"
+
+
 def _search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for unit in (BYTES, PASSAGES):
-        own = pdf[(pdf["g"] & 1) == int(unit is PASSAGES)]
-        if len(own):
-            found = repeated_starts(own["content"].tolist(), own["offset"].to_numpy(dtype=np.int64), own["g"].to_numpy(), unit)
-            out.append(pd.DataFrame({"g": own["g"], "c1": own["c1"], "c2": own["c2"], "ranges": [_ranges(s) for s in found]}))
-    return pd.concat(out)
+    """The repeated starts of each content, of both lengths; an owned start behind whose strings the text ends has none."""
+    long, short = repeated_starts(pdf["content"].tolist(), pdf["offset"].to_numpy(dtype=np.int64), pdf["g"].to_numpy(), (LENGTH, PASSAGE))
+    short = [s[s <= n] for s, n in zip(short, pdf["starts"].to_numpy(), strict=True)]
+    return pd.DataFrame({"g": pdf["g"], "c1": pdf["c1"], "c2": pdf["c2"], "ranges": [_ranges(s) for s in long], "passages": [_ranges(s) for s in short]})
 
 
 def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contents wanted of each text."""
+    """The bytes of the contents wanted of each text; starts is the last owned start."""
     for batch in slices(batches):
         rows = []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            views: dict[str, Bytes | Words] = {}
             for w in wanted:
-                unit = PASSAGES if w["g"] & 1 else BYTES
-                view = views.get(unit.name) or views.setdefault(unit.name, unit.view(text))
-                rows.append((w["g"], w["c1"], w["c2"], w["place"] - w["first"], view.slice(w["first"], w["last"] + unit.length), w["crowd"]))
+                first, starts = w["at"] >> 16, w["at"] & 255
+                rows.append((w["g"], w["c1"], w["c2"], w["at"] >> 8 & 255, starts, text[first : first + starts + LENGTH], w["crowd"]))
         if rows:
-            g, c1, c2, offset, content, crowd = zip(*rows, strict=True)
-            yield _batch({"g": pa.array(g, pa.int64()), "c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64()), "offset": pa.array(offset, pa.int32()), "content": pa.array(content, pa.binary()), "crowd": pa.array(crowd, pa.bool_())})
+            g, c1, c2, offset, starts, content, crowd = zip(*rows, strict=True)
+            yield _batch({"g": pa.array(g, pa.int64()), "c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64()), "offset": pa.array(offset, pa.int32()), "starts": pa.array(starts, pa.int32()), "content": pa.array(content, pa.binary()), "crowd": pa.array(crowd, pa.bool_())})
 
 
 def _start_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every start of the contents of a crowded anchor, with the digest of its string."""
+    """Every start of the contents of a crowded anchor, with the digests of its strings of both lengths."""
     for batch in slices(batches):
-        if batch.num_rows:
-            strings, starts = [], []
-            for g, content in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                unit = PASSAGES if g & 1 else BYTES
-                view = unit.view(content)
-                starts.append(len(view.symbols) - unit.length + 1)
-                strings += [_digest(view.slice(s, s + unit.length) + unit.name.encode()) for s in range(starts[-1])]
-            s1, s2 = _pairs(strings)
-            at = pa.array(np.repeat(np.arange(len(starts)), starts))
-            yield _batch({**{k: batch.column(i).take(at) for i, k in enumerate(("g", "c1", "c2"))}, "s1": s1, "s2": s2, "start": pa.array(np.concatenate([np.arange(n) for n in starts]), pa.int32())})
+        owner, starts, digests, short = [], [], [], []
+        for i, (content, last) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            for length in (LENGTH, PASSAGE):
+                n = min(last, len(content) - length) + 1
+                owner += [i] * n
+                starts += range(n)
+                short += [length == PASSAGE] * n
+                digests += [_digest(content[s : s + length]) for s in range(n)]
+        if digests:
+            s1, s2 = _pairs(digests)
+            yield _batch({**{k: batch.column(i).take(pa.array(owner)) for i, k in enumerate(("g", "c1", "c2"))}, "s1": s1, "s2": s2, "short": pa.array(short), "start": pa.array(starts, pa.int32())})
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that repeated passages of a text cover."""
+    """The bytes that the repeated passages of a text cover."""
     for batch in slices(batches):
         counts = []
         for lists in batch.column(2).to_pylist():
             at, n = 0, 0
             for first, last in sorted((r["first"], r["last"]) for r in lists):
-                n += max(0, last + WORDS - max(first, at))
-                at = max(at, last + WORDS)
+                n += max(0, last + PASSAGE - max(first, at))
+                at = max(at, last + PASSAGE)
             counts.append(n)
         if batch.num_rows:
-            yield _batch({"t1": batch.column(0), "t2": batch.column(1), "n_passage_words": pa.array(counts, pa.int64())})
+            yield _batch({"t1": batch.column(0), "t2": batch.column(1), "n_repeated": pa.array(counts, pa.int64())})
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,58 +370,60 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(text: DataFrame) -> DataFrame:
-    """t1, t2, words, first, last: the starts of repeated strings (words: passages) in each text of one column, by the text's digest. Texts that are equal as a whole may lack theirs."""
+    """t1, t2, short, first, last: the starts of repeated strings (short: passages) in each text of one column, by the text's digest. Texts that are equal as a whole may lack theirs; a range of long strings may reach beyond the text's last."""
     hashes = text.mapInArrow(_anchor_hashes, "g long")
     known = cut(hashes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
-    rows = text.mapInArrow(_anchor_rows, "g long, c1 long, c2 long, t1 long, t2 long, place int, first int, last int")
+    rows = text.mapInArrow(_anchor_rows, "g long, c1 long, c2 long, t1 long, t2 long, at long")
     held = cut(rows.join(known, "g"))
     # one copy of each content, with whether it occurs again as a whole
-    contents = cut(held.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place", "first", "last")).alias("at")))
+    contents = cut(held.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "at")).alias("of")))
     several = contents.groupBy("g").agg(F.count("*").alias("contents")).where("contents > 1")
-    wanted = contents.join(several, "g").select("g", "c1", "c2", "at.*", (F.col("contents") > CROWD).alias("crowd"))
+    wanted = contents.join(several, "g").select("g", "c1", "c2", "of.*", (F.col("contents") > CROWD).alias("crowd"))
     wanted = cut(wanted)
     n = wanted.count()
-    lists = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("g", "c1", "c2", "place", "first", "last", "crowd")).alias("wanted"))
+    lists = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("g", "c1", "c2", "at", "crowd")).alias("wanted"))
     texts = text.mapInArrow(_text_rows, "t1 long, t2 long, bytes binary")
     # several tasks may have met an equal text: then its contents come as often, and count once
-    fetched = texts.join(lists.hint("shuffle_hash"), ["t1", "t2"]).select("bytes", "wanted").mapInArrow(_content_rows, "g long, c1 long, c2 long, offset int, content binary, crowd boolean")
+    fetched = texts.join(lists.hint("shuffle_hash"), ["t1", "t2"]).select("bytes", "wanted").mapInArrow(_content_rows, "g long, c1 long, c2 long, offset int, starts int, content binary, crowd boolean")
     shards = max(1, -(-n // SHARD))
     sharded = fetched.where("NOT crowd").withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).dropDuplicates(["shard", "g", "c1", "c2"])
-    ranges = sharded.groupBy("shard").applyInPandas(_search_shard, f"g long, c1 long, c2 long, ranges {_RANGES}").where(F.size("ranges") > 0).select("g", "c1", "c2", F.inline("ranges"))
+    both = sharded.groupBy("shard").applyInPandas(_search_shard, f"g long, c1 long, c2 long, ranges {_RANGES}, passages {_RANGES}").where(F.size("ranges") + F.size("passages") > 0)
+    tagged = lambda name, short: F.transform(name, lambda r: F.struct(F.lit(short).alias("short"), r["first"].alias("from"), r["last"].alias("to")))
+    ranges = both.select("g", "c1", "c2", F.inline(F.concat(tagged("ranges", False), tagged("passages", True))))
     if not wanted.where("crowd").isEmpty():
-        starts = cut(fetched.where("crowd").dropDuplicates(["g", "c1", "c2"]).select("g", "c1", "c2", "content").mapInArrow(_start_rows, "g long, c1 long, c2 long, s1 long, s2 long, start int"))
-        again = cut(starts.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-        ranges = ranges.unionByName(starts.join(again, ["s1", "s2"]).select("g", "c1", "c2", F.col("start").alias("first"), F.col("start").alias("last")))
-    words = (F.col("g").bitwiseAND(F.lit(1).cast("long")) == 1).alias("words")
-    partly = held.join(ranges.withColumnsRenamed({"first": "from", "last": "to"}), ["g", "c1", "c2"]).select("t1", "t2", words, (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to")).alias("last"))
-    wholly = held.join(contents.where("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"]).select("t1", "t2", words, "first", "last")
-    return wholly.unionByName(partly)
+        starts = cut(fetched.where("crowd").dropDuplicates(["g", "c1", "c2"]).select("g", "c1", "c2", "content", "starts").mapInArrow(_start_rows, "g long, c1 long, c2 long, s1 long, s2 long, short boolean, start int"))
+        again = cut(starts.groupBy("s1", "s2", "short").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+        ranges = ranges.unionByName(starts.join(again, ["s1", "s2", "short"]).select("g", "c1", "c2", "short", F.col("start").alias("from"), F.col("start").alias("to")))
+    first = F.expr(_FIRST)
+    partly = held.join(ranges, ["g", "c1", "c2"]).select("t1", "t2", "short", (first + F.col("from")).alias("first"), (first + F.col("to")).alias("last"))
+    whole = held.join(contents.where("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"]).select("t1", "t2", first.alias("first"), F.expr(_LAST).alias("last"))
+    return whole.select("t1", "t2", F.explode(F.array(F.lit(False), F.lit(True))).alias("short"), "first", "last").unionByName(partly)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every whole text without the bytes of strings of 400 bytes that start at another place too, in the same document or another.
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, n_passage_words (words
-    that passages of 51 words cover which start at another place too, removed or not; passages shorter than
-    400 bytes stay in the text) and kept (the bytes that remain, null where all do). All strings are judged on
-    the input. A null text counts as empty; texts of less than 400 bytes stay. Null ids stay null; every row
-    is a document, so a repeated row repeats its text; other columns are not read; an empty table gives an
-    empty result.
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, n_repeated (bytes
+    that strings of 256 bytes cover which start at another place too; nothing is removed for their sake)
+    and kept (the bytes that remain, null where all do). All strings are judged on the input. A null text
+    counts as empty; texts of less than 400 bytes stay. Null ids stay null; every row is a document, so a
+    repeated row repeats its text; other columns are not read; an empty table gives an empty result.
     """
     text = docs.select(F.col(text_col).alias("text"))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    base = cut(slim.mapInArrow(_document_rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n_bytes long, n_words long, sha256 string"))
-    counted = cut(base.where(F.col("n_bytes") >= SHORTEST).groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("n_words").alias("n_words")))
-    found = cut(repeated_ranges(text).join(counted.where("copies = 1").select("t1", "t2"), ["t1", "t2"], "left_semi"))
+    base = cut(slim.mapInArrow(_document_rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n_bytes long, sha256 string"))
+    counted = cut(base.where(F.col("n_bytes") >= PASSAGE).groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("size")))
+    single = counted.where("copies = 1").drop("copies")
+    # an owned start may lie too near the text's end for a long string
+    fits = F.least("last", F.col("size") - F.when(F.col("short"), PASSAGE).otherwise(LENGTH))
+    found = cut(repeated_ranges(text).join(single, ["t1", "t2"]).select("t1", "t2", "short", "first", fits.cast("long").alias("last")).where("first <= last"))
     gather = lambda df: df.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    lists = gather(found.where("NOT words"))
     texts = text.mapInArrow(_text_rows, "t1 long, t2 long, bytes binary")
-    changed = texts.join(lists.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", "bytes", "ranges").mapInArrow(_removed, "t1 long, t2 long, n_removed long, n_spans long, kept binary")
+    changed = texts.join(gather(found.where("NOT short")).hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", "bytes", "ranges").mapInArrow(_removed, "t1 long, t2 long, n_removed long, n_spans long, kept binary")
     copied = counted.where("copies > 1")
-    whole = copied.where(F.col("n_bytes") >= LENGTH).select("t1", "t2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
-    passages = gather(found.where("words")).mapInArrow(_covered, "t1 long, t2 long, n_passage_words long").unionByName(copied.where(F.col("n_words") >= WORDS).select("t1", "t2", F.col("n_words").alias("n_passage_words")))
-    told = changed.unionByName(whole).join(passages, ["t1", "t2"], "full")
-    out = base.join(told, ["t1", "t2"], "left")
+    whole = copied.where(F.col("size") >= LENGTH).select("t1", "t2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
+    passages = gather(found.where("short")).mapInArrow(_covered, "t1 long, t2 long, n_repeated long").unionByName(copied.select("t1", "t2", F.col("size").alias("n_repeated")))
+    out = base.join(changed.unionByName(whole).join(passages, ["t1", "t2"], "full"), ["t1", "t2"], "left")
     none = F.lit(0).cast("long")
     removed = F.when(F.col("n_spans").isNull(), none).otherwise(F.coalesce("n_removed", "n_bytes"))
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce(F.sha2("kept", 256), "sha256").alias("kept_sha256"), F.coalesce("n_passage_words", none).alias("n_passage_words"), "kept")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce(F.sha2("kept", 256), "sha256").alias("kept_sha256"), F.coalesce("n_repeated", none).alias("n_repeated"), "kept")
