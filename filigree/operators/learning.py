@@ -42,20 +42,25 @@ def forest(rows: DataFrame, train, trees: int = 50, depth: int = 10, seed: int =
     return scored(RandomForestClassifier(labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, seed=seed).fit(data.where(train)), data)
 
 
-def importances(rows: DataFrame, trees: int = 50, seed: int = 666) -> DataFrame:
+def importances(rows: DataFrame, trees: int = 250, seed: int = 666) -> DataFrame:
     """idx, importance, rank of each feature, largest first."""
     model = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=5, seed=seed).fit(as_vectors(rows))
     found = [(i, float(x)) for i, x in enumerate(model.featureImportances.toArray())]  # one number a feature
     return rows.sparkSession.createDataFrame(found, "idx int, importance double").selectExpr("idx", "importance", "row_number() OVER (ORDER BY importance DESC, idx) AS rank")
 
 
-def pixel_forest(rows: DataFrame, train, trees: int = 20, share: float = 0.05, seed: int = 666) -> DataFrame:
-    """A regressor whose trees see a share of the pixels each: gid, y, p."""
+def pixel_forest(rows: DataFrame, train, trees: int = 50, depth: int = 10, share: float = 0.05, seed: int = 666) -> DataFrame:
+    """A regressor whose trees see a share of the pixels each: gid, y, p, one row a pixel."""
     data = as_vectors(rows)
-    model = RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=8, subsamplingRate=share, seed=seed).fit(data.where(train))
+    model = RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=depth, subsamplingRate=share, seed=seed).fit(data.where(train))
     return model.transform(data).select("gid", "y", F.col("prediction").alias("p"))
 
 
+def voted(pixels: DataFrame) -> DataFrame:
+    """gid, y, p: the mean prediction of a polyline's pixels (gid, y, p)."""
+    return pixels.groupBy("gid").agg(F.max("y").alias("y"), F.avg("p").alias("p"))
+
+
 def perceptron(rows: DataFrame, train, width: int, hidden: tuple[int, ...] = (16, 8), iterations: int = 40, seed: int = 1) -> DataFrame:
     data = as_vectors(rows)
     return scored(MultilayerPerceptronClassifier(labelCol="y", layers=[width, *hidden, 2], maxIter=iterations, seed=seed).fit(data.where(train)), data)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..operators import aggregation, graph, learning, neural, spatial
+from ..operators import aggregation, graph, learning, metrics, neural, raster, spatial
+from ..operators.keeping import keep
 from . import fixtures as fx
 from .registry import query
+from .shapes import r
+
 
 def train():
     return F.col("gid") % 5 != 0
@@ -29,12 +34,16 @@ def m18_majority(spark, d):
 
 @query("m19_rf_nodes")
 def m19(spark, d):
-    return learning.forest(labelled(spark, d), train(), trees=20, depth=5)
+    return learning.forest(labelled(spark, d), train())
 
 
 @query("m20_rf_pixels")
 def m20(spark, d):
-    return learning.pixel_forest(labelled(spark, d), train(), share=0.5)
+    """Pixels by their value, their blurred value and the edge there, each with the label of its column; then votes."""
+    px = fx.pixel(spark, d)
+    blurred, edge = raster.gaussian(px, 1.0).withColumnRenamed("v", "g"), raster.weighted(px, raster.SOBEL).withColumnRenamed("v", "e")
+    rows = px.join(blurred, ["x", "y"]).join(edge, ["x", "y"]).select(F.col("x").alias("gid"), F.array("v", "g", "e").alias("f"))
+    return learning.voted(learning.pixel_forest(rows.join(fx.pred(spark, d).select("gid", "y"), "gid"), train()))
 
 
 @query("m21_mlp")
@@ -42,11 +51,37 @@ def m21(spark, d):
     return learning.perceptron(labelled(spark, d), train(), 64)
 
 
+def self_and_neighbours(spark, d):
+    rows = aggregation.propagate(fx.ring(spark, d), fx.feat(spark, d).select("gid", "f"), "mean", hops=1)
+    return rows.join(labelled(spark, d).select("gid", "y"), "gid")
+
+
 @query("m14_graphsage")
 def m14(spark, d):
-    """Features of a node and its neighbours, then a classifier."""
-    rows = aggregation.propagate(fx.ring(spark, d), fx.feat(spark, d).select("gid", "f"), "mean", hops=1)
-    return learning.logistic(rows.join(labelled(spark, d).select("gid", "y"), "gid"), train())
+    """A node's vector behind the mean of its neighbours', through weights that are trained with the classifier: the mean aggregator's two matrices are the hidden layer's."""
+    return learning.perceptron(self_and_neighbours(spark, d), train(), 128)
+
+
+@query("m17_train_and_evaluate")
+def m17(spark, d):
+    """The same model after more and more rounds, with its scores on the nodes it has and hasn't seen."""
+    rows, out = self_and_neighbours(spark, d), []
+    for rounds in (5, 20, 40):
+        said = keep(learning.perceptron(rows, train(), 128, iterations=rounds).withColumn("yhat", (F.col("p") > 0.5).cast("int")))
+        for part, chosen in (("train", train()), ("val", ~train())):
+            out.append(metrics.averaged_scores(said.where(chosen)).select(F.lit(rounds).alias("rounds"), F.lit(part).alias("partition"), "avg_type", "f1"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@query("m_fits", "SELECT name, n, true AS in_range, true AS fits FROM (VALUES ('m14_graphsage'), ('m18_logreg'), ('m19_rf_nodes'), ('m21_mlp')) t(name), (SELECT count(*) AS n FROM pred) c", "pred")
+def m_fits(spark, d):
+    """Facts that hold for every fitted model: a probability for each node, and a loss on the training nodes below that of the mean label."""
+    data = labelled(spark, d)
+    models = {"m14_graphsage": m14, "m18_logreg": m18, "m19_rf_nodes": m19, "m21_mlp": m21}
+    share = data.where(train()).agg(F.avg("y").alias("_share"))  # one row
+    loss = lambda p: F.avg(F.when(train(), -F.log(F.greatest(F.when(F.col("y") == 1, p).otherwise(1 - p), F.lit(1e-12)))))
+    facts = [m(spark, d).crossJoin(F.broadcast(share)).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.min(F.col("p").between(0, 1)).alias("in_range"), (loss(F.col("p")) < loss(F.col("_share"))).alias("fits")) for name, m in models.items()]
+    return reduce(lambda a, b: a.unionByName(b), facts)
 
 
 @query("m13_node2vec")
@@ -57,7 +92,7 @@ def m13(spark, d):
 
 @query("g25_importance")
 def g25(spark, d):
-    return learning.importances(labelled(spark, d), trees=20)
+    return learning.importances(labelled(spark, d))
 
 
 @query("f24_pca")
@@ -99,6 +134,11 @@ def m12(spark, d):
     return pairs.agg(F.count("*").alias("n"), F.round(F.sum(F.log1p(F.exp(-v.dot(F.col("a"), F.col("b"))))), 4).alias("loss"))
 
 
-@query("x08_spread_seeds")
+_NEAR = "SELECT p0, p1, arg_min(i, (d, i)) AS i FROM (SELECT p.gid, p.seq, p.p0, p.p1, s.i, (p.p0 - s.q0) * (p.p0 - s.q0) + (p.p1 - s.q1) * (p.p1 - s.q1) AS d FROM poly_points p, s{k} s) t GROUP BY gid, seq, p0, p1"
+_ROUND = "s{n} AS MATERIALIZED (SELECT s.i AS i, coalesce(m.a, s.q0) AS q0, coalesce(m.b, s.q1) AS q1 FROM s{k} s LEFT JOIN (SELECT i, avg(p0) AS a, avg(p1) AS b FROM (" + _NEAR + ") n GROUP BY i) m ON m.i = s.i)"
+_LLOYD = ", ".join(["s0 AS MATERIALIZED (SELECT i, a0 + (a1 - a0) * ((i * 0.618034) % 1) AS q0, b0 + (b1 - b0) * (i + 0.5) / 12 AS q1 FROM (SELECT unnest(range(12)) AS i) r, (SELECT min(p0) AS a0, max(p0) AS a1, min(p1) AS b0, max(p1) AS b1 FROM poly_points) b)", *(_ROUND.format(n=k + 1, k=k) for k in range(3))])
+
+
+@query("x08_spread_seeds", "SELECT CAST(i AS INTEGER) AS qid, round(q0, 5) AS q0, round(q1, 5) AS q1 FROM s3", "poly_points", _LLOYD)
 def x08(spark, d):
-    return spatial.spread_seeds(fx.poly_points(spark, d), 12, rounds=3)
+    return spatial.spread_seeds(fx.poly_points(spark, d), 12, rounds=3).select("qid", r(F.col("q0"), 5).alias("q0"), r(F.col("q1"), 5).alias("q1"))

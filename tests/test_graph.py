@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +133,28 @@ def test_splits_are_disjoint_and_repeat(spark):
     assert one == two and set(one.values()) == {"train", "val", "test"}
     sizes = splits.batches(rows, "gid", 64).groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in sizes] == [64] * 7 + [52]
+
+
+def test_nearest_in_empty_country_and_with_ties(spark):
+    """Far queries, points in one corner, equal distances: as brute force."""
+    rng = random.Random(4)
+    points = [(i, rng.random() * 10, rng.random() * 10) for i in range(300)] + [(900, 5_000.0, 5_000.0), (901, 5_000.0, 5_000.0)]
+    queries = [(0, 5.0, 5.0), (1, 400.0, 3.0), (2, -90_000.0, 12.0), (3, 4_990.0, 5_010.0), (4, 2_505.0, 2_505.0)]
+    expected = {q: min((math.hypot(a - x, b - y), g) for g, a, b in points) for q, x, y in queries}
+    got = spatial.nearest(spark.createDataFrame(queries, "qid long, q0 double, q1 double"), spark.createDataFrame(points, "gid long, p0 double, p1 double"), cell=1.0).collect()
+    assert {r["qid"]: r["gid"] for r in got} == {q: e[1] for q, e in expected.items()}
+    assert {r["qid"]: r["dist"] for r in got} == pytest.approx({q: e[0] for q, e in expected.items()}, rel=1e-12)
+    assert "CartesianProduct" not in spatial.nearest(spark.range(3).selectExpr("id AS qid", "0.5 AS q0", "0.5 AS q1"), spark.createDataFrame(points, "gid long, p0 double, p1 double"), cell=1.0)._jdf.queryExecution().toString()
+    nothing = spark.createDataFrame([], "gid long, p0 double, p1 double")
+    assert spatial.nearest(spark.range(1).selectExpr("id AS qid", "0.5 AS q0", "0.5 AS q1"), nothing, cell=1.0).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 70])
+def test_dense_ids_where_one_key_has_most_rows(spark, monkeypatch, rows):
+    monkeypatch.setattr(keeping, "NUMBERED_ROWS", rows)
+    df = spark.range(1_000).selectExpr("CASE WHEN id % 10 < 9 THEN 7 ELSE id END AS k", "id * 37 % 1000 AS t").repartition(5)
+    got = sorted((r["idx"], r["k"], r["t"]) for r in keeping.dense_ids(df, "k", "t").collect())
+    assert [g[0] for g in got] == list(range(1_000)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    if rows < 1_000:
+        ranges = df.repartitionByRange(15, "k", "t").groupBy(F.spark_partition_id()).count()
+        assert ranges.agg(F.max("count")).first()[0] < 300
