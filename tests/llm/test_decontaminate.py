@@ -70,3 +70,14 @@ def test_empty_tables(spark):
     nothing = spark.createDataFrame([], ITEMS)
     assert decontaminate.find_contamination(empty(spark), nothing).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.find_contamination(documents(spark), nothing).collect())
+
+
+def test_blocks_are_bounded_whatever_an_item_holds(spark, monkeypatch):
+    """One very long item, one id with a third of the rows, and repeated rows: small blocks, and every window in some block."""
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 30)
+    benchmark = [(1, prose(5, 3_000))] + [(2, prose(100 + i, 20)) for i in range(50)] + [(3, "the same row again and again")] * 50
+    blocks = decontaminate.benchmark_blocks(spark.createDataFrame(benchmark, ITEMS), "item_id", "text", block_bytes=2_000)
+    sizes = [sum(len(r["text"]) for r in b.collect()) for b in blocks]
+    assert len(blocks) > 5 and max(sizes) < 8_000
+    windows = {w for s in decontaminate.window_sets((r["item"], r["text"].encode()) for b in blocks for r in b.collect()) for w in s.owners}
+    assert windows == {w for s in decontaminate.window_sets((str(i), t.encode()) for i, t in benchmark) for w in s.owners}
