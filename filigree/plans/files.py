@@ -9,6 +9,7 @@ from dataclasses import asdict
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..operators.keeping import dense_ids, new_folder
 from ..sources import parameters, raw, selection, sinks, text
@@ -153,12 +154,12 @@ def b12(spark, d):
 # --- through files, written to the shared folder and read back ----------------------------------------------
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def float_bytes(rows: pd.Series) -> pd.Series:
     return rows.map(lambda f: np.asarray(f, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def grey_map(ids: pd.Series) -> pd.Series:
     """An 8 x 4 grey map with a comment, gzipped."""
     pixels = lambda i: bytes((i * 7 + k * 13) % 256 for k in range(32))
