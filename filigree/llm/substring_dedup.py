@@ -1,7 +1,7 @@
 """Removal of long strings that occur more than once, by hash-compared suffix sorting.
 
-A string of 256 bytes that starts at two places selects the same anchor in both: the least of the
-hashes of its 100-byte parts. A string of 400 bytes goes by the anchor of its first 256. So places are
+A string of 280 bytes that starts at two places selects the same anchor in both: the least of the
+hashes of its 112-byte parts. A string of 400 bytes goes by the anchor of its first 280. So places are
 compared only with places of equal anchor:
 
 1. Every text gives its anchors, each with the run of starts that select it (its owned starts), found
@@ -15,7 +15,7 @@ compared only with places of equal anchor:
 4. Anchors with too many contents for a shard are resolved start by start, counted by digest with
    combiners before the shuffle.
 
-Strings of 400 bytes are removed. Those of 256, about 50 words, are counted as well: passages that
+Strings of 400 bytes are removed. Those of 280, about 50 words, are counted as well: passages that
 documents share although they are too short to be removed.
 
 Equal texts go as a whole, by 128 bits of SHA-256. All stages spread over hashes; none gathers more than
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices, texts_of
 
 #: Bytes of a string that is removed, of a passage that is counted, and of the parts that select an anchor.
-LENGTH, PASSAGE, PART = 400, 256, 100
+LENGTH, PASSAGE, PART = 400, 280, 112
 #: Contents in a shard, about, and contents of an anchor from which its starts are counted one by one.
 SHARD, CROWD = 4_000, 8_000
 #: Starts that are hashed at a time.
@@ -289,6 +289,8 @@ def _ranges(starts: np.ndarray) -> list[dict[str, int]]:
 
 
 _RANGES = "array<struct<first:int,last:int>>"
+#: What a range of starts has: strings of 400 bytes, passages, or both.
+LONG, SHORT, BOTH = 0, 1, 2
 
 
 #: From at of an anchor: where its owned starts begin and end, and where it lies.
@@ -318,59 +320,54 @@ def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _start_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every start of the contents of a crowded anchor, with the digests of its strings of both lengths."""
     for batch in slices(batches):
-        owner, starts, digests, short = [], [], [], []
+        owner, starts, digests, kinds = [], [], [], []
         for i, (content, last) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
             for length in (LENGTH, PASSAGE):
                 n = min(last, len(content) - length) + 1
                 owner += [i] * n
                 starts += range(n)
-                short += [length == PASSAGE] * n
+                kinds += [SHORT if length == PASSAGE else LONG] * n
                 digests += [_digest(content[s : s + length]) for s in range(n)]
         if digests:
             s1, s2 = _pairs(digests)
-            yield _batch({**{k: batch.column(i).take(pa.array(owner)) for i, k in enumerate(("g", "c1", "c2"))}, "s1": s1, "s2": s2, "short": pa.array(short), "start": pa.array(starts, pa.int32())})
+            yield _batch({**{k: batch.column(i).take(pa.array(owner)) for i, k in enumerate(("g", "c1", "c2"))}, "s1": s1, "s2": s2, "kind": pa.array(kinds, pa.int32()), "start": pa.array(starts, pa.int32())})
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes that the repeated passages of a text cover."""
-    for batch in slices(batches):
-        counts = []
-        for lists in batch.column(2).to_pylist():
-            at, n = 0, 0
-            for first, last in sorted((r["first"], r["last"]) for r in lists):
-                n += max(0, last + PASSAGE - max(first, at))
-                at = max(at, last + PASSAGE)
-            counts.append(n)
-        if batch.num_rows:
-            yield _batch({"t1": batch.column(0), "t2": batch.column(1), "n_repeated": pa.array(counts, pa.int64())})
+def _runs(ranges: list[tuple[int, int]], length: int, size: int) -> list[list[int]]:
+    """The bytes that strings of a length from these ranges of starts cover in a text, as runs; starts too near its end have no string."""
+    out: list[list[int]] = []
+    for first, last in sorted(ranges):
+        end = min(last, size - length) + length
+        if first + length > end:
+            continue
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([first, end])
+    return out
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without what their repeated starts cover."""
+    """Texts without what their repeated starts cover (null: nothing is removed), and what passages cover."""
     for batch in slices(batches):
-        t1, t2, sizes, spans, texts = batch.column(0), batch.column(1), [], [], []
+        sizes, spans, repeated, texts = [], [], [], []
         for text, lists in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            keep, at, gone, runs = [], 0, 0, 0
-            for first, last in sorted((r["first"], r["last"]) for r in lists):
-                if first > at or not runs:
-                    keep.append(text[at:first])
-                    gone += last + LENGTH - first
-                    runs += 1
-                else:
-                    gone += max(0, last + LENGTH - at)
-                at = max(at, last + LENGTH)
-            texts.append(b"".join(keep) + text[at:])
-            sizes.append(gone)
-            spans.append(runs)
+            runs = _runs([(r["first"], r["last"]) for r in lists if r["kind"] != SHORT], LENGTH, len(text))
+            passages = _runs([(r["first"], r["last"]) for r in lists if r["kind"] != LONG], PASSAGE, len(text))
+            edges = [0, *(e for run in runs for e in run), len(text)]
+            texts.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else None)
+            sizes.append(sum(b - a for a, b in runs))
+            spans.append(len(runs))
+            repeated.append(sum(b - a for a, b in passages))
         if batch.num_rows:
-            yield _batch({"t1": t1, "t2": t2, "n_removed": pa.array(sizes, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(texts, pa.binary())})
+            yield _batch({"t1": batch.column(0), "t2": batch.column(1), "n_removed": pa.array(sizes, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "n_repeated": pa.array(repeated, pa.int64()), "kept": pa.array(texts, pa.binary())})
 
 
 # --- the job ------------------------------------------------------------------------------------------
 
 
 def repeated_ranges(text: DataFrame) -> DataFrame:
-    """t1, t2, short, first, last: the starts of repeated strings (short: passages) in each text of one column, by the text's digest. Texts that are equal as a whole may lack theirs; a range of long strings may reach beyond the text's last."""
+    """t1, t2, kind, first, last: the starts of repeated strings in each text of one column, by the text's digest. Texts that are equal as a whole may lack theirs; a range may reach beyond the text's last string."""
     hashes = text.mapInArrow(_anchor_hashes, "g long")
     known = cut(hashes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     rows = text.mapInArrow(_anchor_rows, "g long, c1 long, c2 long, t1 long, t2 long, at long")
@@ -388,23 +385,23 @@ def repeated_ranges(text: DataFrame) -> DataFrame:
     shards = max(1, -(-n // SHARD))
     sharded = fetched.where("NOT crowd").withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).dropDuplicates(["shard", "g", "c1", "c2"])
     both = sharded.groupBy("shard").applyInPandas(_search_shard, f"g long, c1 long, c2 long, ranges {_RANGES}, passages {_RANGES}").where(F.size("ranges") + F.size("passages") > 0)
-    tagged = lambda name, short: F.transform(name, lambda r: F.struct(F.lit(short).alias("short"), r["first"].alias("from"), r["last"].alias("to")))
-    ranges = both.select("g", "c1", "c2", F.inline(F.concat(tagged("ranges", False), tagged("passages", True))))
+    tagged = lambda name, kind: F.transform(name, lambda r: F.struct(F.lit(kind).alias("kind"), r["first"].alias("from"), r["last"].alias("to")))
+    ranges = both.select("g", "c1", "c2", F.inline(F.concat(tagged("ranges", LONG), tagged("passages", SHORT))))
     if not wanted.where("crowd").isEmpty():
-        starts = cut(fetched.where("crowd").dropDuplicates(["g", "c1", "c2"]).select("g", "c1", "c2", "content", "starts").mapInArrow(_start_rows, "g long, c1 long, c2 long, s1 long, s2 long, short boolean, start int"))
-        again = cut(starts.groupBy("s1", "s2", "short").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-        ranges = ranges.unionByName(starts.join(again, ["s1", "s2", "short"]).select("g", "c1", "c2", "short", F.col("start").alias("from"), F.col("start").alias("to")))
+        starts = cut(fetched.where("crowd").dropDuplicates(["g", "c1", "c2"]).select("g", "c1", "c2", "content", "starts").mapInArrow(_start_rows, "g long, c1 long, c2 long, s1 long, s2 long, kind int, start int"))
+        again = cut(starts.groupBy("s1", "s2", "kind").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+        ranges = ranges.unionByName(starts.join(again, ["s1", "s2", "kind"]).select("g", "c1", "c2", "kind", F.col("start").alias("from"), F.col("start").alias("to")))
     first = F.expr(_FIRST)
-    partly = held.join(ranges, ["g", "c1", "c2"]).select("t1", "t2", "short", (first + F.col("from")).alias("first"), (first + F.col("to")).alias("last"))
-    whole = held.join(contents.where("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"]).select("t1", "t2", first.alias("first"), F.expr(_LAST).alias("last"))
-    return whole.select("t1", "t2", F.explode(F.array(F.lit(False), F.lit(True))).alias("short"), "first", "last").unionByName(partly)
+    partly = held.join(ranges, ["g", "c1", "c2"]).select("t1", "t2", "kind", (first + F.col("from")).alias("first"), (first + F.col("to")).alias("last"))
+    whole = held.join(contents.where("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"]).select("t1", "t2", F.lit(BOTH).alias("kind"), first.alias("first"), F.expr(_LAST).alias("last"))
+    return whole.unionByName(partly)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every whole text without the bytes of strings of 400 bytes that start at another place too, in the same document or another.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, n_repeated (bytes
-    that strings of 256 bytes cover which start at another place too; nothing is removed for their sake)
+    that strings of 280 bytes cover which start at another place too; nothing is removed for their sake)
     and kept (the bytes that remain, null where all do). All strings are judged on the input. A null text
     counts as empty; texts of less than 400 bytes stay. Null ids stay null; every row is a document, so a
     repeated row repeats its text; other columns are not read; an empty table gives an empty result.
@@ -413,17 +410,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = cut(slim.mapInArrow(_document_rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n_bytes long, sha256 string"))
     counted = cut(base.where(F.col("n_bytes") >= PASSAGE).groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("size")))
-    single = counted.where("copies = 1").drop("copies")
-    # an owned start may lie too near the text's end for a long string
-    fits = F.least("last", F.col("size") - F.when(F.col("short"), PASSAGE).otherwise(LENGTH))
-    found = cut(repeated_ranges(text).join(single, ["t1", "t2"]).select("t1", "t2", "short", "first", fits.cast("long").alias("last")).where("first <= last"))
-    gather = lambda df: df.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    found = repeated_ranges(text).join(counted.where("copies = 1").select("t1", "t2"), ["t1", "t2"], "left_semi")
+    lists = found.groupBy("t1", "t2").agg(F.collect_list(F.struct("kind", "first", "last")).alias("ranges"))
     texts = text.mapInArrow(_text_rows, "t1 long, t2 long, bytes binary")
-    changed = texts.join(gather(found.where("NOT short")).hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", "bytes", "ranges").mapInArrow(_removed, "t1 long, t2 long, n_removed long, n_spans long, kept binary")
-    copied = counted.where("copies > 1")
-    whole = copied.where(F.col("size") >= LENGTH).select("t1", "t2", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
-    passages = gather(found.where("short")).mapInArrow(_covered, "t1 long, t2 long, n_repeated long").unionByName(copied.select("t1", "t2", F.col("size").alias("n_repeated")))
-    out = base.join(changed.unionByName(whole).join(passages, ["t1", "t2"], "full"), ["t1", "t2"], "left")
+    changed = texts.join(lists.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", "bytes", "ranges").mapInArrow(_removed, "t1 long, t2 long, n_removed long, n_spans long, n_repeated long, kept binary")
+    long = F.col("size") >= LENGTH
+    whole = counted.where("copies > 1").select("t1", "t2", F.when(long, F.col("size")).otherwise(0).alias("n_removed"), long.cast("long").alias("n_spans"), F.col("size").alias("n_repeated"), F.when(long, F.lit("").cast("binary")).alias("kept"))
+    out = base.join(changed.unionByName(whole), ["t1", "t2"], "left")
     none = F.lit(0).cast("long")
-    removed = F.when(F.col("n_spans").isNull(), none).otherwise(F.coalesce("n_removed", "n_bytes"))
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce(F.sha2("kept", 256), "sha256").alias("kept_sha256"), F.coalesce("n_repeated", none).alias("n_repeated"), "kept")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce(F.sha2("kept", 256), "sha256").alias("kept_sha256"), F.coalesce("n_repeated", none).alias("n_repeated"), "kept")

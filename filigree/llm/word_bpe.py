@@ -16,6 +16,8 @@ import ahocorasick
 #: Latin-1 lower-case letters, digits and white space as the tokenizer's pattern sorts them.
 _LETTER, _DIGIT, _BLANK = r"a-zªµºß-öø-ÿ", r"0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 _WORDS = re.compile(rf"[{_LETTER}]+|[{_DIGIT}]|'(?:[stmd]|re|ve|ll)|[^{_LETTER}{_DIGIT}{_BLANK}]+")
+#: Seams between two tokens that an encoder remembers.
+KNOWN_PAIRS = 100_000
 #: Stands for the end of a word inside the automaton; byte-level text never holds it.
 _END = "\ue000"
 
@@ -145,7 +147,7 @@ class PrefixEncoder:
     def fits(self, a: int, b: int) -> bool:
         pair = (a, b)
         if (out := self.known.get(pair)) is None:
-            if len(self.known) > 300_000:
+            if len(self.known) >= KNOWN_PAIRS:
                 self.known.clear()
             out = self.known[pair] = self._first(a, b, self.never)
         return out

@@ -38,7 +38,7 @@ def rows():
     text = lambda n: " ".join(draw.choice(words) for _ in range(n))
     passages = [text(90) for _ in range(3)] + [text(250)]
     out = [(r[0], r[1][:6_000] if r[1] else r[1], *r[2:]) for r in edge_rows()]
-    out += [(600, "a" * 399, None, None, None), (601, "a" * 400, None, None, None), (604, "c" * 256, None, None, None), (605, "c" * 257, None, None, None), (606, "d" * 255, None, None, None), (602, "ab" * 500, None, None, None), (603, "b" * 3_000, None, None, None)]
+    out += [(600, "a" * 399, None, None, None), (601, "a" * 400, None, None, None), (604, "c" * 280, None, None, None), (605, "c" * 281, None, None, None), (606, "d" * 279, None, None, None), (602, "ab" * 500, None, None, None), (603, "b" * 3_000, None, None, None)]
     for i in range(60):
         x = text(draw.randint(1, 150))
         for _ in range(draw.randint(0, 3)):
