@@ -1,7 +1,7 @@
 """Removal of long strings that occur more than once, by hash-compared suffix sorting.
 
 A string of 280 bytes that starts at two places selects the same anchor in both: the least of the
-hashes of its 112-byte parts. A string of 400 bytes goes by the anchor of its first 280. So places are
+hashes of its 160-byte parts. A string of 400 bytes goes by the anchor of its first 280. So places are
 compared only with places of equal anchor:
 
 1. Every text gives its anchors, each with the run of starts that select it (its owned starts), found
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices, texts_of
 
 #: Bytes of a string that is removed, of a passage that is counted, and of the parts that select an anchor.
-LENGTH, PASSAGE, PART = 400, 280, 112
+LENGTH, PASSAGE, PART = 400, 280, 160
 #: Contents in a shard, about, and contents of an anchor from which its starts are counted one by one.
 SHARD, CROWD = 4_000, 8_000
 #: Starts that are hashed at a time.
