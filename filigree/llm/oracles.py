@@ -1,5 +1,6 @@
 """SQL of the text operators that SQL can express on whole tables, for DuckDB."""
 
+from .clustering import SCALE, Settings
 from .quality import STEPS, RiskControl
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,3 +61,55 @@ tails AS (SELECT lang, i, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j +
 safe AS (SELECT c.lang AS lang, coalesce(min(c.i) FILTER (WHERE coalesce(t.p, 1) > {control.error!r} / (SELECT count(DISTINCT coalesce(lang, '')) FROM cells)), {steps}) AS steps FROM cells c LEFT JOIN tails t ON t.lang IS NOT DISTINCT FROM c.lang AND t.i = c.i GROUP BY c.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND step >= coalesce(safe.steps, 0) AS kept FROM v LEFT JOIN safe ON safe.lang IS NOT DISTINCT FROM v.lang
 """
+
+
+EXACT_DEDUP = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def _crc32(text: str) -> str:
+    """The CRC-32 of a text of code points below 256, by half bytes."""
+    halves = list(range(16))
+    for _ in range(4):
+        halves = [x >> 1 ^ (x & 1) * 0xEDB88320 for x in halves]
+    table = "[" + ", ".join(map(str, halves)) + "]::BIGINT[]"
+    utf8 = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c) & 15, unicode(c) >> 4] ELSE [(192 + (unicode(c) >> 6)) & 15, 12, (unicode(c) & 63) & 15, 8 + ((unicode(c) & 63) >> 4)] END))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {utf8}::BIGINT[]), lambda c, x: xor(c >> 4, ({table})[(xor(c, x) & 15) + 1])), 4294967295::BIGINT)"
+
+
+SPELLING = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) t WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed) t WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, length(word) AS m, i, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w) t),
+pairs AS (SELECT x.word AS u, y.word AS v FROM cut x JOIN cut y ON x.m = y.m AND x.i = y.i AND x.a = y.a AND x.b = y.b WHERE x.word <> y.word UNION SELECT c.word, w.word FROM cut c JOIN w ON w.word = c.a || c.b UNION SELECT w.word, c.word FROM cut c JOIN w ON w.word = c.a || c.b),
+best AS (SELECT u, count(*) AS n_near, max(w.n) AS top FROM pairs JOIN w ON w.word = v GROUP BY u),
+formed AS (SELECT w.word AS word, w.n AS n, coalesce(best.n_near, 0) AS n_near, CASE WHEN best.top >= 2 * w.n THEN best.top END AS form_n FROM w LEFT JOIN best ON best.u = w.word),
+form AS (SELECT f.word AS word, min(x.word) AS form FROM formed f JOIN pairs p ON p.u = f.word JOIN w x ON x.word = p.v AND x.n = f.form_n GROUP BY f.word),
+walk AS (SELECT word, word AS place, 0 AS steps FROM w UNION ALL SELECT walk.word, form.form, steps + 1 FROM walk JOIN form ON form.word = walk.place),
+ends AS (SELECT word, arg_max(place, steps) AS root FROM walk GROUP BY word)
+SELECT f.word AS word, form.form AS form, ends.root AS root, f.n AS n, f.n_near AS n_near, f.form_n AS form_n FROM formed f JOIN ends ON ends.word = f.word LEFT JOIN form ON form.word = f.word
+"""
+
+
+def clustering(settings: Settings = Settings()) -> str:
+    """Every vector against every centroid, round by round."""
+    floor_mean = "(s - ((s % n) + n) % n) // n"
+    steps = []
+    for k in range(settings.rounds + 1):
+        steps.append(f"a{k} AS (SELECT row, vec_id, v, unnest(list_sort(list((d, c)))[1:1]) AS best FROM (SELECT row, vec_id, v, c, CAST(list_sum(list_transform(list_zip(v, cv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM vec, c{k}) t GROUP BY row, vec_id, v)")
+        if k < settings.rounds:
+            steps.append(f"m{k} AS (SELECT c, list({floor_mean} ORDER BY j) AS cv FROM (SELECT best[2] AS c, j, CAST(sum(v[j]) AS BIGINT) AS s, CAST(count(*) AS BIGINT) AS n FROM a{k}, (SELECT unnest(range(1, {settings.components + 1})) AS j) t GROUP BY best[2], j) t GROUP BY c)")
+            steps.append(f"c{k + 1} AS (SELECT o.c AS c, coalesce(m{k}.cv, o.cv) AS cv FROM c{k} o LEFT JOIN m{k} ON m{k}.c = o.c)")
+    last = settings.rounds
+    return f"""
+WITH kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {settings.components} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {settings.components}),
+vec AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM kept),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS cv FROM (SELECT sha256('{settings.draw}:' || CAST(vec_id AS VARCHAR)) AS h, v FROM vec WHERE vec_id IS NOT NULL) t ORDER BY h, v LIMIT {settings.centroids}),
+{", ".join(steps)},
+own AS (SELECT best[2] AS c, CAST(sum(best[1]) AS BIGINT) AS cluster_inertia FROM a{last} GROUP BY best[2])
+SELECT a.vec_id AS vec_id, CAST(a.best[2] AS INT) AS cluster, a.best[1] AS distance, own.cluster_inertia AS cluster_inertia, (SELECT CAST(sum(cluster_inertia) AS BIGINT) FROM own) AS inertia, sha256(array_to_string(f.cv, ',')) AS centroid_sha256
+FROM a{last} a JOIN own ON own.c = a.best[2] JOIN c{last} f ON f.c = a.best[2]
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, oracles, pii, quality, sharding, simhash, substring_dedup, token_counts, toxicity
+from . import bpe, clustering, decontaminate, exact_dedup, line_dedup, oracles, pii, quality, sharding, simhash, spelling, substring_dedup, token_counts, toxicity
 
 
 SHARE_5 = quality.RiskControl(share=0.05)
@@ -70,6 +70,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_simhash, op5_quality_rules, op6_sharding, op7_line_dedup, op8_pii, op9_bpe, op10_substring_dedup, quality_rules_share_5)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings")).drop("n_measured")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_simhash, op5_quality_rules, op6_sharding, op7_line_dedup, op8_pii, op9_bpe, op10_substring_dedup, op11_spelling_variants, op12_exact_dedup, op13_centroid_clustering, quality_rules_share_5)}
 #: Hashes, tokenizers and fitted models have no counterpart in SQL; the tests hold those queries against brute force.
-ORACLES: dict[str, str] = {"op3_decontamination": oracles.DECONTAMINATION, "op5_quality_rules": oracles.quality_rules(), "quality_rules_share_5": oracles.quality_rules(SHARE_5), "op7_line_dedup": oracles.LINE_DEDUP}
+ORACLES: dict[str, str] = {"op3_decontamination": oracles.DECONTAMINATION, "op5_quality_rules": oracles.quality_rules(), "quality_rules_share_5": oracles.quality_rules(SHARE_5), "op7_line_dedup": oracles.LINE_DEDUP, "op11_spelling_variants": oracles.SPELLING, "op12_exact_dedup": oracles.EXACT_DEDUP, "op13_centroid_clustering": oracles.clustering()}
