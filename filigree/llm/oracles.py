@@ -56,9 +56,10 @@ m AS (SELECT d.doc_id AS doc_id, d.lang AS lang, coalesce(ws.n, 0) AS n_words, C
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 v AS (SELECT *, {first} AS step FROM b),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
-cells AS (SELECT v.lang AS lang, r.i AS i, count(*) AS n, count(*) FILTER (WHERE v.step <= r.i) AS k FROM v, (SELECT unnest(range(0, {steps})) AS i) r WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY v.lang, r.i),
+held AS (SELECT lang, doc_id, min(step) AS step FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY lang, doc_id),
+cells AS (SELECT held.lang AS lang, r.i AS i, count(*) AS n, count(*) FILTER (WHERE held.step <= r.i) AS k FROM held, (SELECT unnest(range(0, {steps})) AS i) r GROUP BY held.lang, r.i),
 tails AS (SELECT lang, i, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share}))) AS p FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM cells WHERE k < n * {share}) t GROUP BY lang, i),
-safe AS (SELECT c.lang AS lang, coalesce(min(c.i) FILTER (WHERE coalesce(t.p, 1) > {control.error!r} / (SELECT count(DISTINCT coalesce(lang, '')) FROM cells)), {steps}) AS steps FROM cells c LEFT JOIN tails t ON t.lang IS NOT DISTINCT FROM c.lang AND t.i = c.i GROUP BY c.lang)
+safe AS (SELECT c.lang AS lang, coalesce(min(c.i) FILTER (WHERE coalesce(t.p, 1) > {control.error!r} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM cells) u)), {steps}) AS steps FROM cells c LEFT JOIN tails t ON t.lang IS NOT DISTINCT FROM c.lang AND t.i = c.i GROUP BY c.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND step >= coalesce(safe.steps, 0) AS kept FROM v LEFT JOIN safe ON safe.lang IS NOT DISTINCT FROM v.lang
 """
 

@@ -147,12 +147,15 @@ def safe_steps(measured: DataFrame, labels: DataFrame, stratum_col: str, *, cont
     """One row for each stratum with a good document: stratum, n (good documents) and steps, the number of steps that are safe.
 
     measured: the documents' measures with id and stratum. No rule is fitted to the labels, so all
-    labelled documents are the holdout. Several labels of one document count once, as good if one is.
+    labelled documents are the holdout. Several labels of one document count once, as good if one is, and so
+    do several rows of it in a stratum, as rejected by a step if one of them is: copies prove nothing.
     """
     good = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_labelled")).agg(F.max(label_col).alias("_good")).where(F.col("_good") == 1)
-    held = measured.join(good, F.col(id_col) == F.col("_labelled")).where(~F.col(f"`{prefix}base_failed`")).withColumn("_first", first_step(prefix))
+    rows = measured.join(good, F.col(id_col) == F.col("_labelled")).where(~F.col(f"`{prefix}base_failed`"))
+    # a document counts once however many rows it has, as rejected by the first step that rejects one of them
+    held = rows.groupBy(F.col(stratum_col).alias("stratum"), "_labelled").agg(F.min(first_step(prefix)).alias("_first"))
     # a row for each stratum: few files will do
-    counts = cut(held.groupBy(F.col(stratum_col).alias("stratum")).agg(F.count("*").alias("n"), *(F.count_if(F.col("_first") <= i).alias(f"k{i}") for i in range(len(STEPS)))).coalesce(FEW_FILES))
+    counts = cut(held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col("_first") <= i).alias(f"k{i}") for i in range(len(STEPS)))).coalesce(FEW_FILES))
     each = counts.select("stratum", "n", F.inline(F.array(*(F.struct(F.lit(i).alias("step"), F.col(f"k{i}").alias("k")) for i in range(len(STEPS))))))
     strata = counts.agg(F.count("*").alias("strata"))
     tests = each.crossJoin(F.broadcast(strata))  # one row

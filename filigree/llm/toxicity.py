@@ -174,12 +174,14 @@ _SPAN_TYPE = pa.list_(pa.struct([("sentence", pa.int32()), ("start", pa.int32())
 
 def offending(text: bytes, scores: np.ndarray, least: float) -> list[dict]:
     """The sentences whose score is least or more, with their places in code points."""
-    if not (scores >= least).any():
+    chosen = np.flatnonzero(scores >= least)
+    if not len(chosen):
         return []
-    ends = [m.start() for m in _STOP.finditer(text)] + [len(text)]
-    starts = [0] + [m.end() for m in _STOP.finditer(text)]
-    place = lambda at: len(text[:at].decode())
-    return [{"sentence": int(i), "start": place(starts[i]), "end": place(ends[i]), "score": float(scores[i])} for i in np.flatnonzero(scores >= least)]
+    stops = list(_STOP.finditer(text))
+    starts, ends = np.array([0, *(m.end() for m in stops)]), np.array([*(m.start() for m in stops), len(text)])
+    # code points before each byte: bytes that go on with one don't count
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)])
+    return [{"sentence": i, "start": a, "end": b, "score": s} for i, a, b, s in zip(chosen.tolist(), before[starts[chosen]].tolist(), before[ends[chosen]].tolist(), scores[chosen].tolist(), strict=True)]
 
 
 #: The worker's scorer for the job at hand.

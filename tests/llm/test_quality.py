@@ -82,3 +82,16 @@ def test_empty_tables(spark):
     nothing = spark.createDataFrame([], LABELS)
     assert quality.judge_quality(empty(spark), nothing).count() == 0
     assert quality.keep_good(empty(spark), nothing).count() == 0
+
+
+def test_copies_of_a_labelled_document_certify_nothing(spark):
+    """One good document in 500 rows is one document; rows that are judged differently count as rejected."""
+    copies = [(1, prose(1, 40), "en", None, None)] * 500 + [(i, " | ".join(prose(i, 40).split()), "en", None, None) for i in range(2, 5)]
+    labels = spark.createDataFrame([(1, 1, 0)] * 3, LABELS)
+    judged = quality.judge_quality(documents(spark, copies), labels).collect()
+    assert all(r["kept"] for r in judged)
+    measures = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_word_lines long, base_failed boolean"
+    rows = [(i, "a", 100, 500, 0, 0, 5, False) for i in range(437)] + [(7, "a", 100, 500, 90, 0, 5, False), (8, "a", 100, 500, 90, 0, 5, True)]
+    measured = spark.createDataFrame(rows, measures)
+    safe = quality.safe_steps(measured, measured.selectExpr("doc_id", "1 AS quality"), "stratum").collect()
+    assert [(r["n"], r["steps"]) for r in safe] == [(437, 0)]

@@ -95,3 +95,17 @@ def test_without_labels_and_without_documents(spark):
     nothing = spark.createDataFrame([], LABELS)
     assert all(r["score"] < 0.01 for r in score_toxicity(documents(spark, corpus(10)[0]), nothing).collect())
     assert score_toxicity(empty(spark), nothing).count() == 0
+
+
+def test_places_of_many_sentences_take_linear_time():
+    import time
+
+    import numpy as np
+
+    text = ("é bad. " * 60_000).encode()
+    scores = np.ones(60_001)
+    began = time.perf_counter()
+    spans = toxicity.offending(text, scores, 0.5)
+    assert time.perf_counter() - began < 3
+    decoded = text.decode()
+    assert len(spans) == 60_001 and all(decoded[s["start"] : s["end"]].strip() in ("é bad", "") for s in spans[::997])
