@@ -38,9 +38,9 @@ class Fit:
 
     documents: int = 4_000
     text_bytes: int = 20_000
-    features: int = 2_048
+    features: int = 4_096
     feature_documents: int = 5
-    toxic_cost: float = 3.0
+    toxic_cost: float = 6.0
     steps: int = 200
     rate: float = 0.25
     shrink: float = 1e-4
