@@ -46,6 +46,11 @@ def pixel(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("x"), F.posexplode("embedding").alias("y", "v")).select("x", F.col("y").cast("long").alias("y"), F.col("v").cast("double").alias("v"))
 
 
+def image_pixel(spark: SparkSession, d: str) -> DataFrame:
+    """A table of images, of a hundred vectors each."""
+    return pixel(spark, d).select(F.floor(F.col("x") / 100).alias("image"), (F.col("x") % 100).alias("x"), "y", "v")
+
+
 def feat(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("gid"), F.col("embedding").alias("f"), "label")
 

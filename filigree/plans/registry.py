@@ -17,6 +17,8 @@ VIEWS: dict[str, str] = {
     "adj": "SELECT v1 AS src, v2 AS dst FROM gedge WHERE v1 <> v2 UNION SELECT v2, v1 FROM gedge WHERE v1 <> v2",
     "real_adj": "SELECT v1 AS src, v2 AS dst FROM gedge WHERE v1 <> v2 AND v2 >= 0 UNION SELECT v2, v1 FROM gedge WHERE v1 <> v2 AND v2 >= 0",
     "pixel": "SELECT vec_id AS x, generate_subscripts(embedding, 1) - 1 AS y, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings",
+    # a table of images, of a hundred vectors each
+    "image_pixel": "SELECT vec_id // 100 AS image, vec_id % 100 AS x, generate_subscripts(embedding, 1) - 1 AS y, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings",
     "feat": "SELECT vec_id AS gid, embedding AS f, label FROM embeddings",
     "fpos": "SELECT vec_id AS gid, label, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings",
     "pred": "SELECT vec_id AS gid, (CAST(embedding[1] AS DOUBLE) + 1) / 2 AS p, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y FROM embeddings",
