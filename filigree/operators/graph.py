@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keyed
-from .keeping import keep
+from .keeping import keep, store
 
 
 def incidence(edges: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def followed(edges: DataFrame, keys: list[str] = []) -> DataFrame:
     known = edges.select(*keys, "node", "next")
     while True:
         further = known.select(*keys, F.col("node").alias("next"), F.col("next").alias("_next"))
-        step = keep(known.join(further, [*keys, "next"], "left").select(*keys, "node", F.coalesce("_next", "next").alias("next"), F.col("_next").isNotNull().alias("_moved")))
+        step = store(known.join(further, [*keys, "next"], "left").select(*keys, "node", F.coalesce("_next", "next").alias("next"), F.col("_next").isNotNull().alias("_moved")))
         known = step.drop("_moved")
         if step.where("_moved").isEmpty():
             return known

@@ -37,6 +37,17 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame, name: str = "round") -> DataFrame:
+    """df written to a folder of its own in the shared folder and read again.
+
+    For loops of joins: a checkpoint passes on the estimated size of the plan behind it, the product of the
+    sizes of all that was joined, whose digits double with each round; a written table has the size it has.
+    """
+    to = new_folder(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def dense_ids(df: DataFrame, key: str, *ties: str, name: str = "idx") -> DataFrame:
     """df with 0, 1, ... by key, then ties.
 

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from . import tiles
 from .graph import followed
-from .keeping import keep
+from .keeping import store
 
 #: Neighbours in turn around a pixel: steps in x and y.
 AROUND = ((1, 0), (0, 1), (-1, 0), (0, -1))
@@ -151,17 +151,17 @@ class RidgeComplex:
 
     def __init__(self, pixels: DataFrame, size: int = tiles.SIZE):
         self.size = size
-        self._rows = keep(passes(pixels.where("NOT isnan(v)"), size))
+        self._rows = store(passes(pixels.where("NOT isnan(v)"), size))
         self.maxima = self._rows.where(f"kind = {_IS_MAXIMUM}").select("image", "at", "v")
         seam = self._rows.where(f"kind = {_IS_SEAM}").select("image", F.col("at").alias("node"), F.col("a").alias("next"))
         # a seam pixel that leads to another tile goes on there; those that end in their tile are roots
         inner = _tile("node", size) == _tile("next", size)
         ends = seam.where(inner)
-        onward = followed(keep(seam.where(~inner)), keys=["image"])
+        onward = followed(store(seam.where(~inner)), keys=["image"])
         last = ends.select("image", F.col("node").alias("next"), F.col("next").alias("end"))
         crossed = onward.join(last, ["image", "next"], "left").select("image", "node", F.coalesce("end", "next").alias("end"))
-        self._seam = keep(ends.select("image", "node", F.col("next").alias("end")).unionByName(crossed))
-        self.saddles = keep(self._ended(self._ended(self._rows.where(f"kind = {_IS_SADDLE}").select("image", "at", "edge", "v", "a", "b"), "a"), "b"))
+        self._seam = store(ends.select("image", "node", F.col("next").alias("end")).unionByName(crossed))
+        self.saddles = store(self._ended(self._ended(self._rows.where(f"kind = {_IS_SADDLE}").select("image", "at", "edge", "v", "a", "b"), "a"), "b"))
 
     def _ended(self, rows: DataFrame, column: str) -> DataFrame:
         """rows with the place in column followed across seams to its maximum."""
@@ -209,7 +209,7 @@ class RidgeComplex:
         schema = f"image {kind}, at long, edge int, side int, seq long, place long, leaves boolean"
         found, ahead = [], start
         while True:
-            step_ = keep(ahead.withColumn("tile", _tile("place", size)).groupBy("image", "tile").cogroup(held.groupBy("image", "tile")).applyInArrow(follow, schema))
+            step_ = store(ahead.withColumn("tile", _tile("place", size)).groupBy("image", "tile").cogroup(held.groupBy("image", "tile")).applyInArrow(follow, schema))
             found.append(step_.where("NOT leaves"))
             ahead = step_.where("leaves").drop("leaves")
             if ahead.isEmpty():
@@ -234,29 +234,29 @@ class RidgeComplex:
         so the rounds end when nothing falls.
         """
         top = lambda c: self.maxima.select("image", F.col("at").alias(c), F.col("v").alias(f"{c}v"))
-        links = keep(self.saddles.where("a <> b").select("image", F.struct("v", "at", "edge").alias("s"), "a", "b").join(top("a"), ["image", "a"]).join(top("b"), ["image", "b"]))
+        links = store(self.saddles.where("a <> b").select("image", F.struct("v", "at", "edge").alias("s"), "a", "b").join(top("a"), ["image", "a"]).join(top("b"), ["image", "b"]))
         gone = []
         for shift in (0, self.size // 2):
             if links.isEmpty():
                 break
-            fallen = keep(self._fallen_in_tiles(links, persistence, shift))
+            fallen = store(self._fallen_in_tiles(links, persistence, shift))
             gone.append(fallen)
-            links = keep(_moved(links, fallen))
+            links = store(_moved(links, fallen))
         while not links.isEmpty():
             sides = [links.select("image", "s", F.struct(F.col(f"{x}v").alias("v"), F.col(x).alias("at")).alias("own"), F.struct(F.col(f"{y}v").alias("v"), F.col(y).alias("at")).alias("other")) for x, y in ("ab", "ba")]
             best = sides[0].unionByName(sides[1]).groupBy("image", "own").agg(F.max(F.struct("s", "other")).alias("best"))
             falls = best.where((F.col("best.other") > F.col("own")) & (F.col("own.v") - F.col("best.s.v") < persistence))
-            fallen = keep(falls.select("image", F.col("own.at").alias("node"), F.col("best.other.at").alias("next"), F.col("best.other.v").alias("nextv"), "best.s", (F.col("own.v") - F.col("best.s.v")).alias("persistence")))
+            fallen = store(falls.select("image", F.col("own.at").alias("node"), F.col("best.other.at").alias("next"), F.col("best.other.v").alias("nextv"), "best.s", (F.col("own.v") - F.col("best.s.v")).alias("persistence")))
             if fallen.isEmpty():
                 break
             gone.append(fallen)
             ends = followed(fallen.select("image", "node", "next"), keys=["image"])
-            links = keep(_moved(links, ends.join(self.maxima.select("image", F.col("at").alias("next"), F.col("v").alias("nextv")), ["image", "next"])))
+            links = store(_moved(links, ends.join(self.maxima.select("image", F.col("at").alias("next"), F.col("v").alias("nextv")), ["image", "next"])))
         none = self.maxima.where("false").select("image", F.col("at").alias("node"), F.col("at").alias("next"), F.struct("v", "at", F.lit(0).alias("edge")).alias("s"), F.col("v").alias("persistence"))
-        fell = keep(reduce(DataFrame.unionByName, [g.drop("nextv") for g in gone], none))
+        fell = store(reduce(DataFrame.unionByName, [g.drop("nextv") for g in gone], none))
         ends = followed(fell.select("image", "node", "next"), keys=["image"])
         owner = self.maxima.join(ends.withColumnRenamed("node", "at"), ["image", "at"], "left").join(fell.select("image", F.col("node").alias("at"), "persistence"), ["image", "at"], "left")
-        owner = keep(owner.select("image", "at", "v", F.coalesce("next", "at").alias("survivor"), "persistence"))
+        owner = store(owner.select("image", "at", "v", F.coalesce("next", "at").alias("survivor"), "persistence"))
         named = lambda c: owner.select("image", F.col("at").alias(c), F.col("survivor").alias(f"_{c}"))
         saddles = self.saddles.join(named("a"), ["image", "a"]).join(named("b"), ["image", "b"]).select("image", "at", "edge", "v", F.col("_a").alias("a"), F.col("_b").alias("b"))
         marks = fell.select("image", F.col("s.at").alias("at"), F.col("s.edge").alias("edge"), F.lit(True).alias("_gone"))

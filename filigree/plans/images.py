@@ -40,7 +40,7 @@ def _gradient_sql() -> str:
     others = lambda i: [j for j in range(4) if j != i]
     pointer = "CASE " + " ".join(f"WHEN u{i} AND " + " AND ".join(f"(NOT u{j} OR {larger(i, j)})" for j in others(i)) + f" THEN {i}" for i in range(4)) + " ELSE 4 END"
     saddle = lambda i: f"u{i} AND " + " AND ".join(f"(NOT (u{j} AND {touch(i, j)}) OR {larger(i, j)})" for j in others(i)) + f" AND to_ <> {i} AND " + " AND ".join(f"NOT (to_ = {j} AND {touch(i, j)})" for j in others(i))
-    return f"near AS (SELECT p.image, p.x, p.y, p.v, {near} FROM image_pixel p {joins}), grad AS (SELECT *, {', '.join(f'{saddle(i)} AS s{i}' for i in range(4))} FROM (SELECT *, {pointer} AS to_ FROM near) t)"
+    return f"near AS MATERIALIZED (SELECT p.image, p.x, p.y, p.v, {near} FROM image_pixel p {joins}), grad AS MATERIALIZED (SELECT *, {', '.join(f'{saddle(i)} AS s{i}' for i in range(4))} FROM (SELECT *, {pointer} AS to_ FROM near) t)"
 
 
 _SADDLES = ("saddle AS (" + " UNION ALL ".join(f"SELECT image, x, y, CAST({i} AS INT) AS edge, v FROM grad WHERE s{i}" for i in range(4)) + ")").replace("%", "")
@@ -98,10 +98,11 @@ def _offsets(offsets) -> str:
     return "(SELECT " + ", ".join(f"unnest([{', '.join(repr(o[k]) for o in offsets)}]) AS {n}" for k, n in enumerate("abw")) + ")"
 
 
-def focal(source: str, offsets: str, border: str, of: str = "sum(o.w * q.v)") -> str:
+def focal(source: str, offsets: str, border: str) -> str:
     """A weighted sum over windows; ``offsets`` gives a, b and w. Beyond the border 0 is added, or a pixel inside."""
     at = _BORDERS[border]
-    return f"SELECT c.image AS image, c.x AS x, c.y AS y, {of} AS v FROM {source} c JOIN isz ON isz.image = c.image CROSS JOIN {offsets} o JOIN {source} q ON q.image = c.image AND q.x = {at('c.x + o.a', 'isz.w')} AND q.y = {at('c.y + o.b', 'isz.h')} GROUP BY c.image, c.x, c.y"
+    wanted = f"SELECT c.image AS image, c.x AS x, c.y AS y, o.w AS w, {at('c.x + o.a', 'isz.w')} AS qx, {at('c.y + o.b', 'isz.h')} AS qy FROM {source} c JOIN isz ON isz.image = c.image CROSS JOIN {offsets} o"
+    return f"SELECT o.image AS image, o.x AS x, o.y AS y, sum(o.w * q.v) AS v FROM ({wanted}) o JOIN {source} q ON q.image = o.image AND q.x = o.qx AND q.y = o.qy GROUP BY o.image, o.x, o.y"
 
 
 def blurred(source: str, name: str, sigma: float, border: str = "nearest") -> list[str]:
@@ -109,7 +110,7 @@ def blurred(source: str, name: str, sigma: float, border: str = "nearest") -> li
     reach = len(weights) // 2
     across = _offsets([(k - reach, 0, w) for k, w in enumerate(weights)])
     down = _offsets([(0, k - reach, w) for k, w in enumerate(weights)])
-    return [f"{name}_x AS ({focal(source, across, border)})", f"{name} AS ({focal(f'{name}_x', down, border)})"]
+    return [f"{name}_x AS MATERIALIZED ({focal(source, across, border)})", f"{name} AS MATERIALIZED ({focal(f'{name}_x', down, border)})"]
 
 
 def _difference(source: str, along: str) -> str:
@@ -126,9 +127,9 @@ def _multiscale_sql() -> tuple[str, str]:
     for k, sigma in enumerate(SIGMAS):
         g = f"g{k}"
         parts += blurred("image_pixel", g, sigma)
-        parts += [f"{g}_s{a} AS ({focal(g, _offsets(_SOBEL[a]), 'mirrored')})" for a in (0, 1)]
-        parts += [f"{g}_d{a} AS ({_difference(g, a)})" for a in "xy"]
-        parts += [f"{g}_d{a}{b} AS ({_difference(f'{g}_d{a}', b)})" for a, b in ("xx", "xy", "yy")]
+        parts += [f"{g}_s{a} AS MATERIALIZED ({focal(g, _offsets(_SOBEL[a]), 'mirrored')})" for a in (0, 1)]
+        parts += [f"{g}_d{a} AS MATERIALIZED ({_difference(g, a)})" for a in "xy"]
+        parts += [f"{g}_d{a}{b} AS MATERIALIZED ({_difference(f'{g}_d{a}', b)})" for a, b in ("xx", "xy", "yy")]
         joins += [f"JOIN {t} USING (image, x, y)" for t in (g, f"{g}_s0", f"{g}_s1", f"{g}_dxx", f"{g}_dxy", f"{g}_dyy")]
         eigen = [_EIGEN(f"{g}_dxx.v", f"{g}_dxy.v", f"{g}_dyy.v", sign) for sign in "+-"]
         for name, value in ((f"intensity_{k}", f"{g}.v"), (f"edges_{k}", f"sqrt(({g}_s0.v * {g}_s0.v + {g}_s1.v * {g}_s1.v) / 2)"), (f"large_{k}", eigen[0]), (f"small_{k}", eigen[1])):
@@ -136,8 +137,8 @@ def _multiscale_sql() -> tuple[str, str]:
     return f"SELECT image, x, y, {', '.join(columns)} FROM image_pixel p {' '.join(joins)}", ", ".join(parts)
 
 
-@query("r19_multiscale_images", _multiscale_sql()[0], "image_pixel", _multiscale_sql()[1])
-def r19_images(spark, d):
+@query("r19_multiscale", _multiscale_sql()[0], "image_pixel", _multiscale_sql()[1])
+def r19(spark, d):
     """Sigmas 0.5 to 16, with intensity, edges and texture of each."""
     return rounded(filters.multiscale(fx.image_pixel(spark, d), SIGMAS, size=TILE))
 
@@ -147,8 +148,8 @@ _WINDOW = "(SELECT a, b FROM (SELECT unnest(range(-{n}, {n} + 1)) AS a) ra, (SEL
 
 @query(
     "r22_bilateral",
-    "SELECT image, x, y, round(sum(wt * qv) / sum(wt), 6) + 0.0 AS v FROM (SELECT c.image, c.x, c.y, coalesce(q.v, 0) AS qv, exp(-0.5 * (o.a * o.a + o.b * o.b + pow((coalesce(q.v, 0) - c.v) / sd, 2))) AS wt "
-    f"FROM image_pixel c JOIN (SELECT image, stddev_pop(v) AS sd FROM image_pixel GROUP BY image) s ON s.image = c.image CROSS JOIN {_WINDOW.format(n=3)} o LEFT JOIN image_pixel q ON q.image = c.image AND q.x = c.x + o.a AND q.y = c.y + o.b) t GROUP BY image, x, y",
+    "SELECT image, x, y, round(sum(wt * qv) / sum(wt), 6) + 0.0 AS v FROM (SELECT c.image, c.x, c.y, coalesce(q.v, 0) AS qv, exp(-0.5 * (c.far + pow((coalesce(q.v, 0) - c.v) / sd, 2))) AS wt "
+    f"FROM (SELECT p.image, p.x, p.y, p.v, s.sd, p.x + o.a AS qx, p.y + o.b AS qy, o.a * o.a + o.b * o.b AS far FROM image_pixel p JOIN (SELECT image, stddev_pop(v) AS sd FROM image_pixel GROUP BY image) s ON s.image = p.image CROSS JOIN {_WINDOW.format(n=3)} o) c LEFT JOIN image_pixel q ON q.image = c.image AND q.x = c.qx AND q.y = c.qy) t GROUP BY image, x, y",
     "image_pixel",
 )
 def r22_bilateral(spark, d):
@@ -158,7 +159,7 @@ def r22_bilateral(spark, d):
 @query(
     "r22_entropy",
     "SELECT image, x, y, round(-sum(n / t * log2(n / t)), 6) + 0.0 AS v FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY image, x, y) AS DOUBLE) AS t FROM "
-    f"(SELECT c.image, c.x, c.y, floor(q.v * 32) AS level, count(*) AS n FROM image_pixel c CROSS JOIN {_WINDOW.format(n=3)} o JOIN image_pixel q ON q.image = c.image AND q.x = c.x + o.a AND q.y = c.y + o.b WHERE o.a * o.a + o.b * o.b <= 9 GROUP BY ALL) u) w GROUP BY image, x, y",
+    f"(SELECT c.image, c.x, c.y, floor(q.v * 32) AS level, count(*) AS n FROM (SELECT p.image, p.x, p.y, p.x + o.a AS qx, p.y + o.b AS qy FROM image_pixel p CROSS JOIN {_WINDOW.format(n=3)} o WHERE o.a * o.a + o.b * o.b <= 9) c JOIN image_pixel q ON q.image = c.image AND q.x = c.qx AND q.y = c.qy GROUP BY ALL) u) w GROUP BY image, x, y",
     "image_pixel",
 )
 def r22_entropy(spark, d):
@@ -168,11 +169,11 @@ def r22_entropy(spark, d):
 
 def _structure_sql() -> tuple[str, str]:
     sobel = [[(a, b, w * 8) for a, b, w in each] for each in _SOBEL]
-    parts = [_SIZES, *(f"s{a} AS ({focal('image_pixel', _offsets(sobel[a]), 'zero')})" for a in (0, 1))]
+    parts = [_SIZES, *(f"s{a} AS MATERIALIZED ({focal('image_pixel', _offsets(sobel[a]), 'zero')})" for a in (0, 1))]
     for a, b in ((0, 0), (0, 1), (1, 1)):
         # windows over the border may be empty: a difference of 0 stands there
         both = f"SELECT p.image, p.x, p.y, coalesce(m.v, 0) * coalesce(n.v, 0) AS v FROM image_pixel p LEFT JOIN s{a} m USING (image, x, y) LEFT JOIN s{b} n USING (image, x, y)"
-        parts += [f"t{a}{b} AS ({both})", *blurred(f"t{a}{b}", f"b{a}{b}", 1.0, "zero")]
+        parts += [f"t{a}{b} AS MATERIALIZED ({both})", *blurred(f"t{a}{b}", f"b{a}{b}", 1.0, "zero")]
     eigen = [_EIGEN("b00.v", "b01.v", "b11.v", sign) for sign in "+-"]
     return f"SELECT image, x, y, round({eigen[0]}, 6) + 0.0 AS large, round({eigen[1]}, 6) + 0.0 AS small FROM b00 JOIN b01 USING (image, x, y) JOIN b11 USING (image, x, y)", ", ".join(parts)
 
@@ -185,7 +186,7 @@ def r22_structure(spark, d):
 @query(
     "r21_membrane",
     "SELECT image, x, y, round(sum(v), 6) + 0.0 AS membrane_sum, round(avg(v), 6) + 0.0 AS membrane_mean, round(stddev_pop(v), 6) + 0.0 AS membrane_std, round(median(v), 6) + 0.0 AS membrane_median, round(max(v), 6) + 0.0 AS membrane_max, round(min(v), 6) + 0.0 AS membrane_min FROM "
-    f"(SELECT c.image, c.x, c.y, o.k, sum(q.v) AS v FROM image_pixel c CROSS JOIN (SELECT k, a, b FROM {_WINDOW.format(n=4)} o, (SELECT unnest(range(30)) AS k) t WHERE abs(cos(pi() * k / 30) * b + sin(pi() * k / 30) * a) <= 0.5 + 1e-9) o JOIN image_pixel q ON q.image = c.image AND q.x = c.x + o.a AND q.y = c.y + o.b GROUP BY c.image, c.x, c.y, o.k) t GROUP BY image, x, y",
+    f"(SELECT c.image, c.x, c.y, c.k, sum(q.v) AS v FROM (SELECT p.image, p.x, p.y, o.k, p.x + o.a AS qx, p.y + o.b AS qy FROM image_pixel p CROSS JOIN (SELECT k, a, b FROM {_WINDOW.format(n=4)} o, (SELECT unnest(range(30)) AS k) t WHERE abs(cos(pi() * k / 30) * b + sin(pi() * k / 30) * a) <= 0.5 + 1e-9) o) c JOIN image_pixel q ON q.image = c.image AND q.x = c.qx AND q.y = c.qy GROUP BY c.image, c.x, c.y, c.k) t GROUP BY image, x, y",
     "image_pixel",
 )
 def r21(spark, d):
@@ -204,7 +205,7 @@ def _gabor_sql() -> tuple[str, str]:
         reach = len(filters.gabor_kernel(0.25, t)) // 2
         u, v = f"(-b * {math.cos(t)!r} - a * {math.sin(t)!r})", f"(b * {math.sin(t)!r} - a * {math.cos(t)!r})"
         weight = f"exp(-0.5 * ({u} * {u} + {v} * {v}) / {_GABOR_SIGMA**2!r}) / {2 * math.pi * _GABOR_SIGMA**2!r} * cos({2 * math.pi * 0.25!r} * {u})"
-        parts.append(f"f{k} AS ({focal('image_pixel', f'(SELECT a, b, {weight} AS w FROM {_WINDOW.format(n=reach)} z)', 'mirrored')})")
+        parts.append(f"f{k} AS MATERIALIZED ({focal('image_pixel', f'(SELECT a, b, {weight} AS w FROM {_WINDOW.format(n=reach)} z)', 'mirrored')})")
     names = ", ".join(f"round(f{k}.v, 6) + 0.0 AS gabor_{k}" for k in range(4))
     return f"SELECT image, x, y, {names} FROM f0 JOIN f1 USING (image, x, y) JOIN f2 USING (image, x, y) JOIN f3 USING (image, x, y)", ", ".join(parts)
 

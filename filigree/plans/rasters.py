@@ -117,8 +117,8 @@ def r18(spark, d):
     return raster.hessian_eigenvalues(fx.pixel(spark, d)).select("x", "y", r(F.col("e1")).alias("e1"), r(F.col("e2")).alias("e2"))
 
 
-@query("r19_multiscale", _EIGEN, "pixel", f"{_SIZE}, {gaussian_sql(1.0, 'g1')}, " + _HESSIAN.format(s="g1"))
-def r19(spark, d):
+@query("r18_hessian_blurred", _EIGEN, "pixel", f"{_SIZE}, {gaussian_sql(1.0, 'g1')}, " + _HESSIAN.format(s="g1"))
+def r18_blurred(spark, d):
     blurred = raster.gaussian(fx.pixel(spark, d), 1.0)
     return raster.hessian_eigenvalues(blurred).select("x", "y", r(F.col("e1")).alias("e1"), r(F.col("e2")).alias("e2"))
 
