@@ -77,3 +77,12 @@ def ring(spark: SparkSession, d: str) -> DataFrame:
     n = feat(spark, d).count()
     slots = F.explode(F.sequence(F.lit(0), F.lit(4)))
     return feat(spark, d).select(F.col("gid").alias("node"), slots.alias("slot")).withColumn("nbr", (F.col("node") + 1 + 7 * F.col("slot")) % n)
+
+
+def circles(spark: SparkSession, d: str, size: int = 12) -> DataFrame:
+    """node, slot, nbr: five neighbours of each vector inside its circle of ``size`` vectors, which share what lies around them."""
+    n = feat(spark, d).count()
+    slots = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    rows = feat(spark, d).select(F.col("gid").alias("node"), slots.alias("slot"))
+    first = F.col("node") - F.col("node") % size
+    return rows.withColumn("nbr", (first + (F.col("node") % size + 1 + 2 * F.col("slot")) % size) % n)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..operators import aggregation, graph, learning, metrics, neural, raster, spatial
+from ..operators import aggregation, graph, learning, metrics, neural, raster, sage, spatial
 from ..operators.keeping import keep
 from . import fixtures as fx
 from .registry import query
@@ -56,14 +56,14 @@ def self_and_neighbours(spark, d):
     return rows.join(labelled(spark, d).select("gid", "y"), "gid")
 
 
-@query("m14_graphsage")
-def m14(spark, d):
+@query("m14_one_hop")
+def m14_one_hop(spark, d):
     """A node's vector behind the mean of its neighbours', through weights that are trained with the classifier: the mean aggregator's two matrices are the hidden layer's."""
     return learning.perceptron(self_and_neighbours(spark, d), train(), 128)
 
 
-@query("m17_train_and_evaluate")
-def m17(spark, d):
+@query("m17_more_rounds")
+def m17_more_rounds(spark, d):
     """The same model after more and more rounds, with its scores on the nodes it has and hasn't seen."""
     rows, out = self_and_neighbours(spark, d), []
     for rounds in (5, 20, 40):
@@ -73,6 +73,99 @@ def m17(spark, d):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+SAGE_BATCH, SAGE_EPOCHS = 128, 4
+
+
+def sage_rows(spark, d, model: sage.Model):
+    """The support, label and partition of every node."""
+    known = sage.supports(fx.feat(spark, d), fx.ring(spark, d), plain(spark, d), model, seed=3)
+    return known.join(labelled(spark, d).select("gid", "y"), "gid").withColumn("partition", F.when(train(), "train").when(F.col("gid") % 10 == 0, "val").otherwise("test"))
+
+
+def trained_sage(spark, d, model: sage.Model, each=None):
+    rows = keep(sage_rows(spark, d, model))
+    batches, n = sage.by_batch(rows.where("partition = 'train'").select("gid", "x", "y"), SAGE_BATCH, 1, "gid")
+    return rows, sage.train(batches, n, model, epochs=SAGE_EPOCHS, decay=1e-4, each=each and (lambda epoch, loss, w: each(rows, epoch, loss, w)))
+
+
+@query("m14_graphsage")
+def m14(spark, d):
+    """Two hops over sampled supports with max pooling, trained by batches: the probability of class 1 of every node."""
+    model = sage.Model(64, "maxpool")
+    rows, weights = trained_sage(spark, d, model)
+    return sage.predicted(rows.select("gid", "y", "x"), model, weights).select("gid", "y", F.element_at("p", 2).alias("p"))
+
+
+@query("x13_two_phases")
+def x13_two_phases(spark, d):
+    """A first phase over the rows of the sublevel set (gid % 7 = 0) alone, then one over all training rows that begins with its weights."""
+    model = sage.Model(64, "mean")
+    rows = keep(sage_rows(spark, d, model))
+    seen = rows.where("partition = 'train'").select("gid", "x", "y")
+    weights = None
+    for chosen, epochs in ((seen.where("gid % 7 = 0"), 2), (seen, 2)):
+        batches, n = sage.by_batch(chosen, SAGE_BATCH, 1, "gid")
+        weights = sage.train(batches, n, model, epochs=epochs, decay=1e-4, weights=weights)
+    return sage.predicted(rows.select("gid", "y", "x"), model, weights).select("gid", "y", F.element_at("p", 2).alias("p"))
+
+
+def epoch_scores(spark, d, pool: str):
+    model, out = sage.Model(64, pool), []
+
+    def each(rows, epoch, loss, weights):
+        said = keep(sage.predicted(rows.select("gid", "y", "partition", "x"), model, weights).withColumn("yhat", F.array_position("p", F.array_max("p")).cast("int") - 1))
+        for part in ("train", "val", "test"):
+            out.append(metrics.averaged_scores(said.where(F.col("partition") == part)).select(F.lit(pool).alias("pool"), F.lit(epoch + 1).alias("epoch"), F.lit(part).alias("partition"), "avg_type", "f1", F.lit(loss).alias("loss")))
+
+    trained_sage(spark, d, model, each)
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@query("m17_train_and_evaluate")
+def m17(spark, d):
+    """The scores of two-hop models on the partitions after each epoch, by pooling, with the epoch's mean loss."""
+    return reduce(lambda a, b: a.unionByName(b), [epoch_scores(spark, d, pool) for pool in ("mean", "maxpool")])
+
+
+@query("m17_facts", "SELECT pool, 4 AS epochs, 48 AS n_scores, true AS falls, true AS in_range FROM (VALUES ('mean'), ('maxpool')) t(pool)")
+def m17_facts(spark, d):
+    """What holds for every training: a score for each epoch, partition and average, all between 0 and 1, and a loss that falls from the first epoch to the last."""
+    rows = m17(spark, d)
+    return rows.groupBy("pool").agg(F.countDistinct("epoch").cast("int").alias("epochs"), F.count("*").alias("n_scores"), (F.max_by("loss", "epoch") < F.min_by("loss", "epoch")).alias("falls"), F.min(F.col("f1").between(0, 1)).alias("in_range"))
+
+
+def unsupervised(spark, d, pool: str, epochs: int = 3):
+    """Rows (pool, epoch, loss, mrr) of a training on walks, epoch 0 being the weights to begin with; the supports, the model and its weights."""
+    model, out = sage.Model(64, pool), []
+    adj = fx.circles(spark, d)
+    known = keep(sage.supports(fx.feat(spark, d), adj, plain(spark, d), model, seed=3))
+    steps = adj.select(F.col("node").alias("src"), F.col("nbr").alias("dst")).distinct()
+    pairs = graph.random_walks(fx.feat(spark, d).select("gid"), steps, walks=2, length=2, seed=1).select("node", "ctx").distinct()
+    degrees = steps.groupBy(F.col("dst").alias("gid")).agg(F.count("*").alias("degree"))
+    weights = sage.train_unsupervised(pairs, known, keep(degrees), model, epochs=epochs, size=512, rate=0.05, each=lambda epoch, loss, mrr, _: out.append((pool, epoch, loss, mrr)))
+    return spark.createDataFrame(out, "pool string, epoch int, loss double, mrr double"), known, model, weights
+
+
+@query("m12_unsupervised")
+def m12_unsupervised(spark, d):
+    """The embedding of every node after a training by skip-gram with negatives, mean pooling."""
+    _, known, model, weights = unsupervised(spark, d, "mean")
+    return sage.embeddings(known, model, weights)
+
+
+@query("m16_unsupervised_training")
+def m16_training(spark, d):
+    """Loss and mean reciprocal rank after each epoch, by pooling."""
+    return reduce(lambda a, b: a.unionByName(b), [unsupervised(spark, d, pool)[0] for pool in sage.POOLS])
+
+
+@query("m16_facts", "SELECT pool, 4 AS epochs, true AS falls, true AS better FROM (VALUES ('mean'), ('gcn')) t(pool)")
+def m16_facts(spark, d):
+    """What holds for every training: the loss falls, and the rank of true pairs is better than under the weights to begin with."""
+    rows = unsupervised(spark, d, "mean")[0].unionByName(unsupervised(spark, d, "gcn")[0])
+    return rows.groupBy("pool").agg(F.count("*").cast("int").alias("epochs"), (F.max_by("loss", "epoch") < F.min_by("loss", "epoch")).alias("falls"), (F.max_by("mrr", "epoch") > F.min_by("mrr", "epoch")).alias("better"))
+
+
 @query("m_fits", "SELECT name, n, true AS in_range, true AS fits FROM (VALUES ('m14_graphsage'), ('m18_logreg'), ('m19_rf_nodes'), ('m21_mlp')) t(name), (SELECT count(*) AS n FROM pred) c", "pred")
 def m_fits(spark, d):
     """Facts that hold for every fitted model: a probability for each node, and a loss on the training nodes below that of the mean label."""
