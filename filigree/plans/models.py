@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..operators import aggregation, graph, learning, metrics, neural, raster, sage, spatial
+from ..operators import aggregation, extra_trees, graph, learning, metrics, neural, raster, sage, spatial
 from ..operators.keeping import keep
 from . import fixtures as fx
+from .graphs import integer_sql
 from .registry import query
 from .shapes import r
 
@@ -183,9 +184,30 @@ def m13(spark, d):
     return learning.walk_embeddings(walks)
 
 
+@query("g25_forest_importance")
+def g25_forest(spark, d):
+    return learning.importances(labelled(spark, d))
+
+
 @query("g25_importance")
 def g25(spark, d):
-    return learning.importances(labelled(spark, d))
+    """Of 250 extremely randomised trees."""
+    return extra_trees.importances(labelled(spark, d), trees=250, depth=6, seed=11)
+
+
+_ROOT = (
+    "pick AS MATERIALIZED (SELECT tree, j FROM (SELECT tree, j, row_number() OVER (PARTITION BY tree ORDER BY i, j) AS rk FROM (SELECT tree, j, " + integer_sql(11, "tree", "1", "j") + " AS i FROM (SELECT unnest(range(250)) AS tree) t, (SELECT unnest(range(64)) AS j) f) q) r WHERE rk <= 8), "
+    "bound AS (SELECT pos, min(v) AS lo, max(v) AS hi FROM fpos GROUP BY pos), "
+    "tried AS (SELECT p.tree, p.j, b.lo + (" + integer_sql(12, "p.tree", "1", "p.j") + " + 0.5) / 4294967296.0::DOUBLE * (b.hi - b.lo) AS threshold FROM pick p JOIN bound b ON b.pos = p.j WHERE b.lo < b.hi)"
+)
+
+
+@query("g25_root_splits", "SELECT t.tree AS tree, t.j AS feature, round(t.threshold, 9) AS threshold, count(*) FILTER (WHERE f.v <= t.threshold AND f.label < 5) AS left_0, count(*) FILTER (WHERE f.v <= t.threshold AND f.label >= 5) AS left_1 FROM tried t JOIN fpos f ON f.pos = t.j GROUP BY t.tree, t.j, t.threshold", "fpos", _ROOT)
+def g25_root(spark, d):
+    """Every split that is tried at the roots of the 250 trees, with the class counts left of it."""
+    forest = extra_trees.fit(labelled(spark, d), trees=250, depth=1, seed=11)
+    rows = [(t, j, round(cut, 9), *left) for t, _, j, cut, left in forest.tried]
+    return spark.createDataFrame(rows, "tree long, feature long, threshold double, left_0 long, left_1 long")
 
 
 @query("f24_pca")
