@@ -61,10 +61,15 @@ def a06(spark, d):
     return text.spherical(lines(spark, d).select(F.concat_ws(" ", F.col("gid").cast("string"), *(e.cast("string") for e in ends)).alias("value")))
 
 
-@query("a13_boxes", "SELECT box_id - 1 AS box_id, x0, x1, y0, y1 FROM box", "box")
+def box_lines(spark, d):
+    """line, value: the lines of a file of all customers' boxes, two for each."""
+    placed = dense_ids(fx.area(spark, d), "box_id", name="place")
+    return placed.select("place", F.posexplode(F.split(sinks.box_lines(), "\n")).alias("k", "value")).select((2 * F.col("place") + F.col("k")).cast("long").alias("line"), "value")
+
+
+@query("a13_boxes", "SELECT row_number() OVER (ORDER BY box_id) - 1 AS box_id, x0, x1, y0, y1 FROM area", "area")
 def a13(spark, d):
-    each = fx.box(spark).select(F.col("box_id"), F.posexplode(F.split(sinks.box_lines(), "\n")).alias("k", "value"))
-    return text.boxes(each.select(((F.col("box_id") - 1) * 2 + F.col("k")).alias("line"), "value"))
+    return text.boxes(box_lines(spark, d))
 
 
 @query("a14_run_metrics", "SELECT CAST(run AS VARCHAR) AS run, 'f1' AS metric, metric AS avg_type, round(max(value), 4) AS value FROM run_metric GROUP BY run, metric", "run_metric")
@@ -129,10 +134,12 @@ def b02(spark, d):
     return fx.feat(spark, d).select("gid", F.size(F.split(sinks.feature_line(), " ")).cast("long").alias("n"))
 
 
-@query("b05_selection_bounds", "SELECT 2 * (box_id - 1) AS line, 'x_box ' || x0 || ',' || x1 AS value FROM box UNION ALL SELECT 2 * box_id - 1, 'y_box ' || y0 || ',' || y1 FROM box", "box")
+_PLACED = "placed AS (SELECT *, row_number() OVER (ORDER BY box_id) - 1 AS place FROM area)"
+
+
+@query("b05_selection_bounds", "SELECT 2 * place AS line, 'x_box ' || x0 || ',' || x1 AS value FROM placed UNION ALL SELECT 2 * place + 1, 'y_box ' || y0 || ',' || y1 FROM placed", "area", _PLACED)
 def b05(spark, d):
-    each = fx.box(spark).select("box_id", F.posexplode(F.split(sinks.box_lines(), "\n")).alias("k", "value"))
-    return each.select((2 * (F.col("box_id") - 1) + F.col("k")).alias("line"), "value")
+    return box_lines(spark, d)
 
 
 @query("b07_training_percentages", "SELECT round(100.0 * count(*) FILTER (WHERE partition = 'train') / count(*), 6) AS percent, round(100.0 * count(*) FILTER (WHERE partition = 'train' AND y = 1) / count(*) FILTER (WHERE y = 1), 6) AS percent_positive FROM part_of", "part_of")
@@ -187,16 +194,23 @@ def a10(spark, d):
     return selection.zipped(each, first=100)
 
 
-_SHARED = "learning_rate 0.1\n_epochs 7\nepochs 9\nx_box 1,2\nx_box 3,4\nclass_weights True\nunknown 5\n"
-_PERSONAL = "epochs 12\ny_box 5,6\n"
+_PAIRS = "'(' || string_agg('(' || {0}0 || ', ' || {0}1 || ')', ', ' ORDER BY box_id) || CASE WHEN count(*) = 1 THEN ',)' ELSE ')' END"
 
 
-@query("a11_parameters", "SELECT * FROM (VALUES ('learning_rate', '0.1'), ('epochs', '12'), ('batch_size', '128'), ('class_weights', 'True'), ('x_box', '((1, 2), (3, 4))'), ('y_box', '((5, 6),)'), ('samples', '(25, 10)')) t(name, value)")
+@query(
+    "a11_parameters",
+    "SELECT name, value FROM (VALUES ('learning_rate', '0.1'), ('batch_size', '128'), ('class_weights', 'True'), ('samples', '(25, 10)')) t(name, value) UNION ALL SELECT 'epochs', CAST(count(*) AS VARCHAR) FROM customer "
+    f"UNION ALL SELECT 'x_box', {_PAIRS.format('x')} FROM nation_area UNION ALL SELECT 'y_box', {_PAIRS.format('y')} FROM nation_area",
+    "nation_area",
+)
 def a11(spark, d):
-    """A shared file and a personal one over it; a12's record types the values and gives defaults."""
+    """A shared file, with a line for the x range of each nation's box, and a personal one over it, with the y ranges and the number of customers; a12's record types the values and gives defaults."""
     to = new_folder(spark, "parameters")
-    for name, lines in (("shared", _SHARED), ("personal", _PERSONAL)):
-        spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(f"{to}/{name}")
+    boxes = fx.nation_area(spark, d).orderBy("box_id").collect()  # nations
+    shared = ["learning_rate 0.1", "_epochs 7", "epochs 9", *(f"x_box {b['x0']},{b['x1']}" for b in boxes), "class_weights True", "unknown 5"]
+    personal = [f"epochs {fx.table(spark, d, 'customer').count()}", *(f"y_box {b['y0']},{b['y1']}" for b in boxes)]
+    for name, lines in (("shared", shared), ("personal", personal)):
+        spark.createDataFrame([("\n".join(lines) + "\n",)], "value string").coalesce(1).write.text(f"{to}/{name}")
     read = lambda name: "\n".join(row["value"] for row in spark.read.text(f"{to}/{name}", wholetext=True).collect())  # noqa: E731  (a parameter file)
     found = asdict(parameters.load(read("shared"), read("personal")))
     return spark.createDataFrame([(k, str(found[k])) for k in ("learning_rate", "epochs", "batch_size", "class_weights", "x_box", "y_box", "samples")], "name string, value string")
@@ -241,16 +255,20 @@ def b08(spark, d):
     return text.numbered_lines(spark, to).select("line", F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).cast("double").alias("value"))
 
 
-@query("b09_timings", "SELECT * FROM (VALUES ('read', true), ('count', true)) t(name, measured)")
+_TIMED = ("customer", "orders", "lineitem", "embeddings", "events")
+
+
+@query("b09_timings", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, true AS measured FROM {t}" for t in _TIMED))
 def b09(spark, d):
-    """Seconds of two steps, written as lines."""
-    to, begin = new_folder(spark, "timings"), time.monotonic()
-    nodes = fx.gnode(spark, d)
-    read = time.monotonic() - begin
-    nodes.count()
-    sinks.scores(spark.createDataFrame([("read", read), ("count", time.monotonic() - begin - read)], "name string, value double"), to)
-    parts = F.split("value", " ")
-    return spark.read.text(to).select(F.get(parts, F.lit(0)).alias("name"), (F.get(parts, F.lit(1)).cast("double") >= 0).alias("measured"))
+    """The seconds that it takes to count each table, and the count, written as lines."""
+    to, rows = new_folder(spark, "timings"), []
+    for name in _TIMED:
+        begin = time.monotonic()
+        n = fx.table(spark, d, name).count()
+        rows.append((f"{name} {n}", time.monotonic() - begin))
+    sinks.scores(spark.createDataFrame(rows, "name string, value double"), to)
+    part = lambda i: F.get(F.split("value", " "), F.lit(i))
+    return spark.read.text(to).select(part(0).alias("name"), part(1).cast("long").alias("n"), (part(2).cast("double") >= 0).alias("measured"))
 
 
 @query("b10_score_files", "SELECT metric AS name, count(*) AS value FROM run_metric GROUP BY metric", "run_metric")

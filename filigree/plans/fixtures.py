@@ -86,3 +86,17 @@ def circles(spark: SparkSession, d: str, size: int = 12) -> DataFrame:
     rows = feat(spark, d).select(F.col("gid").alias("node"), slots.alias("slot"))
     first = F.col("node") - F.col("node") % size
     return rows.withColumn("nbr", (first + (F.col("node") % size + 1 + 2 * F.col("slot")) % size) % n)
+
+
+def area(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes that follow the data: the ranges of the vertices of each customer's polylines."""
+    owner = table(spark, d, "orders").select(F.col("o_orderkey").alias("gid"), F.col("o_custkey").alias("box_id"))
+    ends = [(F.floor(F.min("p1")), "x0"), (F.ceil(F.max("p1")), "x1"), (F.floor(F.min("p0")), "y0"), (F.ceil(F.max("p0")), "y1")]
+    return poly_points(spark, d).join(owner, "gid").groupBy("box_id").agg(*(c.cast("long").alias(n) for c, n in ends))
+
+
+def nation_area(spark: SparkSession, d: str) -> DataFrame:
+    """A box for each nation, the mean of its customers'."""
+    of = table(spark, d, "customer").select(F.col("c_custkey").alias("box_id"), F.col("c_nationkey").alias("nation"))
+    ends = [(F.floor(F.avg("x0")), "x0"), (F.ceil(F.avg("x1")), "x1"), (F.floor(F.avg("y0")), "y0"), (F.ceil(F.avg("y1")), "y1")]
+    return area(spark, d).join(of, "box_id").groupBy("nation").agg(*(c.cast("long").alias(n) for c, n in ends)).withColumnRenamed("nation", "box_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import keyed
 from ..functions import vectors as v
 from ..operators import aggregation, features, graph, named, neural, spatial, splits
-from ..operators.keeping import dense_ids
+from ..operators.keeping import dense_ids, keep
 from ..operators.neural import patterned
 from . import fixtures as fx
 from .registry import query
@@ -100,13 +100,6 @@ def j08(spark, d):
     return graph.expand(fx.gnode(spark, d).where("gid % 701 = 0"), fx.real_adj(spark, d), hops=1)
 
 
-@query("x09_cvt_subgraphs", "SELECT h.gid AS gid, g.y AS y FROM h2 h JOIN gnode g ON g.gid = h.gid WHERE g.y = 1", "gnode real_adj", _HOPS)
-def x09(spark, d):
-    nodes = fx.gnode(spark, d)
-    reached = graph.expand(nodes.where("gid % 701 = 0"), fx.real_adj(spark, d), hops=1).select("gid")
-    return reached.intersect(nodes.where("y = 1").select("gid")).withColumn("y", F.lit(1))
-
-
 @query("j12_map_priors", "SELECT v AS node, count(*) AS n, min(gid) AS first, max(gid) AS last FROM (SELECT gid, v1 AS v FROM gedge UNION SELECT gid, v2 FROM gedge) t GROUP BY v", "gedge")
 def j12(spark, d):
     return graph.incidence(fx.gedge(spark, d)).groupBy("node").agg(F.count("*").alias("n"), F.min("edge").alias("first"), F.max("edge").alias("last"))
@@ -144,16 +137,19 @@ def j17(spark, d):
     return fx.pred(spark, d).crossJoin(F.broadcast(cutoffs)).groupBy("cutoff").agg(F.count_if(F.col("p") > F.col("cutoff")).alias("n"))  # 97 rows
 
 
-@query("j18_box_cross", "SELECT a.box_id AS i, b.box_id AS j, a.x0 AS x0, a.x1 AS x1, b.y0 AS y0, b.y1 AS y1 FROM box a, box b", "box")
+@query("j18_box_cross", "SELECT a.box_id AS i, b.box_id AS j, a.x0 AS x0, a.x1 AS x1, b.y0 AS y0, b.y1 AS y1 FROM nation_area a, nation_area b", "nation_area")
 def j18(spark, d):
-    b = fx.box(spark)
-    return b.select(F.col("box_id").alias("i"), "x0", "x1").crossJoin(b.select(F.col("box_id").alias("j"), "y0", "y1"))
+    """Every x range with every y range of the nations' boxes."""
+    b = keep(fx.nation_area(spark, d))
+    return b.select(F.col("box_id").alias("i"), "x0", "x1").crossJoin(F.broadcast(b.select(F.col("box_id").alias("j"), "y0", "y1")))  # nations
 
 
-@query("j19_box_zip", "SELECT a.box_id AS box_id, a.x0 AS x0, b.y1 AS y1 FROM box a JOIN box b ON a.box_id = b.box_id", "box")
+@query("j19_box_zip", "SELECT box_id, x0, y1 FROM area", "area")
 def j19(spark, d):
-    arrays = fx.box(spark).agg(F.array_sort(F.collect_list(F.struct("box_id", "x0"))).alias("xs"), F.array_sort(F.collect_list(F.struct("box_id", "y1"))).alias("ys"))
-    return arrays.select(F.explode(F.arrays_zip("xs", "ys")).alias("z")).select("z.xs.box_id", "z.xs.x0", "z.ys.y1")
+    """x ranges and y ranges, two lists, joined by their places."""
+    b = fx.area(spark, d)
+    xs, ys = (dense_ids(b.select("box_id", c), "box_id", name="place") for c in ("x0", "y1"))
+    return xs.join(ys.select("place", "y1"), "place").select("box_id", "x0", "y1")
 
 
 NEGATIVES = f"neg AS (SELECT gid FROM feat ORDER BY {digest_sql(5, 'gid')}, gid LIMIT 20)"

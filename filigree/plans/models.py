@@ -257,3 +257,19 @@ _LLOYD = ", ".join(["s0 AS MATERIALIZED (SELECT i, a0 + (a1 - a0) * ((i * 0.6180
 @query("x08_spread_seeds", "SELECT CAST(i AS INTEGER) AS qid, round(q0, 5) AS q0, round(q1, 5) AS q1 FROM s3", "poly_points", _LLOYD)
 def x08(spark, d):
     return spatial.spread_seeds(fx.poly_points(spark, d), 12, rounds=3).select("qid", r(F.col("q0"), 5).alias("q0"), r(F.col("q1"), 5).alias("q1"))
+
+
+_FOUND = (
+    "h0 AS MATERIALIZED (SELECT DISTINCT gid FROM (SELECT s.i, arg_min(p.gid, (sqrt((p.p0 - s.q0) * (p.p0 - s.q0) + (p.p1 - s.q1) * (p.p1 - s.q1)), p.gid)) AS gid FROM poly_points p, s3 s GROUP BY s.i) t), "
+    "h1 AS (SELECT gid FROM h0 UNION SELECT a.dst FROM real_adj a JOIN h0 ON h0.gid = a.src), h2 AS (SELECT gid FROM h1 UNION SELECT a.dst FROM real_adj a JOIN h1 ON h1.gid = a.src)"
+)
+
+
+@query("x09_cvt_subgraphs", "SELECT h.gid AS gid, g.y AS y FROM h2 h JOIN gnode g ON g.gid = h.gid WHERE g.y = 1", "poly_points gnode real_adj", f"{_LLOYD}, {_FOUND}")
+def x09(spark, d):
+    """Seeds spread over all vertices, the polyline nearest to each, what lies within two steps of those, and of that the positive nodes."""
+    points, nodes = fx.poly_points(spark, d), fx.gnode(spark, d)
+    seeds = spatial.spread_seeds(points, 12, rounds=3)
+    near = keep(spatial.nearest(seeds, points, cell=2.0))
+    reached = graph.expand(near.select("gid"), fx.real_adj(spark, d), hops=1).select("gid")
+    return reached.intersect(nodes.where("y = 1").select("gid")).withColumn("y", F.lit(1))

@@ -184,9 +184,11 @@ def g07(spark, d):
     return px.agg(F.count("*").alias("n")).crossJoin(covered).select(F.round(100.0 * F.col("c") / F.col("n"), 8).alias("percent"))  # one row each
 
 
-@query("g06_area", "SELECT round(100.0 * sum((x1 - x0) * (y1 - y0)) / (500 * 64), 8) AS percent FROM box", "box")
+@query("g06_area", "SELECT round(100.0 * sum((x1 - x0) * (y1 - y0)) / max(sz.w * sz.h), 8) AS percent FROM area, sz", "pixel area", _SIZE)
 def g06(spark, d):
-    return fx.box(spark).agg(F.round(100.0 * F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))) / (500 * 64), 8).alias("percent"))
+    """The area of all customers' boxes, of the image's."""
+    width, height = raster.shape(fx.pixel(spark, d))
+    return fx.area(spark, d).agg(F.round(100.0 * F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))) / (width * height), 8).alias("percent"))
 
 
 _UNDER = "under AS (SELECT q.gid AS gid, q.seq AS seq, p.v AS v FROM poly_points q JOIN pixel p ON p.x = round_even(q.p1, 0) AND p.y = round_even(q.p0, 0))"
@@ -282,24 +284,36 @@ def c11(spark, d):
     return spark.range(30).select(i.alias("step"), pct.alias("pct")).where("pct >= 2 AND pct <= 60")
 
 
-def _axis(lo: int, hi: int, size: int = 64, step: int = 32) -> str:
-    return f"(SELECT DISTINCT CASE WHEN s + {size} > {hi} THEN {hi - size} ELSE s END AS a, CASE WHEN s + {size} > {hi} THEN {hi} ELSE s + {size} END AS b FROM (SELECT {lo} + {step} * unnest(range({(hi - lo) // step + 1})) AS s) g)"
+def _axis(n: str, size: int = 32) -> str:
+    return f"(SELECT DISTINCT least(s, {n} - {size}) AS a, least(s, {n} - {size}) + {size} AS b FROM (SELECT {size // 2} * unnest(range({n} // {size // 2} + 1)) AS s, {n} FROM sz) g)"
 
 
-@query("n01_tile_region", f"SELECT x.a AS x0, x.b AS x1, y.a AS y0, y.b AS y1 FROM {_axis(0, 300)} x, {_axis(10, 250)} y")
+def size(spark, d):
+    return raster.shape(fx.pixel(spark, d))
+
+
+@query("n01_tile_region", f"SELECT x.a AS x0, x.b AS x1, y.a AS y0, y.b AS y1 FROM {_axis('w')} x, {_axis('h')} y", "pixel", _SIZE)
 def n01(spark, d):
-    return generators.tile_region(spark, 0, 300, 10, 250)
+    width, height = size(spark, d)
+    return generators.tile_region(spark, 0, width, 0, height, 32, 32)
+
 
+_SHARE = lambda share, n: f"CAST(floor(CAST({share} AS DOUBLE) * {n}) AS BIGINT)"
 
-@query("n02_grow_box", "SELECT b.box_id AS box_id, s AS step, greatest(0, x0 - gx) AS x0, least(500, x1 + gx) AS x1, greatest(0, y0 - gy) AS y0, least(64, y1 + gy) AS y1 FROM (SELECT box.*, s, CASE WHEN s < 12 THEN 25 * s ELSE 210 END AS gx, CASE WHEN s < 12 THEN 3 * s ELSE 26 END AS gy FROM box, (SELECT unnest(range(13)) AS s) k) b", "box")
+
+@query(
+    "n02_grow_box",
+    f"SELECT box_id, s AS step, greatest(0, x0 - gx) AS x0, least(w, x1 + gx) AS x1, greatest(0, y0 - gy) AS y0, least(h, y1 + gy) AS y1 FROM (SELECT area.*, s, w, h, CASE WHEN s < 12 THEN {_SHARE(0.05, 'w')} * s ELSE {_SHARE(0.42, 'w')} END AS gx, CASE WHEN s < 12 THEN {_SHARE(0.05, 'h')} * s ELSE {_SHARE(0.42, 'h')} END AS gy FROM area, sz, (SELECT unnest(range(13)) AS s) k) b",
+    "pixel area",
+    _SIZE,
+)
 def n02(spark, d):
-    return generators.grow_boxes(fx.box(spark), 500, 64, 12)
+    return generators.grow_boxes(fx.area(spark, d), *size(spark, d), 12)
 
 
-@query("n03_box_regions", "SELECT DISTINCT box_id, least(x0 + 32 * i, x1 - 64) AS x0, least(x0 + 32 * i, x1 - 64) + 64 AS x1, least(y0 + 32 * j, y1 - 64) AS y0, least(y0 + 32 * j, y1 - 64) + 64 AS y1 FROM (SELECT 1 AS box_id, 0 AS x0, 200 AS x1, 10 AS y0, 150 AS y1 UNION ALL SELECT 2, 50, 400, 0, 64) b, (SELECT unnest(range(12)) AS i) s, (SELECT unnest(range(12)) AS j) t WHERE i <= (x1 - x0) // 32 AND j <= (y1 - y0) // 32")
+@query("n03_box_regions", "SELECT DISTINCT box_id, least(x0 + 8 * i, x1 - 16) AS x0, least(x0 + 8 * i, x1 - 16) + 16 AS x1, least(y0 + 8 * j, y1 - 16) AS y0, least(y0 + 8 * j, y1 - 16) + 16 AS y1 FROM (SELECT *, unnest(range((y1 - y0) // 8 + 1)) AS j FROM (SELECT *, unnest(range((x1 - x0) // 8 + 1)) AS i FROM area) t) b", "area")
 def n03(spark, d):
-    boxes = spark.createDataFrame([(1, 0, 200, 10, 150), (2, 50, 400, 0, 64)], "box_id int, x0 int, x1 int, y0 int, y1 int")
-    return generators.tiles_of(boxes)
+    return generators.tiles_of(fx.area(spark, d), size=16)
 
 
 @query("n04_full_image", "SELECT 0 AS x0, max(x) + 1 AS x1, 0 AS y0, max(y) + 1 AS y1, count(*) AS n FROM pixel", "pixel")
@@ -308,29 +322,41 @@ def n04(spark, d):
     return generators.full_image(fx.pixel(spark, d))
 
 
-@query("n05_sliding_windows", "SELECT DISTINCT 50 * i AS x0, CASE WHEN 50 * i + 100 > 400 THEN 399 ELSE 50 * i + 100 END AS x1, 25 * i AS y0, CASE WHEN 25 * i + 50 > 200 THEN 199 ELSE 25 * i + 50 END AS y1 FROM (SELECT unnest(range(8)) AS i) s")
+@query("n05_sliding_windows", "SELECT DISTINCT CAST(round_even(w / 8.0, 0) * i AS BIGINT) AS x0, CAST(CASE WHEN xe > w THEN w - 1 ELSE xe END AS BIGINT) AS x1, CAST(round_even(h / 8.0, 0) * i AS BIGINT) AS y0, CAST(CASE WHEN ye > h THEN h - 1 ELSE ye END AS BIGINT) AS y1 FROM (SELECT i, w, h, round_even(w / 8.0 * i + w / 4.0, 0) AS xe, round_even(h / 8.0 * i + h / 4.0, 0) AS ye FROM sz, (SELECT unnest(range(8)) AS i) s) t", "pixel", _SIZE)
 def n05(spark, d):
-    return generators.sliding_pairs(spark, 4, 400, 200, step=0.5)
+    return generators.sliding_pairs(spark, 4, *size(spark, d), step=0.5)
+
+
+def _grid(n: str, size: int) -> str:
+    return f"(SELECT DISTINCT CASE WHEN {size // 2} * i + {size} > {n} THEN {n} - 1 - {size} ELSE {size // 2} * i END AS a, CASE WHEN {size // 2} * i + {size} > {n} THEN {n} - 1 ELSE {size // 2} * i + {size} END AS b FROM (SELECT {n}, unnest(range({n} // {size} * 2)) AS i FROM sz) s)"
 
 
-@query("n06_fixed_windows", "SELECT x.a AS x0, x.b AS x1, y.a AS y0, y.b AS y1 FROM (SELECT DISTINCT CASE WHEN 32 * i + 64 > 300 THEN 235 ELSE 32 * i END AS a, CASE WHEN 32 * i + 64 > 300 THEN 299 ELSE 32 * i + 64 END AS b FROM (SELECT unnest(range(8)) AS i) s) x, (SELECT DISTINCT CASE WHEN 24 * i + 48 > 200 THEN 151 ELSE 24 * i END AS a, CASE WHEN 24 * i + 48 > 200 THEN 199 ELSE 24 * i + 48 END AS b FROM (SELECT unnest(range(8)) AS i) s) y")
+@query("n06_fixed_windows", f"SELECT x.a AS x0, x.b AS x1, y.a AS y0, y.b AS y1 FROM {_grid('w', 32)} x, {_grid('h', 16)} y", "pixel", _SIZE)
 def n06(spark, d):
-    return generators.sliding_grid(spark, 64, 48, 300, 200, step=0.5)
+    return generators.sliding_grid(spark, 32, 16, *size(spark, d), step=0.5)
 
 
-@query("n07_growing_box", "SELECT 0 AS x0, 64 + 32 * i AS x1, 0 AS y0, 48 + 24 * i AS y1 FROM (SELECT unnest(range(7)) AS i) s")
+@query("n07_growing_box", "SELECT 0 AS x0, 32 + 16 * i AS x1, 0 AS y0, 16 + 8 * i AS y1 FROM (SELECT unnest(range(least((w - 32) // 16, (h - 16) // 8) + 1)) AS i FROM sz) s", "pixel", _SIZE)
 def n07(spark, d):
-    return generators.growing_from_origin(spark, 64, 48, 300, 200, step=0.5)
+    return generators.growing_from_origin(spark, 32, 16, *size(spark, d), step=0.5)
 
 
-@query("n08_placed_windows", "SELECT DISTINCT least(10 + 16 * (i * (i + 1)) // 2, 210 - 32) AS x0, least(10 + 16 * (i * (i + 1)) // 2, 210 - 32) + 32 AS x1, least(5 + 16 * (i * (i + 1)) // 2, 165 - 32) AS y0, least(5 + 16 * (i * (i + 1)) // 2, 165 - 32) + 32 AS y1 FROM (SELECT unnest(range(10)) AS i) s")
+@query("n08_placed_windows", "SELECT DISTINCT least(10 + 16 * (i * (i + 1)) // 2, w - 10 - 32) AS x0, least(10 + 16 * (i * (i + 1)) // 2, w - 10 - 32) + 32 AS x1, least(5 + 8 * (i * (i + 1)) // 2, h - 5 - 16) AS y0, least(5 + 8 * (i * (i + 1)) // 2, h - 5 - 16) + 16 AS y1 FROM (SELECT w, h, unnest(range(least((w - 20) // 16, (h - 10) // 8))) AS i FROM sz) s", "pixel", _SIZE)
 def n08(spark, d):
-    return generators.placed_windows(spark, 32, 32, 10, 210, 5, 165, step=0.5)
+    width, height = size(spark, d)
+    return generators.placed_windows(spark, 32, 16, 10, width - 10, 5, height - 5, step=0.5)
 
 
-@query("n09_pointed_growth", "SELECT s AS step, greatest(0, 82 - 20 * s) AS x0, least(400, 118 + 20 * s) AS x1, greatest(0, 32 - 10 * s) AS y0, least(200, 68 + 10 * s) AS y1 FROM (SELECT unnest(range(16)) AS s) t")
+@query(
+    "n09_pointed_growth",
+    "SELECT s AS step, greatest(0, px - 8 - gx * s) AS x0, least(w, px + 8 + gx * s) AS x1, greatest(0, py - 8 - gy * s) AS y0, least(h, py + 8 + gy * s) AS y1 FROM (SELECT *, unnest(range(greatest(ceil(greatest(px, w - px) / gx), ceil(greatest(py, h - py) / gy))::BIGINT + 1)) AS s FROM "
+    f"(SELECT w, h, w // 2 AS px, h // 2 AS py, greatest(1, {_SHARE(0.05, 'w')}) AS gx, greatest(1, {_SHARE(0.05, 'h')}) AS gy FROM sz) z) t",
+    "pixel",
+    _SIZE,
+)
 def n09(spark, d):
-    return generators.pointed_growth(spark, 50, 100, 18, 400, 200)
+    width, height = size(spark, d)
+    return generators.pointed_growth(spark, height // 2, width // 2, 8, width, height)
 
 
 @query("u01_custom_ops", "SELECT gid, 'identity' AS channel, round(max(v) - min(v), 7) AS range, round(sum(v * v), 6) AS energy FROM under GROUP BY gid", "poly_points pixel", _UNDER)

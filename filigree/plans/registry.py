@@ -17,6 +17,9 @@ VIEWS: dict[str, str] = {
     "adj": "SELECT v1 AS src, v2 AS dst FROM gedge WHERE v1 <> v2 UNION SELECT v2, v1 FROM gedge WHERE v1 <> v2",
     "real_adj": "SELECT v1 AS src, v2 AS dst FROM gedge WHERE v1 <> v2 AND v2 >= 0 UNION SELECT v2, v1 FROM gedge WHERE v1 <> v2 AND v2 >= 0",
     "pixel": "SELECT vec_id AS x, generate_subscripts(embedding, 1) - 1 AS y, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings",
+    # boxes that follow the data: the ranges of the vertices of each customer's polylines, and of each nation's
+    "area": "SELECT o_custkey AS box_id, CAST(floor(min(p1)) AS BIGINT) AS x0, CAST(ceil(max(p1)) AS BIGINT) AS x1, CAST(floor(min(p0)) AS BIGINT) AS y0, CAST(ceil(max(p0)) AS BIGINT) AS y1 FROM poly_points JOIN orders ON o_orderkey = gid GROUP BY o_custkey",
+    "nation_area": "SELECT c_nationkey AS box_id, CAST(floor(avg(x0)) AS BIGINT) AS x0, CAST(ceil(avg(x1)) AS BIGINT) AS x1, CAST(floor(avg(y0)) AS BIGINT) AS y0, CAST(ceil(avg(y1)) AS BIGINT) AS y1 FROM area JOIN customer ON c_custkey = box_id GROUP BY c_nationkey",
     # a table of images, of a hundred vectors each
     "image_pixel": "SELECT vec_id // 100 AS image, vec_id % 100 AS x, generate_subscripts(embedding, 1) - 1 AS y, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings",
     "feat": "SELECT vec_id AS gid, embedding AS f, label FROM embeddings",
@@ -30,7 +33,7 @@ VIEWS: dict[str, str] = {
     # a small ring graph over the vectors, for message passing and sampling
     "ring": "SELECT a.gid AS node, s.slot AS slot, (a.gid + 1 + 7 * s.slot) % n.n AS nbr FROM feat a, (SELECT unnest(range(5)) AS slot) s, (SELECT count(*) AS n FROM feat) n",
 }
-_NEEDS = {"adj": "gedge", "real_adj": "gedge", "part_of": "gnode", "line": "poly_points", "mom": "poly_points", "ring": "feat"}
+_NEEDS = {"adj": "gedge", "real_adj": "gedge", "part_of": "gnode", "line": "poly_points", "mom": "poly_points", "ring": "feat", "area": "poly_points", "nation_area": "area"}
 
 
 def with_views(views: str, sql: str, more: str = "") -> str:

@@ -161,10 +161,12 @@ def t03(spark, d):
     return fx.pred(spark, d).select("gid", "p").orderBy(F.desc("p"), "gid").limit(10)
 
 
-@query("t04_sigma_persistence", "SELECT s AS sigma, p AS persistence FROM (SELECT unnest([1, 2, 4]) AS s) a, (SELECT unnest([1, 5, 10]) AS p) b ORDER BY s, p")
+@query("t04_sigma_persistence", "SELECT sigma, persistence FROM (SELECT DISTINCT p_size % 8 + 1 AS sigma FROM part) a, (SELECT DISTINCT l_linenumber AS persistence FROM lineitem) b ORDER BY sigma, persistence")
 def t04(spark, d):
-    one = spark.range(1)
-    return one.select(F.explode(F.array(*map(F.lit, (1, 2, 4)))).alias("sigma")).crossJoin(one.select(F.explode(F.array(*map(F.lit, (1, 5, 10)))).alias("persistence"))).orderBy("sigma", "persistence")
+    """Every blur with every persistence, in order; both are lists of a few values, taken from tables here."""
+    sigmas = fx.table(spark, d, "part").select((F.col("p_size") % 8 + 1).alias("sigma")).distinct()
+    persistences = fx.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("persistence")).distinct()
+    return sigmas.crossJoin(F.broadcast(persistences)).orderBy("sigma", "persistence")  # line numbers
 
 
 @query("t05_first_n", "SELECT vec_id AS gid, label FROM embeddings WHERE vec_id < 25")
