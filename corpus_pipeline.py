@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm import bpe, decontaminate, line_dedup, quality, simhash
-from filigree.llm.common import ensure_checkpoint_dir
+from filigree.llm.common import ensure_checkpoint_dir, remove_folder
 from filigree.llm.queries import table, word_tokenizer
 
 
@@ -54,9 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next reads it."""
+    """All stages over ``documents``, each written to the shared folder before the next reads it, and removed when the next is written. The last one's input stays, as its result is read from it."""
     docs, to = table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{to}/{k}")
         docs = spark.read.parquet(f"{to}/{k}")
+        if k:
+            remove_folder(spark, f"{to}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

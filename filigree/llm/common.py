@@ -29,6 +29,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes what a job has written to a folder of its own and needs no more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
