@@ -15,8 +15,20 @@ UPPER_CHARS, LOWER_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: ten thousand documents at a time are more than a worker and the JVM beside it should hold.
+BATCH_ROWS, DEFAULT_ROWS = 1_000, "10000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches of whole texts stay small; a setting of the user's own is left alone."""
+    if spark.conf.get(_BATCH_SETTING) == DEFAULT_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; only where none is set (tests), a local one."""
+    small_batches(spark)
     if (path := spark.conf.get("spark.checkpoint.dir", None)) is None:
         import tempfile
 
@@ -55,6 +67,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """df through rows, one piece of an Arrow batch at a time; no state is kept between pieces."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             if (out := rows(batch)) is not None:
