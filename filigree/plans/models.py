@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..operators import aggregation, extra_trees, graph, learning, metrics, neural, raster, sage, spatial
+from ..operators import aggregation, extra_trees, graph, learning, metrics, neural, raster, sage, spatial, walk_vectors
 from ..operators.keeping import keep
 from . import fixtures as fx
 from .graphs import integer_sql
@@ -178,8 +178,33 @@ def m_fits(spark, d):
     return reduce(lambda a, b: a.unionByName(b), facts)
 
 
+def circle_pairs(spark, d):
+    steps = fx.circles(spark, d).select(F.col("node").alias("src"), F.col("nbr").alias("dst")).distinct()
+    return graph.random_walks(fx.feat(spark, d).select("gid"), steps, walks=4, length=4, seed=1).select("node", "ctx")
+
+
 @query("m13_node2vec")
 def m13(spark, d):
+    """Vectors of all nodes from walks, trained in three blocks."""
+    return walk_vectors.walk_vectors(circle_pairs(spark, d), epochs=4, rate=0.2, blocks=3)
+
+
+@query("m13_facts", "SELECT blocks, (SELECT count(*) FROM feat) AS n, true AS closer FROM (VALUES (1), (3)) t(blocks)", "feat")
+def m13_facts(spark, d):
+    """What holds however many blocks there are: a vector for each node, and nodes of a circle nearer to each other than to those of the next, on the average by 0.1 of cosine at least."""
+    pairs, out = keep(circle_pairs(spark, d)), []
+    for blocks in (1, 3):
+        vectors = keep(walk_vectors.walk_vectors(pairs, epochs=4, rate=0.2, blocks=blocks))
+        cos = lambda a, b: v.dot(F.col(a), F.col(b)) / (v.norm(F.col(a)) * v.norm(F.col(b)))
+        tens = vectors.select("node", "vec", F.explode(F.array(F.lit(1), F.lit(12))).alias("by")).select("node", "vec", "by", (F.col("node") + F.col("by")).alias("to"))
+        met = tens.join(vectors.select(F.col("node").alias("to"), F.col("vec").alias("other")), "to").where((F.col("by") == 12) | (F.col("node") % 12 != 11))
+        means = met.agg(F.avg(F.when(F.col("by") == 1, cos("vec", "other"))).alias("near"), F.avg(F.when(F.col("by") == 12, cos("vec", "other"))).alias("far"))
+        out.append(means.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("n")))).select(F.lit(blocks).alias("blocks"), "n", (F.col("near") > F.col("far") + 0.1).alias("closer")))
+    return out[0].unionByName(out[1])
+
+
+@query("m13_word2vec")
+def m13_word2vec(spark, d):
     walks = graph.random_walks(fx.feat(spark, d).select("gid"), fx.ring(spark, d).select(F.col("node").alias("src"), F.col("nbr").alias("dst")).distinct(), walks=2, length=4, seed=1)
     return learning.walk_embeddings(walks)
 
