@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
-from ..operators import aggregation, extra_trees, graph, learning, metrics, neural, raster, sage, spatial, walk_vectors
+from ..operators import aggregation, extra_trees, graph, learning, metrics, neural, raster, sage, spatial, sphere, walk_vectors
 from ..operators.keeping import keep
 from . import fixtures as fx
 from .graphs import integer_sql
@@ -298,3 +298,29 @@ def x09(spark, d):
     near = keep(spatial.nearest(seeds, points, cell=2.0))
     reached = graph.expand(near.select("gid"), fx.real_adj(spark, d), hops=1).select("gid")
     return reached.intersect(nodes.where("y = 1").select("gid")).withColumn("y", F.lit(1))
+
+
+@query("f25_neighbour_graph")
+def f25_graph(spark, d):
+    """The fifteen nearest vectors of each, found by descent."""
+    return sphere.neighbour_graph(plain(spark, d), 15)
+
+
+@query("f25_recall", "SELECT count(*) AS n, 15 * count(*) AS links, true AS found FROM feat", "feat")
+def f25_recall(spark, d):
+    """What holds for the graph: fifteen neighbours for each vector, and at least 0.9 of the true ones of a query set (gid % 20 = 0) against all rows."""
+    f = plain(spark, d)
+    graph_ = keep(sphere.neighbour_graph(f, 15))
+    asked = f.where("gid % 20 = 0").selectExpr("gid AS a", "f AS fa")
+    exact = f.selectExpr("gid AS b", "f AS fb").crossJoin(F.broadcast(asked)).where("a <> b").select("a", "b", v.euclidean(F.col("fa"), F.col("fb")).alias("d"))  # the stated query set
+    best = exact.selectExpr("a", "b", "row_number() OVER (PARTITION BY a ORDER BY d, b) AS r").where("r <= 15")
+    hit = best.join(graph_, ["a", "b"], "left").agg(F.avg(F.col("d").isNotNull().cast("double")).alias("recall"))
+    sizes = graph_.agg(F.countDistinct("a").alias("n"), F.count("*").alias("links"))
+    return sizes.crossJoin(F.broadcast(hit)).select("n", "links", (F.col("recall") >= 0.9).alias("found"))
+
+
+@query("f25_sphere")
+def f25_sphere(spark, d):
+    """Every vector's place on the sphere after twenty epochs."""
+    f = plain(spark, d)
+    return sphere.spherical_layout(f, keep(sphere.neighbour_graph(f, 15)), epochs=20)
