@@ -70,10 +70,10 @@ def geometry_vector(lines: DataFrame, points: DataFrame, neighbour: DataFrame, s
     return rows.select("gid", *(v.alias(n) for n, v in zip(GEOMETRY_NAMES, values, strict=True)))
 
 
-def last_neighbour(edges: DataFrame) -> DataFrame:
-    """gid, nbr: the other end of each polyline's junction with the largest id; an own loop gives the polyline itself."""
-    ends = edges.select("gid", F.explode(F.array(F.struct(F.col("v1").alias("own"), F.col("v2").alias("nbr")), F.struct(F.col("v2").alias("own"), F.col("v1").alias("nbr")))).alias("e"))
-    return ends.groupBy(F.col("e.own").alias("g")).agg(F.max_by("e.nbr", "gid").alias("nbr")).select(F.col("g").alias("gid"), "nbr")
+def last_neighbour(edges: DataFrame, order: tuple[str, ...] = ("gid",)) -> DataFrame:
+    """gid, nbr: the other end of each polyline's last junction in an order, by default that of ids; an own loop gives the polyline itself."""
+    ends = edges.select(F.struct(*order).alias("at"), F.explode(F.array(F.struct(F.col("v1").alias("own"), F.col("v2").alias("nbr")), F.struct(F.col("v2").alias("own"), F.col("v1").alias("nbr")))).alias("e"))
+    return ends.groupBy(F.col("e.own").alias("gid")).agg(F.max(F.struct("at", "e.nbr")).alias("last")).select("gid", "last.nbr")
 
 
 # --- pixel features ---------------------------------------------------------------------------------------

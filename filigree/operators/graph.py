@@ -24,8 +24,9 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """gid, degree: the junctions at each polyline."""
-    return incidence(edges).groupBy(F.col("node").alias("gid")).agg(F.countDistinct("edge").alias("degree"))
+    """gid, degree: the junctions at each polyline; each row of edges is a junction, with or without an id."""
+    ends = edges.select(F.explode(F.array_distinct(F.array("v1", "v2"))).alias("gid"))
+    return ends.groupBy("gid").agg(F.count("*").alias("degree"))
 
 
 def with_end_flags(edges: DataFrame, nodes: DataFrame, flag: str) -> DataFrame:

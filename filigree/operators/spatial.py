@@ -11,6 +11,8 @@ from .keeping import keep
 
 #: Boxes up to this number are broadcast and tested one by one; more are matched by cell.
 BROADCAST_BOXES = 2_000
+#: Cells that queries look at, up to which they are broadcast to the points; more meet them by a shuffle.
+BROADCAST_CELLS = 200_000
 
 
 def in_box(p0: Column, p1: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
@@ -60,7 +62,9 @@ def nearest(queries: DataFrame, points: DataFrame, cell: float, rings: int = 3)
         of = lambda c, size=cell: F.floor(F.col(c) / size).cast("long")
         placed = points.select("gid", "p0", "p1", of("p0").alias("c0"), of("p1").alias("c1"))
         near = open_.withColumn("_a", F.explode(around)).withColumn("_b", F.explode(around)).select("qid", "q0", "q1", (of("q0") + F.col("_a")).alias("c0"), (of("q1") + F.col("_b")).alias("c1"))
-        found = keep(near.join(placed, ["c0", "c1"]).groupBy("qid").agg(F.min(F.struct(d.alias("dist"), "gid")).alias("b")).select("qid", "b.gid", "b.dist"))
+        if open_.count() * (2 * rings + 1) ** 2 <= BROADCAST_CELLS:
+            near = F.broadcast(near)  # points then stay where they are
+        found = keep(placed.join(near, ["c0", "c1"]).groupBy("qid").agg(F.min(F.struct(d.alias("dist"), "gid")).alias("b")).select("qid", "b.gid", "b.dist"))
         covered = rings * cell
         last = covered >= span
         settled.append(found if last else found.where(F.col("dist") <= covered))

@@ -36,7 +36,7 @@ def j02(spark, d):
 
 @query("g02_degree", "SELECT gid, degree, max(degree) OVER () AS max_degree FROM (SELECT v AS gid, count(DISTINCT e) AS degree FROM (SELECT gid AS e, v1 AS v FROM gedge UNION SELECT gid, v2 FROM gedge) i GROUP BY v) g", "gedge")
 def g02(spark, d):
-    deg = graph.degrees(fx.gedge(spark, d))
+    deg = keep(graph.degrees(fx.junctions(spark, d)))
     return deg.crossJoin(F.broadcast(deg.agg(F.max("degree").alias("max_degree"))))  # one row
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import vectors as v
 from ..operators import features
+from ..operators.keeping import keep
 from . import fixtures as fx
 from .registry import query
 
@@ -198,8 +199,10 @@ def _vector_sql() -> str:
 
 @query("f30_geom_vector", _vector_sql(), "line mom gedge", _LAST)
 def f30(spark, d):
-    points, edges = fx.poly_points(spark, d), fx.gedge(spark, d)
-    rows = features.geometry_vector(lines(spark, d), points, features.last_neighbour(edges), 1 / 200)
+    points = fx.poly_points(spark, d)
+    # junctions are numbered by pk, then v1, so the last one is known without a number
+    near = features.last_neighbour(fx.junctions(spark, d), ("pk", "v1"))
+    rows = features.geometry_vector(keep(lines(spark, d)), points, near, 1 / 200)
     return rows.select("gid", *(r(F.col(n), digits_of(n)).alias(n) for n in features.GEOMETRY_NAMES))
 
 
