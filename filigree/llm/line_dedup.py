@@ -299,6 +299,8 @@ def rewrite(docs: DataFrame, index: LineIndex, *, id_col: str = "doc_id", text_c
         return rows.join(kept, ["h1", "h2"], "left_semi")
 
     names = docs.columns
+    if counts and (clash := {"n_lines", "n_dropped"} & set(names)):
+        raise ValueError(f"the input has columns that counts=True would add: {', '.join(sorted(clash))}")
     at = names.index(text_col)
     extra = ", n_lines long, n_dropped long" if counts else ""
     schema = _ddl(docs) + extra

@@ -146,3 +146,10 @@ def test_very_long_text_and_empty_table(spark):
     got = {r["doc_id"]: r["n_dropped"] for r in dedup_lines(documents(spark, rows), counts=True).collect()}
     assert got[4] == 0 and all(got[i] > 100 for i in range(4))
     assert dedup_lines(empty(spark)).count() == 0
+
+
+def test_clashing_counts_are_refused(spark):
+    docs = documents(spark).withColumnRenamed("source", "n_lines")
+    with pytest.raises(ValueError, match="n_lines"):
+        line_dedup.dedup_lines(docs, counts=True)
+    assert line_dedup.dedup_lines(docs).columns == docs.columns
