@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ..operators.keeping import dense_ids, new_folder
+from ..operators.keeping import dense_ids, keep, new_folder
 from ..sources import parameters, raw, selection, sinks, text
 from . import fixtures as fx
 from .registry import query
@@ -175,15 +175,17 @@ def grey_map(ids: pd.Series) -> pd.Series:
 
 @query("a08_raw_images", "SELECT 'img_' || gid AS image, pos // 8 AS x, pos % 8 AS y, round((v - lo) / (hi - lo), 6) AS v FROM (SELECT *, min(v) OVER (PARTITION BY gid) AS lo, max(v) OVER (PARTITION BY gid) AS hi FROM fpos) t", "fpos")
 def a08(spark, d):
-    """Every vector as an 8 x 8 image; Spark has no writer of binary files, so contents lie in a table as the reader gives them."""
-    files = fx.feat(spark, d).select(F.format_string("/data/img_%d_8_8.raw", "gid").alias("path"), float_bytes("f").alias("content"))
-    return raw.decoded_images(files).select("image", "x", "y", r(F.col("v")).alias("v"))
+    """Every vector as a file of an 8 x 8 image, written and then read with their names."""
+    to = new_folder(spark, "images")
+    sinks.binary_files(fx.feat(spark, d).select(F.format_string("img_%d_8_8.raw", "gid").alias("path"), float_bytes("f").alias("content")), to)
+    return raw.images(spark, to).select("image", "x", "y", r(F.col("v")).alias("v"))
 
 
 @query("a09_grey_maps", "SELECT 'm' || gid AS image, k % 8 AS x, k // 8 AS y, round(((gid * 7 + k * 13) % 256) / 255.0, 6) AS v FROM feat, (SELECT unnest(range(32)) AS k) p", "feat")
 def a09(spark, d):
-    files = fx.feat(spark, d).select(F.format_string("/data/m%d.pgm.gz", "gid").alias("path"), grey_map("gid").alias("content"))
-    return raw.grey_maps(files).select("image", "x", "y", r(F.col("v")).alias("v"))
+    to = new_folder(spark, "grey-maps")
+    sinks.binary_files(fx.feat(spark, d).select(F.format_string("m%d.pgm.gz", "gid").alias("path"), grey_map("gid").alias("content")), to)
+    return raw.grey_map_files(spark, to).select("image", "x", "y", r(F.col("v")).alias("v"))
 
 
 @query("a10_dataset_selection", "SELECT i.idx AS idx, o_orderkey AS image, o_custkey AS mask, o_totalprice AS seg FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders) i WHERE idx < 100")
@@ -220,10 +222,12 @@ def a11(spark, d):
 def a16_files(spark, d):
     """Arrays of a thousand rows, and beside each the ids of its rows, line by line."""
     rows = dense_ids(fx.feat(spark, d).select(F.col("gid").alias("id"), "f"), "id")
-    files = raw.encoded_vectors(rows)
+    files, to = keep(raw.encoded_vectors(rows)), new_folder(spark, "arrays")
+    sinks.binary_files(files, to)
     ids = files.select("path", F.posexplode(F.split("ids", "\n")).alias("idx", "id"))
+    back = raw.vectors(spark, to).withColumn("path", F.substring_index("path", "/", -1))
     norm = F.sqrt(F.aggregate("f", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return raw.decoded_vectors(files).join(ids, ["path", "idx"]).select(F.col("id").cast("long").alias("id"), F.size("f").cast("long").alias("n"), F.round(norm, 4).alias("norm"))
+    return back.join(ids, ["path", "idx"]).select(F.col("id").cast("long").alias("id"), F.size("f").cast("long").alias("n"), F.round(norm, 4).alias("norm"))
 
 
 @query("b01_geometry_files", "SELECT l.gid AS gid, n, round(f0, 6) AS f0, round(l1, 6) AS l1, count(e.gid) AS junctions FROM line l LEFT JOIN gedge e ON e.v1 = l.gid GROUP BY ALL", "line gedge")

@@ -55,6 +55,11 @@ def grey_maps(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "image string, x long, y long, v double")
 
 
+def grey_map_files(spark: SparkSession, path: str) -> DataFrame:
+    """image, x, y, v of the grey maps in a folder."""
+    return grey_maps(spark.read.format("binaryFile").load(path))
+
+
 def _header(data: bytes) -> tuple[bytes, int, int, int, int]:
     """Magic, width, height, largest value and where the pixels begin; '#' begins a comment."""
     fields, at = [], 0

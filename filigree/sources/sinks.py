@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,3 +99,29 @@ def ranked(df: DataFrame, path: str, mode: str = "error") -> None:
 def scores(df: DataFrame, path: str, mode: str = "error") -> None:
     """'name value' lines of any number, in no order."""
     _write(df, F.concat_ws(" ", "name", F.col("value").cast("string")), path, mode)
+
+
+def binary_files(df: DataFrame, folder: str) -> int:
+    """Writes each row's content as a file in folder, under the last part of its path; returns how many.
+
+    Spark reads binary files but has no writer of them, so tasks write through the file system that the
+    folder's address names. A file is written aside and then moved, so a task that runs twice leaves each
+    file whole and once; rows of one name overwrite each other. A null content is an empty file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder)
+        system.create_dir(at)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name, aside = f"{at}/{path.rsplit('/', 1)[-1]}", f"{at}/_{uuid.uuid4().hex}"  # Spark's readers pass over names that begin with _
+                with system.open_output_stream(aside) as out:
+                    out.write(content or b"")
+                system.move(aside, name)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return df.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

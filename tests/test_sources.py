@@ -91,3 +91,18 @@ def test_selections_merge_batch_by_batch(spark, tmp_path):
     for i in range(2):
         merge(spark.read.parquet(f"{tmp_path}/in/part={i}"), i)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/state/1").select("gid", "y").collect())) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_binary_files_are_written_whole_and_scanned(spark, tmp_path):
+    from filigree.sources import raw, sinks
+
+    v = [0.0, 1.0, 2.0, 4.0, 3.0, 8.0]
+    content = np.asarray(v, dtype="<f4").tobytes()
+    rows = [("/somewhere/a_2_3.raw", content), ("b_3_2.raw", content), ("notes.txt", None)]
+    to = f"file://{tmp_path}/images"
+    df = spark.createDataFrame(rows, "path string, content binary").repartition(2)
+    assert sinks.binary_files(df, to) == 3 and sinks.binary_files(df, to) == 3  # again: overwritten
+    assert sorted(p.name for p in (tmp_path / "images").iterdir()) == ["a_2_3.raw", "b_3_2.raw", "notes.txt"]
+    got = {(r["image"], r["x"], r["y"]): r["v"] for r in raw.images(spark, to, normalise=False).collect()}
+    assert got == {("a", i // 3, i % 3): x for i, x in enumerate(v)} | {("b", i // 2, i % 2): x for i, x in enumerate(v)}
+    assert sinks.binary_files(df.limit(0), to) == 0
