@@ -12,8 +12,11 @@ compared only with places of equal anchor:
    merge-sorted; two suffixes compare by the length of their common extension, found by binary search
    over prefix hashes. Extensions of neighbours to the right and hashes to the left tell which starts
    repeat; the bytes of every pair that decides are then compared outright. One sort serves both lengths.
-4. Anchors with too many contents for a shard are resolved start by start, counted by digest with
-   combiners before the shuffle.
+4. Contents of an anchor that has too many for a shard are dealt to cells by their next bytes: strings
+   with so many to so many bytes before the anchor share what lies behind and before it as far as all of
+   them reach. A cell that is still too large is halved, down to one number of bytes before the anchor.
+   Each cell is a group of the same sort. What a cell of one place holds are copies of one string, which
+   need no sort: they are counted with combiners before the shuffle.
 
 Strings of 400 bytes are removed. Those of 280, about 50 words, are counted as well: passages that
 documents share although they are too short to be removed.
@@ -38,8 +41,10 @@ from .common import cut, slices, texts_of
 
 #: Bytes of a string that is removed, of a passage that is counted, and of the parts that select an anchor.
 LENGTH, PASSAGE, PART = 400, 280, 160
-#: Contents in a shard, about, and contents of an anchor from which its starts are counted one by one.
+#: Contents in a shard, about, and contents of an anchor or a cell from which it is divided.
 SHARD, CROWD = 4_000, 8_000
+#: Numbers of bytes that a string may have before its anchor.
+_PLACES = PASSAGE - PART + 1
 #: Starts that are hashed at a time.
 CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -222,25 +227,28 @@ class Suffixes:
         return order
 
 
-def repeated_starts(contents: list[bytes], offsets: np.ndarray, groups: np.ndarray, lengths: tuple[int, ...] = (LENGTH,)) -> list[list[np.ndarray]]:
+def repeated_starts(contents: list[bytes], offsets: np.ndarray, groups: np.ndarray, lengths: tuple[int, ...] = (LENGTH,), low: np.ndarray | None = None, high: np.ndarray | None = None) -> list[list[np.ndarray]]:
     """For each length, for each content, the starts (from its begin) of strings of that length that another content of its group holds at the same anchor.
 
     offsets: where the anchor lies in each content. A string's anchor lies within its first PASSAGE bytes.
+    low, high: of a content only strings with low to high - 1 bytes before the anchor are asked for; all by default.
     """
+    low = np.zeros(len(contents), dtype=np.int64) if low is None else low
+    high = np.full(len(contents), _PLACES) if high is None else high
     suffixes = Suffixes(contents, offsets, groups)
     order = suffixes.sorted()
     begin_new = np.append(True, suffixes.group[order][1:] != suffixes.group[order][:-1])
     extension = np.append(0, suffixes.common(order[:-1], order[1:])) if len(order) > 1 else np.zeros(1, dtype=np.int64)
     extension[begin_new] = -1
-    return [_repeated(suffixes, order, extension, contents, length) for length in lengths]
+    return [_repeated(suffixes, order, extension, contents, length, low, high) for length in lengths]
 
 
-def _repeated(suffixes: Suffixes, order: np.ndarray, extension: np.ndarray, contents: list[bytes], length: int) -> list[np.ndarray]:
+def _repeated(suffixes: Suffixes, order: np.ndarray, extension: np.ndarray, contents: list[bytes], length: int, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
     offsets, groups = suffixes.offset, suffixes.group
     offset, right, anchor = offsets[order], suffixes.right[order], suffixes.anchor[order]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for left in range(PASSAGE - PART + 1):  # bytes of a string before its anchor
-        fits = np.flatnonzero((offset >= left) & (right >= length - left))
+    for left in range(_PLACES):  # bytes of a string before its anchor
+        fits = np.flatnonzero((offset >= left) & (right >= length - left) & (low[order] <= left) & (left < high[order]))
         if len(fits) < 2:
             continue
         block = np.cumsum(extension < length - left)[fits]  # suffixes that agree as far as the string goes
@@ -259,9 +267,9 @@ def _repeated(suffixes: Suffixes, order: np.ndarray, extension: np.ndarray, cont
     new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
     data, anchor, wrong = suffixes.data, suffixes.anchor, set()
     for a, b in zip(new.tolist(), np.append(new[1:], len(x)).tolist(), strict=True):
-        i, j, low, high = int(x[a]), int(y[a]), int(left[a]), int(left[b - 1])
+        i, j, least, most = int(x[a]), int(y[a]), int(left[a]), int(left[b - 1])
         p, q = int(anchor[i]), int(anchor[j])
-        if data[p - high : p + length - low] == data[q - high : q + length - low]:
+        if data[p - most : p + length - least] == data[q - most : q + length - least]:
             own = left[a:b].tolist()
             out[i].update(own)
             out[j].update(own)
@@ -272,7 +280,8 @@ def _repeated(suffixes: Suffixes, order: np.ndarray, extension: np.ndarray, cont
         seen: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for i in own.tolist():
             for s in range(len(contents[i]) - length + 1):
-                seen[contents[i][s : s + length]].append((i, int(offsets[i]) - s))
+                if low[i] <= offsets[i] - s < high[i]:
+                    seen[contents[i][s : s + length]].append((i, int(offsets[i]) - s))
             out[i] = set()
         for places in seen.values():
             if len(places) > 1:
@@ -299,8 +308,9 @@ _FIRST, _LAST, _PLACE = "shiftright(at, 16)", "shiftright(at, 16) + (at & 255)",
 
 def _search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """The repeated starts of each content, of both lengths; an owned start behind whose strings the text ends has none."""
-    long, short = repeated_starts(pdf["content"].tolist(), pdf["offset"].to_numpy(dtype=np.int64), pdf["g"].to_numpy(), (LENGTH, PASSAGE))
-    short = [s[s <= n] for s, n in zip(short, pdf["starts"].to_numpy(), strict=True)]
+    at = [pdf[c].to_numpy(dtype=np.int64) for c in ("offset", "cell", "low", "high")]
+    long, short = repeated_starts(pdf["content"].tolist(), at[0], at[1], (LENGTH, PASSAGE), at[2], at[3])
+    long, short = ([s[s <= n] for s, n in zip(found, pdf["starts"].to_numpy(), strict=True)] for found in (long, short))
     return pd.DataFrame({"g": pdf["g"], "c1": pdf["c1"], "c2": pdf["c2"], "ranges": [_ranges(s) for s in long], "passages": [_ranges(s) for s in short]})
 
 
@@ -317,17 +327,76 @@ def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _batch({"g": pa.array(g, pa.int64()), "c1": pa.array(c1, pa.int64()), "c2": pa.array(c2, pa.int64()), "offset": pa.array(offset, pa.int32()), "starts": pa.array(starts, pa.int32()), "content": pa.array(content, pa.binary()), "crowd": pa.array(crowd, pa.bool_())})
 
 
+_CONTENT = "g long, c1 long, c2 long, offset int, starts int, content binary"
+
+
+def _cells_of(g: int, offset: int, starts: int, content: bytes, divided: frozenset[int]) -> Iterator[tuple[int, int, int]]:
+    """(low, high, cell) of the cells of a content: strings with low to high - 1 bytes before the anchor, by the digest of what all of them share."""
+    open_ = [(0, _PLACES)]
+    while open_:
+        low, high = open_.pop()
+        end = offset + PASSAGE - (high - 1)
+        if low > offset or high <= offset - starts or end > len(content):
+            continue  # no string of this content has its anchor there
+        cell = int.from_bytes(hashlib.blake2b(b"%d %d %d " % (g, low, high) + content[offset - low : end], digest_size=8).digest(), "little", signed=True)
+        if high - low > 1 and cell in divided:
+            middle = (low + high) // 2
+            open_ += [(low, middle), (middle, high)]
+        else:
+            yield low, high, cell
+
+
+def _cell_rows(divided, whole: bool):
+    """Rows of contents to rows of their cells; without the contents themselves unless ``whole``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            owner, found = [], []
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 3, 4, 5)), strict=True)):
+                own = list(_cells_of(*row, divided.value))
+                owner += [i] * len(own)
+                found += own
+            if found:
+                low, high, cell = zip(*found, strict=True)
+                columns = {"low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32()), "cell": pa.array(cell, pa.int64())}
+                if whole:
+                    columns |= {name: batch.column(i).take(pa.array(owner)) for i, name in enumerate(batch.schema.names)}
+                yield _batch(columns)
+
+    return run
+
+
+def cells(contents: DataFrame) -> DataFrame:
+    """low, high, cell, full and the columns of contents: a row for each cell of each content; full cells are those of one place that hold more than CROWD.
+
+    A cell is divided while it holds more; there is at most one such cell for so many contents, so their
+    digests may be sent to all tasks.
+    """
+    sc, divided = contents.sparkSession.sparkContext, frozenset()
+    while True:
+        sent = sc.broadcast(divided)
+        counted = cut(contents.mapInArrow(_cell_rows(sent, False), "low int, high int, cell long").groupBy("cell").agg(F.count("*").alias("n"), F.max(F.col("high") - F.col("low")).alias("places")).where(F.col("n") > CROWD))
+        new = frozenset(r["cell"] for r in counted.where("places > 1").select("cell").collect()) - divided
+        if not new:
+            break
+        divided |= new
+    rows = contents.mapInArrow(_cell_rows(sent, True), f"low int, high int, cell long, {_CONTENT}")
+    full = counted.where("places = 1").select("cell", F.lit(True).alias("full"))
+    return rows.join(F.broadcast(full), "cell", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+
+
 def _start_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every start of the contents of a crowded anchor, with the digests of its strings of both lengths."""
+    """The one start of each content that a cell of one place asks for, with the digests of its strings of both lengths. batch: g, c1, c2, offset, starts, content, low."""
     for batch in slices(batches):
         owner, starts, digests, kinds = [], [], [], []
-        for i, (content, last) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-            for length in (LENGTH, PASSAGE):
-                n = min(last, len(content) - length) + 1
-                owner += [i] * n
-                starts += range(n)
-                kinds += [SHORT if length == PASSAGE else LONG] * n
-                digests += [_digest(content[s : s + length]) for s in range(n)]
+        for i, (offset, last, content, left) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6)), strict=True)):
+            s = offset - left
+            for length, kind in ((LENGTH, LONG), (PASSAGE, SHORT)):
+                if 0 <= s <= last and s + length <= len(content):
+                    owner.append(i)
+                    starts.append(s)
+                    kinds.append(kind)
+                    digests.append(_digest(content[s : s + length]))
         if digests:
             s1, s2 = _pairs(digests)
             yield _batch({**{k: batch.column(i).take(pa.array(owner)) for i, k in enumerate(("g", "c1", "c2"))}, "s1": s1, "s2": s2, "kind": pa.array(kinds, pa.int32()), "start": pa.array(starts, pa.int32())})
@@ -382,13 +451,21 @@ def repeated_ranges(text: DataFrame) -> DataFrame:
     texts = text.mapInArrow(_text_rows, "t1 long, t2 long, bytes binary")
     # several tasks may have met an equal text: then its contents come as often, and count once
     fetched = texts.join(lists.hint("shuffle_hash"), ["t1", "t2"]).select("bytes", "wanted").mapInArrow(_content_rows, "g long, c1 long, c2 long, offset int, starts int, content binary, crowd boolean")
+    every = [F.col("g").alias("cell"), F.lit(0).alias("low"), F.lit(_PLACES).alias("high")]
+    names = ["g", "c1", "c2", "offset", "starts", "content"]
+    sorted_ = fetched.where("NOT crowd").select(*every, *names)
+    starts = None
+    if not wanted.where("crowd").isEmpty():
+        dealt = cut(cells(cut(fetched.where("crowd").select(*names).dropDuplicates(["g", "c1", "c2"]))))
+        sorted_ = sorted_.unionByName(dealt.where("NOT full").select("cell", "low", "high", *names))
+        n += dealt.count()
+        starts = cut(dealt.where("full").select(*names, "low").mapInArrow(_start_rows, "g long, c1 long, c2 long, s1 long, s2 long, kind int, start int"))
     shards = max(1, -(-n // SHARD))
-    sharded = fetched.where("NOT crowd").withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).dropDuplicates(["shard", "g", "c1", "c2"])
+    sharded = sorted_.withColumn("shard", F.pmod(F.xxhash64("cell"), F.lit(shards)).cast("int")).dropDuplicates(["shard", "cell", "g", "c1", "c2"])
     both = sharded.groupBy("shard").applyInPandas(_search_shard, f"g long, c1 long, c2 long, ranges {_RANGES}, passages {_RANGES}").where(F.size("ranges") + F.size("passages") > 0)
     tagged = lambda name, kind: F.transform(name, lambda r: F.struct(F.lit(kind).alias("kind"), r["first"].alias("from"), r["last"].alias("to")))
     ranges = both.select("g", "c1", "c2", F.inline(F.concat(tagged("ranges", LONG), tagged("passages", SHORT))))
-    if not wanted.where("crowd").isEmpty():
-        starts = cut(fetched.where("crowd").dropDuplicates(["g", "c1", "c2"]).select("g", "c1", "c2", "content", "starts").mapInArrow(_start_rows, "g long, c1 long, c2 long, s1 long, s2 long, kind int, start int"))
+    if starts is not None:
         again = cut(starts.groupBy("s1", "s2", "kind").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
         ranges = ranges.unionByName(starts.join(again, ["s1", "s2", "kind"]).select("g", "c1", "c2", "kind", F.col("start").alias("from"), F.col("start").alias("to")))
     first = F.expr(_FIRST)

@@ -53,7 +53,7 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize(("shard", "crowd"), [(4_000, 8_000), (5, 8_000), (4_000, 1)])
+@pytest.mark.parametrize(("shard", "crowd"), [(4_000, 8_000), (5, 8_000), (4_000, 1), (20, 4)])
 def test_equals_brute_force(spark, monkeypatch, shard, crowd):
     monkeypatch.setattr(substring_dedup, "SHARD", shard)
     monkeypatch.setattr(substring_dedup, "CROWD", crowd)
