@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts_of
+from .common import cut, release, slices, texts_of
 
 #: Bytes of a string that is removed, of a passage that is counted, and of the parts that select an anchor.
 LENGTH, PASSAGE, PART = 400, 280, 160
@@ -441,6 +441,8 @@ def repeated_ranges(text: DataFrame) -> DataFrame:
     known = cut(hashes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     rows = text.mapInArrow(_anchor_rows, "g long, c1 long, c2 long, t1 long, t2 long, at long")
     held = cut(rows.join(known, "g"))
+    del hashes, known, rows
+    release(text.sparkSession)  # the shuffles of all anchors
     # one copy of each content, with whether it occurs again as a whole
     contents = cut(held.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "at")).alias("of")))
     several = contents.groupBy("g").agg(F.count("*").alias("contents")).where("contents > 1")
@@ -471,7 +473,10 @@ def repeated_ranges(text: DataFrame) -> DataFrame:
     first = F.expr(_FIRST)
     partly = held.join(ranges, ["g", "c1", "c2"]).select("t1", "t2", "kind", (first + F.col("from")).alias("first"), (first + F.col("to")).alias("last"))
     whole = held.join(contents.where("n > 1").select("g", "c1", "c2"), ["g", "c1", "c2"]).select("t1", "t2", F.lit(BOTH).alias("kind"), first.alias("first"), F.expr(_LAST).alias("last"))
-    return whole.unionByName(partly)
+    found = cut(whole.unionByName(partly))
+    del held, contents, several, wanted, lists, texts, fetched, every, sorted_, starts, sharded, both, ranges, partly, whole
+    release(text.sparkSession)  # the shuffle of texts
+    return found
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
