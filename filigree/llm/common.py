@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,16 +53,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the shuffles go that stand behind nothing any more.
-
-    Spark removes a shuffle's files when the driver's garbage collector finds that nothing refers to it,
-    which on a driver with little to do may be long after what was computed from them has been kept.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Rows that a worker holds as Python objects at a time; an Arrow batch may have many more.
 SLICE_ROWS = 1_000
 
