@@ -109,6 +109,34 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
 
 
+# --- which keys may be wanted ----------------------------------------------------------------------
+
+#: Bits of a filter for each key, and at most: 16 MB.
+KEY_BITS, MOST_BITS = 16, 1 << 27
+
+
+def filter_of(keys: DataFrame):
+    """A broadcast bitmap of the numbers in the one column of keys, for leaving out rows before a shuffle.
+
+    It lets through every key and few others; beyond some millions of keys, more and more others. What
+    passes is joined with the keys themselves afterwards, so the result does not depend on it.
+    """
+    spark, name = keys.sparkSession, keys.columns[0]
+    bits = min(MOST_BITS, 1 << max(10, int(keys.count() * KEY_BITS).bit_length()))
+    at = F.col(name).bitwiseAND(F.lit(bits - 1))
+    one = F.expr(f"shiftleft(1L, CAST({name} & 63 AS INT))")
+    words = keys.select(F.shiftright(at, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(bits >> 6, dtype=np.uint64)
+    table[words["word"].to_numpy()] = words["bit"].to_numpy().view(np.uint64)
+    return spark.sparkContext.broadcast(table)
+
+
+def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bitmap lets these numbers through."""
+    at = keys.view(np.uint64) & np.uint64(64 * len(table) - 1)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 # --- passes over the texts -------------------------------------------------------------------------
 
 
@@ -130,27 +158,40 @@ def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _batch({"g": np.concatenate(found).view(np.int64)})
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of each text; at holds the first start, and how far behind it the place and the last start lie."""
-    for texts in _once(batches):
-        owners, contents, found = [], [], []
-        for key, text in texts:
-            for hashes, place, first, last in anchors(text):
-                found.append((hashes.view(np.int64), (first << 16) | ((place - first) << 8) | (last - first)))
-                owners += [key] * len(place)
-                contents += [_digest(text[a : b + LENGTH] + (p - a).to_bytes(1) + (b - a).to_bytes(1)) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)]
-        if found:
-            g, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            c1, c2 = _pairs(contents)
-            t1, t2 = _pairs(owners)
-            yield _batch({"g": g, "c1": c1, "c2": c2, "t1": t1, "t2": t2, "at": at})
-
-
-def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for texts in _once(batches):
-        if texts:
-            t1, t2 = _pairs([key for key, _ in texts])
-            yield _batch({"t1": t1, "t2": t2, "bytes": pa.array([text for _, text in texts], pa.binary())})
+def _anchor_rows(known):
+    """The anchors of each text that pass the filter; at holds the first start, and how far behind it the place and the last start lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _once(batches):
+            owners, contents, found = [], [], []
+            for key, text in texts:
+                for each in anchors(text):
+                    chosen = _passes(known.value, each[0].view(np.int64))
+                    hashes, place, first, last = (x[chosen] for x in each)
+                    found.append((hashes.view(np.int64), (first << 16) | ((place - first) << 8) | (last - first)))
+                    owners += [key] * len(place)
+                    contents += [_digest(text[a : b + LENGTH] + (p - a).to_bytes(1) + (b - a).to_bytes(1)) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)]
+            if owners:
+                g, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                c1, c2 = _pairs(contents)
+                t1, t2 = _pairs(owners)
+                yield _batch({"g": g, "c1": c1, "c2": c2, "t1": t1, "t2": t2, "at": at})
+
+    return run
+
+
+def _text_rows(wanted):
+    """The texts whose digests pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _once(batches):
+            if texts:
+                t1, t2 = _pairs([key for key, _ in texts])
+                chosen = pa.array(_passes(wanted.value, t1.to_numpy()))
+                if chosen.true_count:
+                    yield _batch({"t1": t1, "t2": t2, "bytes": pa.array([text for _, text in texts], pa.binary())}).filter(chosen)
+
+    return run
 
 
 def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +480,7 @@ def repeated_ranges(text: DataFrame) -> DataFrame:
     """t1, t2, kind, first, last: the starts of repeated strings in each text of one column, by the text's digest. Texts that are equal as a whole may lack theirs; a range may reach beyond the text's last string."""
     hashes = text.mapInArrow(_anchor_hashes, "g long")
     known = cut(hashes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
-    rows = text.mapInArrow(_anchor_rows, "g long, c1 long, c2 long, t1 long, t2 long, at long")
+    rows = text.mapInArrow(_anchor_rows(filter_of(known)), "g long, c1 long, c2 long, t1 long, t2 long, at long")
     held = cut(rows.join(known, "g"))
     # one copy of each content, with whether it occurs again as a whole
     contents = cut(held.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "at")).alias("of")))
@@ -448,9 +489,9 @@ def repeated_ranges(text: DataFrame) -> DataFrame:
     wanted = cut(wanted)
     n = wanted.count()
     lists = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("g", "c1", "c2", "at", "crowd")).alias("wanted"))
-    texts = text.mapInArrow(_text_rows, "t1 long, t2 long, bytes binary")
+    texts = text.mapInArrow(_text_rows(filter_of(wanted.select("t1").distinct())), "t1 long, t2 long, bytes binary")
     # several tasks may have met an equal text: then its contents come as often, and count once
-    fetched = texts.join(lists.hint("shuffle_hash"), ["t1", "t2"]).select("bytes", "wanted").mapInArrow(_content_rows, "g long, c1 long, c2 long, offset int, starts int, content binary, crowd boolean")
+    fetched = texts.join(lists, ["t1", "t2"]).select("bytes", "wanted").mapInArrow(_content_rows, "g long, c1 long, c2 long, offset int, starts int, content binary, crowd boolean")
     every = [F.col("g").alias("cell"), F.lit(0).alias("low"), F.lit(_PLACES).alias("high")]
     names = ["g", "c1", "c2", "offset", "starts", "content"]
     sorted_ = fetched.where("NOT crowd").select(*every, *names)
@@ -488,9 +529,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     base = cut(slim.mapInArrow(_document_rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n_bytes long, sha256 string"))
     counted = cut(base.where(F.col("n_bytes") >= PASSAGE).groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("size")))
     found = repeated_ranges(text).join(counted.where("copies = 1").select("t1", "t2"), ["t1", "t2"], "left_semi")
-    lists = found.groupBy("t1", "t2").agg(F.collect_list(F.struct("kind", "first", "last")).alias("ranges"))
-    texts = text.mapInArrow(_text_rows, "t1 long, t2 long, bytes binary")
-    changed = texts.join(lists.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", "bytes", "ranges").mapInArrow(_removed, "t1 long, t2 long, n_removed long, n_spans long, n_repeated long, kept binary")
+    lists = cut(found.groupBy("t1", "t2").agg(F.collect_list(F.struct("kind", "first", "last")).alias("ranges")))
+    texts = text.mapInArrow(_text_rows(filter_of(lists.select("t1").distinct())), "t1 long, t2 long, bytes binary")
+    changed = texts.join(lists, ["t1", "t2"]).select("t1", "t2", "bytes", "ranges").mapInArrow(_removed, "t1 long, t2 long, n_removed long, n_spans long, n_repeated long, kept binary")
     long = F.col("size") >= LENGTH
     whole = counted.where("copies > 1").select("t1", "t2", F.when(long, F.col("size")).otherwise(0).alias("n_removed"), long.cast("long").alias("n_spans"), F.col("size").alias("n_repeated"), F.when(long, F.lit("").cast("binary")).alias("kept"))
     out = base.join(changed.unionByName(whole), ["t1", "t2"], "left")
