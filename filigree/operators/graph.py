@@ -58,10 +58,29 @@ def expand(seeds: DataFrame, adjacent: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+#: Neighbours of a polyline beyond which several tasks rank them.
+HUB_ROWS = 100_000
+
+
 def ranked_neighbours(adjacent: DataFrame, seed: int = 0) -> DataFrame:
-    """src, dst, slot, degree: neighbours in an order drawn by digest."""
-    keyed_ = adjacent.withColumn("_key", keyed.digest(seed, F.col("src"), F.col("dst")))
-    return keyed_.selectExpr("src", "dst", "row_number() OVER (PARTITION BY src ORDER BY _key, dst) - 1 AS slot", "count(*) OVER (PARTITION BY src) AS degree")
+    """src, dst, slot, degree: neighbours in an order drawn by digest.
+
+    A hub's neighbours are ranked in 256 parts, by how their digests begin; a part goes on from the sizes of
+    those before it. There are few hubs, as each has over ``HUB_ROWS`` rows, and the order is the same.
+    """
+    hubs = adjacent.groupBy("src").agg(F.count("*").alias("_n")).where(F.col("_n") > HUB_ROWS)
+    drawn = adjacent.withColumn("_key", keyed.digest(seed, F.col("src"), F.col("dst"))).join(hubs, "src", "left")
+    parted = drawn.withColumn("_part", F.when(F.col("_n").isNotNull(), F.substring("_key", 1, 2)).otherwise(""))
+    before = parted.where("_n IS NOT NULL").groupBy("src", "_part").agg(F.count("*").alias("_size")).selectExpr("src", "_part", "sum(_size) OVER (PARTITION BY src ORDER BY _part) - _size AS _before")
+    ranked = parted.selectExpr("src", "dst", "_part", "row_number() OVER (PARTITION BY src, _part ORDER BY _key, dst) - 1 AS _own", "coalesce(_n, count(*) OVER (PARTITION BY src, _part)) AS degree")
+    return ranked.join(before, ["src", "_part"], "left").selectExpr("src", "dst", "coalesce(_before, 0) + _own AS slot", "degree")
+
+
+def first_neighbours(adjacent: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """src, dst, slot: the neighbours of slots 0 to k - 1 in the order of ``ranked_neighbours``; Spark drops the others before it shuffles."""
+    drawn = adjacent.withColumn("_key", keyed.digest(seed, F.col("src"), F.col("dst")))
+    first = drawn.selectExpr("src", "dst", "row_number() OVER (PARTITION BY src ORDER BY _key, dst) AS _rank").where(F.col("_rank") <= k)
+    return first.selectExpr("src", "dst", "_rank - 1 AS slot")
 
 
 def fixed_adjacency(nodes: DataFrame, adjacent: DataFrame, max_degree: int, sentinel: int = -1, seed: int = 0) -> DataFrame:
@@ -69,7 +88,7 @@ def fixed_adjacency(nodes: DataFrame, adjacent: DataFrame, max_degree: int, sent
 
     More neighbours than slots: the first by digest. Fewer: slot modulo degree. None: the sentinel.
     """
-    ranked = ranked_neighbours(adjacent, seed).where(F.col("slot") < max_degree)
+    ranked = first_neighbours(adjacent, max_degree, seed)
     slots = nodes.select(F.col("gid").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_degree - 1).cast("long"))).alias("slot"))
     degree = ranked.groupBy("src").agg(F.count("*").alias("n")).withColumnRenamed("src", "node")
     wanted = slots.join(degree, "node", "left").withColumn("at", F.when(F.col("n").isNotNull(), F.col("slot") % F.col("n")))

@@ -335,7 +335,7 @@ def x02(spark, d):
 
 @query("w09_first_neighbours", "SELECT src, dst, slot FROM ranked WHERE slot < 3", "real_adj", _RANKED)
 def w09(spark, d):
-    return graph.ranked_neighbours(fx.real_adj(spark, d), 3).where("slot < 3").select("src", "dst", "slot")
+    return graph.first_neighbours(fx.real_adj(spark, d), 3, seed=3)
 
 
 _SLOTS = f"slots AS (SELECT layer, slot, row_number() OVER (PARTITION BY layer ORDER BY {digest_sql(4, 'layer', 'slot')}, slot) AS rk FROM (SELECT unnest(range(5)) AS slot) s, (SELECT unnest([1, 2]) AS layer) l)"

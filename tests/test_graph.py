@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -39,6 +40,23 @@ def test_fixed_adjacency_fills_pads_and_prunes(spark):
     assert by[1][0][1] == by[1][2][1]
 
 
+@pytest.mark.parametrize("hub_rows", [100_000, 50])
+def test_ranks_of_a_hub_go_on_from_part_to_part(spark, monkeypatch, hub_rows):
+    """A hub with a third of all rows, ranked in parts or not, has the order of its digests; so have the nodes beside it."""
+    monkeypatch.setattr(graph, "HUB_ROWS", hub_rows)
+    pairs = [(0, n) for n in range(1, 701)] + [(n, n + 1) for n in range(1, 701)] + [(n, 0) for n in range(1, 701)]
+    adjacent = spark.createDataFrame(pairs, "src long, dst long").repartition(7)
+    want = {}
+    for src, dst in pairs:
+        want.setdefault(src, []).append((hashlib.md5(f"3|{src}|{dst}".encode()).hexdigest(), dst))
+    want = {(src, slot, dst, len(own)) for src, own in want.items() for slot, (_, dst) in enumerate(sorted(own))}
+    assert {tuple(r) for r in graph.ranked_neighbours(adjacent, 3).select("src", "slot", "dst", "degree").collect()} == want
+    first = graph.first_neighbours(adjacent, 2, 3)
+    assert {tuple(r) for r in first.select("src", "slot", "dst").collect()} == {w[:3] for w in want if w[1] < 2}
+    assert "WindowGroupLimit" in first._jdf.queryExecution().toString()
+    assert graph.ranked_neighbours(adjacent.limit(0)).count() == 0
+
+
 def test_walks_stay_on_edges_and_repeat(spark, path_graph):
     adjacent = graph.adjacency(path_graph.where("v2 >= 0"))
     nodes = spark.range(7).select(F.col("id").alias("gid"))
