@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,23 +17,32 @@ from pyspark.sql import functions as F
 from .common import map_batches
 from .word_bpe import byte_level, prefix_encoder, pretokenizer
 
-#: Encoded pre-tokens that a worker keeps.
-CACHE_ENTRIES = 200_000
+#: Encoded pre-tokens that a worker keeps, of some 350 bytes each.
+CACHE_ENTRIES = 400_000
 
 
 class _Cache(dict):
-    """Pre-token to its ids: as bytes of 32-bit numbers, in decimal, and as the tokens that they decode to."""
+    """Pre-token to its ids in decimal, joined by a space, and to the tokens that they decode to, likewise.
+
+    In two generations: once the younger is full it becomes the older, whose pre-tokens come back as they are
+    met again; so frequent ones stay and rare ones go.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.encoder = prefix_encoder(path)
-
-    def __missing__(self, word: str) -> tuple[bytes, str, str]:
-        if len(self) >= CACHE_ENTRIES:
+        self.decimal = {i: str(i) for i in self.encoder.names}
+        self.older: dict[str, tuple[str, str]] = {}
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        out = self.older.get(word)
+        if out is None:
+            ids, decimal, names = self.encoder.encode(byte_level(word)), self.decimal, self.encoder.names
+            out = (" ".join([decimal[i] for i in ids]), " ".join([names[i] for i in ids]))
+        if len(self) >= CACHE_ENTRIES // 2:
+            self.older = dict(self)
             self.clear()
-        ids = self.encoder.encode(byte_level(word))
-        names = self.encoder.names
-        out = self[word] = (array("i", ids).tobytes(), " ".join(map(str, ids)), " ".join(names[i] for i in ids))
+        self[word] = out
         return out
 
 
@@ -43,22 +51,21 @@ def _cache(path: str) -> _Cache:
     return _Cache(path)
 
 
-def encode_text(text: str, tokenizer_path: str) -> tuple[bytes, str, str]:
-    """The ids of a whole text as bytes of 32-bit numbers; in decimal, joined by a space; the text that they decode to.
+def encode_text(text: str, tokenizer_path: str) -> tuple[str, str]:
+    """The ids of a whole text in decimal, joined by a space, and the text that they decode to.
 
     Decoding joins the tokens by a space, as the library does for a file without a decoder.
     """
-    pre, cached, ids, decimal, names = pretokenizer(tokenizer_path), _cache(tokenizer_path), [], [], []
+    pre, cached, decimal, names = pretokenizer(tokenizer_path), _cache(tokenizer_path), [], []
     for k, part in enumerate(pre.parts(text)):
         if k % 2:
-            found = [(array("i", [pre.special[part]]).tobytes(), str(pre.special[part]), part)]
-        else:
-            found = map(cached.__getitem__, pre.words(part)) if part else ()
-        for a, b, c in found:
-            ids.append(a)
-            decimal.append(b)
-            names.append(c)
-    return b"".join(ids), " ".join(decimal), " ".join(names)
+            decimal.append(str(pre.special[part]))
+            names.append(part)
+        elif part:
+            found = [cached[word] for word in pre.words(part)]
+            decimal.extend([own for own, _ in found])
+            names.extend([own for _, own in found])
+    return " ".join(decimal), " ".join(names)
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -72,13 +79,13 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoded = [encode_text(text or "", tokenizer_path) for text in batch.column(1).to_pylist()]
-        counts = np.array([len(ids) // 4 for ids, _, _ in encoded], dtype=np.int64)
+        counts = np.array([ids.count(" ") + 1 if ids else 0 for ids, _ in encoded], dtype=np.int64)
         if digests:
-            ids, decoded = (pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in encoded], pa.string()) for k in (1, 2))
+            ids, decoded = (pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in encoded], pa.string()) for k in (0, 1))
         else:
-            values = np.frombuffer(b"".join(ids for ids, _, _ in encoded), dtype=np.int32)
+            values = np.concatenate([np.zeros(0, dtype=np.int32), *(np.array(ids.split(), dtype=np.int32) for ids, _ in encoded)])
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values))
-            decoded = pa.array([x for _, _, x in encoded], pa.string())
+            decoded = pa.array([x for _, x in encoded], pa.string())
         names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), ids, decoded], names)
 

@@ -17,7 +17,7 @@ import ahocorasick
 _LETTER, _DIGIT, _BLANK = r"a-zªµºß-öø-ÿ", r"0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 _WORDS = re.compile(rf"[{_LETTER}]+|[{_DIGIT}]|'(?:[stmd]|re|ve|ll)|[^{_LETTER}{_DIGIT}{_BLANK}]+")
 #: Seams between two tokens that an encoder remembers.
-KNOWN_PAIRS = 100_000
+KNOWN_PAIRS = 200_000
 #: Stands for the end of a word inside the automaton; byte-level text never holds it.
 _END = "\ue000"
 
@@ -157,16 +157,22 @@ class PrefixEncoder:
         n = len(word)
         if not n:
             return []
+        # by place: the last token of the prefix that ends there, and its length; -1 where there is none yet
         last: list[int] = [-1] * (n + 2)
         size: list[int] = [0] * (n + 2)
-        fits = self.fits
+        fits, known = self.fits, self.known
         for end, (length, token) in self.find.iter(word + _END):
-            place = end + 1
-            if size[place]:
+            if last[end + 1] >= 0:
                 continue
-            start = place - length
-            if not start or (size[start] and fits(last[start], token)):
-                last[place], size[place] = token, length
+            if start := end + 1 - length:
+                before = last[start]
+                if before < 0:
+                    continue
+                if (fit := known.get((before, token))) is None:
+                    fit = fits(before, token)
+                if not fit:
+                    continue
+            last[end + 1], size[end + 1] = token, length
         ids, at = [], n + 1
         while at:
             ids.append(last[at])
