@@ -83,7 +83,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id
         if digests:
             ids, decoded = (pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in encoded], pa.string()) for k in (0, 1))
         else:
-            values = np.concatenate([np.zeros(0, dtype=np.int32), *(np.array(ids.split(), dtype=np.int32) for ids, _ in encoded)])
+            values = np.fromstring(" ".join([ids for ids, _ in encoded if ids]), dtype=np.int32, sep=" ")
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values))
             decoded = pa.array([x for _, x in encoded], pa.string())
         names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
