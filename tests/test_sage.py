@@ -143,3 +143,51 @@ def test_unsupervised_training_draws_by_degree_and_falls(spark, graph_of):
     assert [t[0] for t in told] == [0, 1, 2, 3] and told[3][1] < told[0][1] and all(0 < t[2] <= 1 for t in told)
     vec = sage.embeddings(known, model, weights).collect()
     assert len(vec) == 40 and all(sum(v * v for v in r["vec"]) == pytest.approx(1) for r in vec)
+
+
+@pytest.mark.parametrize("chain, jobs", [(1000, 1), (10, 4), (3, 8)])
+def test_small_batches_share_a_job_and_large_ones_their_tasks(spark, graph_of, monkeypatch, chain, jobs):
+    """Eight batches of five rows: all in a task, two in each, or more tasks for one batch; the weights are the same."""
+    vectors, near, adj, features = graph_of
+    model = Model(WIDTH, out=(4, 4), samples=(2, 2))
+    known = sage.supports(features.where("gid < 99"), adj, features, model).selectExpr("gid", "x", "CAST(gid % 2 AS INT) AS y")
+    rows, n = sage.by_batch(known, 5, 1, "gid")
+    calls = []
+    for name in ("chained", "summed"):
+        monkeypatch.setattr(sage, name, lambda *x, f=getattr(sage, name), name=name: (calls.append(name), f(*x))[1])
+    monkeypatch.setattr(sage, "CHAIN_ROWS", chain)
+    got = sage.train(rows, n, model, epochs=1)
+    assert n == 8 and calls == ["summed" if chain < 5 else "chained"] * jobs
+    table = rows.toArrow()
+    x, y, batch = sage.arrays(table["x"].combine_chunks(), model), table["y"].to_numpy(), table["batch"].to_numpy()
+    local = Adam(dict(model.start()))
+    for b in sage._order(n, 0, 0):
+        own = batch == b
+        if own.any():
+            local.step({k: s / own.sum() for k, s in sage.supervised(model, local.weights, x[own], y[own])[1].items()})
+    assert all(got[k] == pytest.approx(w, abs=1e-9) for k, w in local.weights.items())
+
+
+def test_features_of_32_bits_stay_so(spark, graph_of):
+    vectors, near, adj, features = graph_of
+    model = Model(WIDTH, samples=(3, 2))
+    one, two = (sage.supports(f.where("gid < 99"), adj, f, model).orderBy("gid").toArrow()["x"].combine_chunks() for f in (features.selectExpr("gid", "CAST(f AS array<float>) AS f"), features))
+    assert 2 * len(one[0].as_py()) == len(two[0].as_py()) and sage.arrays(one, model) == pytest.approx(sage.arrays(two, model), rel=1e-6)
+    assert np.array_equal(sage.arrays(two.slice(7, 5), model), sage.arrays(two, model)[7:12]) and sage.arrays(two.slice(0, 0), model).shape == (0, model.support, WIDTH)
+
+
+def test_nodes_are_drawn_by_degree_without_repetition(spark):
+    degrees = spark.createDataFrame([(i, [0, 1, 16][i % 3]) for i in range(30)], "gid long, degree long")
+    rows = sage.drawn_nodes(degrees, 200, 2, 4, 5).collect()
+    sets = {}
+    for r in rows:
+        sets.setdefault((r["batch"], r["epoch"]), set()).add(r["gid"])
+    assert len(rows) == 1600 and set(sets) == {(b, e) for b in range(200) for e in range(2)} and all(len(s) == 4 for s in sets.values())
+    assert all(r["gid"] % 3 for r in rows)
+    heavy = np.mean([r["gid"] % 3 == 2 for r in rows])
+    draw, trials = np.random.default_rng(0), []
+    for _ in range(4000):
+        u = -np.log(draw.random(20)) / np.repeat([1, 16**0.75], 10)
+        trials.append((np.argsort(u)[:4] >= 10).mean())
+    assert heavy == pytest.approx(np.mean(trials), abs=0.03)
+    assert len(sage.drawn_nodes(degrees, 3, 1, 50, 5).collect()) == 3 * 20
