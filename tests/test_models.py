@@ -31,3 +31,13 @@ def test_the_telling_feature_ranks_first(spark):
 def test_majority(spark):
     data = rows(spark).where("gid < 9")
     assert {r["said"] for r in learning.majority(data, F.lit(True)).collect()} == {0}
+
+
+def test_rounds_read_what_was_gathered_once(spark, monkeypatch):
+    """The neighbours' means are joined and grouped once, not for every fit and scoring."""
+    from filigree.plans import models
+
+    plans = []
+    monkeypatch.setattr(learning, "perceptron", lambda rows, train, width, iterations=0: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), rows.select("gid", "y", F.lit(0.5).alias("p")))[1])
+    assert len(models.m17_more_rounds(spark, "/root/testdata/sf0.001").collect()) == 24
+    assert len(plans) == 3 and not any("Exchange" in p for p in plans)
