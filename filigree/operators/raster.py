@@ -149,5 +149,6 @@ def patch_votes(points: DataFrame, pixels: DataFrame, threshold: float, size: tu
     at = lambda c, n: F.when(c + 1 >= n, n - 2).otherwise(c)
     own = points.select("gid", at(F.rint("p1").cast("long"), width).alias("_r"), at(F.rint("p0").cast("long"), height).alias("_c"))
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in square(1)))
-    each = own.select("gid", "_r", "_c", F.inline(around)).select("gid", F.pmod(F.col("_r") + F.col("a"), F.lit(width)).alias("x"), F.pmod(F.col("_c") + F.col("b"), F.lit(height)).alias("y"))
-    return each.join(pixels, ["x", "y"]).groupBy("gid").agg(F.avg((F.col("v") > threshold).cast("double")).alias("share"))
+    each = own.select("_r", "_c").distinct().select("_r", "_c", F.inline(around)).select("_r", "_c", F.pmod(F.col("_r") + F.col("a"), F.lit(width)).alias("x"), F.pmod(F.col("_c") + F.col("b"), F.lit(height)).alias("y"))
+    votes = each.join(pixels, ["x", "y"]).groupBy("_r", "_c").agg(F.count_if(F.col("v") > threshold).alias("_above"), F.count("v").alias("_n"))  # once for each place, however many vertices lie there
+    return own.groupBy("gid", "_r", "_c").agg(F.count("*").alias("_k")).join(votes, ["_r", "_c"]).groupBy("gid").agg((F.sum(F.col("_k") * F.col("_above")) / F.nullif(F.sum(F.col("_k") * F.col("_n")), F.lit(0))).alias("share"))

@@ -210,3 +210,23 @@ def test_bilateral_of_a_flat_image_and_kernels(spark):
     assert lines.shape == (30, 9, 9) and (lines[:, 4, 4] == 1).all() and lines[0].sum() == 9 and (lines[0][:, 4] == 1).all() and (lines[15][4] == 1).all()
     kernel = filters.gabor_kernel(0.25, 0.0)
     assert kernel == pytest.approx(kernel[::-1, ::-1]) and kernel.argmax() == kernel.size // 2
+
+
+def test_patches_are_looked_up_once_for_each_place(spark):
+    """Vertices on one place share its nine pixels: the plan spreads places, not vertices. One pixel has no value."""
+    from filigree.operators import raster
+
+    value = {(x, y): None if (x, y) == (1, 1) else (x * 7 + y * 5) % 10 / 10 for x in range(6) for y in range(5)}
+    pixels = spark.createDataFrame([(x, y, v) for (x, y), v in value.items()], "x long, y long, v double")
+    vertices = [(g, float(a), float(b)) for g in range(3) for a, b in [(1, 2)] * 4 + [(g, g + 1), (4, 5)]]
+    points = spark.createDataFrame(vertices, "gid long, p0 double, p1 double")
+    out = raster.patch_votes(points, pixels, 0.45, (6, 5))
+    got = {r["gid"]: r["share"] for r in out.collect()}
+    inside = lambda c, n: n - 2 if c + 1 >= n else c
+    for g in range(3):
+        seen = [value[(inside(round(p1), 6) + a) % 6, (inside(round(p0), 5) + b) % 5] for own, p0, p1 in vertices if own == g for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        seen = [v > 0.45 for v in seen if v is not None]
+        assert abs(got[g] - sum(seen) / len(seen)) < 1e-12
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    spread = plan[plan.index("Generate") :].splitlines()
+    assert any("Aggregate" in line for line in spread[1:4])
