@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Values of rows by trees by drawn features that a task holds at a time.
-HELD = 1 << 22
+HELD = 1 << 20
 
 
 def _integer(seed: int, *keys: int) -> int:
@@ -74,18 +74,32 @@ def gini(counts: np.ndarray) -> np.ndarray:
     return 1 - (np.divide(counts, np.maximum(n, 1)[..., None]) ** 2).sum(axis=-1)
 
 
-def _pass(rows: DataFrame, width: int, values: int, of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], how: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(places, values): what tasks make of their rows (features, classes), combined by place."""
+def _combined(parts: Iterator[tuple[np.ndarray, np.ndarray]], how: list[str], places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values) of parts whose places don't repeat, combined to one row for each place."""
+    start = {"min": np.inf, "max": -np.inf, "sum": 0.0}
+    total, seen = np.tile([start[h] for h in how], (places, 1)), np.zeros(places, dtype=bool)
+    ufunc = {"min": np.minimum, "max": np.maximum, "sum": np.add}
+    for own, found in parts:
+        seen[own] = True
+        for i, h in enumerate(how):
+            total[own, i] = ufunc[h](total[own, i], found[:, i])
+    return np.flatnonzero(seen), total[seen]
+
+
+def _pass(rows: DataFrame, width: int, values: int, of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], how: list[str], count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values): what tasks make of their rows (features, classes), combined by place; count: how many places there may be."""
     names = [f"v{i}" for i in range(len(how))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, HELD // values)
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                y = batch.column(1).to_numpy()
-                for at in range(0, len(x), max(1, HELD // values)):
-                    places, found = of(x[at : at + max(1, HELD // values)], y[at : at + max(1, HELD // values)])
-                    yield pa.RecordBatch.from_arrays([pa.array(places), *(pa.array(found[:, i]) for i in range(len(how)))], ["place", *names])
+            for at in range(0, batch.num_rows, step):
+                own = batch.slice(at, step)
+                yield of(own.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width), own.column(1).to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, found = _combined(parts(batches), how, count)
+        yield pa.RecordBatch.from_arrays([pa.array(places), *(pa.array(found[:, i]) for i in range(len(how)))], ["place", *names])
 
     schema = "place long, " + ", ".join(f"{n} double" for n in names)
     table = rows.mapInArrow(run, schema).groupBy("place").agg(*(getattr(F, h)(n).alias(n) for h, n in zip(how, names, strict=True))).toArrow()  # a row for each tree, node and drawn feature
@@ -144,7 +158,7 @@ def fit(rows: DataFrame, *, trees: int = 250, depth: int = 6, classes: int = 2,
             row, place, value = values_at(x)
             return _by_place(place, [value, value, *((y[row] == c).astype(float) for c in range(classes))], how)
 
-        places, found = _pass(known, width, values, bounds, how)
+        places, found = _pass(known, width, values, bounds, how, (trees << level) * k)
         at = np.argsort(places)
         places, low, high, counts = places[at], found[at, 0], found[at, 1], found[at, 2:]
         tree, node = places // k >> level, places // k & ((1 << level) - 1)
@@ -161,7 +175,7 @@ def fit(rows: DataFrame, *, trees: int = 250, depth: int = 6, classes: int = 2,
             below = value <= limits.value[place]  # nan: never
             return _by_place(place[below], [(y[row[below]] == c).astype(float) for c in range(classes)], ["sum"] * classes)
 
-        left_places, left_found = _pass(known, width, values, left, ["sum"] * classes)
+        left_places, left_found = _pass(known, width, values, left, ["sum"] * classes, len(cutoff))
         sent.destroy()
         limits.destroy()
         lefts = np.zeros((len(cutoff), classes))

@@ -66,3 +66,10 @@ def test_nothing_to_learn(spark):
     assert extra_trees.importances(empty, trees=3, depth=2).collect() == []
     one = spark.createDataFrame([([1.0, 2.0], 1)] * 3, "f array<double>, y int")
     assert [r["importance"] for r in extra_trees.importances(one, trees=3, depth=2).collect()] == [0.0, 0.0]
+
+
+def test_a_task_gives_one_row_for_each_place():
+    parts = [(np.array([0, 2]), np.array([[1.0, 5.0, 2.0], [3.0, 3.0, 1.0]])), (np.array([2, 4]), np.array([[-1.0, 2.0, 4.0], [0.0, 0.0, 1.0]]))]
+    places, values = extra_trees._combined(iter(parts), ["min", "max", "sum"], 6)
+    assert places.tolist() == [0, 2, 4] and values.tolist() == [[1, 5, 2], [-1, 3, 5], [0, 0, 1]]
+    assert [len(v) for v in extra_trees._combined(iter([]), ["sum"], 3)] == [0, 0]
