@@ -123,17 +123,22 @@ def _layer(model: Model, w: Weights, k: int, own: np.ndarray, near: np.ndarray,
 
 
 def encode(model: Model, w: Weights, x: np.ndarray) -> tuple[np.ndarray, Callable]:
-    """Embeddings of length 1 from supports x (rows, places, width), and what adds the weights' slopes from theirs."""
+    """Embeddings of length 1 from supports x (rows, places, width), and what adds the weights' slopes from theirs.
+
+    Layers run in the precision of x; embeddings and sums of slopes have 64 bits.
+    """
     a, b = model.samples
+    w = {k: v.astype(x.dtype, copy=False) for k, v in w.items()}
     x0, x1, x2 = x[:, 0], x[:, 1 : 1 + a], x[:, 1 + a :].reshape(len(x), a, b, -1)
     h0, back0 = _layer(model, w, 0, x0, x1, True)
     h1, back1 = _layer(model, w, 0, x1, x2, True)
     z, back2 = _layer(model, w, 1, h0, h1, False)
+    z = z.astype(np.float64)
     size = np.sqrt(np.maximum((z * z).sum(axis=1, keepdims=True), 1e-12))
     e = z / size
 
     def back(slope: np.ndarray, total: Weights) -> None:
-        d0, d1 = back2((slope - e * (slope * e).sum(axis=1, keepdims=True)) / size, total)
+        d0, d1 = back2(((slope - e * (slope * e).sum(axis=1, keepdims=True)) / size).astype(x.dtype), total)
         back0(d0, total)
         back1(d1, total)
 
@@ -255,13 +260,13 @@ def _packed(column: pa.ListArray, model: Model, dtype: type) -> pa.Array:
 
 
 def arrays(column: pa.Array, model: Model) -> np.ndarray:
-    """A batch's supports as (rows, places, width)."""
+    """A batch's supports as (rows, places, width), in the precision they are kept in."""
     if not len(column):
         return np.zeros((0, model.support, model.width))
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
     values, size = len(column) * model.support * model.width, int(offsets[-1] - offsets[0])
     x = np.frombuffer(column.buffers()[2], np.float32 if size == 4 * values else np.float64, values, int(offsets[0]))
-    return x.reshape(len(column), model.support, model.width).astype(np.float64)
+    return x.reshape(len(column), model.support, model.width)
 
 
 def by_batch(rows: DataFrame, size: int, seed: int = 0, *keys: str) -> tuple[DataFrame, int]:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from filigree.operators import sage
@@ -191,3 +192,17 @@ def test_nodes_are_drawn_by_degree_without_repetition(spark):
         trials.append((np.argsort(u)[:4] >= 10).mean())
     assert heavy == pytest.approx(np.mean(trials), abs=0.03)
     assert len(sage.drawn_nodes(degrees, 3, 1, 50, 5).collect()) == 3 * 20
+
+
+def test_supports_keep_their_precision():
+    for pool in sage.POOLS:
+        model = Model(WIDTH, pool, out=(4, 3), hidden=5, samples=(3, 2))
+        weights, x = model.start(2), some(model, 7, 3).astype(np.float32)
+        column = pa.array([row.tobytes() for row in x], pa.binary())
+        read = sage.arrays(column, model)
+        assert read.dtype == np.float32 and (read == x).all()
+        for f in (lambda z: sage.supervised(model, weights, z, np.arange(7) % 2), lambda z: sage.skip_gram(model, weights, z, z[::-1], z[:3])[:2]):
+            (loss, slopes), (loss64, slopes64) = f(x), f(x.astype(np.float64))
+            assert loss == pytest.approx(loss64, rel=1e-5)
+            for k, s in slopes.items():
+                assert s.dtype == np.float64 and s == pytest.approx(slopes64[k], rel=1e-3, abs=1e-4)
