@@ -18,12 +18,17 @@ def tile_region(spark: SparkSession, x0: int, x1: int, y0: int, y1: int, step_x:
 
 
 def tiles_of(boxes: DataFrame, size: int = 64, step: float = 0.5) -> DataFrame:
-    """box_id and the tiles of each box, half overlapping, pushed back to the box's end."""
+    """box_id and the tiles of each box, half overlapping, pushed back to the box's end. Each tile of a box_id once.
+
+    Tiles are pushed back by axis, so each axis is made unique before the two are crossed; a further box of
+    the same id leaves out what an earlier one holds. No tiles are shuffled or hashed.
+    """
     per = size * step
-    starts = lambda lo, hi: F.sequence(F.lit(0), F.floor((F.col(hi) - F.col(lo)) / per).cast("int"))
-    at = lambda i, lo, hi: F.least(F.col(lo) + F.col(i) * per, F.col(hi) - F.lit(size)).cast("long")
-    grid = boxes.withColumn("i", F.explode(starts("x0", "x1"))).withColumn("j", F.explode(starts("y0", "y1")))
-    return grid.select("box_id", at("i", "x0", "x1").alias("a"), at("j", "y0", "y1").alias("b")).distinct().select("box_id", F.col("a").alias("x0"), (F.col("a") + size).alias("x1"), F.col("b").alias("y0"), (F.col("b") + size).alias("y1"))
+    starts = lambda lo, hi: F.array_distinct(F.transform(F.sequence(F.lit(0), F.floor((F.col(hi) - F.col(lo)) / per).cast("int")), lambda i: F.least(F.col(lo) + i * per, F.col(hi) - F.lit(size)).cast("long")))
+    axes = boxes.select("box_id", F.struct(starts("x0", "x1").alias("xs"), starts("y0", "y1").alias("ys")).alias("box")).groupBy("box_id").agg(F.collect_list("box").alias("of"))
+    each = axes.select("box_id", "of", F.posexplode("of").alias("k", "box")).withColumn("a", F.explode("box.xs")).withColumn("b", F.explode("box.ys"))
+    held = F.exists(F.slice("of", F.lit(1), F.col("k")), lambda e: F.array_contains(e["xs"], F.col("a")) & F.array_contains(e["ys"], F.col("b")))
+    return each.where((F.col("k") == 0) | ~held).select("box_id", F.col("a").alias("x0"), (F.col("a") + size).alias("x1"), F.col("b").alias("y0"), (F.col("b") + size).alias("y1"))
 
 
 def grow_boxes(boxes: DataFrame, width: int, height: int, steps: int, share: float = 0.05, final: float = 0.42) -> DataFrame:
