@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .keeping import spread, store
 
 
 def polylines(points: DataFrame) -> DataFrame:
@@ -96,6 +97,22 @@ def histogram_moments(values: DataFrame, key: str = "gid", value: str = "v", bin
     return mids.groupBy(key).agg(F.avg("_m").alias("mu"), F.stddev_pop("_m").alias("sigma"), F.var_pop("_m").alias("var"))
 
 
+#: Places up to which what lies there is sent to all points.
+SENT_PLACES = 200_000
+
+
+def looked_up(points: DataFrame, channels: DataFrame) -> DataFrame:
+    """gid, channel, v: the channels (channel, x, y, v) at each point (gid, x, y); a point takes all of its place's in one row, and the points of a gid lie together."""
+    rows = points.count()
+    met = points.select("x", "y").distinct()
+    places = store(channels.join(met, ["x", "y"], "left_semi").groupBy("x", "y").agg(F.collect_list(F.struct("channel", "v")).alias("_of")), "places")
+    if places.count() <= SENT_PLACES:
+        found = spread(points, rows, "gid").join(F.broadcast(places), ["x", "y"])  # counted above
+    else:
+        found = spread(points.join(places, ["x", "y"]), rows, "gid")
+    return found.select("gid", F.inline("_of"))
+
+
 #: Name to aggregate of a pixel column; add to it to add features.
 PIXEL_OPS: dict[str, Callable[[str], Column]] = {
     "min": lambda c: F.min(c),

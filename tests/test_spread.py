@@ -23,3 +23,15 @@ def test_tiles_are_not_shuffled(spark):
     tiles = generators.tiles_of(rows, size=16)
     assert sorted(map(tuple, tiles.collect())) == expected
     assert plan(tiles).index("Generate") < plan(tiles).index("Aggregate")  # nothing is grouped once tiles are made
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_points_of_a_line_lie_together(spark, monkeypatch, sent):
+    monkeypatch.setattr(features, "SENT_PLACES", sent)
+    monkeypatch.setattr(keeping, "SPREAD_ROWS", 100)
+    points = spark.range(700).selectExpr("id % 90 AS gid", "id % 7 AS x", "id % 5 AS y")
+    channels = spark.range(12).selectExpr("id % 6 AS x", "id % 4 AS y", "id * 1.5D AS v").crossJoin(spark.createDataFrame([("a",), ("b",)], "channel string"))
+    found = features.looked_up(points, channels)
+    key = lambda rows: sorted(map(tuple, rows.collect()))
+    assert key(found) == key(points.join(channels, ["x", "y"]).select("gid", "channel", "v"))
+    assert found.rdd.getNumPartitions() == 7
