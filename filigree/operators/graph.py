@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keyed
-from .keeping import keep, store
+from .keeping import keep, spread, store
 
 
 def incidence(edges: DataFrame) -> DataFrame:
@@ -16,9 +16,10 @@ def incidence(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("gid").alias("edge"), F.explode(F.array_distinct(F.array("v1", "v2"))).alias("node"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """src, dst in both directions, each pair once, without loops."""
-    pairs = edges.where("v1 <> v2").select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")).distinct()
+def adjacency(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """src, dst in both directions, each pair once, without loops. rows: how many edges there are at most, if known; they are spread by it."""
+    pairs = edges.where("v1 <> v2").select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b"))
+    pairs = (pairs if rows is None else spread(pairs, rows, "a", "b")).distinct()
     both = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
     return pairs.select(F.inline(both))
 
@@ -66,10 +67,15 @@ def ranked_neighbours(adjacent: DataFrame, seed: int = 0) -> DataFrame:
     """src, dst, slot, degree: neighbours in an order drawn by digest.
 
     A hub's neighbours are ranked in 256 parts, by how their digests begin; a part goes on from the sizes of
-    those before it. There are few hubs, as each has over ``HUB_ROWS`` rows, and the order is the same.
+    those before it. There are few hubs, as each has over ``HUB_ROWS`` rows, and the order is the same. The
+    pairs are written once; without hubs, one pass ranks them.
     """
+    adjacent = store(adjacent.select("src", "dst"), "adjacent")
     hubs = adjacent.groupBy("src").agg(F.count("*").alias("_n")).where(F.col("_n") > HUB_ROWS)
-    drawn = adjacent.withColumn("_key", keyed.digest(seed, F.col("src"), F.col("dst"))).join(hubs, "src", "left")
+    drawn = adjacent.withColumn("_key", keyed.digest(seed, F.col("src"), F.col("dst")))
+    if hubs.isEmpty():
+        return drawn.selectExpr("src", "dst", "CAST(row_number() OVER (PARTITION BY src ORDER BY _key, dst) - 1 AS BIGINT) AS slot", "count(*) OVER (PARTITION BY src) AS degree")
+    drawn = drawn.join(hubs, "src", "left")
     parted = drawn.withColumn("_part", F.when(F.col("_n").isNotNull(), F.substring("_key", 1, 2)).otherwise(""))
     before = parted.where("_n IS NOT NULL").groupBy("src", "_part").agg(F.count("*").alias("_size")).selectExpr("src", "_part", "sum(_size) OVER (PARTITION BY src ORDER BY _part) - _size AS _before")
     ranked = parted.selectExpr("src", "dst", "_part", "row_number() OVER (PARTITION BY src, _part ORDER BY _key, dst) - 1 AS _own", "coalesce(_n, count(*) OVER (PARTITION BY src, _part)) AS degree")
@@ -99,16 +105,17 @@ def fixed_adjacency(nodes: DataFrame, adjacent: DataFrame, max_degree: int, sent
 def random_walks(nodes: DataFrame, adjacent: DataFrame, walks: int, length: int, seed: int = 0) -> DataFrame:
     """node, walk, step, ctx: walks from each node; steps that return to the start are left out.
 
-    A step takes the neighbour whose place is a digest modulo the degree; every step is one join.
+    A step takes the neighbour whose place is a digest modulo the degree; every step is one join, as a
+    neighbour comes with its own degree. A walk ends where there are no neighbours.
     """
-    ranked = keep(ranked_neighbours(adjacent, seed)).select("src", "dst", "slot", "degree")
+    ranked = store(ranked_neighbours(adjacent, seed), "ranked")
     degree = ranked.where("slot = 0").select("src", "degree")
-    at = nodes.select(F.col("gid").alias("node"), F.col("gid").alias("cur"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
+    onward = store(ranked.select(F.col("src").alias("cur"), "slot", "dst").join(degree.withColumnRenamed("src", "dst"), "dst", "left"), "onward")
+    at = nodes.join(degree.withColumnRenamed("src", "gid"), "gid").select(F.col("gid").alias("node"), F.col("gid").alias("cur"), "degree", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
     out = []
     for step in range(1, length + 1):
-        drawn = at.join(degree, at["cur"] == degree["src"]).drop("src").withColumn("slot", keyed.integer(seed, F.col("node"), F.col("walk"), F.lit(step)) % F.col("degree"))
-        moved = drawn.join(ranked.select(F.col("src").alias("cur"), "slot", "dst"), ["cur", "slot"]).select("node", "walk", F.col("dst").alias("cur"))
-        at = keep(moved)
+        drawn = at.select("node", "walk", "cur", (keyed.integer(seed, F.col("node"), F.col("walk"), F.lit(step)) % F.col("degree")).alias("slot"))
+        at = store(drawn.join(onward, ["cur", "slot"]).select("node", "walk", F.col("dst").alias("cur"), "degree"), "step")
         out.append(at.where("cur <> node").select("node", "walk", F.lit(step).alias("step"), F.col("cur").alias("ctx")))
     return reduce(DataFrame.unionByName, out)
 

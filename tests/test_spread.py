@@ -35,3 +35,24 @@ def test_points_of_a_line_lie_together(spark, monkeypatch, sent):
     key = lambda rows: sorted(map(tuple, rows.collect()))
     assert key(found) == key(points.join(channels, ["x", "y"]).select("gid", "channel", "v"))
     assert found.rdd.getNumPartitions() == 7
+
+
+def test_pairs_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(keeping, "SPREAD_ROWS", 10)
+    edges = spark.range(100).selectExpr("id AS v1", "id * 7 % 100 AS v2")
+    near = graph.adjacency(edges, 100)
+    assert near.rdd.getNumPartitions() == 10 and sorted(near.collect()) == sorted(graph.adjacency(edges).collect())
+
+
+def test_neighbours_are_ranked_in_one_pass_without_hubs(spark, monkeypatch):
+    near = graph.adjacency(spark.range(60).selectExpr("id % 12 AS v1", "id % 13 AS v2"))
+    ranked = graph.ranked_neighbours(near, 3)
+    assert "Join" not in plan(ranked)
+    monkeypatch.setattr(graph, "HUB_ROWS", 3)
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, graph.ranked_neighbours(near, 3).collect()))
+
+
+def test_walks_end_without_neighbours(spark):
+    one_way = spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")
+    walks = graph.random_walks(spark.range(4).selectExpr("id AS gid"), one_way, walks=1, length=3)
+    assert sorted(map(tuple, walks.collect())) == [(0, 0, 1, 1), (0, 0, 2, 2), (1, 0, 1, 2)]
