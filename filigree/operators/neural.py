@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +26,23 @@ def patterned(rows: int, columns: int, seed: int) -> np.ndarray:
     return ((i * 31 + j * 17 + seed * 7) % 13 - 6) / 8.0
 
 
+#: Rows that go through the layers at once.
+DENSE_ROWS = 1024
+
+
 def dense(column: Column, layers: list[np.ndarray], rectify: bool = True) -> Column:
     """The vector through dense layers, rectified or not."""
 
-    @F.pandas_udf("array<double>")
-    def apply(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        h = np.stack([np.asarray(v, dtype=np.float64) for v in x])
-        for w in layers:
-            h = np.maximum(h @ w, 0.0) if rectify else h @ w
-        return pd.Series(list(h))
+    @F.arrow_udf("array<double>")
+    def apply(x: pa.Array) -> pa.Array:
+        h = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), layers[0].shape[0])
+        out = np.empty((len(x), layers[-1].shape[1]))
+        for at in range(0, len(x), DENSE_ROWS):
+            part = h[at : at + DENSE_ROWS].astype(np.float64)
+            for w in layers:
+                part = np.maximum(part @ w, 0.0) if rectify else part @ w
+            out[at : at + DENSE_ROWS] = part
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * out.shape[1], out.ravel())
 
     return apply(column)
 

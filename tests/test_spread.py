@@ -56,3 +56,13 @@ def test_walks_end_without_neighbours(spark):
     one_way = spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")
     walks = graph.random_walks(spark.range(4).selectExpr("id AS gid"), one_way, walks=1, length=3)
     assert sorted(map(tuple, walks.collect())) == [(0, 0, 1, 1), (0, 0, 2, 2), (1, 0, 1, 2)]
+
+
+def test_layers_take_some_rows_at_once(spark, monkeypatch):
+    monkeypatch.setattr(neural, "DENSE_ROWS", 3)
+    draw = np.random.default_rng(1)
+    x, layers = draw.normal(size=(20, 4)), [draw.normal(size=(4, 3)), draw.normal(size=(3, 2))]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "gid int, f array<float>").coalesce(1)
+    got = {r["gid"]: r["f"] for r in rows.where("gid % 3 <> 1").select("gid", neural.dense(F.col("f"), layers).alias("f")).collect()}
+    expected = np.maximum(np.maximum(x.astype(np.float32) @ layers[0], 0) @ layers[1], 0)
+    assert len(got) == 13 and all(got[i] == pytest.approx(expected[i], rel=1e-6) for i in got)
