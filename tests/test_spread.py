@@ -58,6 +58,19 @@ def test_walks_end_without_neighbours(spark):
     assert sorted(map(tuple, walks.collect())) == [(0, 0, 1, 1), (0, 0, 2, 2), (1, 0, 1, 2)]
 
 
+def test_rows_are_computed_once_to_be_numbered(spark, monkeypatch):
+    monkeypatch.setattr(keeping, "NUMBERED_ROWS", 50)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = keeping.dense_ids(spark.range(200).mapInArrow(count, "id long"), "id")
+    assert [r["idx"] for r in rows.orderBy("id").collect()] == list(range(200)) and seen.value == 200
+
+
 def test_layers_take_some_rows_at_once(spark, monkeypatch):
     monkeypatch.setattr(neural, "DENSE_ROWS", 3)
     draw = np.random.default_rng(1)
@@ -66,3 +79,10 @@ def test_layers_take_some_rows_at_once(spark, monkeypatch):
     got = {r["gid"]: r["f"] for r in rows.where("gid % 3 <> 1").select("gid", neural.dense(F.col("f"), layers).alias("f")).collect()}
     expected = np.maximum(np.maximum(x.astype(np.float32) @ layers[0], 0) @ layers[1], 0)
     assert len(got) == 13 and all(got[i] == pytest.approx(expected[i], rel=1e-6) for i in got)
+
+
+def test_pixels_are_written_before_the_fit(spark, monkeypatch):
+    written, real = [], models.store
+    monkeypatch.setattr(models, "store", lambda df, *a: written.append(df.columns) or real(df, *a))
+    monkeypatch.setattr(models.learning, "pixel_forest", lambda rows, train: rows.selectExpr("gid", "y", "0.5D AS p"))
+    assert models.m20(spark, SF_DIR).count() == fx.feat(spark, SF_DIR).count() and written == [["gid", "f", "y"]]
