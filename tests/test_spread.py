@@ -81,6 +81,14 @@ def test_layers_take_some_rows_at_once(spark, monkeypatch):
     assert len(got) == 13 and all(got[i] == pytest.approx(expected[i], rel=1e-6) for i in got)
 
 
+def test_links_of_a_layout_are_dealt_once(spark, monkeypatch):
+    dealt, real = [], sphere.spread
+    monkeypatch.setattr(sphere, "spread", lambda df, rows, *keys: dealt.append(keys) or real(df, rows, *keys))
+    vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(30)], "gid long, f array<double>")
+    out = sphere.spherical_layout(vectors, sphere.neighbour_graph(vectors, 4), epochs=3)
+    assert dealt == [("b",)] and out.count() == 30
+
+
 def test_pixels_are_written_before_the_fit(spark, monkeypatch):
     written, real = [], models.store
     monkeypatch.setattr(models, "store", lambda df, *a: written.append(df.columns) or real(df, *a))
