@@ -8,6 +8,8 @@ lie in a table in the shared folder. The driver holds none, and a task those of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,10 +18,12 @@ from pyspark.sql import functions as F
 from .keeping import new_folder, store
 
 #: Nodes of a block, and pairs of two blocks, about.
-BLOCK_NODES, BLOCK_PAIRS = 50_000, 2_000_000
+BLOCK_NODES, BLOCK_PAIRS = 200_000, 2_000_000
+#: Pairs or nodes of a row, about.
+PACKED_ROWS = 10_000
 #: Pairs whose slopes are added up before they count; fewer where there are few nodes, as each would move too far at once.
 STEP, LEAST_STEP = 512, 16
-_SCHEMA = "kind int, node long, weight double, vec array<double>"
+_SCHEMA = "kind int, block int, node array<long>, weight array<double>, vec binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,52 +58,79 @@ def descend(u: np.ndarray, v: np.ndarray, weight: np.ndarray, one: np.ndarray, t
         np.add.at(v, far.ravel(), (-push * own[:, None, :]).reshape(-1, u.shape[1]))
 
 
-def walk_vectors(pairs: DataFrame, *, size: int = 16, epochs: int = 2, negatives: int = 5, rate: float = 0.05, seed: int = 0, blocks: int | None = None) -> DataFrame:
+def _packed(kind: int, block: int, node: np.ndarray, weight: np.ndarray, vec: np.ndarray) -> pa.Table:
+    """Vectors of a block as rows of ``PACKED_ROWS`` each."""
+    at = [*range(0, len(node), PACKED_ROWS), len(node)]
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x))
+    parts = [vec[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
+    n = len(parts)
+    return pa.table({"kind": pa.array([kind] * n, pa.int32()), "block": pa.array([block] * n, pa.int32()), "node": lists(node), "weight": lists(weight), "vec": pa.array(parts, pa.binary())})
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """The elements of all rows' lists, one after another."""
+    return column.combine_chunks().flatten().to_numpy()
+
+
+def walk_vectors(pairs: DataFrame, *, size: int = 16, epochs: int = 2, negatives: int = 5, rate: float = 0.05, seed: int = 0, blocks: int = 1) -> DataFrame:
     """node, vec for every node of pairs (node, ctx: whole numbers).
 
-    Pairs that repeat count as often. Rows with a null are left out; an empty table gives an empty result.
-    The result depends on seed and blocks, not on how rows are partitioned.
+    blocks: so many times as many blocks as hold ``BLOCK_NODES`` and ``BLOCK_PAIRS``, so that a task doesn't
+    grow with the input whatever is asked for. Pairs that repeat count as often. Rows with a null are left
+    out; an empty table gives an empty result. The result depends on seed and blocks, not on how rows are
+    partitioned. Pairs and vectors travel as rows of ``PACKED_ROWS`` each, since a round deals all of them.
     """
     spark = pairs.sparkSession
     counted = store(pairs.where("node IS NOT NULL AND ctx IS NOT NULL").groupBy(F.col("node").cast("long").alias("node"), F.col("ctx").cast("long").alias("ctx")).agg(F.count("*").cast("double").alias("times")))
     ends = counted.select("node", F.lit(0.0).alias("n")).unionByName(counted.select(F.col("ctx").alias("node"), F.col("times").alias("n")))
     nodes = store(ends.groupBy("node").agg(F.sum("n").alias("n")).select("node", F.pow("n", 0.75).alias("weight")))
-    if blocks is None:
-        blocks = max(1, -(-nodes.count() // BLOCK_NODES), int((counted.count() / BLOCK_PAIRS) ** 0.5))
+    n_pairs, n_nodes = counted.count(), nodes.count()
+    blocks *= max(1, -(-n_nodes // BLOCK_NODES), int((n_pairs / BLOCK_PAIRS) ** 0.5))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    part = lambda n, *c: F.pmod(F.xxhash64(F.lit("part"), *c), F.lit(max(1, -(-n // PACKED_ROWS)))).cast("int")
+    lists = lambda *names: F.collect_list(F.struct(*names)).alias("of")
+    met = counted.select("*", block("node").alias("task"), F.pmod(block("ctx") - block("node"), F.lit(blocks)).alias("turn"), part(n_pairs // blocks**2, "node", "ctx").alias("part"))
     to = new_folder(spark, "pairs")
-    counted.select("*", block("node").alias("task"), F.pmod(block("ctx") - block("node"), F.lit(blocks)).alias("turn")).repartition("turn", "task").write.partitionBy("turn").parquet(to)
-    dealt = spark.read.schema("node long, ctx long, times double, task int, turn int").parquet(to)
-    none = F.lit(None).cast("array<double>")
-    state = nodes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"), "node", "weight", none.alias("vec"))
+    met.groupBy("turn", "task", "part").agg(lists("node", "ctx", "times")).select("turn", "task", F.col("of.node").alias("node"), F.col("of.ctx").alias("ctx"), F.col("of.times").alias("weight")).repartition("turn", "task").write.partitionBy("turn").parquet(to)
+    dealt = spark.read.schema("node array<long>, ctx array<long>, weight array<double>, task int, turn int").parquet(to)
+    held = nodes.groupBy(block("node").alias("block"), part(n_nodes // blocks, "node").alias("part")).agg(lists("node", "weight"))
+    state = held.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"), "block", F.col("of.node").alias("node"), F.col("of.weight").alias("weight"), F.lit(None).cast("binary").alias("vec"))
 
     def run(epoch: int, turn: int):
         def step(key: tuple, table: pa.Table) -> pa.Table:
-            kind, node, ctx = (table[c].to_numpy() for c in ("kind", "node", "ctx"))
-            sides, vectors = [], []
+            kind, task = table["kind"].to_numpy(), key[0].as_py()
+            nodes, weights, vectors = [], [], []
             for k in (0, 1):
-                at = np.flatnonzero(kind == k)
-                at = at[np.argsort(node[at])]
-                sides.append(at)
-                column = table["vec"].take(pa.array(at)).combine_chunks()
-                known = column.null_count == 0
-                vectors.append(column.flatten().to_numpy().reshape(-1, size).copy() if known else first_vectors(node[at], size, seed) if k == 0 else np.zeros((len(at), size)))
-            weight = table["weight"].to_numpy()
-            here = np.flatnonzero(kind == 2)
-            if len(here):
-                order = np.lexsort((ctx[here], node[here], _mixed(node[here].astype(np.uint64) * np.uint64(31) + _mixed(ctx[here]) + np.uint64(epoch))))
-                here = here[order]
-                one, two = np.searchsorted(node[sides[0]], node[here]), np.searchsorted(node[sides[1]], ctx[here].astype(np.int64))
-                descend(vectors[0], vectors[1], weight[sides[1]], one, two, weight[here], negatives=negatives, rate=rate, draw=np.random.default_rng([seed, epoch, turn, key[0].as_py()]))
-            every = np.concatenate(sides)
-            flat = np.concatenate(vectors)
-            return pa.table({"kind": pa.array(kind[every], pa.int32()), "node": node[every], "weight": weight[every], "vec": pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * size, flat.ravel())})
+                own = table.filter(pa.array(kind == k))
+                node = _flat(own["node"])
+                order = np.argsort(node)
+                nodes.append(node[order])
+                weights.append(_flat(own["weight"])[order])
+                if len(own) and own["vec"].null_count == 0:
+                    vectors.append(np.concatenate([np.frombuffer(b.as_buffer()).reshape(-1, size) for b in own["vec"]])[order])
+                else:
+                    vectors.append(first_vectors(nodes[k], size, seed) if k == 0 else np.zeros((len(node), size)))
+            own = table.filter(pa.array(kind == 2))
+            if len(own):
+                node, ctx, times = (_flat(own[c]) for c in ("node", "ctx", "weight"))
+                order = np.lexsort((ctx, node, _mixed(node.astype(np.uint64) * np.uint64(31) + _mixed(ctx) + np.uint64(epoch))))
+                one, two = np.searchsorted(nodes[0], node[order]), np.searchsorted(nodes[1], ctx[order])
+                descend(vectors[0], vectors[1], weights[1], one, two, times[order], negatives=negatives, rate=rate, draw=np.random.default_rng([seed, epoch, turn, task]))
+            return pa.concat_tables([_packed(k, task if k == 0 else (task + turn) % blocks, nodes[k], weights[k], vectors[k]) for k in (0, 1)])
 
         return step
 
     for epoch in range(epochs):
         for turn in range(blocks):
-            held = state.select(F.when(F.col("kind") == 0, block("node")).otherwise(F.pmod(block("node") - turn, F.lit(blocks))).alias("task"), "kind", "node", F.lit(0).cast("long").alias("ctx"), "weight", "vec")
-            own = dealt.where(F.col("turn") == turn).select("task", F.lit(2).alias("kind"), "node", "ctx", F.col("times").alias("weight"), none.alias("vec"))
+            task = F.when(F.col("kind") == 0, F.col("block")).otherwise(F.pmod(F.col("block") - turn, F.lit(blocks)))
+            held = state.select(task.cast("int").alias("task"), "kind", "node", F.lit(None).cast("array<long>").alias("ctx"), "weight", "vec")
+            own = dealt.where(F.col("turn") == turn).select("task", F.lit(2).alias("kind"), "node", "ctx", "weight", F.lit(None).cast("binary").alias("vec"))
             state = store(held.unionByName(own).groupBy("task").applyInArrow(run(epoch, turn), _SCHEMA))
-    return state.where("kind = 0").select("node", "vec")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                node, flat = batch.column("node")[i].values, np.frombuffer(batch.column("vec")[i].as_buffer())
+                yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * size), pa.array(flat))], ["node", "vec"])
+
+    return state.where("kind = 0").select("node", "vec").mapInArrow(rows, "node long, vec array<double>")

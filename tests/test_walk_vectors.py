@@ -49,3 +49,19 @@ def test_one_step_by_hand():
 
 def test_nothing(spark):
     assert train(spark.createDataFrame([], "node long, ctx long")).collect() == []
+
+
+def test_rounds_deal_few_rows_and_blocks_of_a_size(spark, pairs, monkeypatch):
+    """A round's rows hold many vectors, and a block asked for alone is cut by its nodes."""
+    stored, real = [], walk_vectors.store
+    monkeypatch.setattr(walk_vectors, "store", lambda df, *a: stored.append(real(df, *a)) or stored[-1])
+    monkeypatch.setattr(walk_vectors, "BLOCK_NODES", 20)
+    got = {r["node"]: r["vec"] for r in train(pairs, size=8, epochs=1, blocks=1).collect()}
+    assert sorted(got) == list(range(80)) and all(len(v) == 8 for v in got.values())
+    rounds = stored[2:]
+    assert [r.count() for r in rounds] == [8] * 4  # four blocks, both kinds of vectors
+    held = [len(r["node"]) for r in rounds[-1].where("kind = 0").collect()]
+    assert sum(held) == 80 and max(held) < 40
+    monkeypatch.setattr(walk_vectors, "PACKED_ROWS", 3)
+    cut = {r["node"]: r["vec"] for r in train(pairs, size=8, epochs=1, blocks=1).collect()}
+    assert cut.keys() == got.keys() and all(cut[k] == pytest.approx(v, abs=1e-12) for k, v in got.items())
