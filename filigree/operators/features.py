@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .keeping import spread, store
+from .keeping import spread, spread_many, store
 
 
 def polylines(points: DataFrame) -> DataFrame:
@@ -37,15 +37,19 @@ GEOMETRY_NAMES = [
 ]
 
 
-def geometry_vector(lines: DataFrame, points: DataFrame, neighbour: DataFrame, scale: float) -> DataFrame:
+def geometry_vector(lines: DataFrame, points: DataFrame, neighbour: DataFrame, scale: float, rows: int = 0) -> DataFrame:
     """gid and the 32 measures of ``GEOMETRY_NAMES`` of each polyline and its neighbour.
 
     neighbour: (gid, nbr), the other end of a polyline's last junction; nbr may be the phantom -1, which
-    stands at (1, 1). ``scale`` brings coordinates into the unit disk for hyperbolic distances.
+    stands at (1, 1). ``scale`` brings coordinates into the unit disk for hyperbolic distances. rows: how
+    many rows tasks are sized by; joins are spread by it if they are many. Neighbours are looked up by their
+    names alone, but for the phantom, which stands at many polylines and would be one task's.
     """
     one = g.point(1, 1)
+    neighbour = store(neighbour, "near")  # read twice
     other = lines.select(F.col("gid").alias("nbr"), F.col("points").alias("adj"))
-    rows = with_moments(lines, points).join(neighbour, "gid").join(other, "nbr", "left").withColumn("adj", F.coalesce("adj", F.array(one, one, one)))
+    found = spread_many(spread_many(neighbour.where("nbr <> -1"), rows, "nbr").join(other, "nbr").select("gid", "adj"), rows, "gid")
+    rows = with_moments(lines, points).join(spread_many(neighbour.select("gid"), rows, "gid"), "gid").join(found, "gid", "left").withColumn("adj", F.coalesce("adj", F.array(one, one, one)))
     # steps in projections of their own, since later ones use them several times
     rows = rows.withColumns({"s": g.sampled(F.col("points")), "t": g.sampled(F.col("adj")), "c": g.point(F.col("c0"), F.col("c1"))})
     rows = rows.withColumns({"vp": g.minus(F.get("s", F.lit(2)), F.get("s", F.lit(0))), "vn": g.minus(F.get("t", F.lit(2)), F.get("t", F.lit(0)))})
@@ -71,10 +75,11 @@ def geometry_vector(lines: DataFrame, points: DataFrame, neighbour: DataFrame, s
     return rows.select("gid", *(v.alias(n) for n, v in zip(GEOMETRY_NAMES, values, strict=True)))
 
 
-def last_neighbour(edges: DataFrame, order: tuple[str, ...] = ("gid",)) -> DataFrame:
-    """gid, nbr: the other end of each polyline's last junction in an order, by default that of ids; an own loop gives the polyline itself."""
-    ends = edges.select(F.struct(*order).alias("at"), F.explode(F.array(F.struct(F.col("v1").alias("own"), F.col("v2").alias("nbr")), F.struct(F.col("v2").alias("own"), F.col("v1").alias("nbr")))).alias("e"))
-    return ends.groupBy(F.col("e.own").alias("gid")).agg(F.max(F.struct("at", "e.nbr")).alias("last")).select("gid", "last.nbr")
+def last_neighbour(edges: DataFrame, order: tuple[str, ...] = ("gid",), rows: int = 0) -> DataFrame:
+    """gid, nbr: the other end of each polyline's last junction in an order, by default that of ids; an own loop gives the polyline itself. rows: how many ends there are, if known; many are spread by it."""
+    both = F.array(F.struct(F.col("v1").alias("gid"), F.col("v2").alias("nbr")), F.struct(F.col("v2").alias("gid"), F.col("v1").alias("nbr")))
+    ends = edges.select(F.struct(*order).alias("at"), F.inline(both))
+    return spread_many(ends, rows, "gid").groupBy("gid").agg(F.max(F.struct("at", "nbr")).alias("last")).select("gid", "last.nbr")
 
 
 # --- pixel features ---------------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from .registry import query
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return features.polylines(fx.poly_points(spark, d))
+    return features.polylines(fx.poly_points(spark, d, 2 * fx.n_points(spark, d)))
 
 
 def moved(spark: SparkSession, d: str) -> DataFrame:
@@ -199,10 +199,10 @@ def _vector_sql() -> str:
 
 @query("f30_geom_vector", _vector_sql(), "line mom gedge", _LAST)
 def f30(spark, d):
-    points = fx.poly_points(spark, d)
+    points, ends = fx.poly_points(spark, d), 2 * fx.n_points(spark, d)
     # junctions are numbered by pk, then v1, so the last one is known without a number
-    near = features.last_neighbour(fx.junctions(spark, d), ("pk", "v1"))
-    rows = features.geometry_vector(keep(lines(spark, d)), points, near, 1 / 200)
+    near = features.last_neighbour(fx.junctions(spark, d), ("pk", "v1"), ends)
+    rows = features.geometry_vector(keep(lines(spark, d)), points, near, 1 / 200, ends)
     return rows.select("gid", *(r(F.col(n), digits_of(n)).alias(n) for n in features.GEOMETRY_NAMES))
 
 

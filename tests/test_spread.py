@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from filigree.operators import features, generators, graph, keeping, neural, sphere
 from filigree.plans import fixtures as fx
-from filigree.plans import models
+from filigree.plans import models, shapes
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -94,3 +94,24 @@ def test_pixels_are_written_before_the_fit(spark, monkeypatch):
     monkeypatch.setattr(models, "store", lambda df, *a: written.append(df.columns) or real(df, *a))
     monkeypatch.setattr(models.learning, "pixel_forest", lambda rows, train: rows.selectExpr("gid", "y", "0.5D AS p"))
     assert models.m20(spark, SF_DIR).count() == fx.feat(spark, SF_DIR).count() and written == [["gid", "f", "y"]]
+
+
+def test_polylines_and_their_neighbours_are_spread_by_their_number(spark, monkeypatch):
+    whole = {r["gid"]: tuple(r) for r in shapes.f30(spark, SF_DIR).collect()}
+    monkeypatch.setattr(keeping, "SPREAD_ROWS", 400)
+    ends = 2 * fx.n_points(spark, SF_DIR)
+    for spread in (shapes.lines(spark, SF_DIR), features.last_neighbour(fx.junctions(spark, SF_DIR), ("pk", "v1"), ends)):
+        assert spread.rdd.getNumPartitions() == -(-ends // 400)
+    got = {r["gid"]: tuple(r) for r in shapes.f30(spark, SF_DIR).collect()}
+    assert got.keys() == whole.keys() and all(got[k] == pytest.approx(v, abs=1e-3) for k, v in whole.items())
+
+
+def test_the_phantom_is_not_looked_up(spark):
+    """Nine of ten polylines lie at the phantom; the join meets the others alone."""
+    points = spark.range(40).selectExpr("id DIV 4 AS gid", "id % 4 AS seq", "id * 1.5D AS p0", "id % 7 * 2.0D AS p1")
+    near = spark.range(10).selectExpr("id AS gid", "IF(id = 3, 5L, -1L) AS nbr")
+    out = features.geometry_vector(features.polylines(points), points, near, 1 / 200)
+    first = {r["gid"]: r["euclid_adj1_self0"] for r in out.collect()}
+    at = lambda i: np.array([1.5 * i, i % 7 * 2.0])
+    assert first == {i: pytest.approx(np.linalg.norm(at(4 * i) - (at(23) if i == 3 else [1, 1]))) for i in range(10)}
+    assert "NOT (nbr" in plan(out)
