@@ -31,23 +31,23 @@ def best_cutoff(sweep: DataFrame) -> DataFrame:
     return sweep.agg(F.max_by("cutoff", F.struct("f1", "cutoff")).alias("cutoff"), F.max("f1").alias("f1"))
 
 
-def class_counts(pred: DataFrame) -> DataFrame:
-    """class, tp, fp, fn, support of 0/1 columns y and yhat, in one pass."""
-    each = pred.select(F.explode(F.array(F.struct(F.lit(0).alias("class")), F.struct(F.lit(1).alias("class")))).alias("c"), "y", "yhat").select("c.class", "y", "yhat")
+def class_counts(pred: DataFrame, *by: str) -> DataFrame:
+    """class, tp, fp, fn, support of 0/1 columns y and yhat, in one pass; by: columns whose values are counted apart."""
+    each = pred.select(*by, F.explode(F.array(F.struct(F.lit(0).alias("class")), F.struct(F.lit(1).alias("class")))).alias("c"), "y", "yhat").select(*by, "c.class", "y", "yhat")
     is_, said = F.col("y") == F.col("class"), F.col("yhat") == F.col("class")
     count = lambda c, name: F.count_if(c).alias(name)
-    return each.groupBy("class").agg(count(is_ & said, "tp"), count(~is_ & said, "fp"), count(is_ & ~said, "fn"), count(is_, "support"))
+    return each.groupBy(*by, "class").agg(count(is_ & said, "tp"), count(~is_ & said, "fp"), count(is_ & ~said, "fn"), count(is_, "support"))
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
 
 
-def averaged_scores(pred: DataFrame) -> DataFrame:
-    """avg_type, precision, recall, f1 for class, macro, micro and weighted averages."""
-    per = class_counts(pred).select("class", "support", "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("p"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("r"), ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f"))
+def averaged_scores(pred: DataFrame, *by: str) -> DataFrame:
+    """avg_type, precision, recall, f1 for class, macro, micro and weighted averages; by: columns whose values are scored apart, those that occur."""
+    per = class_counts(pred, *by).select(*by, "class", "support", "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("p"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("r"), ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f"))
     s = lambda c: F.sum(c)
-    one = per.agg(
+    one = per.groupBy(*by).agg(
         *(F.avg(c).alias(f"macro_{c}") for c in "prf"),
         *((s(F.col(c) * F.col("support")) / s("support")).alias(f"weighted_{c}") for c in "prf"),
         *(F.max(F.when(F.col("class") == 1, F.col(c))).alias(f"class_{c}") for c in "prf"),
@@ -56,7 +56,7 @@ def averaged_scores(pred: DataFrame) -> DataFrame:
         ratio(2.0 * s("tp"), 2 * s("tp") + s("fp") + s("fn")).alias("micro_f"),
     )
     rows = [F.struct(F.lit(t).alias("avg_type"), F.col(f"{t}_p").alias("precision"), F.col(f"{t}_r").alias("recall"), F.col(f"{t}_f").alias("f1")) for t in ("class", "macro", "micro", "weighted")]
-    return one.select(F.inline(F.array(*rows)))
+    return one.select(*by, F.inline(F.array(*rows)))
 
 
 def mean_iou(pred: DataFrame) -> DataFrame:

@@ -78,18 +78,23 @@ class Model:
 # --- forward and back ---------------------------------------------------------------------------
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w as one product, however many axes x has; numpy would take one for each of the first axes' places."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
+
+
 def _layer(model: Model, w: Weights, k: int, own: np.ndarray, near: np.ndarray, rectify: bool) -> tuple[np.ndarray, Callable]:
     """The layer's output, and what turns its slope into those of own and near (unless they are the features), adding to the weights' slopes."""
     n = near.shape[-2]
     if model.pool in ("maxpool", "meanpool"):
-        h = np.maximum(near @ w[f"m{k}"] + w[f"b{k}"], 0.0)
+        h = np.maximum(_times(near, w[f"m{k}"]) + w[f"b{k}"], 0.0)
         at = h.argmax(axis=-2) if model.pool == "maxpool" else None
         around = h.max(axis=-2) if at is not None else h.mean(axis=-2)
     elif model.pool == "gcn":
         around = (near.sum(axis=-2) + own) / (n + 1)
     else:
         around = near.mean(axis=-2)
-    parts = [around @ w[f"n{k}"]] if model.pool == "gcn" else [own @ w[f"s{k}"], around @ w[f"n{k}"]]
+    parts = [_times(around, w[f"n{k}"])] if model.pool == "gcn" else [_times(own, w[f"s{k}"]), _times(around, w[f"n{k}"])]
     z = np.concatenate(parts, axis=-1) if model.sides == 2 else sum(parts)
     out = np.maximum(z, 0.0) if rectify else z
     flat = lambda x: x.reshape(-1, x.shape[-1])
@@ -102,11 +107,11 @@ def _layer(model: Model, w: Weights, k: int, own: np.ndarray, near: np.ndarray,
             total[f"s{k}"] += flat(own).T @ flat(each[0])
         if k == 0 and model.pool in ("mean", "gcn"):
             return None
-        d_around = each[-1] @ w[f"n{k}"].T
+        d_around = _times(each[-1], w[f"n{k}"].T)
         if model.pool == "gcn":
             share = d_around / (n + 1)
             return share, np.repeat(share[..., None, :], n, axis=-2)
-        d_own = each[0] @ w[f"s{k}"].T if k else None
+        d_own = _times(each[0], w[f"s{k}"].T) if k else None
         if model.pool == "mean":
             return d_own, np.repeat(d_around[..., None, :] / n, n, axis=-2)
         if at is not None:
@@ -117,7 +122,7 @@ def _layer(model: Model, w: Weights, k: int, own: np.ndarray, near: np.ndarray,
         d_h = d_h * (h > 0)
         total[f"m{k}"] += flat(near).T @ flat(d_h)
         total[f"b{k}"] += flat(d_h).sum(axis=0)
-        return (d_own, d_h @ w[f"m{k}"].T) if k else None
+        return (d_own, _times(d_h, w[f"m{k}"].T)) if k else None
 
     return out, back
 
@@ -401,6 +406,22 @@ def predicted(rows: DataFrame, model: Model, weights: Weights) -> DataFrame:
     return rows.select(*others, "x").mapInArrow(run, f"{kinds}, p array<double>")
 
 
+def classes(rows: DataFrame, fits: list[tuple[Model, Weights]]) -> DataFrame:
+    """rows without x, with said: the likeliest class by each of some fits over the same supports, which are read once for all."""
+    sent, others = rows.sparkSession.sparkContext.broadcast(fits), [c for c in rows.columns if c != "x"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, FORWARD_ROWS):
+                x = arrays(part.column(len(others)), sent.value[0][0])
+                said = np.stack([scores(model, weights, x).argmax(axis=1) for model, weights in sent.value], axis=1).astype(np.int32)
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * said.shape[1])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.ListArray.from_arrays(offsets, pa.array(said.ravel()))], [*others, "said"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.select(*others, "x").mapInArrow(run, f"{kinds}, said array<int>")
+
+
 def negatives(degrees: DataFrame, known: DataFrame, model: Model, n: int, seed: int, *keys: int) -> np.ndarray:
     """The supports of n nodes drawn by degree to the power 0.75, without repetition: those with the least exponential waiting times by digest. degrees: gid, degree."""
     u = keyed.uniform(seed, *(F.lit(k) for k in keys), F.col("gid"))

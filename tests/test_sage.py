@@ -206,3 +206,43 @@ def test_supports_keep_their_precision():
             assert loss == pytest.approx(loss64, rel=1e-5)
             for k, s in slopes.items():
                 assert s.dtype == np.float64 and s == pytest.approx(slopes64[k], rel=1e-3, abs=1e-4)
+
+
+def test_fits_are_scored_in_one_reading(spark, graph_of):
+    vectors, near, adj, features = graph_of
+    models = [Model(WIDTH, pool, out=(4, 4), samples=(2, 2)) for pool in ("mean", "maxpool")]
+    known = sage.supports(features.where("gid < 99"), adj, features, models[0]).selectExpr("gid", "x", "CAST(gid % 2 AS INT) AS y")
+    fits = [(m, m.start(seed)) for m in models for seed in (1, 2)]
+    said = {r["gid"]: r["said"] for r in sage.classes(known, fits).collect()}
+    for k, (m, w) in enumerate(fits):
+        p = {r["gid"]: r["p"] for r in sage.predicted(known, m, w).collect()}
+        assert {g: s[k] for g, s in said.items()} == {g: int(np.argmax(v)) for g, v in p.items()}
+
+
+def test_epochs_are_not_scored_one_by_one(spark, monkeypatch):
+    """Supports are written once and read once for the scores of all epochs and pools; nothing is written for an epoch."""
+    from filigree.plans import models
+
+    written, real, classes = [], models.store, []
+    monkeypatch.setattr(models, "store", lambda df, *a: written.append(df.columns) or real(df, *a))
+    monkeypatch.setattr(sage, "classes", lambda rows, fits, f=sage.classes: classes.append(len(fits)) or f(rows, fits))
+    rows = models.m17(spark, "/root/testdata/sf0.001").collect()
+    assert len(written) == 1 and classes == [8] and len(rows) == 96
+    assert {(r["pool"], r["epoch"], r["partition"], r["avg_type"]) for r in rows} == {(p, e, part, kind) for p in ("mean", "maxpool") for e in (1, 2, 3, 4) for part in models.PARTS for kind in models.AVERAGES}
+    assert all(0 <= r["f1"] <= 1 for r in rows)
+
+
+def test_products_of_many_axes_are_one():
+    x, w = np.random.default_rng(1).normal(size=(3, 4, 5, 6)), np.random.default_rng(2).normal(size=(6, 2))
+    assert sage._times(x[:, 1:], w) == pytest.approx(x[:, 1:] @ w)
+
+
+def test_scores_by_columns_equal_those_of_each_part(spark):
+    from pyspark.sql import functions as F
+
+    from filigree.operators import metrics
+
+    pred = spark.range(200).selectExpr("id % 3 AS part", "CAST(id % 2 AS INT) AS y", "CAST(id * 7 % 5 > 2 AS INT) AS yhat")
+    got = {(r["part"], r["avg_type"]): (r["precision"], r["recall"], r["f1"]) for r in metrics.averaged_scores(pred, "part").collect()}
+    expected = {(k, r["avg_type"]): (r["precision"], r["recall"], r["f1"]) for k in range(3) for r in metrics.averaged_scores(pred.where(F.col("part") == k)).collect()}
+    assert got == {k: pytest.approx(v) for k, v in expected.items()}
