@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import PCA, Word2Vec
+from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -26,9 +26,9 @@ def scored(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select("gid", "y", F.element_at(vector_to_array("probability"), 2).alias("p"))
 
 
-def logistic(rows: DataFrame, train, iterations: int = 30) -> DataFrame:
+def logistic(rows: DataFrame, train, iterations: int = 30, decay: float = 0.01) -> DataFrame:
     data = as_vectors(rows)
-    return scored(LogisticRegression(labelCol="y", maxIter=iterations, regParam=0.01).fit(data.where(train)), data)
+    return scored(LogisticRegression(labelCol="y", maxIter=iterations, regParam=decay).fit(data.where(train)), data)
 
 
 def majority(rows: DataFrame, train) -> DataFrame:
@@ -62,8 +62,22 @@ def voted(pixels: DataFrame) -> DataFrame:
 
 
 def perceptron(rows: DataFrame, train, width: int, hidden: tuple[int, ...] = (16, 8), iterations: int = 40, seed: int = 1) -> DataFrame:
+    """gid, y, p: features are scaled by the training rows.
+
+    MLlib's optimiser gives up where its line search fails, on large tables after a few rounds and near the
+    mean label. The rounds that are left then go on from its weights, as long as the loss falls.
+    """
     data = as_vectors(rows)
-    return scored(MultilayerPerceptronClassifier(labelCol="y", layers=[width, *hidden, 2], maxIter=iterations, seed=seed).fit(data.where(train)), data)
+    data = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(data.where(train)).transform(data).drop("features")
+    seen, model, loss, left = data.where(train), None, float("inf"), iterations
+    while True:
+        fit = MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="y", layers=[width, *hidden, 2], maxIter=left, seed=seed)
+        model = (fit if model is None else fit.setInitialWeights(model.weights)).fit(seen)
+        told = model.summary().objectiveHistory
+        left -= len(told) - 1
+        if left <= 0 or not told[-1] < loss:
+            return scored(model, data)
+        loss = told[-1]
 
 
 #: Walks that one task trains on, about.

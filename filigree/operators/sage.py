@@ -526,14 +526,15 @@ def train_unsupervised(pairs: DataFrame, known: DataFrame, degrees: DataFrame, m
 
 
 def embeddings(known: DataFrame, model: Model, weights: Weights) -> DataFrame:
-    """gid, vec: the embedding of every node."""
-    sent = known.sparkSession.sparkContext.broadcast(weights)
+    """known (gid, x) without x, with vec: the embedding of every node."""
+    sent, others = known.sparkSession.sparkContext.broadcast(weights), [c for c in known.columns if c != "x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, FORWARD_ROWS):
-                e = encode(model, sent.value, arrays(part.column(1), model))[0]
+                e = encode(model, sent.value, arrays(part.column(len(others)), model))[0]
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * model.embedding)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(e.ravel()))], ["gid", "vec"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.ListArray.from_arrays(offsets, pa.array(e.ravel()))], [*others, "vec"])
 
-    return known.select("gid", "x").mapInArrow(run, f"gid {known.schema['gid'].dataType.simpleString()}, vec array<double>")
+    kinds = ", ".join(f"`{c}` {known.schema[c].dataType.simpleString()}" for c in others)
+    return known.select(*others, "x").mapInArrow(run, f"{kinds}, vec array<double>")

@@ -41,3 +41,20 @@ def test_rounds_read_what_was_gathered_once(spark, monkeypatch):
     monkeypatch.setattr(learning, "perceptron", lambda rows, train, width, iterations=0: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), rows.select("gid", "y", F.lit(0.5).alias("p")))[1])
     assert len(models.m17_more_rounds(spark, "/root/testdata/sf0.001").collect()) == 24
     assert len(plans) == 3 and not any("Exchange" in p for p in plans)
+
+
+def test_a_perceptron_scales_features(spark):
+    data = rows(spark)
+    assert accuracy(learning.perceptron(data.withColumn("f", F.transform("f", lambda x: 7 + x / 1000)), train(), 3)) > 0.95
+
+
+def test_a_perceptron_goes_on_where_the_optimiser_gives_up(spark, monkeypatch):
+    """A fit that ends after three rounds, as MLlib's does where a line search fails, is not the end."""
+    whole, given = learning.MultilayerPerceptronClassifier, []
+    monkeypatch.setattr(learning, "MultilayerPerceptronClassifier", lambda maxIter, **more: (given.append(maxIter), whole(maxIter=min(maxIter, 3), **more))[1])
+    out = learning.perceptron(rows(spark), train(), 3, iterations=40)
+    assert accuracy(out) > 0.95
+    assert given[:4] == [40, 37, 34, 31] and min(given) > 0
+    given.clear()
+    learning.perceptron(rows(spark), train(), 3, iterations=3)
+    assert given == [3]

@@ -246,3 +246,17 @@ def test_scores_by_columns_equal_those_of_each_part(spark):
     got = {(r["part"], r["avg_type"]): (r["precision"], r["recall"], r["f1"]) for r in metrics.averaged_scores(pred, "part").collect()}
     expected = {(k, r["avg_type"]): (r["precision"], r["recall"], r["f1"]) for k in range(3) for r in metrics.averaged_scores(pred.where(F.col("part") == k)).collect()}
     assert got == {k: pytest.approx(v) for k, v in expected.items()}
+
+
+def test_every_fit_is_below_the_mean_label(spark, tmp_path, monkeypatch):
+    """m_fits over labels without any tie to the vectors, where steps end above the mean label's loss and an optimiser gives up after two rounds."""
+    from filigree.operators import learning
+    from filigree.plans import models
+
+    draw = np.random.default_rng(3)
+    rows = [(i, v.tolist(), int(draw.integers(0, 10))) for i, v in enumerate(draw.normal(size=(400, 64)) / 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole, train = learning.MultilayerPerceptronClassifier, sage.train
+    monkeypatch.setattr(learning, "MultilayerPerceptronClassifier", lambda maxIter, **more: whole(maxIter=min(maxIter, 2), **more))
+    monkeypatch.setattr(sage, "train", lambda *x, **more: train(*x, **more) | {"q": np.array([0.5, -0.5])})
+    assert sorted(map(tuple, models.m_fits(spark, str(tmp_path)).collect())) == [(name, 400, True, True) for name in ("m14_graphsage", "m18_logreg", "m19_rf_nodes", "m21_mlp")]
