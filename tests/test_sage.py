@@ -258,5 +258,5 @@ def test_every_fit_is_below_the_mean_label(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     whole, train = learning.MultilayerPerceptronClassifier, sage.train
     monkeypatch.setattr(learning, "MultilayerPerceptronClassifier", lambda maxIter, **more: whole(maxIter=min(maxIter, 2), **more))
-    monkeypatch.setattr(sage, "train", lambda *x, **more: train(*x, **more) | {"q": np.array([0.5, -0.5])})
+    monkeypatch.setattr(sage, "train", lambda *x, **more: train(*x, **more) | {"q": np.array([3.0, -3.0])})
     assert sorted(map(tuple, models.m_fits(spark, str(tmp_path)).collect())) == [(name, 400, True, True) for name in ("m14_graphsage", "m18_logreg", "m19_rf_nodes", "m21_mlp")]
